@@ -86,8 +86,13 @@ def mean_pool(states: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 def embed_sequences(
     samples: DataFrame, vectors: DataFrame, pad_id: int, key: str = "seq_idx", ids: str = "input_ids"
 ) -> DataFrame:
-    """Default encoder: token vectors, looked up and averaged over the positions that aren't padding."""
-    states = lookup_vectors(samples, vectors, key, ids)
+    """Default encoder: token vectors, looked up and averaged over the positions that aren't padding.
+
+    Of the padding only each sequence's first position is looked up, which keeps
+    a sequence of nothing but padding in the result.
+    """
+    kept = F.concat(F.slice(ids, 1, 1), F.filter(F.slice(ids, 2, F.size(ids)), lambda x: x != pad_id))
+    states = lookup_vectors(samples.select(key, kept.alias(ids)), vectors, key, ids)
     return masked_mean_pool(states.withColumn("mask", (F.col("token_id") != pad_id).cast("int")), key)
 
 

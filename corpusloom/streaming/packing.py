@@ -66,7 +66,7 @@ class IncrementalPacker:
 
         first, last = start // self.shard_size, end // self.shard_size
         if last > first:
-            self._write(spark, first, last, batch_id, lambda index: F.lit(self.shard_size))
+            self._write(spark, first, last, self.shard_size, batch_id)
         commit = spark.createDataFrame([(batch_id, start, end)], COMMIT_SCHEMA)
         commit.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(
             f"{self.out_dir}/commits/batch_id={batch_id}"
@@ -77,23 +77,24 @@ class IncrementalPacker:
         end = self._end_before(spark, None)
         tail, rest = divmod(end, self.shard_size)
         if rest:
-            self._write(spark, tail, tail + 1, None, lambda index: F.lit(rest))
-
-    def pieces(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
-        """pieces(shard_index, split, name, start, tokens) of the batches up to ``batch_id``."""
-        found = spark.read.schema(PIECE_SCHEMA).parquet(f"{self.out_dir}/pieces")
-        committed = self._commits(spark).select("batch_id")
-        if batch_id is None:
-            return found.join(committed, "batch_id", "left_semi")
-        return found.where(F.col("batch_id") <= batch_id)
+            self._write(spark, tail, tail + 1, rest)
+
+    def pieces(self, spark: SparkSession, first: int, last: int, upto: int | None = None) -> DataFrame:
+        """(shard_index, split, name, start, tokens) of shards [first, last), in any committed batch
+        or batch ``upto``. Only the folders of batches that reach into these shards are listed."""
+        inside = (F.col("start") < last * self.shard_size) & (F.col("end") > first * self.shard_size)
+        ids = {r["batch_id"] for r in self._commits(spark).where(inside).select("batch_id").collect()}
+        ids |= set() if upto is None else {upto}
+        reader = spark.read.schema(PIECE_SCHEMA).option("basePath", f"{self.out_dir}/pieces")
+        found = reader.parquet(*[self._pieces(i) for i in sorted(ids)])
+        return found.where(F.col("shard_index").between(first, last - 1)).drop("batch_id")
 
     def _pieces(self, batch_id: int) -> str:
         return f"{self.out_dir}/pieces/batch_id={batch_id}"
 
-    def _write(self, spark, first: int, last: int, batch_id: int | None, count) -> None:
-        """Writes shards [first, last); the shard folders that are read are chosen by name."""
-        wanted = self.pieces(spark, batch_id).where(F.col("shard_index").between(first, last - 1))
-        counted = wanted.withColumn("shard_tokens", count(F.col("shard_index")).cast("bigint"))
+    def _write(self, spark: SparkSession, first: int, last: int, tokens: int, upto: int | None = None) -> None:
+        wanted = self.pieces(spark, first, last, upto)
+        counted = wanted.withColumn("shard_tokens", F.lit(tokens).cast("bigint"))
         write_shards(counted, self.shard_dir, self.identity, self.prefix)
 
     def _commits(self, spark: SparkSession) -> DataFrame:
