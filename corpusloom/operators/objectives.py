@@ -191,7 +191,9 @@ def replace_spans(samples: DataFrame, config: SpanConfig) -> DataFrame:
     corrupted, target = emit_spans(
         F.col("input_ids"), F.col("spans"), config.sentinel_start_id, config.num_sentinels
     )
-    return samples.withColumns({"input_ids": corrupted, "labels": target}).drop("spans", "span_lengths")
+    # One by one: within one withColumns, the target would be cut from the corrupted input.
+    replaced = samples.withColumn("labels", target).withColumn("input_ids", corrupted)
+    return replaced.drop("spans", "span_lengths")
 
 
 def pad_targets(samples: DataFrame, config: SpanConfig, by: list[str]) -> DataFrame:

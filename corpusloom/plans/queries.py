@@ -47,11 +47,12 @@ class Tables:
 
     _made: dict[tuple[str, str], Tables] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, hash_fn: str = "md5") -> None:
+        self.spark, self.sf_dir, self.hash_fn = spark, sf_dir, hash_fn
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        """With md5 draws, which DuckDB can repeat."""
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._made:
             cls._made[key] = cls(spark, sf_dir)
@@ -99,7 +100,7 @@ class Tables:
         return TS.read_headers(self.spark, self.shard_folder)
 
     def permutation(self) -> DataFrame:
-        return R.permutation(self.spark, self.num_windows(), SEED, EPOCH, hash_fn="md5")
+        return R.permutation(self.spark, self.num_windows(), SEED, EPOCH, self.hash_fn)
 
     def step_metrics(self) -> DataFrame:
         """Events as recorded steps: a user is a run; errors come without a number of positions."""
@@ -274,7 +275,7 @@ def batches_drop_last(t: Tables) -> DataFrame:
 
 def loader_order(t: Tables) -> DataFrame:
     config = LoaderConfig(BATCH, drop_last=False, world_size=3)
-    order = loading.sample_order(t.spark, t.num_windows(), config, SEED, EPOCH, index=10, hash_fn="md5")
+    order = loading.sample_order(t.spark, t.num_windows(), config, SEED, EPOCH, index=10, hash_fn=t.hash_fn)
     return order.select("rank", "batch_id", "pos_in_batch", "seq_idx")
 
 
@@ -326,7 +327,7 @@ def special_mask(t: Tables) -> DataFrame:
 
 
 def _mlm(t: Tables):
-    return mlm_config(t.identity, seed=SEED, epoch=EPOCH, hash_fn="md5")
+    return mlm_config(t.identity, seed=SEED, epoch=EPOCH, hash_fn=t.hash_fn)
 
 
 def mlm_mask(t: Tables) -> DataFrame:
@@ -338,7 +339,7 @@ def mlm_mask(t: Tables) -> DataFrame:
 
 
 def electra_inputs(t: Tables) -> DataFrame:
-    masked = O.electra(t.windows(), electra_config(t.identity, seed=SEED, epoch=EPOCH, hash_fn="md5"))
+    masked = O.electra(t.windows(), electra_config(t.identity, seed=SEED, epoch=EPOCH, hash_fn=t.hash_fn))
     return masked.select(
         "seq_idx", text("input_ids").alias("input_ids"), text("masked_input_ids").alias("masked_input_ids"),
         bits("attention_mask").alias("attention_mask"), text("mlm_labels").alias("mlm_labels"),
@@ -365,7 +366,7 @@ def mlm_batches(t: Tables) -> DataFrame:
 
 
 def _spans(t: Tables) -> SpanConfig:
-    return SpanConfig(t.identity, sentinel_start_id=60000, seed=SEED, epoch=EPOCH, hash_fn="md5")
+    return SpanConfig(t.identity, sentinel_start_id=60000, seed=SEED, epoch=EPOCH, hash_fn=t.hash_fn)
 
 
 def span_budget(t: Tables) -> DataFrame:
