@@ -1,0 +1,99 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions.scalars import eval_line, perplexity, step_line
+from corpusloom.operators import metrics as M
+
+
+def table(spark, rows, schema="run string, step bigint, loss double, num_masked double"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_eval_summary(spark):
+    rows = [("a", 0, 2.0, 10.0), ("a", 1, 4.0, None), ("a", 2, 1.0, 2.9), ("b", 0, 500.0, 3.0), ("c", 0, 9.0, 0.0)]
+    found = {r["run"]: (r["eval_loss"], r["perplexity"]) for r in M.eval_summary(table(spark, rows), ["run"]).collect()}
+    assert found["a"] == pytest.approx((26 / 13, math.exp(2)))
+    assert found["b"] == pytest.approx((500.0, math.exp(100)))
+    assert found["c"] == (0.0, 1.0)
+
+
+def test_eval_summary_without_data(spark):
+    row = M.eval_summary(table(spark, []), []).first()
+    assert math.isnan(row["eval_loss"]) and math.isnan(row["perplexity"])
+
+
+def test_train_summary(spark):
+    steps = table(spark, [("a", 5, 2.0, None), ("a", 6, 4.0, None), ("b", 1, 3.0, None)])
+    assert {r["run"]: tuple(r)[1:] for r in M.train_summary(steps).collect()} == {"a": (2, 3.0), "b": (1, 3.0)}
+    prior = spark.createDataFrame(
+        [("a", 30.0, 5, 5), ("b", 8.0, None, 4), ("c", None, None, 7), ("d", 6.0, None, None)],
+        "run string, loss_sum double, loss_steps bigint, global_step bigint",
+    )
+    found = {r["run"]: tuple(r)[1:] for r in M.train_summary(steps, prior).collect()}
+    assert found == {"a": (7, 36 / 7), "b": (5, 11 / 5), "c": (0, 0.0), "d": (0, 6.0)}
+
+
+def test_running_loss(spark):
+    """One run has most of the steps, spread over many blocks."""
+    rows = [("hot", s, float(s % 11), None) for s in range(0, 30000, 3)] + [("cold", 7, 1.0, None), ("cold", 9000, 2.0, None)]
+    found = {(r["run"], r["step"]): r["mean_loss"] for r in M.running_loss(table(spark, rows)).collect()}
+    assert len(found) == len(rows)
+    total = {}
+    for run, step, loss, _ in rows:
+        s, n = total.get(run, (0.0, 0))
+        total[run] = (s + loss, n + 1)
+        assert found[run, step] == pytest.approx((s + loss) / (n + 1))
+
+
+def test_cadence(spark):
+    df = table(spark, [("a", s, 1.0, None) for s in range(10)])
+    assert sorted(r["step"] for r in M.logged_steps(df, 4).collect()) == [0, 4, 8]
+    assert M.logged_steps(df, 0).count() == 10
+    assert sorted(r["step"] for r in M.due_steps(df, 4).collect()) == [3, 7]
+    with pytest.raises(ValueError):
+        M.due_steps(df, 0)
+
+
+@pytest.mark.parametrize("loss", [0.0, 1.00005, 0.00125, 2.675, 88.7, 1e9])
+def test_lines(spark, loss):
+    """As Python prints them, on ties and for large numbers too."""
+    row = spark.range(7, 8).withColumn("loss", F.lit(loss)).select(
+        step_line(F.col("id"), F.col("loss")), eval_line(F.col("id"), F.col("loss"))
+    ).first()
+    ppl = math.exp(min(loss, 100))
+    first = row[0].split(" ppl=")
+    assert first[0] == f"step=7 loss={loss:.4f}"
+    assert float(first[1]) == pytest.approx(round(ppl, 2), rel=1e-14)
+    assert row[1].startswith(f"[eval] step=7 eval_loss={loss:.4f} ppl=")
+
+
+def test_perplexity_of_nan(spark):
+    assert math.isnan(spark.range(1).select(perplexity(F.lit(float("nan")))).first()[0])
+
+
+def brute_loss(rows):
+    lost = [math.log(sum(math.exp(x - max(l)) for x in l)) + max(l) - l[y] for l, y in rows if y != -100]
+    return (sum(lost) / len(lost), float(len(lost))) if lost else (0.0, None)
+
+
+def test_masked_cross_entropy(spark):
+    a = [([1.0, 2.0, -1.0], 0), ([0.5, 1000.0, 3.0], 1), ([9.0, 8.0, 7.0], -100), ([-1e4, 0.0, 1e4], 0)]
+    b = [([1.0, 2.0, 3.0], -100)]
+    rows = [("a", l, y) for l, y in a] + [("b", l, y) for l, y in b]
+    df = spark.createDataFrame(rows, "batch string, logits array<float>, label int")
+    found = {r["batch"]: (r["loss"], r["num_masked"]) for r in M.masked_cross_entropy(df, ["batch"]).collect()}
+    assert found["a"] == pytest.approx(brute_loss(a), rel=1e-6)
+    assert found["b"] == (0.0, None)
+    logprob = df.select("batch", "label", (-M.cross_entropy(F.col("logits"), F.greatest("label", F.lit(0)))).alias("logprob"))
+    again = {r["batch"]: (r["loss"], r["num_masked"]) for r in M.masked_cross_entropy(logprob, ["batch"]).collect()}
+    assert again["a"] == pytest.approx(found["a"]) and again["b"] == (0.0, None)
+
+
+def test_missing_logits(spark):
+    df = spark.createDataFrame([("a", None, 1)], "batch string, logits array<float>, label int")
+    with pytest.raises(Exception, match="Logits"):
+        M.masked_cross_entropy(df, ["batch"]).collect()
+    with pytest.raises(ValueError, match="logits"):
+        M.masked_cross_entropy(df.drop("logits"), ["batch"])

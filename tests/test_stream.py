@@ -1,0 +1,136 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.config import WindowConfig
+from corpusloom.operators import stream as S
+from corpusloom.operators.prefix import running_sums
+
+LENGTHS = [1, 700, 5, 900, 1, 1, 1, 64, 128, 3, 2000, 17, 40, 256]
+
+
+def expected_windows(total, length, offset=0, first_id=100):
+    stream = np.arange(first_id, first_id + total)
+    count = max(total - offset, 0) // length
+    return {i: stream[offset + i * length : offset + (i + 1) * length].tolist() for i in range(count)}
+
+
+def as_dict(df):
+    rows = df.collect()
+    found = {r["seq_idx"]: r["input_ids"] for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 12])
+@pytest.mark.parametrize("length,offset", [(512, 0), (512, 128), (64, 0), (7, 3), (1, 0), (2048, 1024), (5000, 0)])
+def test_windows(doc_tokens, bits, length, offset):
+    pieces = S.stream_offsets(doc_tokens(LENGTHS), bits=bits)
+    expected = expected_windows(sum(LENGTHS), length, offset)
+    assert as_dict(S.windows(pieces, length, offset)) == expected
+    assert as_dict(S.windows_from_chunks(pieces, length, offset)) == expected
+
+
+def test_windows_shorter_stream_than_window(doc_tokens):
+    pieces = S.stream_offsets(doc_tokens([3, 4]))
+    assert S.windows(pieces, 8).count() == 0
+    assert S.windows(pieces, 4, offset=7).count() == 0
+    assert S.windows(pieces, 4, offset=100).count() == 0
+
+
+def test_windows_of_nothing(doc_tokens):
+    pieces = S.stream_offsets(doc_tokens([1]).where("doc_id < 0"))
+    assert S.windows(pieces, 8).count() == 0
+    assert S.shard_pieces(pieces, 10, 0).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "16"])
+def test_partitions_do_not_matter(spark, doc_tokens, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        shuffled = doc_tokens(LENGTHS).repartition(int(partitions), F.hash("doc_id"))
+        found = as_dict(S.windows(S.stream_offsets(shuffled, bits=2), 100))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == expected_windows(sum(LENGTHS), 100)
+
+
+def test_interior_windows_need_one_token_shuffle(doc_tokens):
+    """Within a bucket windows are assembled without another exchange of tokens."""
+    pieces = S.stream_offsets(doc_tokens(LENGTHS))
+    plan = S.windows(pieces, 64)._jdf.queryExecution().executedPlan().toString()
+    inside = plan[: plan.index("Project", plan.index("hashpartitioning(cell") - 1)] if "hashpartitioning(cell" in plan else plan
+    assert plan.count("hashpartitioning(cell") == 1
+    assert "hashpartitioning(bucket" in inside
+
+
+def test_running_sums_over_sparse_keys(spark):
+    """Keys spread over the whole BIGINT range, with a dense third of them: several levels of buckets."""
+    random.seed(3)
+    keys = sorted({random.randrange(-(2**62), 2**62) for _ in range(200)} | set(range(1000, 1100)))
+    values = {k: random.randrange(1, 9) for k in keys}
+    df = spark.createDataFrame(list(values.items()), "k bigint, v bigint")
+    found = {r["k"]: (r["before_v"], r["low_v"], r["high_v"]) for r in running_sums(df, "k", {"v": F.col("v")}, bits=4).collect()}
+    total = 0
+    for k in keys:
+        low = sum(v for q, v in values.items() if q >> 4 < k >> 4)
+        high = sum(v for q, v in values.items() if q >> 4 <= k >> 4)
+        assert found[k] == (total, low, high)
+        total += values[k]
+
+
+def test_running_sums_per_group(spark):
+    rows = [(g, k, g + k) for g in range(3) for k in range(0, 300, 7)]
+    df = spark.createDataFrame(rows, "g bigint, k bigint, v bigint")
+    for row in running_sums(df, "k", {"v": F.col("v")}, by=["g"], bits=3).collect():
+        assert row["before_v"] == sum(v for g, k, v in rows if g == row["g"] and k < row["k"])
+
+
+@pytest.mark.parametrize("size", [1, 64, 100, 500, 4120, 10000])
+def test_shards(doc_tokens, size):
+    lengths = [700, 5, 900, 1, 64, 2450]
+    total = sum(lengths)
+    pieces = S.stream_offsets(doc_tokens(lengths), bits=1)
+    rows = S.shard_pieces(pieces, size, total, val_shards=2, prefix="x").collect()
+    shards = {}
+    for r in sorted(rows, key=lambda r: (r["shard_index"], r["start"])):
+        tokens = shards.setdefault(r["shard_index"], [])
+        assert r["start"] == len(tokens)
+        tokens.extend(r["tokens"])
+        assert r["split"] == ("val" if r["shard_index"] < 2 else "train")
+        assert r["name"] == f"x_{r['split']}_{r['shard_index']:06d}.bin"
+        assert r["shard_tokens"] == min(size, total - r["shard_index"] * size)
+    stream = list(range(100, 100 + total))
+    assert [shards[i] for i in range(len(shards))] == [stream[i : i + size] for i in range(0, total, size)]
+
+
+def test_lookup(doc_tokens):
+    pieces = S.stream_offsets(doc_tokens(LENGTHS))
+    total = sum(LENGTHS)
+    expected = expected_windows(total, 64)
+    for i in (0, 11, len(expected) - 1):
+        assert as_dict(S.lookup_window(pieces, i, 64, total)) == {i: expected[i]}
+    for i in (-1, len(expected)):
+        with pytest.raises(IndexError):
+            S.lookup_window(pieces, i, 64, total)
+
+
+def test_document_cap(spark):
+    df = spark.createDataFrame([(i, "x") for i in (5, 3, 9, 1)], "doc_id bigint, text string")
+    assert [r[0] for r in S.first_documents(df, 2).orderBy("doc_id").collect()] == [1, 3]
+    assert S.first_documents(df, 0).count() == S.first_documents(df, None).count() == 4
+
+
+def test_window_config():
+    with pytest.raises(ValueError, match="max_seq_length"):
+        WindowConfig(0)
+    with pytest.raises(ValueError, match="sampling_strategy"):
+        WindowConfig(8, "random")
+    with pytest.raises(ValueError, match="num_offset_phases"):
+        WindowConfig(8, "epoch_offset", 0)
+    assert [WindowConfig(512, "epoch_offset", 4).offset(e) for e in range(6)] == [0, 128, 256, 384, 0, 128]
+    assert [WindowConfig(7, "epoch_offset", 3).offset(e) for e in range(4)] == [0, 2, 4, 0]
+    assert WindowConfig(512).offset(3) == 0
