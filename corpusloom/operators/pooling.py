@@ -14,6 +14,9 @@ MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 SALTS = 32
 
+# Bounds a task's memory: positions whose vectors are held at the same time.
+POSITIONS_AT_ONCE = 1 << 16
+
 
 def lookup_vectors(
     samples: DataFrame, vectors: DataFrame, key: str = "seq_idx", ids: str = "input_ids",
@@ -83,17 +86,69 @@ def mean_pool(states: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     return masked_mean_pool(states, key, vec, mask=None)
 
 
+def _gather_and_average(shipped, key: str, pad_id: int):
+    """Averages the vectors of each sequence's ids, a block of positions at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = shipped.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            kept = (ids != pad_id) & (ids >= 0) & (ids < len(known))
+            ids, row = ids[kept], row[kept]
+            there = known[ids]
+            ids, row = ids[there], row[there]
+            sums = np.zeros((batch.num_rows, table.shape[1]))
+            for at in range(0, len(ids), POSITIONS_AT_ONCE):
+                rows = row[at : at + POSITIONS_AT_ONCE]
+                vecs = table[ids[at : at + POSITIONS_AT_ONCE]].astype(np.float64)
+                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                sums[rows[starts]] += np.add.reduceat(vecs, starts)
+            weights = np.maximum(np.bincount(row, minlength=batch.num_rows), 1e-9)
+            pooled = sums / weights[:, None]
+            offsets = pa.array(np.arange(batch.num_rows + 1) * table.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(pooled.ravel()))],
+                names=[key, "pooled"],
+            )
+
+    return run
+
+
 def embed_sequences(
-    samples: DataFrame, vectors: DataFrame, pad_id: int, key: str = "seq_idx", ids: str = "input_ids"
+    samples: DataFrame, vectors: DataFrame, pad_id: int, key: str = "seq_idx", ids: str = "input_ids",
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Default encoder: token vectors, looked up and averaged over the positions that aren't padding.
 
-    Of the padding only each sequence's first position is looked up, which keeps
-    a sequence of nothing but padding in the result.
+    Vectors that fit, as measured, are sent to the workers, and every sequence is
+    averaged where it lies. Larger ones are joined by position; of the padding
+    only each sequence's first position is then looked up, which keeps a
+    sequence of nothing but padding in the result.
     """
-    kept = F.concat(F.slice(ids, 1, 1), F.filter(F.slice(ids, 2, F.size(ids)), lambda x: x != pad_id))
-    states = lookup_vectors(samples.select(key, kept.alias(ids)), vectors, key, ids)
-    return masked_mean_pool(states.withColumn("mask", (F.col("token_id") != pad_id).cast("int")), key)
+    count, dims, top = vectors.agg(
+        F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.max("token_id"), F.lit(-1))
+    ).first()
+    if (top + 1) * dims * 4 > max_broadcast_bytes:
+        kept = F.concat(F.slice(ids, 1, 1), F.filter(F.slice(ids, 2, F.size(ids)), lambda x: x != pad_id))
+        states = lookup_vectors(samples.select(key, kept.alias(ids)), vectors, key, ids, max_broadcast_bytes)
+        return masked_mean_pool(states.withColumn("mask", (F.col("token_id") != pad_id).cast("int")), key)
+    rows = vectors.select("token_id", "vec").toArrow()
+    token_ids = rows["token_id"].to_numpy()
+    flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != count * dims:
+        raise ValueError("All vectors must have the same length")
+    table, known = np.zeros((top + 1, dims), np.float32), np.zeros(top + 1, bool)
+    table[token_ids], known[token_ids] = flat.reshape(count, dims), True
+    shipped = samples.sparkSession.sparkContext.broadcast((table, known))
+    key_type = samples.schema[key].dataType.simpleString()
+    return samples.select(key, ids).mapInArrow(
+        _gather_and_average(shipped, key, pad_id), f"{key} {key_type}, pooled array<double>"
+    )
 
 
 def encode_with(

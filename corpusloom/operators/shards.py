@@ -22,12 +22,16 @@ CHECKED_IDENTITY = ("vocab_size", "pad_id", "sep_id", "mask_id")
 MAX_SHIPPED_SHARDS = 1 << 22
 BLOCK_SHARDS = 1 << 11
 
+# Shard indexes are INT.
+MAX_INDEX = 1 << 31
+
 
 def shard_offsets(headers: DataFrame) -> DataFrame:
     """shards(split, shard_index, name, token_start, token_end, header): each split is one stream."""
     counted = headers.withColumn("shard_index", F.col("shard_index").cast("bigint"))
     placed = running_sums(
-        counted, "shard_index", {"n": F.col("header.token_count").cast("bigint")}, by=["split"], bits=12
+        counted, "shard_index", {"n": F.col("header.token_count").cast("bigint")}, by=["split"], bits=15,
+        buckets=MAX_INDEX >> 15,
     )
     start = F.col("before_n")
     return placed.select(
@@ -81,14 +85,16 @@ def open_shards(
 ) -> DataFrame:
     """The split's catalog, after all checks; raises FileNotFoundError or ValueError."""
     headers = read_headers(spark, folder, split, **options)
-    bad = inconsistent_headers(headers).orderBy("name").first()
-    if bad is not None:
-        raise ValueError(f"Shard {bad['name']} has inconsistent {bad['field']}: {bad['value']} != {bad['expected']}")
-    if identity is not None:
-        bad = compare_identity(headers, identity).where("status = 'mismatch'").orderBy("name").first()
-        if bad is not None:
+    fields = [F.col(f"header.{f}").alias(f) for f in FORMAT_FIELDS]
+    formats = headers.groupBy(*fields).agg(F.min("name").alias("name")).orderBy("name").limit(2).collect()
+    if len(formats) > 1:
+        first, other = formats
+        field = next(f for f in FORMAT_FIELDS if first[f] != other[f])
+        raise ValueError(f"Shard {other['name']} has inconsistent {field}: {other[field]} != {first[field]}")
+    for field in CHECKED_IDENTITY if identity is not None and formats else ():
+        if formats[0][field] != getattr(identity, field):
             raise ValueError(
-                f"Vocabulary {bad['field']} ({bad['vocab_value']}) != shard header ({bad['header_value']})"
+                f"Vocabulary {field} ({getattr(identity, field)}) != shard header ({formats[0][field]})"
             )
     return shard_offsets(headers)
 

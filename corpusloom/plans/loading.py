@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.config import LoaderConfig, MaskConfig, SpanConfig, WindowConfig
+from corpusloom.config import SHARD_PREFIX, LoaderConfig, MaskConfig, SpanConfig, WindowConfig
 from corpusloom.functions.arrays import pad_to
 from corpusloom.operators.objectives import get_objective
 from corpusloom.operators.order import batches, permutation, rank_stripes, resume, sequential
-from corpusloom.operators.shards import open_shards, split_totals
-from corpusloom.sources.token_shards import read_headers, read_windows
+from corpusloom.operators.shards import open_shards
+from corpusloom.sources.token_shards import list_shards, read_windows
 
 
 def num_windows(total_tokens: int, config: WindowConfig, epoch: int = 0) -> int:
@@ -46,7 +46,7 @@ def training_batches(
     """
     window_config, loader = window_config or WindowConfig(), loader or LoaderConfig()
     open_shards(spark, folder, split, objective_config.identity, **options)
-    total = split_totals(read_headers(spark, folder, split, **options)).first()["total_tokens"]
+    total = sum(s.token_count for s in list_shards(folder, split, options.get("prefix", SHARD_PREFIX)))
     samples = read_windows(spark, folder, split, window_config, epoch, **options)
     order = sample_order(
         spark, num_windows(total, window_config, epoch), loader, seed, epoch, index, objective_config.hash_fn

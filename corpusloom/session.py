@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str = "8", app_name: str = "corpusloom", partitions: int = 8) -> SparkSession:
@@ -26,6 +28,18 @@ def local_session(cpus: str = "8", app_name: str = "corpusloom", partitions: int
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, which import it to run the data source."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom")
+    root, name = os.path.split(package)
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, name))
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the session names it.
 

@@ -47,10 +47,15 @@ from corpusloom.config import (
     TokenIdentity,
     WindowConfig,
 )
+from corpusloom.session import ship_package
 
 FORMAT = "token_shards"
 HEADER_FIELDS = ("magic", "version", "token_count", "vocab_size", "pad_id", "cls_id", "sep_id", "mask_id")
 
+# Tokens that one task reads: 128 MB as INT, less if there are cores to spare.
+MAX_PARTITION_TOKENS = 1 << 25
+MIN_PARTITION_TOKENS = 1 << 16
+
 SCHEMAS = {
     "headers": "split string, shard_index int, name string, path string, file_bytes bigint, header struct<"
     + ",".join(f"{f}:int" for f in HEADER_FIELDS)
@@ -144,7 +149,7 @@ class ShardReader(DataSourceReader):
         self.split = options.get("split")
         self.prefix = options.get("prefix", SHARD_PREFIX)
         self.chunk = int(options.get("chunkTokens", 1 << 16))
-        self.per_task = max(int(options.get("partitionTokens", 1 << 25)), 1)
+        self.per_task = max(int(options.get("partitionTokens", MAX_PARTITION_TOKENS)), 1)
         self.epoch = int(options.get("epoch", 0))
         self.check = options.get("validate", "true").lower() == "true"
         self.first = int(options["firstWindow"]) if "firstWindow" in options else None
@@ -367,6 +372,7 @@ class TokenShards(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(TokenShards)
 
 
@@ -409,7 +415,9 @@ def read_windows(
 
 def _read(spark: SparkSession, folder: str, mode: str, split: str | None, options: dict) -> DataFrame:
     register(spark)
-    list_shards(folder, split, options.get("prefix", SHARD_PREFIX))
+    total = sum(s.token_count for s in list_shards(folder, split, options.get("prefix", SHARD_PREFIX)))
+    per_core = -(-total // spark.sparkContext.defaultParallelism)
+    options.setdefault("partitionTokens", min(max(per_core, MIN_PARTITION_TOKENS), MAX_PARTITION_TOKENS))
     reader = spark.read.format(FORMAT).option("mode", mode).options(**options)
     if split is not None:
         reader = reader.option("split", split)

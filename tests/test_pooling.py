@@ -54,12 +54,17 @@ def test_lookup(spark, vectors, limit):
     assert all(r["vec"] == known[r["token_id"]] for r in found)
 
 
-def test_padding_does_not_change_the_vector(spark, vectors):
-    rows = [(0, [5, 6, 7, 8]), (1, [5, 6, 7, 8, 1, 1, 1, 1]), (2, [1, 1])]
+@pytest.mark.parametrize("limit", [P.MAX_BROADCAST_BYTES, 0])
+def test_embed_sequences(spark, vectors, limit, monkeypatch):
+    """Padding doesn't change a vector; both ways of looking vectors up agree."""
+    monkeypatch.setattr(P, "POSITIONS_AT_ONCE", 3)
+    known = {r["token_id"]: np.array(r["vec"]) for r in vectors.collect()}
+    rows = [(0, [5, 6, 7, 8]), (1, [5, 6, 7, 8, 1, 1, 1, 1]), (2, [1, 1]), (3, [4] * 7 + [9]), (4, [1, 3])]
     df = spark.createDataFrame(rows, "seq_idx bigint, input_ids array<int>")
-    found = pooled(P.embed_sequences(df, vectors, pad_id=1))
-    assert found[0] == pytest.approx(found[1])
-    assert found[2] == [0.0] * 4
+    found = pooled(P.embed_sequences(df, vectors, pad_id=1, max_broadcast_bytes=limit))
+    for key, ids in rows:
+        used = [known[i] for i in ids if i != 1]
+        assert found[key] == pytest.approx(np.mean(used, axis=0).tolist() if used else [0.0] * 4)
 
 
 def test_users_encoder(spark):
