@@ -61,12 +61,14 @@ def bucket_sums(
 def running_sums(
     df: DataFrame, key: str, values: dict[str, Column], by: list[str] | None = None,
     bits: int = BUCKET_BITS, sums_from: DataFrame | None = None, buckets: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds per value v: ``before_<v>`` (sum over all smaller keys), ``low_<v>`` and ``high_<v>``
     (the same at both ends of the row's bucket), next to ``bucket``.
 
     Rows of one bucket end up in one partition. ``sums_from`` may name a
-    narrower table with the same keys to take the bucket sums from.
+    narrower table with the same keys to take the bucket sums from,
+    ``partitions`` the width of the shuffle by bucket.
     """
     by = by or []
     source = df if sums_from is None else sums_from
@@ -77,6 +79,8 @@ def running_sums(
         *[(F.col(f"before_{v}") + F.col(v)).alias(f"high_{v}") for v in values],
     )
     rows = df.withColumn("bucket", F.shiftright(key, bits))
+    if partitions:
+        rows = rows.repartition(partitions, *by, "bucket")
     rows = rows.select("*", *[_before(c, [*by, "bucket"], key).alias(f"in_{v}") for v, c in values.items()])
     joined = rows.join(bases, [*by, "bucket"])
     for v in values:

@@ -10,14 +10,17 @@ from corpusloom.functions.scalars import idiv, shard_name, split_label
 from corpusloom.operators.prefix import BUCKET_BITS, running_sums
 
 
-def stream_offsets(doc_tokens: DataFrame, key: str = "doc_id", bits: int = BUCKET_BITS) -> DataFrame:
+def stream_offsets(
+    doc_tokens: DataFrame, key: str = "doc_id", bits: int = BUCKET_BITS, partitions: int | None = None
+) -> DataFrame:
     """pieces(key, tokens, start, end, bucket, low, high).
 
     [start, end) is the document's place in the stream, [low, high) that of its
     bucket of neighbouring documents, which share a partition.
     """
     placed = running_sums(
-        doc_tokens, key, {"n": F.col("n").cast("bigint")}, bits=bits, sums_from=doc_tokens.select(key, "n")
+        doc_tokens, key, {"n": F.col("n").cast("bigint")}, bits=bits, sums_from=doc_tokens.select(key, "n"),
+        partitions=partitions,
     )
     return placed.select(
         key,
@@ -107,14 +110,25 @@ def windows_from_chunks(chunks: DataFrame, length: int, offset: int = 0, epoch:
     return whole.select(F.lit(epoch).alias("epoch"), F.col("cell").alias("seq_idx"), "input_ids")
 
 
-def lookup_window(pieces: DataFrame, seq_idx: int, length: int, total: int, offset: int = 0) -> DataFrame:
-    """One window by index; reads only the pieces that overlap it."""
+def lookup_window(
+    doc_tokens: DataFrame, seq_idx: int, length: int, total: int, offset: int = 0, key: str = "doc_id"
+) -> DataFrame:
+    """One window by index, without moving tokens.
+
+    Places come from the lengths alone; the at most ``length`` documents that the
+    window touches are neighbours, so their range of keys is pushed into the scan.
+    """
     count = max(total - offset, 0) // length
     if not 0 <= seq_idx < count:
         raise IndexError(f"Index {seq_idx} out of range [0, {count})")
     begin = offset + seq_idx * length
-    touched = pieces.where((F.col("start") < begin + length) & (F.col("end") > begin))
-    return windows_from_chunks(touched, length, offset).where(F.col("seq_idx") == seq_idx)
+    places = running_sums(doc_tokens.select(key, "n"), key, {"n": F.col("n").cast("bigint")})
+    overlaps = (F.col("before_n") < begin + length) & (F.col("before_n") + F.col("n") > begin)
+    touched = places.where(overlaps).select(key, F.col("before_n").alias("start")).collect()
+    near = doc_tokens.where(F.col(key).between(min(r[key] for r in touched), max(r[key] for r in touched)))
+    starts = doc_tokens.sparkSession.createDataFrame(touched, f"{key} bigint, start bigint")
+    pieces = near.join(F.broadcast(starts), key).select("start", "tokens")
+    return windows_from_chunks(pieces, length, offset).where(F.col("seq_idx") == seq_idx)
 
 
 def shard_pieces(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +27,14 @@ def token_strings(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def _id_lookup(vocab, sep_id: int, unk_id: int):
+def _encoder(vocab, sep_id: int, unk_id: int):
+    """Splits and looks up in one pass: the lookup needs Python, and text is less to send there than tokens."""
+
     @F.arrow_udf(ArrayType(IntegerType()))
-    def encode(tokens: pa.Array) -> pa.Array:
-        words, ids = vocab.value
-        offsets = tokens.offsets.to_numpy().astype(np.int64)
-        flat = tokens.flatten().cast(pa.string())
-        found = pc.index_in(flat, value_set=words)
-        looked_up = np.where(
-            found.is_valid().to_numpy(zero_copy_only=False),
-            ids[pc.fill_null(found, 0).to_numpy()] if len(ids) else unk_id,
-            unk_id,
-        )
-        ends = offsets - offsets[0] + np.arange(len(offsets))
-        out = np.full(ends[-1], sep_id, np.int32)
-        is_word = np.ones(ends[-1], bool)
-        is_word[ends[1:] - 1] = False
-        out[is_word] = looked_up
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+    def encode(texts: pa.Array) -> pa.Array:
+        id_of, words = vocab.value.get, re.compile(TOKEN_PATTERN).findall
+        found = ([id_of(w, unk_id) for w in words(t or "")] for t in texts.to_pylist())
+        return pa.array([ids + [sep_id] for ids in found], pa.list_(pa.int32()))
 
     return encode
 
@@ -62,12 +51,9 @@ def tokenize(
     size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
     if size > max_broadcast_bytes:
         return tokenize_by_join(documents, vocab, key, text, sep_id, unk_id)
-    table = vocab.select("token", "token_id").toArrow()
-    shipped = documents.sparkSession.sparkContext.broadcast(
-        (table["token"].combine_chunks().cast(pa.string()), table["token_id"].to_numpy())
-    )
-    encode = _id_lookup(shipped, sep_id, unk_id)
-    tokens = documents.select(key, encode(token_strings(F.col(text))).alias("tokens"))
+    ids = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
+    encode = _encoder(documents.sparkSession.sparkContext.broadcast(ids), sep_id, unk_id)
+    tokens = documents.select(key, encode(F.col(text)).alias("tokens"))
     return tokens.select(key, "tokens", F.size("tokens").alias("n"))
 
 

@@ -10,6 +10,7 @@ from corpusloom.functions.arrays import pad_to
 from corpusloom.operators.objectives import get_objective
 from corpusloom.operators.order import batches, permutation, rank_stripes, resume, sequential
 from corpusloom.operators.shards import open_shards
+from corpusloom.session import shuffle_width
 from corpusloom.sources.token_shards import list_shards, read_windows
 
 
@@ -17,6 +18,18 @@ def num_windows(total_tokens: int, config: WindowConfig, epoch: int = 0) -> int:
     return max(total_tokens - config.offset(epoch), 0) // config.max_seq_length
 
 
+def shard_window(
+    spark: SparkSession, folder: str, split: str, config: WindowConfig, seq_idx: int, epoch: int = 0, **options
+) -> DataFrame:
+    """One window of a split by index; only its bytes are read."""
+    total = sum(s.token_count for s in list_shards(folder, split, options.get("prefix", SHARD_PREFIX)))
+    count = num_windows(total, config, epoch)
+    if not 0 <= seq_idx < count:
+        raise IndexError(f"Index {seq_idx} out of range [0, {count})")
+    one = {"firstWindow": seq_idx, "lastWindow": seq_idx + 1, **options}
+    return read_windows(spark, folder, split, config, epoch, **one)
+
+
 def sample_order(
     spark: SparkSession, num_samples: int, config: LoaderConfig, seed: int = 0, epoch: int = 0,
     index: int = 0, hash_fn: str = "xxhash64",
@@ -51,6 +64,9 @@ def training_batches(
     order = sample_order(
         spark, num_windows(total, window_config, epoch), loader, seed, epoch, index, objective_config.hash_fn
     )
+    width = shuffle_width(spark, total)
+    if width:
+        samples, order = samples.repartition(width, "seq_idx"), order.repartition(width, "seq_idx")
     placed = samples.drop("epoch").join(order, "seq_idx")
     placed = placed.select("rank", "batch_id", "pos_in_batch", "seq_idx", "input_ids")
     build = get_objective(objective)

@@ -252,6 +252,9 @@ def oracle_sql() -> dict[str, str]:
         "windows_from_shards": _window_rows(OFFSET, EPOCH, shift=val_tokens),
         "windows_across_chunks": _window_rows(0, 0, where=f"pos < {val_tokens}"),
         "window_lookup": _window_rows(0, 0, keep=f"seq_idx = (SELECT count(*) // {LENGTH} // 2 FROM stream)"),
+        "window_lookup_in_shards": _window_rows(
+            0, 0, where=f"pos < {val_tokens}", keep=f"seq_idx = {SHARD_SIZE // LENGTH}"
+        ),
         "seq_count": f"""{STREAM}
             SELECT epoch::INTEGER AS epoch, epoch % {PHASES} * {LENGTH} // {PHASES} AS "offset",
                    greatest(n - epoch % {PHASES} * {LENGTH} // {PHASES}, 0) // {LENGTH} AS num_sequences

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX, TokenIdentity
 from corpusloom.operators.stream import shard_pieces, stream_offsets
-from corpusloom.session import materialize
+from corpusloom.session import materialize, shuffle_width
 from corpusloom.sources.documents import scan_documents
 from corpusloom.sources.token_shards import write_shards
 
@@ -25,7 +25,10 @@ class Corpus:
     total_tokens: int
 
     def pieces(self, key: str = "doc_id") -> DataFrame:
-        return stream_offsets(self.doc_tokens, key)
+        return stream_offsets(self.doc_tokens, key, partitions=self.shuffle_width())
+
+    def shuffle_width(self) -> int | None:
+        return shuffle_width(self.doc_tokens.sparkSession, self.total_tokens)
 
     def num_shards(self, shard_size: int) -> int:
         return -(-self.total_tokens // shard_size)
@@ -48,5 +51,5 @@ def pretokenize(
         documents = scan_documents(spark, documents, max_docs)
     corpus = tokenize_corpus(documents, tokenizer)
     cut = shard_pieces(corpus.pieces(), shard_size, corpus.total_tokens, val_shards, prefix)
-    write_shards(cut, folder, identity, prefix)
+    write_shards(cut, folder, identity, prefix, partitions=corpus.shuffle_width())
     return corpus

@@ -93,7 +93,7 @@ class Tables:
     @cached_property
     def shard_folder(self) -> str:
         folder = new_path(self.spark, "shards")
-        TS.write_shards(self.shard_pieces(), folder, self.identity)
+        TS.write_shards(self.shard_pieces(), folder, self.identity, partitions=self.corpus.shuffle_width())
         return folder
 
     def headers(self) -> DataFrame:
@@ -237,7 +237,13 @@ def windows_across_chunks(t: Tables) -> DataFrame:
 
 
 def window_lookup(t: Tables) -> DataFrame:
-    return _windows(S.lookup_window(t.corpus.pieces(), t.num_windows() // 2, LENGTH, t.corpus.total_tokens))
+    total = t.corpus.total_tokens
+    return _windows(S.lookup_window(t.corpus.doc_tokens, t.num_windows() // 2, LENGTH, total))
+
+
+def window_lookup_in_shards(t: Tables) -> DataFrame:
+    found = loading.shard_window(t.spark, t.shard_folder, "val", WindowConfig(LENGTH), SHARD_SIZE // LENGTH)
+    return _windows(found)
 
 
 def seq_count(t: Tables) -> DataFrame:
@@ -529,7 +535,7 @@ ALL: tuple[Callable[[Tables], DataFrame], ...] = (
     document_scan, doc_cap, build_vocab, tokenize_docs, tokenize_turns, tokenize_joined, token_range_guard,
     stream_offsets, shard_cut, shard_names, shard_headers, split_totals, shard_offsets, asof_position,
     shard_roundtrip, header_consistency, vocab_check, windows_fixed, windows_epoch_offset, windows_from_shards,
-    windows_across_chunks, window_lookup, seq_count, epoch_permutation, resume_tail, rank_stripes_drop,
+    windows_across_chunks, window_lookup, window_lookup_in_shards, seq_count, epoch_permutation, resume_tail, rank_stripes_drop,
     rank_stripes_pad, batches_drop_last, loader_order, latest_state, pad_batches, padded_lengths, batch_assembly,
     attention_mask, special_mask, mlm_mask, electra_inputs, mask_counts, mlm_batches, span_budget, span_emit,
     span_sampling, span_corruption, target_padding, valid_labels, eval_summary, train_summary, running_loss,

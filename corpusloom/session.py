@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# 128 MB as INT.
+TOKENS_PER_TASK = 1 << 25
+
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -56,6 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def shuffle_width(spark: SparkSession, tokens: int) -> int | None:
+    """Partitions for a shuffle of so many tokens; None if the session's number is enough.
+
+    Adaptive execution merges small partitions but doesn't add any.
+    """
+    wanted = -(-tokens // TOKENS_PER_TASK)
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     app = spark.sparkContext.applicationId

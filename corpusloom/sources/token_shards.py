@@ -377,12 +377,14 @@ def register(spark: SparkSession) -> None:
 
 
 def write_shards(
-    shard_pieces: DataFrame, folder: str, identity: TokenIdentity, prefix: str = SHARD_PREFIX, mode: str = "append"
+    shard_pieces: DataFrame, folder: str, identity: TokenIdentity, prefix: str = SHARD_PREFIX, mode: str = "append",
+    partitions: int | None = None,
 ) -> None:
     """Writes ``shard_pieces`` of ``operators.stream``, one file per shard, each by one task."""
     register(shard_pieces.sparkSession)
     placed = shard_pieces.select("shard_index", "name", "shard_tokens", "start", "tokens")
-    placed = placed.repartition("shard_index").sortWithinPartitions("shard_index", "start")
+    width = [partitions] if partitions else []
+    placed = placed.repartition(*width, "shard_index").sortWithinPartitions("shard_index", "start")
     placed.write.format(FORMAT).mode(mode).options(
         prefix=prefix,
         vocab_size=identity.vocab_size,

@@ -4,6 +4,7 @@ import pytest
 from corpusloom.config import TokenIdentity, WindowConfig
 from corpusloom.operators import shards as H
 from corpusloom.operators import stream as S
+from corpusloom.plans import loading
 from corpusloom.sources import token_shards as TS
 
 
@@ -47,6 +48,17 @@ def test_window_range(spark, unaligned):
     assert found == {i: w for i, w in expected(stream, 100).items() if 3 <= i < 9}
 
 
+def test_lookup(spark, unaligned):
+    folder, stream = unaligned
+    config = WindowConfig(100, "epoch_offset")
+    for i in (0, 6, 7, 14):
+        row = loading.shard_window(spark, str(folder), "train", config, i, epoch=2).collect()
+        assert [(r["seq_idx"], r["input_ids"]) for r in row] == [(i, expected(stream, 100, 50)[i])]
+    for i in (-1, 15):
+        with pytest.raises(IndexError):
+            loading.shard_window(spark, str(folder), "train", config, i, epoch=2)
+
+
 def test_windows_longer_than_stream(spark, unaligned):
     assert windows(spark, unaligned[0], 5000) == {}
 

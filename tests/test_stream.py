@@ -107,15 +107,15 @@ def test_shards(doc_tokens, size):
     assert [shards[i] for i in range(len(shards))] == [stream[i : i + size] for i in range(0, total, size)]
 
 
-def test_lookup(doc_tokens):
-    pieces = S.stream_offsets(doc_tokens(LENGTHS))
-    total = sum(LENGTHS)
-    expected = expected_windows(total, 64)
+@pytest.mark.parametrize("offset", [0, 16])
+def test_lookup(doc_tokens, offset):
+    tokens, total = doc_tokens(LENGTHS), sum(LENGTHS)
+    expected = expected_windows(total, 64, offset)
     for i in (0, 11, len(expected) - 1):
-        assert as_dict(S.lookup_window(pieces, i, 64, total)) == {i: expected[i]}
+        assert as_dict(S.lookup_window(tokens, i, 64, total, offset)) == {i: expected[i]}
     for i in (-1, len(expected)):
         with pytest.raises(IndexError):
-            S.lookup_window(pieces, i, 64, total)
+            S.lookup_window(tokens, i, 64, total, offset)
 
 
 def test_document_cap(spark):
