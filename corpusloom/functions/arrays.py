@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.config import IGNORE_LABEL, MAX_TOKEN_ID, TokenIdentity
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def special_mask(ids: Column, identity: TokenIdentity) -> Column:
     return F.transform(ids, lambda x: x.isin(*identity.special_ids))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import IGNORE_LABEL, MaskConfig, SpanConfig
-from corpusloom.functions.arrays import attention_mask, label_mask
+from corpusloom.functions.arrays import attention_mask, label_mask, let
 from corpusloom.functions.draws import DRAW_RANGE, MASK, SPAN_GAP, SPAN_LENGTH, chosen, draw
 from corpusloom.functions.scalars import idiv
 from corpusloom.operators.batches import pad_batches
@@ -112,40 +112,47 @@ def span_lengths(budget: Column, seq_idx: Column, config: SpanConfig) -> Column:
     return F.aggregate(drawn, start, take, lambda acc: acc["taken"])
 
 
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda acc, x: acc + x)
+
+
 def place_spans(size: Column, lengths: Column, seq_idx: Column, config: SpanConfig) -> Column:
-    """Array of (start, len): a random gap before each span, until one doesn't fit."""
-    total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    fewer = F.slice(lengths, F.lit(1), F.greatest(F.lit(1), idiv(size, 3).cast("int")))
-    used = F.when(total >= size, fewer).otherwise(lengths)
-    room = size - F.aggregate(used, F.lit(0), lambda a, x: a + x)
-    widest = F.greatest(F.lit(1).cast("bigint"), idiv(room, F.size(used) + 1))
-    gaps = F.transform(
-        used,
-        lambda x, k: F.struct(
-            F.pmod(draw(config.hash_fn, SPAN_GAP, config.seed, config.epoch, seq_idx, k), widest)
-            .cast("int")
-            .alias("gap"),
-            x.alias("len"),
-        ),
-    )
+    """Array of (start, len): a random gap before each span, until one doesn't fit.
+
+    Spans that would cover the whole sequence are first cut to a third of its length in number.
+    """
     none = F.array().cast("array<struct<start:int,len:int>>")
 
-    def place(acc: Column, g: Column) -> Column:
+    def span(start: Column, length: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), length.cast("int").alias("len"))
+
+    def place(used: Column) -> Column:
+        room = size - _total(used)
+        placed = let(idiv(room, F.size(used) + 1), lambda widest: spread(used, widest))
+        return F.when(room > 0, placed).otherwise(F.array(span(F.lit(0), F.least(used[0], size))))
+
+    def spread(used: Column, widest: Column) -> Column:
+        def gap(k: Column) -> Column:
+            drawn = draw(config.hash_fn, SPAN_GAP, config.seed, config.epoch, seq_idx, k)
+            return F.pmod(drawn, F.greatest(F.lit(1).cast("bigint"), widest)).cast("int")
+
+        gaps = F.transform(used, lambda x, k: F.struct(gap(k).alias("gap"), x.alias("len")))
+        origin = F.struct(F.lit(0).alias("pos"), F.lit(True).alias("open"), none.alias("spans"))
+        return F.aggregate(gaps, origin, add, lambda acc: acc["spans"])
+
+    def add(acc: Column, g: Column) -> Column:
         start = acc["pos"] + g["gap"]
-        fits = acc["open"] & (start + g["len"] <= size)
-        span = F.struct(start.alias("start"), g["len"].alias("len"))
         more = F.struct(
             (start + g["len"]).alias("pos"),
             F.lit(True).alias("open"),
-            F.concat(acc["spans"], F.array(span)).alias("spans"),
+            F.concat(acc["spans"], F.array(span(start, g["len"]))).alias("spans"),
         )
         stop = F.struct(acc["pos"].alias("pos"), F.lit(False).alias("open"), acc["spans"].alias("spans"))
-        return F.when(fits, more).otherwise(stop)
+        return F.when(acc["open"] & (start + g["len"] <= size), more).otherwise(stop)
 
-    origin = F.struct(F.lit(0).alias("pos"), F.lit(True).alias("open"), none.alias("spans"))
-    placed = F.aggregate(gaps, origin, place, lambda acc: acc["spans"])
-    from_zero = F.array(F.struct(F.lit(0).alias("start"), F.least(F.get(lengths, F.lit(0)), size).alias("len")))
-    return F.when((size == 0) | (F.size(lengths) == 0), none).when(room <= 0, from_zero).otherwise(placed)
+    fewer = F.slice(lengths, F.lit(1), F.greatest(F.lit(1), idiv(size, 3).cast("int")))
+    used = F.when(_total(lengths) >= size, fewer).otherwise(lengths)
+    return F.when((size == 0) | (F.size(lengths) == 0), none).otherwise(let(used, place))
 
 
 def emit_spans(ids: Column, spans: Column, sentinel_start_id: int, num_sentinels: int) -> tuple[Column, Column]:

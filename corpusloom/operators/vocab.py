@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import FIRST_WORD_ID, MAX_TOKEN_ID, SPECIAL_COUNT, TokenIdentity
-from corpusloom.operators.tokenize import token_strings
+from corpusloom.operators.tokenize import TOKEN_PATTERN
 from corpusloom.session import materialize
 
 # Size of the reference vocabulary, special tokens included.
 DEFAULT_MAX_VOCAB = 50265
 
 
+def _word_counter():
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile(TOKEN_PATTERN).findall
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(words(text or ""))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                names=["token", "occurrences"],
+            )
+
+    return count
+
+
 def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(token, occurrences); counts are combined before the shuffle, so frequent tokens don't skew it."""
-    words = documents.select(F.explode(token_strings(F.col(text))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("occurrences"))
+    """(token, occurrences).
+
+    Tokens are counted per Arrow batch, so no row per token is made and a
+    frequent token doesn't skew the shuffle.
+    """
+    partial = documents.select(text).mapInArrow(_word_counter(), "token string, occurrences bigint")
+    return partial.groupBy("token").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def _enough(counts: DataFrame, wanted: int) -> int:
