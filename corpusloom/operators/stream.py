@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX
 from corpusloom.functions.scalars import idiv, shard_name, split_label
-from corpusloom.operators.prefix import BUCKET_BITS, running_sums
+from corpusloom.operators.prefix import BUCKET_BITS, bucket_count, bucket_sums, running_sums
+from corpusloom.session import materialize
+
+# About 24 MB of bucket ranges.
+MAX_BROADCAST_BUCKETS = 1 << 20
+
+# A bucket of documents must not be longer than a shard divided by this.
+SHARDS_PER_BUCKET = 4
 
 
 def stream_offsets(
@@ -131,6 +138,19 @@ def lookup_window(
     return windows_from_chunks(pieces, length, offset).where(F.col("seq_idx") == seq_idx)
 
 
+def _shard_columns(cell: Column, at: Column, part: Column, size: int, total: int, val_shards: int, prefix: str):
+    index = cell.cast("int")
+    split = split_label(index, val_shards)
+    return [
+        split.alias("split"),
+        index.alias("shard_index"),
+        shard_name(split, index, prefix).alias("name"),
+        F.least(F.lit(size).cast("bigint"), F.lit(total) - cell * size).alias("shard_tokens"),
+        (at - cell * size).alias("start"),
+        part.alias("tokens"),
+    ]
+
+
 def shard_pieces(
     pieces: DataFrame, shard_size: int, total: int, val_shards: int = 0, prefix: str = SHARD_PREFIX
 ) -> DataFrame:
@@ -144,16 +164,47 @@ def shard_pieces(
     start, end = F.col("start"), F.col("end")
     cells = _cells(idiv(start, shard_size), idiv(end - 1, shard_size))
     parts = pieces.select(F.inline(_cut(cells, start, end, F.col("tokens"), shard_size)))
-    index = F.col("cell").cast("int")
-    split = split_label(index, val_shards)
-    return parts.select(
-        split.alias("split"),
-        index.alias("shard_index"),
-        shard_name(split, index, prefix).alias("name"),
-        F.least(F.lit(shard_size).cast("bigint"), F.lit(total) - F.col("cell") * shard_size).alias("shard_tokens"),
-        (F.col("at") - F.col("cell") * shard_size).alias("start"),
-        F.col("part").alias("tokens"),
-    )
+    columns = _shard_columns(F.col("cell"), F.col("at"), F.col("part"), shard_size, total, val_shards, prefix)
+    return parts.select(*columns)
+
+
+def shards_in_one_shuffle(
+    doc_tokens: DataFrame, shard_size: int, total: int, val_shards: int = 0, prefix: str = SHARD_PREFIX,
+    key: str = "doc_id", partitions: int | None = None,
+) -> DataFrame | None:
+    """As ``shard_pieces``, already with each shard in one partition and in order.
+
+    The range of the stream that a bucket of documents fills follows from the
+    lengths alone, so a document can go straight to its bucket's shard and be
+    placed there. Documents of a bucket on a shard border go to both shards. That
+    pays if buckets are small next to shards and their table can be broadcast;
+    otherwise there is no result, and ``shard_pieces`` needs a second shuffle.
+    """
+    narrow, bits = doc_tokens.select(key, "n"), BUCKET_BITS
+    span = bucket_count(narrow, key, 0)
+    while span >> bits > MAX_BROADCAST_BUCKETS:
+        bits += 1
+    length = F.col("n").cast("bigint")
+    sums = bucket_sums(narrow, key, {"n": length}, bits=bits, buckets=(span >> bits) + 2)
+    low = F.col("before_n")
+    bases = materialize(sums.select("bucket", low.alias("low"), (low + F.col("n")).alias("high")), "buckets")
+    widest = bases.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+    if widest is None or widest * SHARDS_PER_BUCKET > shard_size:
+        return None
+    rows = doc_tokens.select(key, "tokens", "n", F.shiftright(key, bits).alias("bucket"))
+    rows = rows.join(F.broadcast(bases), "bucket")
+    cells = F.sequence(idiv(F.col("low"), shard_size), idiv(F.col("high") - 1, shard_size))
+    rows = rows.withColumn("cell", F.explode(cells))
+    width = [partitions] if partitions else []
+    rows = rows.repartition(*width, "cell")
+    frame = Window.partitionBy("cell", "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(length).over(frame), F.lit(0).cast("bigint"))
+    placed = rows.withColumn("start", F.col("low") + before)
+    start, cell = F.col("start"), F.col("cell")
+    begin, stop = F.greatest(start, cell * shard_size), F.least(start + length, (cell + 1) * shard_size)
+    part = F.slice("tokens", (begin - start + 1).cast("int"), (stop - begin).cast("int"))
+    inside = placed.where(begin < stop)
+    return inside.select(*_shard_columns(cell, begin, part, shard_size, total, val_shards, prefix))
 
 
 def first_documents(documents: DataFrame, max_docs: int | None, key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusloom.operators.tokenize import TOKEN_PATTERN
 from corpusloom.operators.vocab import DEFAULT_MAX_VOCAB
 from corpusloom.plans.queries import (
-    BATCH, CHUNK, EPOCH, LENGTH, MAX_DOCS, PHASES, SEED, SHARD_SIZE, VAL_SHARDS,
+    BATCH, CHUNK, EPOCH, LENGTH, LONG_SHARD, MAX_DOCS, PHASES, SEED, SHARD_SIZE, VAL_SHARDS,
 )
 
 OFFSET = EPOCH % PHASES * LENGTH // PHASES
@@ -231,6 +231,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, position, shard_index, position - token_start AS local_offset
             FROM starts ASOF JOIN catalog ON position >= token_start""",
         "shard_roundtrip": CHUNKS,
+        "shard_roundtrip_long": f"""{STREAM}
+            SELECT 'train' AS split, (pos // {LONG_SHARD})::INTEGER AS shard_index,
+                   pos % {LONG_SHARD} // {CHUNK} * {CHUNK} AS start, {_join("id", "pos")} AS tokens
+            FROM stream GROUP BY ALL""",
         "header_consistency": f"""{SHARDED},
             changed AS (SELECT name, split, shard_index, vocab_size + (shard_index % 3 = 2)::INTEGER AS vocab_size,
                                pad_id + (shard_index % 5 = 4)::INTEGER AS pad_id FROM headers),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX, TokenIdentity
-from corpusloom.operators.stream import shard_pieces, stream_offsets
+from corpusloom.operators.stream import shard_pieces, shards_in_one_shuffle, stream_offsets
 from corpusloom.session import materialize, shuffle_width
 from corpusloom.sources.documents import scan_documents
 from corpusloom.sources.token_shards import write_shards
@@ -50,6 +50,19 @@ def pretokenize(
     if isinstance(documents, str):
         documents = scan_documents(spark, documents, max_docs)
     corpus = tokenize_corpus(documents, tokenizer)
-    cut = shard_pieces(corpus.pieces(), shard_size, corpus.total_tokens, val_shards, prefix)
-    write_shards(cut, folder, identity, prefix, partitions=corpus.shuffle_width())
+    write_corpus(corpus, folder, identity, shard_size, val_shards, prefix)
     return corpus
+
+
+def write_corpus(
+    corpus: Corpus, folder: str, identity: TokenIdentity, shard_size: int = DEFAULT_SHARD_SIZE,
+    val_shards: int = 0, prefix: str = SHARD_PREFIX,
+) -> None:
+    """Writes the shards of tokenized documents, moving tokens once where shards are long enough, else twice."""
+    layout = (shard_size, corpus.total_tokens, val_shards, prefix)
+    width = corpus.shuffle_width()
+    placed = shards_in_one_shuffle(corpus.doc_tokens, *layout, partitions=width)
+    if placed is not None:
+        write_shards(placed, folder, identity, prefix, placed=True)
+    else:
+        write_shards(shard_pieces(corpus.pieces(), *layout), folder, identity, prefix, partitions=width)

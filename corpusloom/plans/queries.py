@@ -33,6 +33,7 @@ from corpusloom.streaming.packing import IncrementalPacker
 
 LENGTH = 128
 SHARD_SIZE = 50_000
+LONG_SHARD = 2_000_000
 VAL_SHARDS = 2
 CHUNK = 8192
 SEED, EPOCH = 7, 3
@@ -93,7 +94,7 @@ class Tables:
     @cached_property
     def shard_folder(self) -> str:
         folder = new_path(self.spark, "shards")
-        TS.write_shards(self.shard_pieces(), folder, self.identity, partitions=self.corpus.shuffle_width())
+        pretokenize.write_corpus(self.corpus, folder, self.identity, SHARD_SIZE, VAL_SHARDS)
         return folder
 
     def headers(self) -> DataFrame:
@@ -214,6 +215,17 @@ def _windows(windows: DataFrame) -> DataFrame:
     return windows.select("epoch", "seq_idx", text("input_ids").alias("input_ids"))
 
 
+def shard_roundtrip_long(t: Tables) -> DataFrame:
+    """Shards long enough for the plan that moves tokens once."""
+    folder = new_path(t.spark, "long-shards")
+    placed = S.shards_in_one_shuffle(t.corpus.doc_tokens, LONG_SHARD, t.corpus.total_tokens)
+    if placed is None:
+        raise ValueError(f"Buckets of documents are too long for shards of {LONG_SHARD} tokens")
+    TS.write_shards(placed, folder, t.identity, placed=True)
+    chunks = TS.read_tokens(t.spark, folder, chunkTokens=CHUNK)
+    return chunks.select("split", "shard_index", "start", text("tokens").alias("tokens"))
+
+
 def windows_fixed(t: Tables) -> DataFrame:
     return _windows(t.windows())
 
@@ -534,7 +546,7 @@ def incremental_packing(t: Tables) -> DataFrame:
 ALL: tuple[Callable[[Tables], DataFrame], ...] = (
     document_scan, doc_cap, build_vocab, tokenize_docs, tokenize_turns, tokenize_joined, token_range_guard,
     stream_offsets, shard_cut, shard_names, shard_headers, split_totals, shard_offsets, asof_position,
-    shard_roundtrip, header_consistency, vocab_check, windows_fixed, windows_epoch_offset, windows_from_shards,
+    shard_roundtrip, shard_roundtrip_long, header_consistency, vocab_check, windows_fixed, windows_epoch_offset, windows_from_shards,
     windows_across_chunks, window_lookup, window_lookup_in_shards, seq_count, epoch_permutation, resume_tail, rank_stripes_drop,
     rank_stripes_pad, batches_drop_last, loader_order, latest_state, pad_batches, padded_lengths, batch_assembly,
     attention_mask, special_mask, mlm_mask, electra_inputs, mask_counts, mlm_batches, span_budget, span_emit,

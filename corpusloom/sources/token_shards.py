@@ -378,14 +378,18 @@ def register(spark: SparkSession) -> None:
 
 def write_shards(
     shard_pieces: DataFrame, folder: str, identity: TokenIdentity, prefix: str = SHARD_PREFIX, mode: str = "append",
-    partitions: int | None = None,
+    partitions: int | None = None, placed: bool = False,
 ) -> None:
-    """Writes ``shard_pieces`` of ``operators.stream``, one file per shard, each by one task."""
+    """Writes ``shard_pieces`` of ``operators.stream``, one file per shard, each by one task.
+
+    ``placed`` says that each shard already is in one partition and in order.
+    """
     register(shard_pieces.sparkSession)
-    placed = shard_pieces.select("shard_index", "name", "shard_tokens", "start", "tokens")
-    width = [partitions] if partitions else []
-    placed = placed.repartition(*width, "shard_index").sortWithinPartitions("shard_index", "start")
-    placed.write.format(FORMAT).mode(mode).options(
+    rows = shard_pieces.select("shard_index", "name", "shard_tokens", "start", "tokens")
+    if not placed:
+        width = [partitions] if partitions else []
+        rows = rows.repartition(*width, "shard_index").sortWithinPartitions("shard_index", "start")
+    rows.write.format(FORMAT).mode(mode).options(
         prefix=prefix,
         vocab_size=identity.vocab_size,
         pad_id=identity.pad_id,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import session
 from corpusloom.config import LoaderConfig, SpanConfig, WindowConfig, electra_config, mlm_config
+from corpusloom.operators import stream as S
 from corpusloom.operators import vocab as V
 from corpusloom.operators.tokenize import tokenize
 from corpusloom.plans import loading, pretokenize
@@ -47,6 +48,15 @@ def test_pretokenize(spark, corpus):
     assert [s.split for s in TS.list_shards(folder)].count("val") == 1
 
 
+def test_both_ways_of_writing_shards(spark, corpus, tmp_path):
+    made, _, identity = corpus
+    folder = str(tmp_path / "one")
+    assert S.shards_in_one_shuffle(made.doc_tokens, 50 * SHARD, made.total_tokens) is not None
+    pretokenize.write_corpus(made, folder, identity, 50 * SHARD)
+    stream = [t for r in made.doc_tokens.orderBy("doc_id").collect() for t in r["tokens"]]
+    assert tokens_in(spark, folder) == stream
+
+
 def test_max_docs(spark, vocab, tmp_path):
     made = pretokenize.pretokenize(
         spark, f"{SMALL}/documents.parquet", str(tmp_path), lambda d: tokenize(d, vocab), V.identity_of(vocab),

@@ -107,6 +107,35 @@ def test_shards(doc_tokens, size):
     assert [shards[i] for i in range(len(shards))] == [stream[i : i + size] for i in range(0, total, size)]
 
 
+@pytest.mark.parametrize("size", [1400, 2000, 4119, 4120, 10000])
+@pytest.mark.parametrize("buckets", [1 << 20, 3])
+def test_shards_in_one_shuffle(spark, doc_tokens, monkeypatch, size, buckets):
+    """The same parts, each shard whole and in order in its partition."""
+    monkeypatch.setattr(S, "BUCKET_BITS", 1)
+    monkeypatch.setattr(S, "MAX_BROADCAST_BUCKETS", buckets)
+    lengths = [100, 20, 1, 300, 99, 250, 7, 64] * 4 + [756]
+    total = sum(lengths)
+    tokens = doc_tokens(lengths).repartition(5)
+    placed = S.shards_in_one_shuffle(tokens, size, total, 1, "x", partitions=3)
+    widest = max(sum(lengths[i : i + 2]) for i in range(0, len(lengths), 2))
+    if buckets == 1 << 20:
+        assert (placed is None) == (widest * S.SHARDS_PER_BUCKET > size)
+    if placed is None:
+        return
+    general = S.shard_pieces(S.stream_offsets(tokens, bits=1), size, total, 1, "x")
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, general.collect()))
+    by_task = {}
+    for r in placed.withColumn("task", F.spark_partition_id()).collect():
+        by_task.setdefault(r["shard_index"], []).append((r["task"], r["start"]))
+    for places in by_task.values():
+        assert len({task for task, _ in places}) == 1 and places == sorted(places)
+
+
+def test_long_documents_need_the_second_shuffle(doc_tokens):
+    assert S.shards_in_one_shuffle(doc_tokens([10, 5000, 10]), 1000, 5020) is None
+    assert S.shards_in_one_shuffle(doc_tokens([1]).where("doc_id < 0"), 1000, 0) is None
+
+
 @pytest.mark.parametrize("offset", [0, 16])
 def test_lookup(doc_tokens, offset):
     tokens, total = doc_tokens(LENGTHS), sum(LENGTHS)
