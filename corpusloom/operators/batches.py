@@ -40,7 +40,7 @@ def add_masks(samples: DataFrame, identity, ids: str = "input_ids") -> DataFrame
 
 def collate(samples: DataFrame, columns: list[str], by: list[str], order: str = "pos_in_batch") -> DataFrame:
     """One row per batch, each column an array over the batch's samples in order."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    rows = F.sort_array(F.collect_list(F.struct(order, *columns)))
     gathered = samples.groupBy(*by).agg(rows.alias("rows"))
     return gathered.select(*by, *[F.col(f"rows.{c}").alias(c) for c in columns])
 

@@ -13,29 +13,44 @@ from corpusloom.operators.prefix import bucket_sums
 
 KEY_BITS = 60
 ROWS_PER_BUCKET = 2**17
+SAMPLES_PER_BUCKET = 2**10
 
 
-def permutation(
-    spark: SparkSession, num_samples: int, seed: int, epoch: int, hash_fn: str = "xxhash64"
+def _keyed(samples: DataFrame, seed: int, epoch: int, hash_fn: str) -> DataFrame:
+    return samples.withColumn("key", sort_key(hash_fn, PERMUTE, seed + epoch, F.col("seq_idx")))
+
+
+def permute(
+    samples: DataFrame, num_samples: int, seed: int, epoch: int, hash_fn: str = "xxhash64",
+    rows_per_bucket: int | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """order(epoch, seq_idx, pos): a shuffle of 0..N-1 that seed + epoch decides.
+    """Adds ``pos`` to all samples 0..N-1, whatever else they carry: a shuffle that seed + epoch decides.
 
     Samples are ranked by a random key: the key's top bits split them into even
-    buckets, each of which is ranked in its own task.
+    buckets, each of which is ranked in its own task. So a sample moves once, and
+    then lies next to those with neighbouring positions.
     """
-    buckets = max(0, math.ceil(math.log2(max(num_samples, 1) / ROWS_PER_BUCKET)))
-    shift = KEY_BITS - buckets
-    samples = spark.range(num_samples).select(F.col("id").alias("seq_idx"))
-    keyed = samples.withColumn("key", sort_key(hash_fn, PERMUTE, seed + epoch, F.col("seq_idx")))
+    per_bucket = rows_per_bucket or SAMPLES_PER_BUCKET
+    bits = max(0, math.ceil(math.log2(max(num_samples, 1) / per_bucket)))
+    shift = KEY_BITS - bits
+    ids = samples.sparkSession.range(num_samples).select(F.col("id").alias("seq_idx"))
     bases = bucket_sums(
-        keyed, "key", {"rows": F.lit(1).cast("bigint")}, bits=shift, buckets=1 << buckets
+        _keyed(ids, seed, epoch, hash_fn), "key", {"rows": F.lit(1).cast("bigint")}, bits=shift, buckets=1 << bits
     ).select("bucket", "before_rows")
-    keyed = keyed.withColumn("bucket", F.shiftright("key", shift))
+    keyed = _keyed(samples, seed, epoch, hash_fn).withColumn("bucket", F.shiftright("key", shift))
+    if partitions:
+        keyed = keyed.repartition(partitions, "bucket")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "seq_idx")) - 1
-    ranked = keyed.withColumn("rank", rank).join(bases, "bucket")
-    return ranked.select(
-        F.lit(epoch).alias("epoch"), "seq_idx", (F.col("rank") + F.col("before_rows")).alias("pos")
-    )
+    ranked = keyed.withColumn("rank_in_bucket", rank).join(bases, "bucket")
+    return ranked.select(*samples.columns, (F.col("rank_in_bucket") + F.col("before_rows")).alias("pos"))
+
+
+def permutation(
+    spark: SparkSession, num_samples: int, seed: int, epoch: int, hash_fn: str = "xxhash64"
+) -> DataFrame:
+    """order(epoch, seq_idx, pos): the permutation alone."""
+    ids = spark.range(num_samples).select(F.lit(epoch).alias("epoch"), F.col("id").alias("seq_idx"))
+    return permute(ids, num_samples, seed, epoch, hash_fn, ROWS_PER_BUCKET)
 
 
 def sequential(spark: SparkSession, num_samples: int, epoch: int = 0) -> DataFrame:

@@ -78,7 +78,7 @@ def masked_mean_pool(states: DataFrame, key: str, vec: str = "vec", mask: str |
     dims = partial.select(key, "total", F.posexplode("sums").alias("dim", "value"))
     floor = F.lit(1e-9)
     pooled = dims.groupBy(key, "dim").agg((F.sum("value") / F.greatest(F.sum("total"), floor)).alias("value"))
-    gathered = pooled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("d"))
+    gathered = pooled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("d"))
     return gathered.select(key, F.col("d.value").alias("pooled"))
 
 

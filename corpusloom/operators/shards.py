@@ -146,7 +146,7 @@ def _locate_in_blocks(positions: DataFrame, filled: DataFrame, position: str) ->
     block = F.shiftright(F.col("shard_index").cast("bigint"), BLOCK_SHARDS.bit_length() - 1)
     entry = F.struct(F.col("token_start"), F.col("token_end"), F.col("shard_index"))
     blocks = filled.groupBy(block.alias("block")).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.sort_array(F.collect_list(entry)).alias("entries"),
         F.min("token_start").alias("block_start"),
         F.max("token_end").alias("block_end"),
     )

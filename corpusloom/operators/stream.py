@@ -68,7 +68,7 @@ def _after(position: Column, offset: int) -> Column:
 
 
 def _joined(parts: Column) -> Column:
-    return F.flatten(F.transform(F.array_sort(parts), lambda p: p["part"]))
+    return F.flatten(F.sort_array(parts)["part"])
 
 
 def _assemble(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -69,7 +69,7 @@ def tokenize_by_join(
     )
     known = words.join(salted.hint("shuffle_merge"), ["token", "salt"], "left")
     placed = F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("token_id", F.lit(unk_id)).alias("id")))
-    grouped = known.groupBy(key).agg(F.array_sort(F.collect_list(placed)).alias("placed"))
+    grouped = known.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("placed"))
     tokens = F.concat(F.transform("placed", lambda p: p["id"]), F.array(F.lit(sep_id)))
     return grouped.select(key, tokens.alias("tokens")).select(key, "tokens", F.size("tokens").alias("n"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import SHARD_PREFIX, LoaderConfig, MaskConfig, SpanConfig, WindowConfig
 from corpusloom.functions.arrays import pad_to
 from corpusloom.operators.objectives import get_objective
-from corpusloom.operators.order import batches, permutation, rank_stripes, resume, sequential
+from corpusloom.operators.order import batches, permutation, permute, rank_stripes, resume, sequential
 from corpusloom.operators.shards import open_shards
 from corpusloom.session import shuffle_width
 from corpusloom.sources.token_shards import list_shards, read_windows
@@ -30,21 +30,26 @@ def shard_window(
     return read_windows(spark, folder, split, config, epoch, **one)
 
 
+def arrange(samples: DataFrame, num_samples: int, config: LoaderConfig, index: int = 0) -> DataFrame:
+    """Adds rank, local_pos, batch_id and pos_in_batch to samples with ``pos``, from ``index`` on."""
+    left = resume(samples, index).withColumn("pos", F.col("pos") - index)
+    remaining = max(num_samples - index, 0)
+    world = config.world_size
+    striped = rank_stripes(left, remaining, world, config.drop_last and world > 1)
+    per_rank = remaining // world if config.drop_last else -(-remaining // world)
+    return batches(striped, per_rank, config.batch_size, config.drop_last, pos="local_pos")
+
+
 def sample_order(
     spark: SparkSession, num_samples: int, config: LoaderConfig, seed: int = 0, epoch: int = 0,
     index: int = 0, hash_fn: str = "xxhash64",
 ) -> DataFrame:
-    """(epoch, seq_idx, pos, rank, local_pos, batch_id, pos_in_batch) from ``index`` on."""
+    """(epoch, seq_idx, pos, rank, local_pos, batch_id, pos_in_batch) from ``index`` on, without the samples."""
     if config.shuffle:
         order = permutation(spark, num_samples, seed, epoch, hash_fn)
     else:
         order = sequential(spark, num_samples, epoch)
-    left = resume(order, index).withColumn("pos", F.col("pos") - index)
-    remaining = max(num_samples - index, 0)
-    world = config.world_size
-    striped = rank_stripes(left, remaining, world, config.drop_last and world > 1)
-    per_rank = remaining // world if config.drop_last else -(-remaining // world)
-    return batches(striped, per_rank, config.batch_size, config.drop_last, pos="local_pos")
+    return arrange(order, num_samples, config, index)
 
 
 def training_batches(
@@ -54,20 +59,21 @@ def training_batches(
 ) -> DataFrame:
     """One row per sample: rank, batch_id, pos_in_batch, seq_idx and the objective's columns.
 
-    Windows are read in place and joined with the order, which is the only
-    shuffle of tokens; span corruption pads per batch and needs a second one.
+    Windows are read in place and take their tokens along into the shuffled
+    order, which is the only time tokens move; span corruption pads per batch and
+    needs a second shuffle.
     """
     window_config, loader = window_config or WindowConfig(), loader or LoaderConfig()
     open_shards(spark, folder, split, objective_config.identity, **options)
     total = sum(s.token_count for s in list_shards(folder, split, options.get("prefix", SHARD_PREFIX)))
-    samples = read_windows(spark, folder, split, window_config, epoch, **options)
-    order = sample_order(
-        spark, num_windows(total, window_config, epoch), loader, seed, epoch, index, objective_config.hash_fn
-    )
-    width = shuffle_width(spark, total)
-    if width:
-        samples, order = samples.repartition(width, "seq_idx"), order.repartition(width, "seq_idx")
-    placed = samples.drop("epoch").join(order, "seq_idx")
+    count = num_windows(total, window_config, epoch)
+    samples = read_windows(spark, folder, split, window_config, epoch, **options).drop("epoch")
+    if loader.shuffle:
+        width = shuffle_width(spark, total)
+        samples = permute(samples, count, seed, epoch, objective_config.hash_fn, partitions=width)
+    else:
+        samples = samples.withColumn("pos", F.col("seq_idx"))
+    placed = arrange(samples, count, loader, index)
     placed = placed.select("rank", "batch_id", "pos_in_batch", "seq_idx", "input_ids")
     build = get_objective(objective)
     if isinstance(objective_config, SpanConfig):
@@ -78,8 +84,14 @@ def training_batches(
     return build(placed.withColumn("input_ids", padded), objective_config)
 
 
-def write_batches(samples: DataFrame, path: str) -> None:
-    """Parquet, one folder per rank, in batch order."""
-    ordered = samples.repartitionByRange("rank", "batch_id", "pos_in_batch")
-    ordered = ordered.sortWithinPartitions("rank", "batch_id", "pos_in_batch")
+def write_batches(samples: DataFrame, path: str, compact: bool = False) -> None:
+    """Parquet, one folder per rank, in batch order.
+
+    Samples lie in the order of their positions already, so each task writes a
+    stretch of batches for every rank. ``compact`` moves them once more, for
+    fewer and larger files where there are many ranks.
+    """
+    if compact:
+        samples = samples.repartitionByRange("rank", "batch_id", "pos_in_batch")
+    ordered = samples.sortWithinPartitions("rank", "batch_id", "pos_in_batch")
     ordered.write.partitionBy("rank").parquet(path)

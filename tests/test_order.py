@@ -22,6 +22,14 @@ def test_permutation(spark, n, hash_fn, monkeypatch):
     assert sequence(R.permutation(spark, n, 42, 0, hash_fn)) == whole
 
 
+def test_samples_take_their_columns_along(spark, monkeypatch):
+    monkeypatch.setattr(R, "SAMPLES_PER_BUCKET", 9)
+    samples = spark.range(100).selectExpr("id AS seq_idx", "array(id, 2 * id) AS input_ids").repartition(7)
+    found = R.permute(samples, 100, 42, 1, partitions=5)
+    assert sequence(found) == sequence(R.permutation(spark, 100, 42, 1))
+    assert all(r["input_ids"] == [r["seq_idx"], 2 * r["seq_idx"]] for r in found.collect())
+
+
 def test_permutation_depends_on_seed_plus_epoch(spark):
     first = sequence(R.permutation(spark, 50, 0, 1))
     assert first == sequence(R.permutation(spark, 50, 1, 0))

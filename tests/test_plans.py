@@ -87,7 +87,7 @@ def test_training_batches(spark, corpus, name, tmp_path):
     }[name]
     loader = LoaderConfig(8, world_size=2)
     found = loading.training_batches(spark, folder, "train", name, config, WindowConfig(100), loader, seed=3, epoch=1)
-    loading.write_batches(found, str(tmp_path / "b"))
+    loading.write_batches(found, str(tmp_path / "b"), compact=name == "electra")
     rows = spark.read.parquet(str(tmp_path / "b")).collect()
     total = sum(s.token_count for s in TS.list_shards(folder, "train"))
     per_rank = total // 100 // 2 // 8
@@ -100,6 +100,26 @@ def test_training_batches(spark, corpus, name, tmp_path):
         assert all(len(r["input_ids"]) == 104 for r in rows)
 
 
+def test_unshuffled_batches_move_nothing(spark, corpus):
+    _, folder, identity = corpus
+    loader = LoaderConfig(8, drop_last=False, shuffle=False)
+    found = loading.training_batches(spark, folder, "val", "mlm", mlm_config(identity), WindowConfig(100), loader)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    rows = found.collect()
+    assert all((r["batch_id"], r["pos_in_batch"]) == divmod(r["seq_idx"], 8) for r in rows)
+    assert len(rows) == SHARD // 100
+
+
+def test_tokens_move_once(spark, corpus):
+    _, folder, identity = corpus
+    found = loading.training_batches(spark, folder, "train", "mlm", mlm_config(identity), WindowConfig(100))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan token_shards") == 1
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert sum("Exchange hashpartitioning(bucket" in line for line in exchanges) <= 2
+
+
 def test_resumed_batches_equal_the_straight_run(spark, corpus):
     made, folder, identity = corpus
     args = (spark, folder, "train", "mlm", mlm_config(identity), WindowConfig(100), LoaderConfig(8))
