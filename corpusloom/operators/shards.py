@@ -59,7 +59,7 @@ def inconsistent_headers(headers: DataFrame) -> DataFrame:
         )
         for f in FORMAT_FIELDS
     ]
-    compared = headers.join(F.broadcast(first), "split").select("name", F.inline(F.array(*pairs)))
+    compared = headers.join(first, "split").select("name", F.inline(F.array(*pairs)))
     return compared.where("value != expected")
 
 

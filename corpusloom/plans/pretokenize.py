@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX, TokenIdentity
-from corpusloom.operators.stream import shard_pieces, shards_in_one_shuffle, stream_offsets
+from corpusloom.operators.stream import first_documents, shard_pieces, shards_in_one_shuffle, stream_offsets
 from corpusloom.session import materialize, shuffle_width
 from corpusloom.sources.documents import scan_documents
 from corpusloom.sources.token_shards import write_shards
@@ -49,6 +49,8 @@ def pretokenize(
     """Tokenizes documents and writes their shards; the first ``val_shards`` are for validation."""
     if isinstance(documents, str):
         documents = scan_documents(spark, documents, max_docs)
+    else:
+        documents = first_documents(documents, max_docs)
     corpus = tokenize_corpus(documents, tokenizer)
     write_corpus(corpus, folder, identity, shard_size, val_shards, prefix)
     return corpus

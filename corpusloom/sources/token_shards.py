@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +57,8 @@ HEADER_FIELDS = ("magic", "version", "token_count", "vocab_size", "pad_id", "cls
 MAX_PARTITION_TOKENS = 1 << 25
 MIN_PARTITION_TOKENS = 1 << 16
 
+COMMIT_THREADS = 32
+
 SCHEMAS = {
     "headers": "split string, shard_index int, name string, path string, file_bytes bigint, header struct<"
     + ",".join(f"{f}:int" for f in HEADER_FIELDS)
@@ -340,8 +343,12 @@ class ShardWriter(DataSourceArrowWriter):
         for info in fs.get_file_info(pafs.FileSelector(root)) if self.overwrite else []:
             if old.match(info.base_name) and info.base_name not in written:
                 fs.delete_file(info.path)
-        for name in names:
-            fs.move(f"{root}/{self.staging}/{name}", f"{root}/{name.rsplit('.', 1)[0]}")
+        with ThreadPoolExecutor(COMMIT_THREADS) as pool:
+            moves = [
+                pool.submit(fs.move, f"{root}/{self.staging}/{n}", f"{root}/{n.rsplit('.', 1)[0]}") for n in names
+            ]
+            for move in moves:
+                move.result()
         self._clean(fs, root)
 
     def abort(self, messages: list[WrittenShards | None]) -> None:

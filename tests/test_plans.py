@@ -63,6 +63,11 @@ def test_max_docs(spark, vocab, tmp_path):
         SHARD, max_docs=7,
     )
     assert sorted(r["doc_id"] for r in made.doc_tokens.collect()) == list(range(7))
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    again = pretokenize.pretokenize(
+        spark, documents, str(tmp_path / "again"), lambda d: tokenize(d, vocab), V.identity_of(vocab), SHARD, max_docs=7
+    )
+    assert again.total_tokens == made.total_tokens
 
 
 def test_corpus_paths():
