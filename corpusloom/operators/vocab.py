@@ -14,7 +14,7 @@ from corpusloom.config import FIRST_WORD_ID, MAX_TOKEN_ID, SPECIAL_COUNT, TokenI
 from corpusloom.operators.tokenize import TOKEN_PATTERN
 from corpusloom.session import materialize
 
-# Size of the reference vocabulary, special tokens included.
+# Fixed value: size of the RoBERTa vocabulary, special tokens included.
 DEFAULT_MAX_VOCAB = 50265
 
 

@@ -546,12 +546,13 @@ def incremental_packing(t: Tables) -> DataFrame:
 ALL: tuple[Callable[[Tables], DataFrame], ...] = (
     document_scan, doc_cap, build_vocab, tokenize_docs, tokenize_turns, tokenize_joined, token_range_guard,
     stream_offsets, shard_cut, shard_names, shard_headers, split_totals, shard_offsets, asof_position,
-    shard_roundtrip, shard_roundtrip_long, header_consistency, vocab_check, windows_fixed, windows_epoch_offset, windows_from_shards,
-    windows_across_chunks, window_lookup, window_lookup_in_shards, seq_count, epoch_permutation, resume_tail, rank_stripes_drop,
-    rank_stripes_pad, batches_drop_last, loader_order, latest_state, pad_batches, padded_lengths, batch_assembly,
-    attention_mask, special_mask, mlm_mask, electra_inputs, mask_counts, mlm_batches, span_budget, span_emit,
-    span_sampling, span_corruption, target_padding, valid_labels, eval_summary, train_summary, running_loss,
-    log_cadence, eval_cadence, masked_xent, token_vector_lookup, masked_mean_pool, mean_pool, incremental_packing,
+    shard_roundtrip, shard_roundtrip_long, header_consistency, vocab_check, windows_fixed, windows_epoch_offset,
+    windows_from_shards, windows_across_chunks, window_lookup, window_lookup_in_shards, seq_count,
+    epoch_permutation, resume_tail, rank_stripes_drop, rank_stripes_pad, batches_drop_last, loader_order,
+    latest_state, pad_batches, padded_lengths, batch_assembly, attention_mask, special_mask, mlm_mask,
+    electra_inputs, mask_counts, mlm_batches, span_budget, span_emit, span_sampling, span_corruption,
+    target_padding, valid_labels, eval_summary, train_summary, running_loss, log_cadence, eval_cadence, masked_xent,
+    token_vector_lookup, masked_mean_pool, mean_pool, incremental_packing,
 )
 
 

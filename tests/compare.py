@@ -67,7 +67,8 @@ def main() -> None:
             spent, found, problem = time.time() - begin, [], f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
         both = time.time() - begin
-        print(f"{'ok ' if problem is None else 'BAD'} {name} {len(found)} rows {spent:.1f}s / {both - spent:.1f}s {problem or ''}", flush=True)
+        verdict = "ok " if problem is None else "BAD"
+        print(f"{verdict} {name} {len(found)} rows {spent:.1f}s / {both - spent:.1f}s {problem or ''}", flush=True)
     print(f"{len(names) - bad} of {len(names)} equal")
 
 

@@ -94,7 +94,8 @@ def test_loader_order(spark, world, index, drop_last):
     n, size = 41, 4
     left = sequence(R.permutation(spark, n, 5, 1))[index:]
     config = LoaderConfig(size, drop_last=drop_last, world_size=world)
-    found = {(r["rank"], r["batch_id"], r["pos_in_batch"]): r["seq_idx"] for r in loading.sample_order(spark, n, config, 5, 1, index).collect()}
+    rows = loading.sample_order(spark, n, config, 5, 1, index).collect()
+    found = {(r["rank"], r["batch_id"], r["pos_in_batch"]): r["seq_idx"] for r in rows}
     even = len(left) // world * world if drop_last else -(-len(left) // world) * world
     if world > 1 or not drop_last:
         left = (left + left)[:even]
