@@ -34,10 +34,6 @@ def unit_draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def wide(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Shuffle partitions for so many rows: the session's number, or more when tasks would grow too large."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))

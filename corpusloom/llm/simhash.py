@@ -177,14 +177,19 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
+def _probes(partition: Partition) -> Column:
+    """A fingerprint's values in this partition: its own first, then those that it probes."""
+    own = F.col("fp").bitwiseAND(F.lit(_signed(partition.mask)))
+    flips = F.array(*[F.lit(_signed(x)).cast("long") for x in partition.flips()])
+    return F.posexplode(F.transform(flips, lambda x: own.bitwiseXOR(x)))
+
+
 def _cells(prints: DataFrame, partitions: list[Partition]) -> DataFrame:
     """``(part, cell, fp, own)``: every fingerprint under its own cells (``own``) and those it probes."""
     filed = []
     for k, partition in enumerate(partitions):
-        base = F.col("fp").bitwiseAND(F.lit(_signed(partition.mask)))
-        flips = F.array(*[F.lit(_signed(x)).cast("long") for x in partition.flips()])
-        probe = F.posexplode(F.transform(flips, lambda x, base=base: base.bitwiseXOR(x)))
-        filed.append(prints.select("fp", probe.alias("at", "cell")).select(F.lit(k).alias("part"), "cell", "fp", (F.col("at") == 0).alias("own")))
+        probes = prints.select("fp", _probes(partition).alias("at", "cell"))
+        filed.append(probes.select(F.lit(k).alias("part"), "cell", "fp", (F.col("at") == 0).alias("own")))
     cells = filed[0]
     for more in filed[1:]:
         cells = cells.unionByName(more)

@@ -1,0 +1,104 @@
+import re
+
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from corpusloom.llm import pii, queries
+
+TEXTS = [
+    (1, "Write to Anna.Lee9@mail.Corp.com or +1 (017) 555-7713, IP 97.51.17.173."),
+    (2, "anna.lee9@mail.corp.com paid with 4845 1684 1440 7329 and 4845168414407329"),
+    (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" of Mr. David Smith and Mrs Smith; MR Smith'),
+    (4, "господин Иван Петров и госпожа Анна Петров"),
+    (5, None),
+    (6, ""),
+    (7, "nothing here 1.2.3 and 12345"),
+    (None, "x@y.org"),
+    (8, "x@y.org"),
+    (8, "x@y.org"),
+]
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    return [(r["doc_id"], r["text"], r["pii_entities"]) for r in pii.replace_entities(docs).collect()]
+
+
+def test_every_row_once(replaced):
+    assert sorted(str(r[0]) for r in replaced) == sorted(str(t[0]) for t in TEXTS)
+    texts = {r[0]: r[1] for r in replaced}
+    assert texts[5] is None and texts[6] == "" and texts[7] == TEXTS[6][1]
+
+
+def test_types_and_formats_stay(replaced):
+    texts = {r[0]: r[1] for r in replaced}
+    assert re.fullmatch(r"Write to [A-Z][a-z]{3}\.[A-Z][a-z]{2}\d@[a-z]{4}\.example or \+1 \(\d{3}\) 555-\d{4}, IP 10\.\d+\.\d+\.\d+\.", texts[1]), texts[1]
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d@[a-z]{4}\.example paid with (\d{4} ){4}and \d{16}", texts[2]), texts[2]
+    assert re.search(r'token = "[0-9a-f]{40}"', texts[3])
+    assert "Anna" not in texts[1] and "04dbeb" not in texts[3]
+
+
+def test_coreference(replaced):
+    texts = {r[0]: r[1] for r in replaced}
+    mail = re.search(r"\S+@\S+", texts[1])[0].lower()
+    assert mail in texts[2]
+    cards = re.findall(r"(?:\d{4} ?){4}", texts[2])
+    assert len({re.sub(" ", "", c) for c in cards}) == 1
+    assert texts[None] == texts[8] != "x@y.org"
+
+
+def test_names_keep_gender_and_script(replaced):
+    texts = {r[0]: r[1] for r in replaced}
+    first, family, other = re.search(r"Mr\. (\S+) (\S+) and Mrs (\S+);", texts[3]).groups()
+    assert first in pii.GIVEN["m", "latin"] and first != "David"
+    assert family == other and family in pii.FAMILY["latin"]
+    he, his, she, hers = re.fullmatch(r"господин (\S+) (\S+) и госпожа (\S+) (\S+)", texts[4]).groups()
+    assert he in pii.GIVEN["m", "cyrillic"] and she in pii.GIVEN["f", "cyrillic"] and his == hers
+
+
+def test_surrogates_stay_distinct(spark):
+    """Far more entities than one-part surrogates, and surrogates that would be entities."""
+    rows = [("family-latin", f"name{i}") for i in range(150)] + [("email", f"{a}{b}@q.org") for a in "abcdef" for b in range(10)]
+    first = pii.surrogate(pii.KEY, "email", "a0@q.org", 0)
+    rows.append(("email", first))
+    made = pii.assign(spark.createDataFrame(rows, "kind string, value string")).collect()
+    assert len(made) == len(rows)
+    assert len({(r["kind"], r["surrogate"].lower()) for r in made}) == len(rows)
+    values = {r["value"] for r in made if r["kind"] == "email"}
+    assert not values & {r["surrogate"] for r in made if r["kind"] == "email"}
+
+
+def test_key_decides(spark):
+    entities = spark.createDataFrame([("secret", "ab12" * 10)], "kind string, value string")
+    a, b, again = (pii.assign(entities, k).first()["surrogate"] for k in (b"one", b"two", b"one"))
+    assert a == again != b
+
+
+def test_odd_rows(odd, odd_rows, empty, clashing):
+    docs = clashing(odd).drop("entities")
+    found = pii.replace_entities(docs)
+    assert found.columns == [*docs.columns, "pii_entities"]
+    rows = found.select("doc_id", "text", F.size("pii_entities").alias("n")).collect()
+    plain = sorted(str((r[0], r[1])) for r in odd_rows if not pii.find_entities(r[1]))
+    assert sorted(str((r["doc_id"], r["text"])) for r in rows if r["n"] is None or r["n"] < 0) == plain
+    assert len(rows) == len(odd_rows)
+    assert pii.replace_entities(empty).count() == 0
+
+
+def test_long_words_are_linear():
+    assert pii.find_entities("a" * 300_000 + " 1@") == []
+    assert pii.find_entities("1 " * 300_000 + "@") == []
+
+
+def test_query(spark, texts):
+    found = {r["doc_id"]: r for r in queries.op5_pii(spark, SMALL).collect()}
+    assert len(found) == len(texts)
+    personal = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|(?<!\d)\d{16}(?!\d)|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}")
+    for d, t, _ in texts:
+        originals = set(personal.findall(t))
+        assert not any(x in found[d]["text"] for x in originals)
+        assert (found[d]["n_entities"] > 0) == bool(originals)
+        if not originals:
+            assert found[d]["text"] == t
