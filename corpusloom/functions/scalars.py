@@ -40,26 +40,25 @@ def split_label(shard_index: Column, val_shards: int = 0) -> Column:
     return F.when(shard_index < val_shards, F.lit("val")).otherwise(F.lit("train"))
 
 
-@F.arrow_udf(StringType())
-def _step_line(step: pa.Array, loss: pa.Array, ppl: pa.Array) -> pa.Array:
-    rows = zip(step.to_pylist(), loss.to_pylist(), ppl.to_pylist())
-    return pa.array([f"step={s} loss={x:.4f} ppl={p:.2f}" for s, x, p in rows], pa.string())
+def _line(pattern: str, step: Column, loss: Column) -> Column:
+    """A log line; null without a step or a loss.
 
+    Python does the rounding: Java's formatter rounds the shortest decimal
+    form half up, so it differs on ties and beyond 17 digits.
+    """
 
-@F.arrow_udf(StringType())
-def _eval_line(step: pa.Array, loss: pa.Array, ppl: pa.Array) -> pa.Array:
-    rows = zip(step.to_pylist(), loss.to_pylist(), ppl.to_pylist())
-    return pa.array([f"[eval] step={s} eval_loss={x:.4f} ppl={p:.2f}" for s, x, p in rows], pa.string())
+    @F.arrow_udf(StringType())
+    def line(steps: pa.Array, losses: pa.Array, perplexities: pa.Array) -> pa.Array:
+        rows = zip(steps.to_pylist(), losses.to_pylist(), perplexities.to_pylist())
+        return pa.array([None if s is None or x is None else pattern % (s, x, p) for s, x, p in rows], pa.string())
 
+    return line(step, loss, perplexity(loss))
 
-def step_line(step: Column, loss: Column) -> Column:
-    """Log line of a training step.
 
-    Python does the rounding: Java's formatter rounds the shortest decimal
-    form half up, so it differs on ties and beyond 17 digits.
-    """
-    return _step_line(step, loss, perplexity(loss))
+def step_line(step: Column, loss: Column) -> Column:
+    """Log line of a training step."""
+    return _line("step=%d loss=%.4f ppl=%.2f", step, loss)
 
 
 def eval_line(step: Column, loss: Column) -> Column:
-    return _eval_line(step, loss, perplexity(loss))
+    return _line("[eval] step=%d eval_loss=%.4f ppl=%.2f", step, loss)

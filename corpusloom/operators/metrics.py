@@ -64,11 +64,16 @@ def due_steps(steps: DataFrame, every: int, step: str = "step") -> DataFrame:
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
-    """``logsumexp(logits) - logits[label]``, shifted by the maximum so that it can't overflow."""
+    """``logsumexp(logits) - logits[label]``, shifted by the maximum so that it can't overflow.
+
+    A label outside the logits is an error.
+    """
     values = logits.cast("array<double>")
     top = F.array_max(values)
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return top + F.log(total) - F.element_at(values, label + 1)
+    outside = F.raise_error(F.format_string("Label %s is outside the logits", label.cast("string"))).cast("double")
+    own = F.when((label >= 0) & (label < F.size(values)), F.get(values, label)).otherwise(outside)
+    return top + F.log(total) - own
 
 
 def masked_cross_entropy(predictions: DataFrame, by: list[str]) -> DataFrame:

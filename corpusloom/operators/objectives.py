@@ -8,36 +8,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from corpusloom.config import IGNORE_LABEL, MaskConfig, SpanConfig
-from corpusloom.functions.arrays import attention_mask, label_mask, let
+from corpusloom.functions.arrays import attention_mask, label_mask
 from corpusloom.functions.draws import DRAW_RANGE, MASK, SPAN_GAP, SPAN_LENGTH, chosen, draw
-from corpusloom.functions.scalars import idiv
 from corpusloom.operators.batches import pad_batches
 
-OBJECTIVES: dict[str, Callable[..., DataFrame]] = {}
-
-
-def objective(name: str):
-    """Registers ``fn(samples, config, by) -> samples`` under a name."""
-
-    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        if name in OBJECTIVES:
-            raise ValueError(f"Name '{name}' already registered in objectives")
-        OBJECTIVES[name] = fn
-        return fn
-
-    return add
-
-
-def get_objective(name: str) -> Callable[..., DataFrame]:
-    if name not in OBJECTIVES:
-        raise KeyError(f"Name '{name}' not found in objectives. Available: {list(OBJECTIVES)}")
-    return OBJECTIVES[name]
-
-
 def masked_labels(ids: Column, seq_idx: Column, config: MaskConfig) -> Column:
     """The original id at chosen positions, the ignored label elsewhere."""
     special = config.identity.special_ids
@@ -53,7 +34,6 @@ def _hide(ids: Column, labels: Column, mask_id: int) -> Column:
     return F.zip_with(ids, labels, lambda x, y: F.when(y == IGNORE_LABEL, x).otherwise(F.lit(mask_id)))
 
 
-@objective("mlm")
 def mlm(samples: DataFrame, config: MaskConfig, by: list[str] | None = None) -> DataFrame:
     """input_ids (chosen positions hidden), attention_mask, labels. ``by`` pads per batch first."""
     padded = _padded(samples, config, by)
@@ -64,7 +44,6 @@ def mlm(samples: DataFrame, config: MaskConfig, by: list[str] | None = None) ->
     return labelled.withColumn("input_ids", _hide(F.col("input_ids"), F.col("labels"), config.identity.mask_id))
 
 
-@objective("electra")
 def electra(samples: DataFrame, config: MaskConfig, by: list[str] | None = None) -> DataFrame:
     """input_ids, masked_input_ids, attention_mask, mlm_labels, is_masked."""
     padded = _padded(samples, config, by)
@@ -90,8 +69,8 @@ def span_budget(ids: Column, noise_density: float) -> Column:
     return (F.size(ids) * F.lit(float(noise_density))).cast("int")
 
 
-def span_lengths(budget: Column, seq_idx: Column, config: SpanConfig) -> Column:
-    """Geometric lengths, at least 1 each, whose sum is the budget; the last one is clipped."""
+def _draws(seq_idx: Column, budget: Column, config: SpanConfig) -> tuple[Column, Column]:
+    """Drawn span lengths and gap draws, as many as the budget has tokens."""
 
     def length(k: Column) -> Column:
         if config.mean_span_length <= 1.0:
@@ -100,59 +79,79 @@ def span_lengths(budget: Column, seq_idx: Column, config: SpanConfig) -> Column:
         failures = F.floor(F.log(1.0 - u) / F.lit(math.log(1.0 - 1.0 / config.mean_span_length)))
         return F.greatest(failures.cast("int"), F.lit(1))
 
-    none = F.array().cast("array<int>")
-    drawn = F.when(budget > 0, F.transform(F.sequence(F.lit(0), budget - 1), length)).otherwise(none)
+    def gap(k: Column) -> Column:
+        return draw(config.hash_fn, SPAN_GAP, config.seed, config.epoch, seq_idx, k)
 
-    def take(acc: Column, x: Column) -> Column:
-        taken = F.least(x, acc["left"])
-        more = F.struct((acc["left"] - taken).alias("left"), F.concat(acc["taken"], F.array(taken)).alias("taken"))
-        return F.when(acc["left"] > 0, more).otherwise(acc)
+    def each(value: Callable[[Column], Column], kind: str) -> Column:
+        none = F.array().cast(f"array<{kind}>")
+        return F.when(budget > 0, F.transform(F.sequence(F.lit(0), budget - 1), value)).otherwise(none)
 
-    start = F.struct(budget.alias("left"), none.alias("taken"))
-    return F.aggregate(drawn, start, take, lambda acc: acc["taken"])
+    return each(length, "int"), each(gap, "bigint")
 
 
-def _total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda acc, x: acc + x)
+def _before(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the earlier values of each row, for rows of these sizes laid end to end."""
+    sums = np.concatenate(([0], np.cumsum(values)))
+    firsts = np.cumsum(sizes) - sizes
+    return sums[:-1] - np.repeat(sums[firsts], sizes)
 
 
-def place_spans(size: Column, lengths: Column, seq_idx: Column, config: SpanConfig) -> Column:
-    """Array of (start, len): a random gap before each span, until one doesn't fit.
-
-    Spans that would cover the whole sequence are first cut to a third of its length in number.
-    """
-    none = F.array().cast("array<struct<start:int,len:int>>")
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
 
-    def span(start: Column, length: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), length.cast("int").alias("len"))
 
-    def place(used: Column) -> Column:
-        room = size - _total(used)
-        placed = let(idiv(room, F.size(used) + 1), lambda widest: spread(used, widest))
-        return F.when(room > 0, placed).otherwise(F.array(span(F.lit(0), F.least(used[0], size))))
+def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
 
-    def spread(used: Column, widest: Column) -> Column:
-        def gap(k: Column) -> Column:
-            drawn = draw(config.hash_fn, SPAN_GAP, config.seed, config.epoch, seq_idx, k)
-            return F.pmod(drawn, F.greatest(F.lit(1).cast("bigint"), widest)).cast("int")
 
-        gaps = F.transform(used, lambda x, k: F.struct(gap(k).alias("gap"), x.alias("len")))
-        origin = F.struct(F.lit(0).alias("pos"), F.lit(True).alias("open"), none.alias("spans"))
-        return F.aggregate(gaps, origin, add, lambda acc: acc["spans"])
+def place_batch(size: np.ndarray, budget: np.ndarray, drawn: np.ndarray, gaps: np.ndarray):
+    """Spans of a batch of sequences, in a few passes over flat arrays.
 
-    def add(acc: Column, g: Column) -> Column:
-        start = acc["pos"] + g["gap"]
-        more = F.struct(
-            (start + g["len"]).alias("pos"),
-            F.lit(True).alias("open"),
-            F.concat(acc["spans"], F.array(span(start, g["len"]))).alias("spans"),
-        )
-        stop = F.struct(acc["pos"].alias("pos"), F.lit(False).alias("open"), acc["spans"].alias("spans"))
-        return F.when(acc["open"] & (start + g["len"] <= size), more).otherwise(stop)
-
-    fewer = F.slice(lengths, F.lit(1), F.greatest(F.lit(1), idiv(size, 3).cast("int")))
-    used = F.when(_total(lengths) >= size, fewer).otherwise(lengths)
-    return F.when((size == 0) | (F.size(lengths) == 0), none).otherwise(let(used, place))
+    ``drawn`` and ``gaps`` hold ``budget`` values per row. Lengths add up to the
+    budget, the last one clipped. Each span follows a random gap, until one
+    doesn't fit; spans that would cover the whole sequence are first cut to a
+    third of its length in number, and where even these leave no room there is
+    one span from the start.
+    Returns (lengths, their number per row, starts, span lengths, their number per row).
+    """
+    budget = np.maximum(budget, 0)
+    left = np.repeat(budget, budget) - _before(drawn, budget)
+    row = np.repeat(np.arange(len(size)), budget)
+    taken = left > 0
+    lengths, row, gaps = np.minimum(drawn, left)[taken], row[taken], gaps[taken]
+    counts = np.bincount(row, minlength=len(size))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    most = np.where(_row_sums(lengths, counts) >= size, np.maximum(size // 3, 1), counts)
+    used = (place < most[row]) & (size[row] > 0)
+    in_use, row, gaps = lengths[used], row[used], gaps[used]
+    number = np.bincount(row, minlength=len(size))
+    room = size - _row_sums(in_use, number)
+    widest = np.maximum(room // (number + 1), 1)
+    steps = np.where(room[row] > 0, np.mod(gaps, widest[row]), 0)
+    start = _before(in_use + steps, number) + steps
+    first = np.arange(len(row)) == np.repeat(np.cumsum(number) - number, number)
+    crowded = room[row] <= 0
+    length = np.where(crowded, np.minimum(in_use, size[row]), in_use)
+    kept = np.where(crowded, first, start + length <= size[row])
+    return lengths, counts, start[kept], length[kept], np.bincount(row[kept], minlength=len(size))
+
+
+_SPAN = StructType([StructField("start", IntegerType()), StructField("len", IntegerType())])
+SPAN_COLUMNS = StructType(
+    [StructField("span_lengths", ArrayType(IntegerType())), StructField("spans", ArrayType(_SPAN))]
+)
+
+
+@F.arrow_udf(SPAN_COLUMNS)
+def _placed(size: pa.Array, drawn: pa.Array, gaps: pa.Array) -> pa.Array:
+    budget = np.diff(drawn.offsets.to_numpy()).astype(np.int64)
+    flat = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (drawn, gaps))
+    lengths, counts, start, length, number = place_batch(size.to_numpy().astype(np.int64), budget, *flat)
+    spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32())], ["start", "len"])
+    columns = [_lists(pa.array(lengths, pa.int32()), counts), _lists(spans, number)]
+    return pa.StructArray.from_arrays(columns, ["span_lengths", "spans"])
 
 
 def emit_spans(ids: Column, spans: Column, sentinel_start_id: int, num_sentinels: int) -> tuple[Column, Column]:
@@ -185,12 +184,14 @@ def emit_spans(ids: Column, spans: Column, sentinel_start_id: int, num_sentinels
 
 
 def sample_spans(samples: DataFrame, config: SpanConfig) -> DataFrame:
-    """Adds ``span_lengths`` and ``spans``."""
+    """Adds ``span_lengths`` and ``spans``.
+
+    Draws are column expressions, the same in any engine; what depends on those
+    before it is put together for a whole batch at once.
+    """
     budget = span_budget(F.col("input_ids"), config.noise_density)
-    drawn = samples.withColumn("span_lengths", span_lengths(budget, F.col("seq_idx"), config))
-    return drawn.withColumn(
-        "spans", place_spans(F.size("input_ids"), F.col("span_lengths"), F.col("seq_idx"), config)
-    )
+    found = samples.withColumn("placed", _placed(F.size("input_ids"), *_draws(F.col("seq_idx"), budget, config)))
+    return found.select(*samples.columns, "placed.span_lengths", "placed.spans")
 
 
 def replace_spans(samples: DataFrame, config: SpanConfig) -> DataFrame:
@@ -217,8 +218,18 @@ def pad_targets(samples: DataFrame, config: SpanConfig, by: list[str]) -> DataFr
     )
 
 
-@objective("span_corruption")
 def span_corruption(samples: DataFrame, config: SpanConfig, by: list[str] | None = None) -> DataFrame:
     """input_ids, attention_mask, labels, decoder_attention_mask."""
     corrupted = replace_spans(sample_spans(samples, config), config)
     return corrupted if by is None else pad_targets(corrupted, config, by)
+
+
+# What training plans can ask for: ``fn(samples, config, by) -> samples``.
+OBJECTIVES: dict[str, Callable[..., DataFrame]] = {"mlm": mlm, "electra": electra, "span_corruption": span_corruption}
+
+
+def build(name: str, samples: DataFrame, config: MaskConfig | SpanConfig, by: list[str] | None = None) -> DataFrame:
+    """Samples of the objective of that name."""
+    if name not in OBJECTIVES:
+        raise KeyError(f"{name!r} is no objective; there are {', '.join(sorted(OBJECTIVES))}")
+    return OBJECTIVES[name](samples, config, by)

@@ -18,24 +18,73 @@ SALTS = 32
 POSITIONS_AT_ONCE = 1 << 16
 
 
+def _measured(vectors: DataFrame) -> tuple[int, int, int]:
+    """(bytes as doubles, dimensions, largest id) of a vector table; refuses repeated ids and uneven lengths."""
+    row = vectors.agg(
+        F.count("*"),
+        F.count_distinct("token_id"),
+        F.coalesce(F.min(F.size("vec")), F.lit(0)),
+        F.coalesce(F.max(F.size("vec")), F.lit(0)),
+        F.coalesce(F.max("token_id"), F.lit(-1)),
+        F.coalesce(F.min("token_id"), F.lit(0)),
+    ).first()
+    count, distinct, shortest, dims, top, low = row
+    if count != distinct or low < 0:
+        raise ValueError("Token vectors need one row per id, and ids that aren't negative")
+    if shortest != dims:
+        raise ValueError("All vectors must have the same length")
+    return (top + 1) * (dims * 8 + 16), dims, top
+
+
+def _looked_up(at: DataFrame, vectors: DataFrame, key: str, size: int, max_broadcast_bytes: int) -> DataFrame:
+    """Adds ``vec`` to (key, pos, token_id); an id without a vector is an error."""
+    known = vectors.select("token_id", "vec", F.lit(True).alias("known"))
+    if size <= max_broadcast_bytes:
+        joined = at.join(F.broadcast(known), "token_id", "left")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at = at.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int"))
+        joined = at.join(salted.hint("shuffle_merge"), ["token_id", "salt"], "left")
+    kind = vectors.schema["vec"].dataType
+    unknown = F.raise_error(F.format_string("No vector for token %s", F.col("token_id").cast("string"))).cast(kind)
+    return joined.select(key, "pos", "token_id", F.when(F.col("known"), F.col("vec")).otherwise(unknown).alias("vec"))
+
+
 def lookup_vectors(
     samples: DataFrame, vectors: DataFrame, key: str = "seq_idx", ids: str = "input_ids",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """(key, pos, token_id, vec) for every position; vectors are (token_id, vec).
+    """(key, pos, token_id, vec) for every position; vectors are (token_id, vec), one row per id.
 
-    The vectors are measured before they are broadcast. Larger ones are
-    joined with salted ids, since one token can be a third of all positions.
+    An id without a vector is an error. The vectors are measured before they
+    are broadcast. Larger ones are joined with salted ids, since one token can
+    be a third of all positions.
     """
     at = samples.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    size = vectors.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
-    if size <= max_broadcast_bytes:
-        joined = at.join(F.broadcast(vectors), "token_id")
-    else:
-        salted = vectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        at = at.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int"))
-        joined = at.join(salted.hint("shuffle_merge"), ["token_id", "salt"])
-    return joined.select(key, "pos", "token_id", "vec")
+    return _looked_up(at, vectors, key, _measured(vectors)[0], max_broadcast_bytes)
+
+
+def _summed(group: np.ndarray, groups: int, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group, 0 to ``groups`` - 1, that occurs."""
+    order = np.argsort(group, kind="stable")
+    ranked = group[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    sums = np.zeros((groups, values.shape[1]))
+    sums[ranked[starts]] = np.add.reduceat(values[order], starts)
+    return sums
+
+
+def _vectors_of(column: pa.Array, rows: int) -> np.ndarray:
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(set(sizes.tolist())) > 1:
+        raise ValueError("All vectors must have the same length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _batch(names: list[str], keys: pa.Array, sums: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+    return pa.RecordBatch.from_arrays([keys, lists, *map(pa.array, more)], names=names)
 
 
 def _partial_sums(key: str):
@@ -45,41 +94,66 @@ def _partial_sums(key: str):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vecs = batch.column("vec")
-            sizes = np.diff(vecs.offsets.to_numpy())
-            if len(set(sizes.tolist())) > 1:
-                raise ValueError("All vectors must have the same length")
-            values = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            values = _vectors_of(batch.column("vec"), batch.num_rows)
             weights = batch.column("weight").to_numpy(zero_copy_only=False)
-            encoded = batch.column(key).dictionary_encode()
+            encoded = batch.column(key).dictionary_encode(null_encoding="encode")
             group = encoded.indices.to_numpy()
-            sums = np.zeros((len(encoded.dictionary), values.shape[1]))
-            np.add.at(sums, group, values * weights[:, None])
+            sums = _summed(group, len(encoded.dictionary), values * weights[:, None])
             total = np.bincount(group, weights=weights, minlength=len(sums))
-            offsets = pa.array(np.arange(len(sums) + 1) * values.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [encoded.dictionary, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())), pa.array(total)],
-                names=[key, "sums", "total"],
-            )
+            yield _batch([key, "sums", "total"], encoded.dictionary, sums, total)
 
     return add
 
 
+def _merged_means(key: str):
+    """Means of partial sums that come sorted by key; a key may go on in the next batch."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_sum, open_total = None, None, 0.0
+
+        def mean(sums: np.ndarray, totals: np.ndarray) -> np.ndarray:
+            return sums / np.maximum(totals, 1e-9)[:, None]
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            encoded = batch.column(key).dictionary_encode(null_encoding="encode")
+            group, keys = encoded.indices.to_numpy(), encoded.dictionary
+            sums = _summed(group, len(keys), _vectors_of(batch.column("sums"), batch.num_rows))
+            totals = np.bincount(group, weights=batch.column("total").to_numpy(), minlength=len(keys))
+            if open_sum is not None:
+                if len(open_sum) != sums.shape[1]:
+                    raise ValueError("All vectors must have the same length")
+                if keys[0].as_py() == open_key:
+                    sums[0] += open_sum
+                    totals[0] += open_total
+                else:
+                    before = pa.array([open_key], keys.type)
+                    yield _batch([key, "pooled"], before, mean(open_sum[None], np.array([open_total])))
+            open_key, open_sum, open_total = keys[-1].as_py(), sums[-1], totals[-1]
+            kind = keys.type
+            if len(keys) > 1:
+                yield _batch([key, "pooled"], keys[:-1], mean(sums[:-1], totals[:-1]))
+        if open_sum is not None:
+            yield _batch([key, "pooled"], pa.array([open_key], kind), mean(open_sum[None], np.array([open_total])))
+
+    return merge
+
+
 def masked_mean_pool(states: DataFrame, key: str, vec: str = "vec", mask: str | None = "mask") -> DataFrame:
     """(key, pooled): sum of vec x mask over sum of mask; an all-zero mask gives zeros.
 
     Rows are (key, vec, mask), one per position; without ``mask`` it is the
-    plain mean. Partial sums make one frequent key harmless.
+    plain mean. Only partial sums are shuffled, as arrays, and merged in the
+    order of their keys: a frequent key is a few rows per task, a wide vector no
+    rows more.
     """
     weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")
     rows = states.select(key, F.col(vec).alias("vec"), weight.alias("weight"))
     key_type = states.schema[key].dataType.simpleString()
     partial = rows.mapInArrow(_partial_sums(key), f"{key} {key_type}, sums array<double>, total double")
-    dims = partial.select(key, "total", F.posexplode("sums").alias("dim", "value"))
-    floor = F.lit(1e-9)
-    pooled = dims.groupBy(key, "dim").agg((F.sum("value") / F.greatest(F.sum("total"), floor)).alias("value"))
-    gathered = pooled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("d"))
-    return gathered.select(key, F.col("d.value").alias("pooled"))
+    together = partial.repartition(key).sortWithinPartitions(key)
+    return together.mapInArrow(_merged_means(key), f"{key} {key_type}, pooled array<double>")
 
 
 def mean_pool(states: DataFrame, key: str, vec: str = "vec") -> DataFrame:
@@ -98,23 +172,19 @@ def _gather_and_average(shipped, key: str, pad_id: int):
             ends = lists.offsets.to_numpy().astype(np.int64)
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            kept = (ids != pad_id) & (ids >= 0) & (ids < len(known))
+            kept = ids != pad_id
             ids, row = ids[kept], row[kept]
-            there = known[ids]
-            ids, row = ids[there], row[there]
+            there = (ids >= 0) & (ids < len(known))
+            there[there] = known[ids[there]]
+            if not there.all():
+                raise ValueError(f"No vector for token {ids[~there][0]}")
             sums = np.zeros((batch.num_rows, table.shape[1]))
             for at in range(0, len(ids), POSITIONS_AT_ONCE):
                 rows = row[at : at + POSITIONS_AT_ONCE]
-                vecs = table[ids[at : at + POSITIONS_AT_ONCE]].astype(np.float64)
                 starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                sums[rows[starts]] += np.add.reduceat(vecs, starts)
+                sums[rows[starts]] += np.add.reduceat(table[ids[at : at + POSITIONS_AT_ONCE]], starts)
             weights = np.maximum(np.bincount(row, minlength=batch.num_rows), 1e-9)
-            pooled = sums / weights[:, None]
-            offsets = pa.array(np.arange(batch.num_rows + 1) * table.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(pooled.ravel()))],
-                names=[key, "pooled"],
-            )
+            yield _batch([key, "pooled"], batch.column(0), sums / weights[:, None])
 
     return run
 
@@ -125,25 +195,24 @@ def embed_sequences(
 ) -> DataFrame:
     """Default encoder: token vectors, looked up and averaged over the positions that aren't padding.
 
-    Vectors that fit, as measured, are sent to the workers, and every sequence is
-    averaged where it lies. Larger ones are joined by position; of the padding
-    only each sequence's first position is then looked up, which keeps a
-    sequence of nothing but padding in the result.
+    An id without a vector is an error; a sequence of nothing, or of nothing but
+    padding, gives zeros. Vectors that fit, as measured, are sent to the workers,
+    and every sequence is averaged where it lies. Larger ones are joined by
+    position, with the same results.
     """
-    count, dims, top = vectors.agg(
-        F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.max("token_id"), F.lit(-1))
-    ).first()
-    if (top + 1) * dims * 4 > max_broadcast_bytes:
-        kept = F.concat(F.slice(ids, 1, 1), F.filter(F.slice(ids, 2, F.size(ids)), lambda x: x != pad_id))
-        states = lookup_vectors(samples.select(key, kept.alias(ids)), vectors, key, ids, max_broadcast_bytes)
-        return masked_mean_pool(states.withColumn("mask", (F.col("token_id") != pad_id).cast("int")), key)
+    size, dims, top = _measured(vectors)
+    if size > max_broadcast_bytes:
+        kept = F.filter(ids, lambda x: x != pad_id)
+        at = samples.select(key, F.posexplode(kept).alias("pos", "token_id"))
+        pooled = mean_pool(_looked_up(at, vectors, key, size, max_broadcast_bytes), key)
+        zeros = F.array_repeat(F.lit(0.0), dims)
+        found = samples.select(key).join(pooled, key, "left")
+        return found.select(key, F.coalesce("pooled", zeros).alias("pooled"))
     rows = vectors.select("token_id", "vec").toArrow()
-    token_ids = rows["token_id"].to_numpy()
     flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    if len(flat) != count * dims:
-        raise ValueError("All vectors must have the same length")
-    table, known = np.zeros((top + 1, dims), np.float32), np.zeros(top + 1, bool)
-    table[token_ids], known[token_ids] = flat.reshape(count, dims), True
+    token_ids = rows["token_id"].to_numpy()
+    table, known = np.zeros((top + 1, dims)), np.zeros(top + 1, bool)
+    table[token_ids], known[token_ids] = flat.reshape(len(token_ids), dims), True
     shipped = samples.sparkSession.sparkContext.broadcast((table, known))
     key_type = samples.schema[key].dataType.simpleString()
     return samples.select(key, ids).mapInArrow(

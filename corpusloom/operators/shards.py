@@ -59,7 +59,8 @@ def inconsistent_headers(headers: DataFrame) -> DataFrame:
         )
         for f in FORMAT_FIELDS
     ]
-    compared = headers.join(first, "split").select("name", F.inline(F.array(*pairs)))
+    # One row per split.
+    compared = headers.join(F.broadcast(first), "split").select("name", F.inline(F.array(*pairs)))
     return compared.where("value != expected")
 
 
@@ -90,12 +91,10 @@ def open_shards(
     if len(formats) > 1:
         first, other = formats
         field = next(f for f in FORMAT_FIELDS if first[f] != other[f])
-        raise ValueError(f"Shard {other['name']} has inconsistent {field}: {other[field]} != {first[field]}")
+        raise ValueError(f"{field} isn't the same in all shards: {first['name']} has {first[field]}, {other['name']} {other[field]}")
     for field in CHECKED_IDENTITY if identity is not None and formats else ():
         if formats[0][field] != getattr(identity, field):
-            raise ValueError(
-                f"Vocabulary {field} ({getattr(identity, field)}) != shard header ({formats[0][field]})"
-            )
+            raise ValueError(f"The shards were made with {field} {formats[0][field]}, not {getattr(identity, field)}")
     return shard_offsets(headers)
 
 

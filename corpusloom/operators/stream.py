@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from corpusloom.config import SHARD_PREFIX
 from corpusloom.functions.scalars import idiv, shard_name, split_label
-from corpusloom.operators.prefix import BUCKET_BITS, bucket_count, bucket_sums, running_sums
+from corpusloom.operators.prefix import (
+    BUCKET_BITS,
+    before_in_bucket,
+    bucket_sums,
+    running_sums,
+)
 from corpusloom.session import materialize
 
-# About 24 MB of bucket ranges.
-MAX_BROADCAST_BUCKETS = 1 << 20
-
-# A bucket of documents must not be longer than a shard divided by this.
-SHARDS_PER_BUCKET = 4
-
-
 def stream_offsets(
     doc_tokens: DataFrame, key: str = "doc_id", bits: int = BUCKET_BITS, partitions: int | None = None
 ) -> DataFrame:
-    """pieces(key, tokens, start, end, bucket, low, high).
+    """pieces(key, tokens, start, end, bucket, low, high). Null or repeated keys are an error.
 
     [start, end) is the document's place in the stream, [low, high) that of its
     bucket of neighbouring documents, which share a partition.
     """
     placed = running_sums(
         doc_tokens, key, {"n": F.col("n").cast("bigint")}, bits=bits, sums_from=doc_tokens.select(key, "n"),
-        partitions=partitions,
+        partitions=partitions, unique=True,
     )
     return placed.select(
         key,
@@ -168,45 +169,84 @@ def shard_pieces(
     return parts.select(*columns)
 
 
+def _borders(narrow: DataFrame, key: str, shard_size: int) -> DataFrame:
+    """(cell, first, first_start, last): the first and last document of every shard, and where the first begins.
+
+    From the lengths alone: one row per shard, a few hundred thousand for the largest corpora.
+    """
+    places = running_sums(narrow, key, {"n": F.col("n").cast("bigint")}, unique=True)
+    start = F.col("before_n")
+    cells = _cells(idiv(start, shard_size), idiv(start + F.col("n") - 1, shard_size))
+    touched = places.where("n > 0").select(key, start.alias("start"), F.explode(cells).alias("cell"))
+    return touched.groupBy("cell").agg(
+        F.min(key).alias("first"), F.min("start").alias("first_start"), F.max(key).alias("last")
+    )
+
+
+def _cells_of(borders):
+    """The shards that a document touches: neighbours in the sorted table of borders."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def find(keys: pa.Array) -> pa.Array:
+        cells, first, last = borders.value
+        at = keys.to_numpy()
+        low, high = np.searchsorted(last, at, side="left"), np.searchsorted(first, at, side="right")
+        counts = np.maximum(high - low, 0)
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        places = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - low, counts)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells[places], pa.int64()))
+
+    return find
+
+
 def shards_in_one_shuffle(
     doc_tokens: DataFrame, shard_size: int, total: int, val_shards: int = 0, prefix: str = SHARD_PREFIX,
     key: str = "doc_id", partitions: int | None = None,
-) -> DataFrame | None:
+) -> DataFrame:
     """As ``shard_pieces``, already with each shard in one partition and in order.
 
-    The range of the stream that a bucket of documents fills follows from the
-    lengths alone, so a document can go straight to its bucket's shard and be
-    placed there. Documents of a bucket on a shard border go to both shards. That
-    pays if buckets are small next to shards and their table can be broadcast;
-    otherwise there is no result, and ``shard_pieces`` needs a second shuffle.
+    The shards' borders follow from the lengths alone; they are sent to all tasks
+    (a row per shard), so each document goes straight to the shard it lies in,
+    or to all it touches, and is placed there. Tokens move once, whatever the
+    keys, the documents' lengths and the size of shards.
     """
-    narrow, bits = doc_tokens.select(key, "n"), BUCKET_BITS
-    span = bucket_count(narrow, key, 0)
-    while span >> bits > MAX_BROADCAST_BUCKETS:
-        bits += 1
+    if shard_size < 1:
+        raise ValueError(f"shard_size must be >= 1, got {shard_size}")
+    spark = doc_tokens.sparkSession
+    borders = materialize(_borders(doc_tokens.select(key, "n"), key, shard_size), "shard-borders")
+    table = borders.orderBy("cell").toArrow()
+    cells, first, last = (table[c].to_numpy() for c in ("cell", "first", "last"))
+    shipped = spark.sparkContext.broadcast((cells, first, last))
     length = F.col("n").cast("bigint")
-    sums = bucket_sums(narrow, key, {"n": length}, bits=bits, buckets=(span >> bits) + 2)
-    low = F.col("before_n")
-    bases = materialize(sums.select("bucket", low.alias("low"), (low + F.col("n")).alias("high")), "buckets")
-    widest = bases.agg(F.max(F.col("high") - F.col("low"))).first()[0]
-    if widest is None or widest * SHARDS_PER_BUCKET > shard_size:
-        return None
-    rows = doc_tokens.select(key, "tokens", "n", F.shiftright(key, bits).alias("bucket"))
-    rows = rows.join(F.broadcast(bases), "bucket")
-    cells = F.sequence(idiv(F.col("low"), shard_size), idiv(F.col("high") - 1, shard_size))
-    rows = rows.withColumn("cell", F.explode(cells))
+    rows = doc_tokens.where("n > 0").select(key, "tokens", "n")
+    rows = rows.withColumn("cell", F.explode(_cells_of(shipped)(F.col(key))))
     width = [partitions] if partitions else []
     rows = rows.repartition(*width, "cell")
-    frame = Window.partitionBy("cell", "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(length).over(frame), F.lit(0).cast("bigint"))
-    placed = rows.withColumn("start", F.col("low") + before)
+    before = before_in_bucket(length, ["cell"], key)
+    starts = borders.select("cell", "first_start")
+    placed = rows.withColumn("before", before).join(F.broadcast(starts), "cell")
+    placed = placed.withColumn("start", F.col("first_start") + F.col("before"))
     start, cell = F.col("start"), F.col("cell")
     begin, stop = F.greatest(start, cell * shard_size), F.least(start + length, (cell + 1) * shard_size)
     part = F.slice("tokens", (begin - start + 1).cast("int"), (stop - begin).cast("int"))
-    inside = placed.where(begin < stop)
-    return inside.select(*_shard_columns(cell, begin, part, shard_size, total, val_shards, prefix))
+    return placed.select(*_shard_columns(cell, begin, part, shard_size, total, val_shards, prefix))
 
 
 def first_documents(documents: DataFrame, max_docs: int | None, key: str = "doc_id") -> DataFrame:
-    """The first ``max_docs`` documents in stream order; none or 0 keeps all."""
-    return documents.orderBy(key).limit(max_docs) if max_docs else documents
+    """The first ``max_docs`` documents in stream order; none or 0 keeps all.
+
+    Counts per range of keys give the range that holds the last document, and a
+    look at that range its key. So the cap is a filter on the key, which goes
+    into the scan, and no text moves.
+    """
+    if not max_docs:
+        return documents
+    keys = documents.select(key).where(F.col(key).isNotNull())
+    counted = bucket_sums(keys, key, {"rows": F.lit(1).cast("bigint")})
+    border = counted.where((F.col("before_rows") < max_docs) & (F.col("before_rows") + F.col("rows") >= max_docs)).first()
+    if border is None:
+        return documents
+    low = border["bucket"] << BUCKET_BITS
+    near = keys.where(F.col(key).between(low, low + (1 << BUCKET_BITS) - 1))
+    cut = near.orderBy(key).limit(max_docs - border["before_rows"]).agg(F.max(key)).first()[0]
+    return documents.where(F.col(key) <= cut)

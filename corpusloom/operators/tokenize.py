@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -11,15 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from corpusloom.config import SEP_ID, UNK_ID
+from corpusloom.config import MAX_TOKEN_ID, SEP_ID, UNK_ID
 from corpusloom.functions.arrays import bad_ids
 
 # A run of word characters, or any other single visible character.
 TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^ \t\n\rA-Za-z0-9_]"
 
-# A vocabulary larger than this is joined instead of sent to every worker.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
 SALTS = 32
 
 
@@ -39,37 +36,51 @@ def _encoder(vocab, sep_id: int, unk_id: int):
     return encode
 
 
+def tokenizer(
+    vocab: DataFrame, key: str = "doc_id", text: str = "text", sep_id: int = SEP_ID, unk_id: int = UNK_ID
+) -> Callable[[DataFrame], DataFrame]:
+    """``tokenize`` with a vocabulary that is sent to the workers once, for all tables it is called on."""
+    ids = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
+    if len(ids) > MAX_TOKEN_ID + 1:
+        raise ValueError(f"Token ids must fit in uint16, but the vocabulary has {len(ids)} tokens")
+    encode = _encoder(vocab.sparkSession.sparkContext.broadcast(ids), sep_id, unk_id)
+
+    def run(documents: DataFrame) -> DataFrame:
+        tokens = documents.select(key, encode(F.col(text)).alias("tokens"))
+        return tokens.select(key, "tokens", F.size("tokens").alias("n"))
+
+    return run
+
+
 def tokenize(
     documents: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
-    sep_id: int = SEP_ID, unk_id: int = UNK_ID, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    sep_id: int = SEP_ID, unk_id: int = UNK_ID,
 ) -> DataFrame:
-    """doc_tokens(key, tokens, n) with the word vocabulary.
+    """doc_tokens(key, tokens, n) with the word vocabulary, one row per document.
 
-    A vocabulary has fewer than 65,536 rows; its text is measured before it
-    is sent to the workers, and joined if it is too large for that.
+    A vocabulary has at most 65,536 rows, the bound of the shards' token ids, so
+    it is sent to the workers.
     """
-    size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
-    if size > max_broadcast_bytes:
-        return tokenize_by_join(documents, vocab, key, text, sep_id, unk_id)
-    ids = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
-    encode = _encoder(documents.sparkSession.sparkContext.broadcast(ids), sep_id, unk_id)
-    tokens = documents.select(key, encode(F.col(text)).alias("tokens"))
-    return tokens.select(key, "tokens", F.size("tokens").alias("n"))
+    return tokenizer(vocab, key, text, sep_id, unk_id)(documents)
 
 
 def tokenize_by_join(
     documents: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
     sep_id: int = SEP_ID, unk_id: int = UNK_ID,
 ) -> DataFrame:
-    """As ``tokenize``, with a shuffled lookup; salts spread tokens that are a large share of the text."""
-    words = documents.select(key, F.posexplode_outer(token_strings(F.col(text))).alias("at", "token"))
-    words = words.withColumn("salt", F.pmod(F.xxhash64(key, "at"), F.lit(SALTS)).cast("int"))
+    """As ``tokenize``, with a shuffled lookup; salts spread tokens that are a large share of the text.
+
+    Documents with the same key stay two rows.
+    """
+    numbered = documents.select(key, text, F.monotonically_increasing_id().alias("row"))
+    words = numbered.select(key, "row", F.posexplode_outer(token_strings(F.col(text))).alias("at", "token"))
+    words = words.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
     salted = vocab.select(
         "token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
     known = words.join(salted.hint("shuffle_merge"), ["token", "salt"], "left")
     placed = F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("token_id", F.lit(unk_id)).alias("id")))
-    grouped = known.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+    grouped = known.groupBy("row", key).agg(F.sort_array(F.collect_list(placed)).alias("placed"))
     tokens = F.concat(F.transform("placed", lambda p: p["id"]), F.array(F.lit(sep_id)))
     return grouped.select(key, tokens.alias("tokens")).select(key, "tokens", F.size("tokens").alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX, LoaderConfig, MaskConfig, SpanConfig, WindowConfig
 from corpusloom.functions.arrays import pad_to
-from corpusloom.operators.objectives import get_objective
+from corpusloom.operators.objectives import build
 from corpusloom.operators.order import batches, permutation, permute, rank_stripes, resume, sequential
 from corpusloom.operators.shards import open_shards
 from corpusloom.session import shuffle_width
@@ -75,21 +75,20 @@ def training_batches(
         samples = samples.withColumn("pos", F.col("seq_idx"))
     placed = arrange(samples, count, loader, index)
     placed = placed.select("rank", "batch_id", "pos_in_batch", "seq_idx", "input_ids")
-    build = get_objective(objective)
     if isinstance(objective_config, SpanConfig):
-        return build(placed, objective_config, by=["rank", "batch_id"])
+        return build(objective, placed, objective_config, by=["rank", "batch_id"])
     multiple = max(objective_config.pad_to_multiple_of, 1)
     length = -(-window_config.max_seq_length // multiple) * multiple
     padded = pad_to(F.col("input_ids"), F.lit(length), objective_config.identity.pad_id)
-    return build(placed.withColumn("input_ids", padded), objective_config)
+    return build(objective, placed.withColumn("input_ids", padded), objective_config)
 
 
-def write_batches(samples: DataFrame, path: str, compact: bool = False) -> None:
-    """Parquet, one folder per rank, in batch order.
+def write_batches(samples: DataFrame, path: str, compact: bool = True) -> None:
+    """Parquet, one folder per rank, in batch order within each file.
 
-    Samples lie in the order of their positions already, so each task writes a
-    stretch of batches for every rank. ``compact`` moves them once more, for
-    fewer and larger files where there are many ranks.
+    Samples move once more, so that a rank's batches are few and large files,
+    however many tasks and ranks there are. Without ``compact`` they stay where
+    they are: for few ranks, as every task then writes a file for each.
     """
     if compact:
         samples = samples.repartitionByRange("rank", "batch_id", "pos_in_batch")

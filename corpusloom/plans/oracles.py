@@ -75,6 +75,11 @@ perm AS (
   FROM (SELECT unnest(range((SELECT n FROM total))) AS seq_idx))
 """
 
+# The order with each window's first token.
+ORDERED = f"""{PERMUTED}, {_windows()},
+firsts AS (SELECT seq_idx, pos, id AS first_id FROM win JOIN perm USING (seq_idx) WHERE spot = 0)
+"""
+
 SHARDED = f"""{STREAM},
 sharded AS (
   SELECT (pos // {SHARD_SIZE})::INTEGER AS shard_index, pos % {SHARD_SIZE} AS spot, id, doc_id,
@@ -183,12 +188,12 @@ vectors AS (
 
 def _stripes(world: int, drop_last: bool) -> str:
     if drop_last:
-        source = f"SELECT seq_idx, pos FROM perm, total WHERE pos < n // {world} * {world}"
+        source = f"SELECT seq_idx, first_id, pos FROM firsts, total WHERE pos < n // {world} * {world}"
     else:
-        source = f"""SELECT seq_idx, unnest(range(pos, (n + {world - 1}) // {world} * {world}, n)) AS pos
-                     FROM perm, total"""
-    return f"""{PERMUTED}
-SELECT (pos % {world})::INTEGER AS rank, pos // {world} AS local_pos, seq_idx FROM ({source})"""
+        source = f"""SELECT seq_idx, first_id, unnest(range(pos, (n + {world - 1}) // {world} * {world}, n)) AS pos
+                     FROM firsts, total"""
+    return f"""{ORDERED}
+SELECT (pos % {world})::INTEGER AS rank, pos // {world} AS local_pos, seq_idx, first_id FROM ({source})"""
 
 
 def _tokens_of(table: str, keys: str) -> str:
@@ -196,6 +201,20 @@ def _tokens_of(table: str, keys: str) -> str:
 SELECT {keys}, count(*)::INTEGER AS n, {_join("id", "place")} AS tokens FROM ids GROUP BY ALL"""
 
 
+LOOKED_UP = f"""{STREAM}, {_windows()}, {VECTORS}
+SELECT seq_idx, spot::INTEGER AS pos, id AS token_id,
+       md5(array_to_string(list_transform(vec, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',')) AS vec_md5
+FROM win JOIN vectors ON token_id = id"""
+
+EMBEDDED = f"""{STREAM}, {VECTORS},
+used AS (SELECT doc_id, id, count(*) AS times FROM ids WHERE id <> 1 GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(times) AS n FROM used GROUP BY doc_id),
+flat AS (SELECT doc_id, times, unnest(vec)::DOUBLE AS v, generate_subscripts(vec, 1) AS d
+         FROM used JOIN vectors ON token_id = id)
+SELECT doc_id AS seq_idx, (d - 1)::INTEGER AS dim, round(sum(v * times) / any_value(n), 6) AS value
+FROM flat JOIN sizes USING (doc_id) GROUP BY doc_id, d"""
+
+
 def oracle_sql() -> dict[str, str]:
     val_tokens = f"{VAL_SHARDS * SHARD_SIZE}"
     return {
@@ -263,18 +282,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT epoch::INTEGER AS epoch, epoch % {PHASES} * {LENGTH} // {PHASES} AS "offset",
                    greatest(n - epoch % {PHASES} * {LENGTH} // {PHASES}, 0) // {LENGTH} AS num_sequences
             FROM (SELECT count(*) AS n FROM stream), (SELECT unnest(range(8)) AS epoch)""",
-        "epoch_permutation": f"{PERMUTED} SELECT {EPOCH}::INTEGER AS epoch, seq_idx, pos FROM perm",
-        "resume_tail": f"{PERMUTED} SELECT pos, seq_idx FROM perm, total WHERE pos >= n // 3",
+        "epoch_permutation": f"{ORDERED} SELECT {EPOCH}::INTEGER AS epoch, seq_idx, pos, first_id FROM firsts",
+        "resume_tail": f"{ORDERED} SELECT pos, seq_idx, first_id FROM firsts, total WHERE pos >= n // 3",
         "rank_stripes_drop": _stripes(3, True),
         "rank_stripes_pad": _stripes(7, False),
-        "batches_drop_last": f"""{PERMUTED}
-            SELECT pos // {BATCH} AS batch_id, (pos % {BATCH})::INTEGER AS pos_in_batch, seq_idx
-            FROM perm, total WHERE pos < n // {BATCH} * {BATCH}""",
-        "loader_order": f"""{PERMUTED},
-            rest AS (SELECT seq_idx, unnest(range(pos - 10, (n - 10 + 2) // 3 * 3, n - 10)) AS pos
-                     FROM perm, total WHERE pos >= 10)
+        "batches_drop_last": f"""{ORDERED}
+            SELECT pos // {BATCH} AS batch_id, (pos % {BATCH})::INTEGER AS pos_in_batch, seq_idx, first_id
+            FROM firsts, total WHERE pos < n // {BATCH} * {BATCH}""",
+        "loader_order": f"""{ORDERED},
+            rest AS (SELECT seq_idx, first_id, unnest(range(pos - 10, (n - 10 + 2) // 3 * 3, n - 10)) AS pos
+                     FROM firsts, total WHERE pos >= 10)
             SELECT (pos % 3)::INTEGER AS rank, pos // 3 // {BATCH} AS batch_id,
-                   (pos // 3 % {BATCH})::INTEGER AS pos_in_batch, seq_idx FROM rest""",
+                   (pos // 3 % {BATCH})::INTEGER AS pos_in_batch, seq_idx, first_id FROM rest""",
+        "state_resume": f"""{ORDERED},
+            newest AS (SELECT user_id AS run, max(event_id) AS step FROM events GROUP BY user_id)
+            SELECT run, pos AS index, n - pos AS num_left, seq_idx, first_id
+            FROM newest, total JOIN firsts ON pos = step % n""",
         "latest_state": """
             WITH named AS (
               SELECT user_id AS run, 'step_' || event_id || CASE WHEN event_type = 'error' THEN '.tmp' ELSE '.pt' END
@@ -389,16 +412,15 @@ def oracle_sql() -> dict[str, str]:
                 THEN m + ln(list_sum([exp(x - m) FOR x IN logits])) - logits[label + 1] END AS loss FROM top)
             SELECT batch, round(coalesce(avg(loss), 0), 6) AS loss,
                    nullif(count(loss), 0)::DOUBLE AS num_masked FROM lost GROUP BY batch""",
-        "token_vector_lookup": f"""{STREAM}, {_windows()}, {VECTORS}
-            SELECT seq_idx, spot::INTEGER AS pos, id AS token_id, vec[1] AS first_dim
-            FROM win JOIN vectors ON token_id = id""",
-        "masked_mean_pool": f"""{STREAM}, {VECTORS},
-            used AS (SELECT doc_id, id, count(*) AS times FROM ids WHERE id <> 1 GROUP BY ALL),
-            sizes AS (SELECT doc_id, sum(times) AS n FROM used GROUP BY doc_id),
-            flat AS (SELECT doc_id, times, unnest(vec)::DOUBLE AS v, generate_subscripts(vec, 1) AS d
-                     FROM used JOIN vectors ON token_id = id)
-            SELECT doc_id AS seq_idx, (d - 1)::INTEGER AS dim, round(sum(v * times) / any_value(n), 6) AS value
-            FROM flat JOIN sizes USING (doc_id) GROUP BY doc_id, d""",
+        "token_vector_lookup": LOOKED_UP,
+        "token_vector_lookup_joined": LOOKED_UP,
+        "masked_mean_pool": EMBEDDED,
+        "embed_joined": EMBEDDED,
+        "masked_mean_pool_states": """
+            SELECT label, (d - 1)::INTEGER AS dim,
+                   round(coalesce(sum(v::DOUBLE) FILTER (vec_id % 3 <> 0), 0) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS value
+            FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings)
+            GROUP BY label, d""",
         "mean_pool": """
             SELECT label, (d - 1)::INTEGER AS dim, round(avg(v::DOUBLE), 6) AS value
             FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX, TokenIdentity
-from corpusloom.operators.stream import first_documents, shard_pieces, shards_in_one_shuffle, stream_offsets
+from corpusloom.operators.stream import first_documents, shards_in_one_shuffle, stream_offsets
 from corpusloom.session import materialize, shuffle_width
 from corpusloom.sources.documents import scan_documents
-from corpusloom.sources.token_shards import write_shards
+from corpusloom.sources.token_shards import qualified, refuse_shards, write_shards
 
 DEFAULT_SHARD_SIZE = 100_000_000
 
@@ -44,27 +44,30 @@ def tokenize_corpus(documents: DataFrame, tokenizer: Callable[[DataFrame], DataF
 def pretokenize(
     spark: SparkSession, documents: DataFrame | str, folder: str, tokenizer: Callable[[DataFrame], DataFrame],
     identity: TokenIdentity, shard_size: int = DEFAULT_SHARD_SIZE, val_shards: int = 0,
-    max_docs: int | None = None, prefix: str = SHARD_PREFIX,
+    max_docs: int | None = None, prefix: str = SHARD_PREFIX, mode: str = "error",
 ) -> Corpus:
-    """Tokenizes documents and writes their shards; the first ``val_shards`` are for validation."""
+    """Tokenizes documents and writes their shards; the first ``val_shards`` are for validation.
+
+    A folder that holds shards already is refused before anything is computed,
+    unless ``mode`` is "overwrite", which leaves exactly the new ones.
+    """
+    if mode == "error":
+        refuse_shards(qualified(spark, folder), prefix)
     if isinstance(documents, str):
         documents = scan_documents(spark, documents, max_docs)
     else:
         documents = first_documents(documents, max_docs)
     corpus = tokenize_corpus(documents, tokenizer)
-    write_corpus(corpus, folder, identity, shard_size, val_shards, prefix)
+    write_corpus(corpus, folder, identity, shard_size, val_shards, prefix, mode)
     return corpus
 
 
 def write_corpus(
     corpus: Corpus, folder: str, identity: TokenIdentity, shard_size: int = DEFAULT_SHARD_SIZE,
-    val_shards: int = 0, prefix: str = SHARD_PREFIX,
+    val_shards: int = 0, prefix: str = SHARD_PREFIX, mode: str = "error",
 ) -> None:
-    """Writes the shards of tokenized documents, moving tokens once where shards are long enough, else twice."""
-    layout = (shard_size, corpus.total_tokens, val_shards, prefix)
-    width = corpus.shuffle_width()
-    placed = shards_in_one_shuffle(corpus.doc_tokens, *layout, partitions=width)
-    if placed is not None:
-        write_shards(placed, folder, identity, prefix, placed=True)
-    else:
-        write_shards(shard_pieces(corpus.pieces(), *layout), folder, identity, prefix, partitions=width)
+    """Writes the shards of tokenized documents; tokens move once."""
+    placed = shards_in_one_shuffle(
+        corpus.doc_tokens, shard_size, corpus.total_tokens, val_shards, prefix, partitions=corpus.shuffle_width()
+    )
+    write_shards(placed, folder, identity, prefix, mode, placed=True)

@@ -40,7 +40,7 @@ SEED, EPOCH = 7, 3
 PHASES = 4
 BATCH = 32
 MAX_DOCS = 100
-STREAM_FILES = 4
+STREAM_ROUNDS = 4
 
 
 class Tables:
@@ -74,8 +74,9 @@ class Tables:
     def identity(self):
         return V.identity_of(self.vocab)
 
-    def tokenize(self, documents: DataFrame) -> DataFrame:
-        return T.tokenize(documents, self.vocab)
+    @cached_property
+    def tokenize(self) -> Callable[[DataFrame], DataFrame]:
+        return T.tokenizer(self.vocab)
 
     @cached_property
     def corpus(self) -> pretokenize.Corpus:
@@ -100,9 +101,6 @@ class Tables:
     def headers(self) -> DataFrame:
         return TS.read_headers(self.spark, self.shard_folder)
 
-    def permutation(self) -> DataFrame:
-        return R.permutation(self.spark, self.num_windows(), SEED, EPOCH, self.hash_fn)
-
     def step_metrics(self) -> DataFrame:
         """Events as recorded steps: a user is a run; errors come without a number of positions."""
         positions = F.get_json_object("props", "$.k").cast("double")
@@ -216,11 +214,9 @@ def _windows(windows: DataFrame) -> DataFrame:
 
 
 def shard_roundtrip_long(t: Tables) -> DataFrame:
-    """Shards long enough for the plan that moves tokens once."""
+    """Shards longer than any document."""
     folder = new_path(t.spark, "long-shards")
     placed = S.shards_in_one_shuffle(t.corpus.doc_tokens, LONG_SHARD, t.corpus.total_tokens)
-    if placed is None:
-        raise ValueError(f"Buckets of documents are too long for shards of {LONG_SHARD} tokens")
     TS.write_shards(placed, folder, t.identity, placed=True)
     chunks = TS.read_tokens(t.spark, folder, chunkTokens=CHUNK)
     return chunks.select("split", "shard_index", "start", text("tokens").alias("tokens"))
@@ -269,32 +265,53 @@ def seq_count(t: Tables) -> DataFrame:
 # Order
 
 
+def _in_order(t: Tables) -> DataFrame:
+    """The windows themselves in the epoch's order."""
+    return R.permute(t.windows(EPOCH), t.num_windows(), SEED, EPOCH, t.hash_fn)
+
+
+def _first_id() -> Column:
+    """A window's first token: what moves along with its index."""
+    return F.get("input_ids", F.lit(0)).alias("first_id")
+
+
 def epoch_permutation(t: Tables) -> DataFrame:
-    return t.permutation()
+    return _in_order(t).select("epoch", "seq_idx", "pos", _first_id())
 
 
 def resume_tail(t: Tables) -> DataFrame:
-    return R.resume(t.permutation(), t.num_windows() // 3).select("pos", "seq_idx")
+    return R.resume(_in_order(t), t.num_windows() // 3).select("pos", "seq_idx", _first_id())
 
 
 def rank_stripes_drop(t: Tables) -> DataFrame:
-    stripes = R.rank_stripes(t.permutation(), t.num_windows(), 3, drop_last=True)
-    return stripes.select("rank", "local_pos", "seq_idx")
+    stripes = R.rank_stripes(_in_order(t), t.num_windows(), 3, drop_last=True)
+    return stripes.select("rank", "local_pos", "seq_idx", _first_id())
 
 
 def rank_stripes_pad(t: Tables) -> DataFrame:
-    stripes = R.rank_stripes(t.permutation(), t.num_windows(), 7, drop_last=False)
-    return stripes.select("rank", "local_pos", "seq_idx")
+    stripes = R.rank_stripes(_in_order(t), t.num_windows(), 7, drop_last=False)
+    return stripes.select("rank", "local_pos", "seq_idx", _first_id())
 
 
 def batches_drop_last(t: Tables) -> DataFrame:
-    return R.batches(t.permutation(), t.num_windows(), BATCH).select("batch_id", "pos_in_batch", "seq_idx")
+    return R.batches(_in_order(t), t.num_windows(), BATCH).select("batch_id", "pos_in_batch", "seq_idx", _first_id())
 
 
 def loader_order(t: Tables) -> DataFrame:
     config = LoaderConfig(BATCH, drop_last=False, world_size=3)
-    order = loading.sample_order(t.spark, t.num_windows(), config, SEED, EPOCH, index=10, hash_fn=t.hash_fn)
-    return order.select("rank", "batch_id", "pos_in_batch", "seq_idx")
+    order = loading.arrange(_in_order(t), t.num_windows(), config, index=10)
+    return order.select("rank", "batch_id", "pos_in_batch", "seq_idx", _first_id())
+
+
+def state_resume(t: Tables) -> DataFrame:
+    """Where each run goes on after its newest saved state: what is left of the epoch and the window that comes next."""
+    name = F.concat(F.lit("step_"), F.col("event_id").cast("string"), F.lit(".pt"))
+    index = F.pmod("event_id", F.lit(t.num_windows())).alias("pos")
+    saved = t.read("events").select(F.col("user_id").alias("run"), name.alias("name"), index)
+    newest = ST.latest_states(saved, ["run"]).join(saved, ["run", "name"])
+    following = newest.join(_in_order(t), "pos")
+    left = (F.lit(t.num_windows()) - F.col("pos")).cast("bigint").alias("num_left")
+    return following.select("run", F.col("pos").alias("index"), left, "seq_idx", _first_id())
 
 
 def latest_state(t: Tables) -> DataFrame:
@@ -327,9 +344,9 @@ def padded_lengths(t: Tables) -> DataFrame:
 
 
 def batch_assembly(t: Tables) -> DataFrame:
-    order = R.batches(t.permutation(), t.num_windows(), BATCH).drop("epoch")
-    placed = t.windows().join(order, "seq_idx")
-    rows = B.collate(placed, ["seq_idx", "input_ids"], ["batch_id"])
+    """Windows take their tokens along into the order, and are put into batches there."""
+    ordered = R.permute(t.windows(), t.num_windows(), SEED, EPOCH, t.hash_fn)
+    rows = B.collate(R.batches(ordered, t.num_windows(), BATCH), ["seq_idx", "input_ids"], ["batch_id"])
     return rows.select("batch_id", text("seq_idx").alias("seq_idx"), text(F.flatten("input_ids")).alias("input_ids"))
 
 
@@ -505,7 +522,18 @@ def _token_vectors(t: Tables) -> DataFrame:
 
 def token_vector_lookup(t: Tables) -> DataFrame:
     found = P.lookup_vectors(t.windows(), _token_vectors(t))
-    return found.select("seq_idx", "pos", "token_id", F.get("vec", F.lit(0)).alias("first_dim"))
+    return _vectors(found)
+
+
+def token_vector_lookup_joined(t: Tables) -> DataFrame:
+    """As above, with vectors taken to be too large to be sent to every task."""
+    return _vectors(P.lookup_vectors(t.windows(), _token_vectors(t), max_broadcast_bytes=0))
+
+
+def _vectors(found: DataFrame) -> DataFrame:
+    """Every dimension, as integers of a millionth, so that the whole vector is compared."""
+    whole = F.transform("vec", lambda x: F.round(x.cast("double") * 1e6).cast("bigint"))
+    return found.select("seq_idx", "pos", "token_id", F.md5(text(whole).cast("binary")).alias("vec_md5"))
 
 
 def _pooled(pooled: DataFrame, key: str) -> DataFrame:
@@ -519,6 +547,19 @@ def masked_mean_pool(t: Tables) -> DataFrame:
     return _pooled(P.embed_sequences(padded, _token_vectors(t), t.identity.pad_id), "seq_idx")
 
 
+def embed_joined(t: Tables) -> DataFrame:
+    """As above, with vectors taken to be too large to be sent to every task."""
+    padded = B.pad_batches(_documents_in_batches(t), {"input_ids": t.identity.pad_id}, ["batch_id"])
+    found = P.embed_sequences(padded, _token_vectors(t), t.identity.pad_id, max_broadcast_bytes=0)
+    return _pooled(found, "seq_idx")
+
+
+def masked_mean_pool_states(t: Tables) -> DataFrame:
+    """Vectors as states of the sequence that their label names; every third position is masked out."""
+    states = t.read("embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    return _pooled(P.masked_mean_pool(states, "label", "embedding"), "label")
+
+
 def mean_pool(t: Tables) -> DataFrame:
     return _pooled(P.mean_pool(t.read("embeddings"), "label", "embedding"), "label")
 
@@ -530,14 +571,15 @@ def incremental_packing(t: Tables) -> DataFrame:
     """Documents arrive in several files; the shards must be those of the whole."""
     spark, folder = t.spark, new_path(t.spark, "arriving")
     low, high = t.documents.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = (high - low) // STREAM_FILES + 1
-    for i in range(STREAM_FILES):
-        part = t.documents.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    arriving = spark.readStream.schema(t.documents.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    step = (high - low) // STREAM_ROUNDS + 1
     out = new_path(spark, "stream")
     packer = IncrementalPacker(out, t.tokenize, t.identity, SHARD_SIZE, VAL_SHARDS)
-    packer.start(arriving, f"{out}/checkpoint").awaitTermination()
+    # Each round finds the files that came since the last.
+    for i in range(STREAM_ROUNDS):
+        part = t.documents.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1))
+        part.write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(t.documents.schema).parquet(folder)
+        packer.start(arriving, f"{out}/checkpoint").awaitTermination()
     packer.flush(spark)
     chunks = TS.read_tokens(spark, packer.shard_dir, chunkTokens=CHUNK)
     return chunks.select("split", "shard_index", "start", text("tokens").alias("tokens"))
@@ -549,10 +591,11 @@ ALL: tuple[Callable[[Tables], DataFrame], ...] = (
     shard_roundtrip, shard_roundtrip_long, header_consistency, vocab_check, windows_fixed, windows_epoch_offset,
     windows_from_shards, windows_across_chunks, window_lookup, window_lookup_in_shards, seq_count,
     epoch_permutation, resume_tail, rank_stripes_drop, rank_stripes_pad, batches_drop_last, loader_order,
-    latest_state, pad_batches, padded_lengths, batch_assembly, attention_mask, special_mask, mlm_mask,
+    state_resume, latest_state, pad_batches, padded_lengths, batch_assembly, attention_mask, special_mask, mlm_mask,
     electra_inputs, mask_counts, mlm_batches, span_budget, span_emit, span_sampling, span_corruption,
     target_padding, valid_labels, eval_summary, train_summary, running_loss, log_cadence, eval_cadence, masked_xent,
-    token_vector_lookup, masked_mean_pool, mean_pool, incremental_packing,
+    token_vector_lookup, token_vector_lookup_joined, masked_mean_pool, embed_joined, masked_mean_pool_states, mean_pool,
+    incremental_packing,
 )
 
 

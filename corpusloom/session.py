@@ -79,6 +79,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there, in whatever file system Spark finds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes all that this application materialized; DataFrames that read it can't be run after that."""
+    app = spark.sparkContext.applicationId
+    delete_path(spark, f"{shared_dir(spark)}/corpusloom/{app}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 

@@ -17,19 +17,19 @@ CORPUS_VERSIONS = {
 def corpus_paths(version: str, root: str, output_dir: str | None = None) -> tuple[str, str]:
     """(document path below ``root``, shard folder) of a named corpus size."""
     if version not in CORPUS_VERSIONS:
-        raise ValueError(f"Unknown version: {version}. Available: {list(CORPUS_VERSIONS)}")
+        raise ValueError(f"There is no corpus of size {version!r}; sizes are {', '.join(CORPUS_VERSIONS)}")
     subset, folder = CORPUS_VERSIONS[version]
     return f"{root.rstrip('/')}/{subset}", output_dir or f"data/{folder}"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartitions by key if the table has fewer files than the cluster has cores.
+    """Repartitions by key if the scan has fewer tasks than the cluster has cores.
 
-    A table of many files is left as it is: its scan is parallel already, and
-    its text shouldn't be shuffled.
+    Spark splits files, so that means a table of less than a scan task's bytes
+    per core; the text of anything larger isn't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def scan_documents(
@@ -37,6 +37,4 @@ def scan_documents(
 ) -> DataFrame:
     """documents(key, text); nothing else is read."""
     documents = spark.read.parquet(path).select(key, text)
-    if max_docs:
-        return first_documents(documents, max_docs, key)
-    return spread(documents, key)
+    return spread(first_documents(documents, max_docs, key), key)

@@ -68,10 +68,23 @@ SCHEMAS = {
 }
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark means it: one without a scheme lies in the default file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", path):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    """File system and path of a qualified path, or of a local one without a scheme."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return pafs.LocalFileSystem(), re.sub(r"^/+", "/", rest) if colon and scheme == "file" else path
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), re.sub(r"^/*", "/dbfs/", rest)
+    if scheme in ("s3a", "s3n"):
+        return pafs.FileSystem.from_uri(f"s3:{rest}")
+    return pafs.FileSystem.from_uri(path)
 
 
 @dataclass
@@ -92,17 +105,23 @@ def list_shards(folder: str, split: str | None = None, prefix: str = SHARD_PREFI
     """The folder's shard files in name order; only the listing is read."""
     fs, root = filesystem(folder)
     if fs.get_file_info(root).type != pafs.FileType.Directory:
-        raise FileNotFoundError(f"Data directory not found: {folder}")
-    pattern = re.compile(rf"^{re.escape(prefix)}_({re.escape(split) if split else '[^_]+'})_(.*)\.bin$")
+        raise FileNotFoundError(f"The shard folder was not found: {folder}")
+    pattern = re.compile(rf"^{re.escape(prefix)}_({re.escape(split) if split else '[^_]+'})_(\d+)\.bin$")
     shards = []
     for info in fs.get_file_info(pafs.FileSelector(root)):
         match = pattern.match(info.base_name)
         if match and info.type == pafs.FileType.File:
-            index = int(match[2]) if match[2].isdigit() else -1
-            shards.append(ShardFile(match[1], index, info.base_name, info.path, info.size))
+            shards.append(ShardFile(match[1], int(match[2]), info.base_name, info.path, info.size))
     if not shards:
-        raise FileNotFoundError(f"No shards found matching '{prefix}_{split or '*'}_*.bin' in {folder}")
-    return sorted(shards, key=lambda s: s.name)
+        raise FileNotFoundError(f"No shards of prefix {prefix!r} and split {split or 'any'!r} in {folder}")
+    return sorted(shards, key=lambda s: (s.split, s.shard_index, s.name))
+
+
+def check_contiguous(shards: list[ShardFile]) -> None:
+    """A split's shards carry numbers in a row, so that two corpora in one folder don't pass for one."""
+    for before, after in zip(shards, shards[1:]):
+        if before.split == after.split and after.shard_index != before.shard_index + 1:
+            raise ValueError(f"Shards {before.name} and {after.name} aren't numbered in a row")
 
 
 def read_header(fs: pafs.FileSystem, shard: ShardFile) -> dict[str, int]:
@@ -114,16 +133,12 @@ def read_header(fs: pafs.FileSystem, shard: ShardFile) -> dict[str, int]:
 
 
 def check_header(shard: ShardFile, header: dict[str, int]) -> None:
-    if header["magic"] != SHARD_MAGIC:
-        raise ValueError(f"Invalid magic number in {shard.path}: {header['magic']} != {SHARD_MAGIC}")
-    if header["version"] != SHARD_VERSION:
-        raise ValueError(f"Invalid version in {shard.path}: {header['version']} != {SHARD_VERSION}")
-    expected = HEADER_BYTES + 2 * header["token_count"]
-    if shard.size != expected:
-        raise ValueError(
-            f"Inconsistent file size in {shard.path}: expected {expected} bytes for "
-            f"{header['token_count']} tokens, found {shard.size}"
-        )
+    found = (header["magic"], header["version"])
+    if found != (SHARD_MAGIC, SHARD_VERSION):
+        raise ValueError(f"{shard.path} isn't a shard that can be read: magic and version are {found}")
+    tokens = (shard.size - HEADER_BYTES) / 2
+    if tokens != header["token_count"]:
+        raise ValueError(f"The file size of {shard.path} makes {tokens:g} tokens, its header says {header['token_count']}")
 
 
 @dataclass
@@ -165,6 +180,7 @@ class ShardReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         shards = list_shards(self.folder, self.split, self.prefix)
+        check_contiguous(shards)
         if self.mode == "headers":
             return [FilesPartition(shards[i : i + 64]) for i in range(0, len(shards), 64)]
         if self.mode == "tokens":
@@ -313,21 +329,31 @@ class ShardWriter(DataSourceArrowWriter):
 
         for batch in iterator:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            rows = batch.num_rows
+            if not rows:
+                continue
+            index = cols["shard_index"].to_numpy()
             tokens = cols["tokens"]
-            for i in range(batch.num_rows):
-                row_name = cols["name"][i].as_py()
+            sizes, starts = np.diff(tokens.offsets.to_numpy()).astype(np.int64), cols["start"].to_numpy()
+            ids = tokens.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            if len(ids) and not (ids.min() >= 0 and ids.max() <= MAX_TOKEN_ID):
+                raise ValueError("Tokens must fit in uint16, some don't")
+            # Rows of one shard lie together: a run is checked and written at once.
+            borders = np.concatenate(([0], np.flatnonzero(index[1:] != index[:-1]) + 1, [rows]))
+            for first, stop in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                row_name = cols["name"][first].as_py()
                 if row_name != name:
                     finish()
-                    name, at, expected = row_name, 0, cols["shard_tokens"][i].as_py()
+                    name, at, expected = row_name, 0, cols["shard_tokens"][first].as_py()
                     unique, out = self._open(fs, root, name, expected)
                     done.append(unique)
-                if cols["start"][i].as_py() != at:
-                    raise ValueError(f"Shard {name} lacks tokens at {at} in this partition")
-                ids = tokens[i].values.to_numpy(zero_copy_only=False)
-                if len(ids) and not (ids.min() >= 0 and ids.max() <= MAX_TOKEN_ID):
-                    raise ValueError(f"Tokens must fit in uint16, shard {name} has others")
-                out.write(ids.astype("<u2").tobytes())
-                at += len(ids)
+                begin = ends[first] - sizes[first]
+                wrong = np.flatnonzero(starts[first:stop] != at + ends[first:stop] - sizes[first:stop] - begin)
+                if len(wrong):
+                    raise ValueError(f"Shard {name} lacks tokens before {starts[first + wrong[0]]} in this partition")
+                out.write(ids[begin : ends[stop - 1]].astype("<u2").tobytes())
+                at += int(ends[stop - 1] - begin)
         finish()
         return WrittenShards(done)
 
@@ -340,15 +366,20 @@ class ShardWriter(DataSourceArrowWriter):
             self.abort(messages)
             raise ValueError("A shard was written by more than one task")
         old = re.compile(rf"^{re.escape(self.prefix)}_[^_]+_\d+\.bin$")
-        for info in fs.get_file_info(pafs.FileSelector(root)) if self.overwrite else []:
-            if old.match(info.base_name) and info.base_name not in written:
-                fs.delete_file(info.path)
+        before = [i.path for i in fs.get_file_info(pafs.FileSelector(root)) if old.match(i.base_name)]
+        # New shards are complete in the staging folder, so what they replace may go; the rest goes last.
+        replaced = [p for p in before if p.rsplit("/", 1)[-1] in written]
+        for path in replaced:
+            fs.delete_file(path)
         with ThreadPoolExecutor(COMMIT_THREADS) as pool:
             moves = [
                 pool.submit(fs.move, f"{root}/{self.staging}/{n}", f"{root}/{n.rsplit('.', 1)[0]}") for n in names
             ]
             for move in moves:
                 move.result()
+        for path in before if self.overwrite else []:
+            if path not in replaced:
+                fs.delete_file(path)
         self._clean(fs, root)
 
     def abort(self, messages: list[WrittenShards | None]) -> None:
@@ -390,8 +421,15 @@ def write_shards(
     """Writes ``shard_pieces`` of ``operators.stream``, one file per shard, each by one task.
 
     ``placed`` says that each shard already is in one partition and in order.
+    ``mode`` "append" adds shards to those of the folder, "overwrite" leaves the
+    new ones only, and "error" refuses a folder that holds shards of the prefix.
     """
-    register(shard_pieces.sparkSession)
+    spark = shard_pieces.sparkSession
+    register(spark)
+    folder = qualified(spark, folder)
+    if mode == "error":
+        refuse_shards(folder, prefix)
+        mode = "append"
     rows = shard_pieces.select("shard_index", "name", "shard_tokens", "start", "tokens")
     if not placed:
         width = [partitions] if partitions else []
@@ -406,6 +444,15 @@ def write_shards(
     ).save(folder)
 
 
+def refuse_shards(folder: str, prefix: str = SHARD_PREFIX) -> None:
+    """Raises FileExistsError if the folder holds shards of the prefix."""
+    try:
+        first = list_shards(folder, None, prefix)[0].name
+    except FileNotFoundError:
+        return
+    raise FileExistsError(f"{folder} already holds shards, {first} for one; write with mode='overwrite' to replace them")
+
+
 def read_headers(spark: SparkSession, folder: str, split: str | None = None, **options) -> DataFrame:
     return _read(spark, folder, "headers", split, options)
 
@@ -428,6 +475,7 @@ def read_windows(
 
 def _read(spark: SparkSession, folder: str, mode: str, split: str | None, options: dict) -> DataFrame:
     register(spark)
+    folder = qualified(spark, folder)
     total = sum(s.token_count for s in list_shards(folder, split, options.get("prefix", SHARD_PREFIX)))
     per_core = -(-total // spark.sparkContext.defaultParallelism)
     options.setdefault("partitionTokens", min(max(per_core, MIN_PARTITION_TOKENS), MAX_PARTITION_TOKENS))

@@ -4,9 +4,12 @@ Every micro-batch goes to the end of the token stream, its documents in key
 order. A shard is written as soon as it is full; ``flush`` writes the tail.
 
 Folders below ``out_dir``: ``tokens`` and ``pieces`` with one subfolder per
-micro-batch, ``commits`` with each batch's place in the stream, and
-``shards``. A repeated batch takes its start from the commits of the batches
-before it and overwrites its own folders, so it leaves the same result.
+micro-batch, ``commits`` with each batch's place in the stream, and ``shards``.
+A commit also names the first batch that reaches into the open shard, so a batch
+reads the commit before it and no other, and what lies wholly in full shards is
+deleted: the state is the open shard's tokens, however long the stream. A
+repeated batch takes its start from the commit before it and overwrites its own
+folders, so it leaves the same result.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.config import SHARD_PREFIX, TokenIdentity
 from corpusloom.operators.stream import shard_pieces, stream_offsets
+from corpusloom.session import delete_path
 from corpusloom.sources.token_shards import write_shards
 
-COMMIT_SCHEMA = "batch_id bigint, start bigint, end bigint"
+COMMIT_SCHEMA = "start bigint, end bigint, open_from bigint"
 PIECE_SCHEMA = "batch_id bigint, shard_index int, split string, name string, start bigint, tokens array<int>"
 
 
@@ -48,9 +52,10 @@ class IncrementalPacker:
 
     def process(self, documents: DataFrame, batch_id: int) -> None:
         spark = documents.sparkSession
-        start, done = self._end_before(spark, batch_id), self._commit_of(spark, batch_id)
-        if done is not None:
+        if self._commit_of(spark, batch_id) is not None:
             return
+        before = self._commit_of(spark, batch_id - 1) or self._newest(spark, batch_id)
+        start, open_from = (before["end"], before["open_from"]) if before else (0, batch_id)
         tokens_path = f"{self.out_dir}/tokens/batch_id={batch_id}"
         tokenized = self.tokenizer(documents)
         tokenized.write.mode("overwrite").parquet(tokens_path)
@@ -61,55 +66,62 @@ class IncrementalPacker:
         placed = stream_offsets(tokens, self.key)
         moved = placed.withColumns({"start": F.col("start") + start, "end": F.col("end") + start})
         cut = shard_pieces(moved, self.shard_size, end, self.val_shards, self.prefix)
-        pieces = cut.select("shard_index", "split", "name", "start", "tokens")
+        pieces = cut.select("shard_index", "split", "name", "start", "tokens").repartition("shard_index")
         pieces.write.mode("overwrite").partitionBy("shard_index").parquet(self._pieces(batch_id))
 
         first, last = start // self.shard_size, end // self.shard_size
         if last > first:
-            self._write(spark, first, last, self.shard_size, batch_id)
-        commit = spark.createDataFrame([(batch_id, start, end)], COMMIT_SCHEMA)
-        commit.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.out_dir}/commits/batch_id={batch_id}"
-        )
+            self._write(spark, self._read(spark, open_from, batch_id, first, last), self.shard_size)
+        still_open = batch_id if last > first else open_from
+        commit = spark.createDataFrame([(start, end, still_open)], COMMIT_SCHEMA)
+        commit.coalesce(1).write.mode("overwrite").parquet(self._commits(batch_id))
+        for done in range(open_from, still_open):
+            delete_path(spark, self._pieces(done))
+        delete_path(spark, tokens_path)
 
     def flush(self, spark: SparkSession) -> None:
         """Writes the shard that isn't full yet, if it has any token."""
-        end = self._end_before(spark, None)
-        tail, rest = divmod(end, self.shard_size)
+        newest = self._newest(spark)
+        if newest is None:
+            return
+        tail, rest = divmod(newest["end"], self.shard_size)
         if rest:
-            self._write(spark, tail, tail + 1, rest)
-
-    def pieces(self, spark: SparkSession, first: int, last: int, upto: int | None = None) -> DataFrame:
-        """(shard_index, split, name, start, tokens) of shards [first, last), in any committed batch
-        or batch ``upto``. Only the folders of batches that reach into these shards are listed."""
-        inside = (F.col("start") < last * self.shard_size) & (F.col("end") > first * self.shard_size)
-        ids = {r["batch_id"] for r in self._commits(spark).where(inside).select("batch_id").collect()}
-        ids |= set() if upto is None else {upto}
+            pieces = self._read(spark, newest["open_from"], newest["batch_id"], tail, tail + 1)
+            self._write(spark, pieces, rest)
+
+    def _read(self, spark: SparkSession, first_batch: int, last_batch: int, first: int, last: int) -> DataFrame:
+        """(shard_index, split, name, start, tokens) of shards [first, last) in these batches."""
         reader = spark.read.schema(PIECE_SCHEMA).option("basePath", f"{self.out_dir}/pieces")
-        found = reader.parquet(*[self._pieces(i) for i in sorted(ids)])
+        found = reader.parquet(*[self._pieces(i) for i in range(first_batch, last_batch + 1)])
         return found.where(F.col("shard_index").between(first, last - 1)).drop("batch_id")
 
     def _pieces(self, batch_id: int) -> str:
         return f"{self.out_dir}/pieces/batch_id={batch_id}"
 
-    def _write(self, spark: SparkSession, first: int, last: int, tokens: int, upto: int | None = None) -> None:
-        wanted = self.pieces(spark, first, last, upto)
-        counted = wanted.withColumn("shard_tokens", F.lit(tokens).cast("bigint"))
+    def _commits(self, batch_id: int) -> str:
+        return f"{self.out_dir}/commits/batch_id={batch_id}"
+
+    def _write(self, spark: SparkSession, pieces: DataFrame, tokens: int) -> None:
+        counted = pieces.withColumn("shard_tokens", F.lit(tokens).cast("bigint"))
         write_shards(counted, self.shard_dir, self.identity, self.prefix)
 
-    def _commits(self, spark: SparkSession) -> DataFrame:
+    def _commit_of(self, spark: SparkSession, batch_id: int):
+        return self._first(lambda: spark.read.schema(COMMIT_SCHEMA).parquet(self._commits(batch_id)))
+
+    def _newest(self, spark: SparkSession, below: int | None = None):
+        """The newest commit, before batch ``below`` if that is given."""
+
+        def newest() -> DataFrame:
+            commits = spark.read.schema(f"{COMMIT_SCHEMA}, batch_id bigint").parquet(f"{self.out_dir}/commits")
+            return (commits if below is None else commits.where(F.col("batch_id") < below)).orderBy(F.desc("batch_id"))
+
+        return self._first(newest)
+
+    def _first(self, read: Callable[[], DataFrame]):
+        """The first row, None if there is none or nothing was written yet."""
         try:
-            return spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.out_dir}/commits")
+            return read().first()
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return spark.createDataFrame([], COMMIT_SCHEMA)
+                return None
             raise
-
-    def _end_before(self, spark: SparkSession, batch_id: int | None) -> int:
-        commits = self._commits(spark)
-        if batch_id is not None:
-            commits = commits.where(F.col("batch_id") < batch_id)
-        return commits.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
-
-    def _commit_of(self, spark: SparkSession, batch_id: int):
-        return self._commits(spark).where(F.col("batch_id") == batch_id).first()

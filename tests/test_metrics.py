@@ -97,3 +97,16 @@ def test_missing_logits(spark):
         M.masked_cross_entropy(df, ["batch"]).collect()
     with pytest.raises(ValueError, match="logits"):
         M.masked_cross_entropy(df.drop("logits"), ["batch"])
+
+
+@pytest.mark.parametrize("label", [-1, -2, 3])
+def test_labels_outside_the_logits_are_refused(spark, label):
+    rows = spark.createDataFrame([(0, [0.1, 0.2, 0.3], label)], "b int, logits array<double>, label int")
+    with pytest.raises(Exception, match="outside the logits"):
+        M.masked_cross_entropy(rows, ["b"]).collect()
+
+
+def test_lines_without_a_loss_are_null(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, None)], "step bigint, loss double")
+    found = rows.select(step_line(F.col("step"), F.col("loss")), eval_line(F.col("step"), F.col("loss"))).collect()
+    assert [tuple(r) for r in found] == [("step=1 loss=0.5000 ppl=1.65", "[eval] step=1 eval_loss=0.5000 ppl=1.65"), (None, None)]

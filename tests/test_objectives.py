@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,47 @@ def test_input_and_target_restore_the_original(samples, density):
             assert (row["input_ids"], row["labels"]) == (ids, [1000])
 
 
+def brute_place(size, budget, drawn, gaps):
+    """One sequence, span by span."""
+    lengths, left = [], budget
+    for x in drawn:
+        if left > 0:
+            lengths.append(min(x, left))
+            left -= lengths[-1]
+    if size == 0 or not lengths:
+        return lengths, []
+    used = lengths[: max(1, size // 3)] if sum(lengths) >= size else lengths
+    room = size - sum(used)
+    if room <= 0:
+        return lengths, [(0, min(used[0], size))]
+    spans, at = [], 0
+    for length, gap in zip(used, gaps):
+        start = at + gap % max(1, room // (len(used) + 1))
+        if start + length > size:
+            break
+        spans.append((start, length))
+        at = start + length
+    return lengths, spans
+
+
+def test_spans_of_a_batch_are_those_of_each_sequence():
+    """All branches: no budget, more than the sequence, no room, a span that doesn't fit."""
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate(([0, 0, 1, 1, 2, 3], rng.integers(0, 60, 400)))
+    budgets = np.concatenate(([0, 4, 0, 1, 2, 9], rng.integers(0, 70, 400)))
+    drawn = [rng.geometric(rng.choice([1.0, 0.4, 0.05]), b) for b in budgets]
+    gaps = [rng.integers(0, 2**32, b) for b in budgets]
+    lengths, counts, start, length, number = O.place_batch(sizes, budgets, np.concatenate(drawn), np.concatenate(gaps))
+    at, spot, branches = 0, 0, set()
+    for size, budget, d, g, count, spans in zip(sizes, budgets, drawn, gaps, counts, number):
+        wanted, placed = brute_place(size, budget, d, g)
+        assert lengths[at : at + count].tolist() == wanted
+        assert list(zip(start[spot : spot + spans], length[spot : spot + spans])) == placed
+        branches.add((len(placed) < len(wanted), len(placed) == 1, sum(wanted) >= size))
+        at, spot = at + count, spot + spans
+    assert len(branches) > 4
+
+
 def brute_emit(ids, spans, first, count):
     corrupted, target, at = [], [], 0
     for k, (start, length) in enumerate(spans):
@@ -177,13 +219,12 @@ def test_budget_uses_binary_fractions(spark):
     assert row[0] == int(100 * 0.29) == 28
 
 
-def test_registry():
-    assert {"mlm", "electra", "span_corruption"} <= set(O.OBJECTIVES)
-    assert O.get_objective("mlm") is O.mlm
-    with pytest.raises(ValueError, match="already"):
-        O.objective("mlm")(O.mlm)
-    with pytest.raises(KeyError, match="Available.*electra"):
-        O.get_objective("none")
+def test_objectives_by_name(samples):
+    assert set(O.OBJECTIVES) == {"mlm", "electra", "span_corruption"}
+    rows, config = samples([[10, 11, 2]]), mlm_config(TokenIdentity(100), seed=1)
+    assert O.build("mlm", rows, config).collect() == O.mlm(rows, config).collect()
+    with pytest.raises(KeyError, match="electra"):
+        O.build("none", rows, config)
 
 
 def test_collate_and_counts(samples):

@@ -48,15 +48,27 @@ def test_pretokenize(spark, corpus):
     assert [s.split for s in TS.list_shards(folder)].count("val") == 1
 
 
-def test_both_ways_of_writing_shards(spark, corpus, tmp_path):
+def test_shards_of_another_size(spark, corpus, tmp_path):
     made, _, identity = corpus
     folder = str(tmp_path / "one")
-    assert S.shards_in_one_shuffle(made.doc_tokens, 50 * SHARD, made.total_tokens) is not None
     pretokenize.write_corpus(made, folder, identity, 50 * SHARD)
     stream = [t for r in made.doc_tokens.orderBy("doc_id").collect() for t in r["tokens"]]
     assert tokens_in(spark, folder) == stream
 
 
+def test_a_folder_holds_one_corpus(spark, corpus, tmp_path):
+    """Writing again is refused, or replaces all that was there."""
+    made, _, identity = corpus
+    folder = str(tmp_path / "again")
+    pretokenize.write_corpus(made, folder, identity, SHARD)
+    with pytest.raises(FileExistsError, match="already"):
+        pretokenize.write_corpus(made, folder, identity, 2 * SHARD, val_shards=1)
+    pretokenize.write_corpus(made, folder, identity, 2 * SHARD, val_shards=1, mode="overwrite")
+    assert len(TS.list_shards(folder)) == made.num_shards(2 * SHARD)
+    stream = [t for r in made.doc_tokens.orderBy("doc_id").collect() for t in r["tokens"]]
+    assert tokens_in(spark, folder) == stream
+
+
 def test_max_docs(spark, vocab, tmp_path):
     made = pretokenize.pretokenize(
         spark, f"{SMALL}/documents.parquet", str(tmp_path), lambda d: tokenize(d, vocab), V.identity_of(vocab),
@@ -73,7 +85,7 @@ def test_max_docs(spark, vocab, tmp_path):
 def test_corpus_paths():
     assert D.corpus_paths("10B", "/data/") == ("/data/sample-10BT", "data/fineweb_edu_10bt")
     assert D.corpus_paths("350B", "/d", "/out")[1] == "/out"
-    with pytest.raises(ValueError, match="Unknown version"):
+    with pytest.raises(ValueError, match="no corpus of size"):
         D.corpus_paths("1B", "/d")
 
 

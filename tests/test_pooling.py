@@ -59,7 +59,7 @@ def test_embed_sequences(spark, vectors, limit, monkeypatch):
     """Padding doesn't change a vector; both ways of looking vectors up agree."""
     monkeypatch.setattr(P, "POSITIONS_AT_ONCE", 3)
     known = {r["token_id"]: np.array(r["vec"]) for r in vectors.collect()}
-    rows = [(0, [5, 6, 7, 8]), (1, [5, 6, 7, 8, 1, 1, 1, 1]), (2, [1, 1]), (3, [4] * 7 + [9]), (4, [1, 3])]
+    rows = [(0, [5, 6, 7, 8]), (1, [5, 6, 7, 8, 1, 1, 1, 1]), (2, [1, 1]), (3, [4] * 7 + [9]), (4, [1, 3]), (5, [])]
     df = spark.createDataFrame(rows, "seq_idx bigint, input_ids array<int>")
     found = pooled(P.embed_sequences(df, vectors, pad_id=1, max_broadcast_bytes=limit))
     for key, ids in rows:
@@ -67,6 +67,35 @@ def test_embed_sequences(spark, vectors, limit, monkeypatch):
         assert found[key] == pytest.approx(np.mean(used, axis=0).tolist() if used else [0.0] * 4)
 
 
+@pytest.mark.parametrize("limit", [P.MAX_BROADCAST_BYTES, 0])
+def test_both_sides_of_the_limit(spark, limit):
+    """Padding without a vector, doubles beyond float precision, unknown ids, repeated ids."""
+    vectors = spark.createDataFrame([(2, [0.55, 1 / 3]), (3, [0.1, 0.2])], "token_id int, vec array<double>")
+    rows = [(0, [2, 2, 2]), (1, [1, 1]), (2, []), (3, [3, 1, 2])]
+    samples = spark.createDataFrame(rows, "seq_idx bigint, input_ids array<int>")
+    found = pooled(P.embed_sequences(samples, vectors, 1, max_broadcast_bytes=limit))
+    assert found[0] == pytest.approx([0.55, 1 / 3], rel=1e-14) and found[3] == pytest.approx([0.325, 8 / 30], rel=1e-14)
+    assert found[1] == found[2] == [0.0, 0.0] and len(found) == 4
+    unknown = spark.createDataFrame([(0, [2, 9])], "seq_idx bigint, input_ids array<int>")
+    with pytest.raises(Exception, match="No vector for token 9"):
+        P.embed_sequences(unknown, vectors, 1, max_broadcast_bytes=limit).collect()
+    with pytest.raises(Exception, match="No vector for token 9"):
+        P.lookup_vectors(unknown, vectors, max_broadcast_bytes=limit).collect()
+    with pytest.raises(ValueError, match="one row per id"):
+        P.embed_sequences(samples, vectors.unionByName(vectors), 1, max_broadcast_bytes=limit)
+
+
+def test_sums_go_on_over_batches(spark):
+    """Partial sums of a key that fill several Arrow batches meet again."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(k, [float(i), 1.0]) for k in (None, "a", "b") for i in range(20)]
+        df = spark.createDataFrame(rows, "k string, vec array<double>").repartition(3)
+        assert pooled(P.mean_pool(df, "k"), "k") == {k: [9.5, 1.0] for k in (None, "a", "b")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_users_encoder(spark):
     rows = [(i, [i, i + 1], [1, 0]) for i in range(5)]
     df = spark.createDataFrame(rows, "seq_idx bigint, input_ids array<int>, attention_mask array<int>")

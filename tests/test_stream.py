@@ -107,21 +107,14 @@ def test_shards(doc_tokens, size):
     assert [shards[i] for i in range(len(shards))] == [stream[i : i + size] for i in range(0, total, size)]
 
 
-@pytest.mark.parametrize("size", [1400, 2000, 4119, 4120, 10000])
-@pytest.mark.parametrize("buckets", [1 << 20, 3])
-def test_shards_in_one_shuffle(spark, doc_tokens, monkeypatch, size, buckets):
-    """The same parts, each shard whole and in order in its partition."""
-    monkeypatch.setattr(S, "BUCKET_BITS", 1)
-    monkeypatch.setattr(S, "MAX_BROADCAST_BUCKETS", buckets)
+@pytest.mark.parametrize("size", [7, 300, 1400, 4119, 4120, 10000])
+@pytest.mark.parametrize("stretch", [1, 1 << 40])
+def test_shards_in_one_shuffle(spark, doc_tokens, size, stretch):
+    """The same parts, each shard whole and in order in its partition, for dense and sparse keys, long and short documents."""
     lengths = [100, 20, 1, 300, 99, 250, 7, 64] * 4 + [756]
     total = sum(lengths)
-    tokens = doc_tokens(lengths).repartition(5)
+    tokens = doc_tokens(lengths).withColumn("doc_id", F.col("doc_id") * stretch).repartition(5)
     placed = S.shards_in_one_shuffle(tokens, size, total, 1, "x", partitions=3)
-    widest = max(sum(lengths[i : i + 2]) for i in range(0, len(lengths), 2))
-    if buckets == 1 << 20:
-        assert (placed is None) == (widest * S.SHARDS_PER_BUCKET > size)
-    if placed is None:
-        return
     general = S.shard_pieces(S.stream_offsets(tokens, bits=1), size, total, 1, "x")
     assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, general.collect()))
     by_task = {}
@@ -131,9 +124,33 @@ def test_shards_in_one_shuffle(spark, doc_tokens, monkeypatch, size, buckets):
         assert len({task for task, _ in places}) == 1 and places == sorted(places)
 
 
-def test_long_documents_need_the_second_shuffle(doc_tokens):
-    assert S.shards_in_one_shuffle(doc_tokens([10, 5000, 10]), 1000, 5020) is None
-    assert S.shards_in_one_shuffle(doc_tokens([1]).where("doc_id < 0"), 1000, 0) is None
+def test_shards_of_one_long_document_and_of_none(doc_tokens):
+    found = S.shards_in_one_shuffle(doc_tokens([10, 5000, 10]), 1000, 5020).collect()
+    assert sorted((r["shard_index"], len(r["tokens"])) for r in found if len(r["tokens"]) > 10) == [
+        (0, 990), (1, 1000), (2, 1000), (3, 1000), (4, 1000)
+    ]
+    assert S.shards_in_one_shuffle(doc_tokens([1]).where("doc_id < 0"), 1000, 0).count() == 0
+
+
+@pytest.mark.parametrize("bad, message", [(None, "Null in the order key"), (1, "is repeated")])
+def test_null_and_repeated_keys_are_refused(spark, bad, message):
+    """A hole in the stream, or an order that is left to chance, is an error."""
+    rows = [(bad, [1, 2], 2), (1, [3, 4, 5], 3), (2, [6], 1)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, tokens array<int>, n int")
+    with pytest.raises(Exception, match=message):
+        S.stream_offsets(tokens).collect()
+    with pytest.raises(Exception, match=message):
+        S.shards_in_one_shuffle(tokens, 4, 6).collect()
+
+
+@pytest.mark.parametrize("count", [1, 255, 256, 257, 700, 2000])
+def test_first_documents(spark, count):
+    """The cap is a filter on the key, so capped documents stay where they are."""
+    documents = spark.range(0, 3000, 3, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    found = S.first_documents(documents, count)
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(0, 3000, 3))[:count]
+    assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+    assert S.first_documents(documents, None) is documents
 
 
 @pytest.mark.parametrize("offset", [0, 16])

@@ -48,17 +48,25 @@ def test_vocab_size_is_checked(documents):
 
 
 @pytest.mark.parametrize("size", [12, 50265])
-@pytest.mark.parametrize("limit", [T.MAX_BROADCAST_BYTES, 0])
-def test_tokenize(documents, size, limit):
+@pytest.mark.parametrize("way", [T.tokenize, T.tokenize_by_join])
+def test_tokenize(documents, size, way):
     """Both ways of looking words up give the same ids, also for a word that is most of the text."""
     vocab = V.build_vocab(documents, size)
     ids = brute_vocab([r["text"] for r in documents.collect()], size)
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
-    for row in T.tokenize(documents, vocab, max_broadcast_bytes=limit).collect():
+    for row in way(documents, vocab).collect():
         assert row["tokens"] == [ids.get(w, 3) for w in brute_words(texts[row["doc_id"]])] + [2]
         assert row["n"] == len(row["tokens"])
 
 
+@pytest.mark.parametrize("way", [T.tokenize, T.tokenize_by_join])
+def test_repeated_keys_stay_two_rows(spark, documents, way):
+    vocab = V.build_vocab(documents)
+    twice = documents.where("doc_id = 0").unionByName(documents.where("doc_id = 0"))
+    rows = way(twice, vocab).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+
+
 def test_empty_text_is_a_separator(documents):
     rows = T.tokenize(documents, V.build_vocab(documents)).where("doc_id IN (5, 6, 9)").collect()
     assert [r["tokens"] for r in rows] == [[2], [2], [2]]
