@@ -18,9 +18,8 @@ FORMAT_FIELDS = tuple(f for f in HEADER_FIELDS if f != "token_count")
 # The run's vocabulary must match these; cls_id is only reported.
 CHECKED_IDENTITY = ("vocab_size", "pad_id", "sep_id", "mask_id")
 
-# Up to 32 MB of shard positions go to every worker as one array.
+# 48 MB of shard positions go to every worker at once.
 MAX_SHIPPED_SHARDS = 1 << 22
-BLOCK_SHARDS = 1 << 11
 
 # Shard indexes are INT.
 MAX_INDEX = 1 << 31
@@ -110,18 +109,25 @@ def locate(positions: DataFrame, shards: DataFrame, position: str = "position")
     """Adds (shard_index, local_offset): the last shard that starts at or before the position.
 
     ``shards`` holds one split. Empty shards contain no position. The shards'
-    starts are searched in memory, so nothing is shuffled; a catalog too large
-    for that is searched in blocks that join on the block's number.
+    starts are searched in memory, so nothing is shuffled and no position is more
+    frequent than another. A catalog too large to be sent at once goes out in
+    blocks of shards, each for the positions inside it.
     """
-    spark = positions.sparkSession
     filled = shards.where("token_end > token_start").select("token_start", "token_end", "shard_index")
-    if filled.count() > MAX_SHIPPED_SHARDS:
-        return _locate_in_blocks(positions, filled, position)
     table = filled.orderBy("token_start").toArrow()
+    blocks = [table.slice(at, MAX_SHIPPED_SHARDS) for at in range(0, len(table), MAX_SHIPPED_SHARDS)] or [table]
+    found = None
+    for block in blocks:
+        part = _locate_in(positions, block, position)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _locate_in(positions: DataFrame, table: pa.Table, position: str) -> DataFrame:
+    context = positions.sparkSession.sparkContext
     starts = table["token_start"].to_numpy()
-    shipped = spark.sparkContext.broadcast(starts)
-    indexes = spark.sparkContext.broadcast(table["shard_index"].to_numpy())
-    end = int(table["token_end"].to_numpy().max()) if len(starts) else 0
+    shipped, indexes = context.broadcast(starts), context.broadcast(table["shard_index"].to_numpy())
+    begin, end = (int(starts[0]), int(table["token_end"].to_numpy()[-1])) if len(starts) else (0, 0)
 
     @F.arrow_udf(LongType())
     def shard_of(at: pa.Array) -> pa.Array:
@@ -131,38 +137,10 @@ def locate(positions: DataFrame, shards: DataFrame, position: str = "position")
     def start_of(at: pa.Array) -> pa.Array:
         return pa.array(shipped.value[at.to_numpy()])
 
-    inside = positions.where(F.col(position).between(0, end - 1))
+    inside = positions.where(F.col(position).between(begin, end - 1))
     found = inside.withColumn("_at", _last_start(shipped)(F.col(position)))
     return found.select(
         *positions.columns,
         shard_of("_at").cast("int").alias("shard_index"),
         (F.col(position) - start_of("_at")).alias("local_offset"),
     )
-
-
-def _locate_in_blocks(positions: DataFrame, filled: DataFrame, position: str) -> DataFrame:
-    """Blocks are equal ranges of shard numbers, so a block holds at most ``BLOCK_SHARDS`` shards."""
-    block = F.shiftright(F.col("shard_index").cast("bigint"), BLOCK_SHARDS.bit_length() - 1)
-    entry = F.struct(F.col("token_start"), F.col("token_end"), F.col("shard_index"))
-    blocks = filled.groupBy(block.alias("block")).agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"),
-        F.min("token_start").alias("block_start"),
-        F.max("token_end").alias("block_end"),
-    )
-    fences = blocks.select("block", "block_start").orderBy("block_start").toArrow()
-    shipped = positions.sparkSession.sparkContext.broadcast(fences["block_start"].to_numpy())
-    numbers = positions.sparkSession.sparkContext.broadcast(fences["block"].to_numpy())
-
-    @F.arrow_udf(LongType())
-    def block_of(values: pa.Array) -> pa.Array:
-        at = np.searchsorted(shipped.value, values.to_numpy(), side="right") - 1
-        return pa.array(np.where(at >= 0, numbers.value[np.maximum(at, 0)], -1))
-
-    joined = positions.withColumn("block", block_of(F.col(position))).join(blocks, "block")
-    hit = F.filter("entries", lambda e: (e["token_start"] <= F.col(position)) & (F.col(position) < e["token_end"]))
-    found = joined.withColumn("hit", F.get(hit, F.lit(0))).where("hit IS NOT NULL")
-    return found.select(
-        *positions.columns,
-        F.col("hit.shard_index").alias("shard_index"),
-        (F.col(position) - F.col("hit.token_start")).alias("local_offset"),
-    )

@@ -236,11 +236,9 @@ def windows_from_shards(t: Tables) -> DataFrame:
 
 
 def windows_across_chunks(t: Tables) -> DataFrame:
-    """The validation shards' chunks, whose global place comes from the shard offsets."""
+    """From the validation shards' chunks, which the reader places in their split's stream."""
     chunks = TS.read_tokens(t.spark, t.shard_folder, "val", chunkTokens=CHUNK)
-    offsets = H.shard_offsets(TS.read_headers(t.spark, t.shard_folder, "val"))
-    placed = chunks.join(offsets.select("name", "token_start"), "name")
-    placed = placed.select((F.col("start") + F.col("token_start")).alias("start"), "tokens")
+    placed = chunks.select(F.col("split_start").alias("start"), "tokens")
     return _windows(S.windows_from_chunks(placed, LENGTH))
 
 

@@ -9,18 +9,23 @@ of a shard in one partition and in order; see ``write_shards``.
 Reading has three modes:
 
 * ``headers``: one row per file;
-* ``tokens``: chunks (split, shard_index, name, start, tokens) of long files,
-  read in ranges;
+* ``tokens``: chunks (split, shard_index, name, start, split_start, tokens) of
+  long files, read in ranges; ``start`` counts from the shard's first token,
+  ``split_start`` from the split's;
 * ``windows``: fixed-length windows over all files of a split, (epoch,
   seq_idx, input_ids). File sizes tell where each window lies, so no shuffle
   is needed.
+
+Comparisons of the split, the shard number and the window index are pushed into
+the reader, which then opens no other files.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -32,7 +37,14 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
@@ -63,7 +75,7 @@ SCHEMAS = {
     "headers": "split string, shard_index int, name string, path string, file_bytes bigint, header struct<"
     + ",".join(f"{f}:int" for f in HEADER_FIELDS)
     + ">",
-    "tokens": "split string, shard_index int, name string, start bigint, tokens array<int>",
+    "tokens": "split string, shard_index int, name string, start bigint, split_start bigint, tokens array<int>",
     "windows": "epoch int, seq_idx bigint, input_ids array<int>",
 }
 
@@ -148,7 +160,10 @@ class FilesPartition(InputPartition):
 
 @dataclass
 class RangePartition(InputPartition):
+    """A part of a shard; ``base`` is the shard's place in its split's stream."""
+
     shard: ShardFile
+    base: int
     begin: int
     end: int
 
@@ -160,6 +175,17 @@ class WindowPartition(InputPartition):
     segments: list[tuple[ShardFile, int, int]]
 
 
+# The range of whole numbers that a comparison leaves.
+_RANGES = {
+    EqualTo: lambda v: (v, v),
+    GreaterThan: lambda v: (v + 1, math.inf),
+    GreaterThanOrEqual: lambda v: (v, math.inf),
+    LessThan: lambda v: (-math.inf, v - 1),
+    LessThanOrEqual: lambda v: (-math.inf, v),
+    In: lambda vs: (min(vs), max(vs)),
+}
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.folder = options["path"]
@@ -178,16 +204,43 @@ class ShardReader(DataSourceReader):
             int(options.get("phases", 4)),
         )
 
+        self.only: dict[str, tuple[float, float]] = {}
+        self.only_split: str | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Ranges of shard numbers or windows and the split's name prune what is read; Spark still applies them."""
+        for f in filters:
+            yield f
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column == "split" and isinstance(f, EqualTo):
+                self.only_split = f.value
+            elif column in ("shard_index", "seq_idx") and type(f) in _RANGES:
+                low, high = _RANGES[type(f)](f.value)
+                before = self.only.get(column, (-math.inf, math.inf))
+                self.only[column] = (max(low, before[0]), min(high, before[1]))
+
+    def _wanted(self, shard: ShardFile) -> bool:
+        low, high = self.only.get("shard_index", (-math.inf, math.inf))
+        return low <= shard.shard_index <= high and self.only_split in (None, shard.split)
+
     def partitions(self) -> list[InputPartition]:
         shards = list_shards(self.folder, self.split, self.prefix)
         check_contiguous(shards)
+        if self.mode != "windows":
+            bases: dict[str, int] = {}
+            placed = []
+            for shard in shards:
+                placed.append((shard, bases.get(shard.split, 0)))
+                bases[shard.split] = placed[-1][1] + shard.token_count
+            placed = [x for x in placed if self._wanted(x[0])]
+            shards = [shard for shard, _ in placed]
         if self.mode == "headers":
-            return [FilesPartition(shards[i : i + 64]) for i in range(0, len(shards), 64)]
+            return [FilesPartition(shards[i : i + 64]) for i in range(0, len(shards), 64)] or [FilesPartition([])]
         if self.mode == "tokens":
             step = -(-self.per_task // self.chunk) * self.chunk
             return [
-                RangePartition(s, begin, min(begin + step, s.token_count))
-                for s in shards
+                RangePartition(s, base, begin, min(begin + step, s.token_count))
+                for s, base in placed
                 for begin in range(0, s.token_count, step)
             ] or [FilesPartition([])]
         return self._window_partitions(shards)
@@ -196,8 +249,9 @@ class ShardReader(DataSourceReader):
         length, offset = self.window.max_seq_length, self.window.offset(self.epoch)
         total = sum(s.token_count for s in shards)
         count = max(total - offset, 0) // length
-        first = self.first or 0
-        last = count if self.last is None else min(self.last, count)
+        low, high = self.only.get("seq_idx", (-math.inf, math.inf))
+        first = int(max(self.first or 0, low, 0))
+        last = int(min(count if self.last is None else self.last, count, high + 1))
         step = max(self.per_task // length, 1)
         tasks = [WindowPartition(i, min(step, last - i), []) for i in range(first, last, step)]
         task, base = 0, 0
@@ -262,9 +316,10 @@ class ShardReader(DataSourceReader):
                     pa.array([part.shard.shard_index], pa.int32()),
                     pa.array([part.shard.name]),
                     pa.array([at], pa.int64()),
+                    pa.array([part.base + at], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens)),
                 ],
-                names=["split", "shard_index", "name", "start", "tokens"],
+                names=["split", "shard_index", "name", "start", "split_start", "tokens"],
             )
             at += len(tokens)
 
@@ -411,6 +466,7 @@ class TokenShards(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenShards)
 
 

@@ -66,12 +66,56 @@ def test_windows_longer_than_stream(spark, unaligned):
 def test_chunks_agree_with_windows(spark, unaligned):
     folder, stream = unaligned
     chunks = TS.read_tokens(spark, str(folder), "train", chunkTokens=64, partitionTokens=128)
-    catalog = H.open_shards(spark, str(folder), "train").select("name", "token_start")
-    placed = chunks.join(catalog, "name").selectExpr("start + token_start AS start", "tokens")
+    placed = chunks.selectExpr("split_start AS start", "tokens")
     found = {r["seq_idx"]: r["input_ids"] for r in S.windows_from_chunks(placed, 100).collect()}
     assert found == expected(stream, 100)
 
 
+def test_filters_prune_files_and_windows(spark, unaligned):
+    """Comparisons of the split, the shard number and the window index reach the reader."""
+    folder, stream = unaligned
+    tokens = TS.read_tokens(spark, str(folder), chunkTokens=64, partitionTokens=64)
+    val = tokens.where("split = 'val'")
+    assert val.rdd.getNumPartitions() == 10 and val.where("split_start != start").count() == 0
+    third = tokens.where("shard_index >= 3 AND shard_index < 9")
+    assert third.rdd.getNumPartitions() == 15 and third.selectExpr("min(split_start)").first()[0] == 705
+    assert tokens.where("shard_index IN (1, 2)").rdd.getNumPartitions() == 1
+    assert tokens.where("split = 'none'").count() == 0
+    headers = TS.read_headers(spark, str(folder)).where("split = 'val'")
+    assert [r["name"] for r in headers.collect()] == ["fineweb_val_000009.bin"]
+    every = TS.read_windows(spark, str(folder), "train", WindowConfig(100), partitionTokens=100)
+    some = every.where("seq_idx > 2 AND seq_idx <= 4 OR seq_idx = 3").where("seq_idx >= 3")
+    assert {r["seq_idx"]: r["input_ids"] for r in some.collect()} == {i: stream[100 * i : 100 * i + 100] for i in (3, 4)}
+    assert every.where("seq_idx = 7").rdd.getNumPartitions() == 1
+    assert every.where("seq_idx < 0").count() == 0 and every.where("seq_idx = 99").count() == 0
+
+
+def test_shards_must_be_numbered_in_a_row(spark, tmp_path, shard_file):
+    shard_file(tmp_path, "fineweb_train_000000.bin", range(100, 164))
+    shard_file(tmp_path, "fineweb_train_000002.bin", range(100, 164))
+    with pytest.raises(Exception, match="numbered in a row"):
+        windows(spark, tmp_path, 8)
+
+
+def test_other_names_are_no_shards(spark, tmp_path, shard_file):
+    shard_file(tmp_path, "fineweb_train_000000.bin", range(100, 164))
+    shard_file(tmp_path, "fineweb_train_last.bin", range(100, 164))
+    assert [s.name for s in TS.list_shards(str(tmp_path))] == ["fineweb_train_000000.bin"]
+
+
+@pytest.mark.parametrize(
+    "path,place",
+    [("/a/b", "/a/b"), ("file:/a/b", "/a/b"), ("file:///a/b", "/a/b"), ("dbfs:/a/b", "/dbfs/a/b"), ("a/b", "a/b")],
+)
+def test_local_paths(path, place):
+    assert TS.filesystem(path)[1] == place
+
+
+def test_paths_are_those_of_spark(spark):
+    assert TS.qualified(spark, "/a/b") == "file:/a/b"
+    assert TS.qualified(spark, "file:///a/b").startswith("file:/")
+
+
 def test_catalog(spark, unaligned):
     folder, _ = unaligned
     rows = H.open_shards(spark, str(folder), "train").orderBy("name").collect()
@@ -81,10 +125,9 @@ def test_catalog(spark, unaligned):
     assert totals == {"train": (4, 1605), "val": (1, 600)}
 
 
-@pytest.mark.parametrize("shipped", [H.MAX_SHIPPED_SHARDS, 0])
+@pytest.mark.parametrize("shipped", [H.MAX_SHIPPED_SHARDS, 2, 1])
 def test_locate(spark, unaligned, monkeypatch, shipped):
     monkeypatch.setattr(H, "MAX_SHIPPED_SHARDS", shipped)
-    monkeypatch.setattr(H, "BLOCK_SHARDS", 2)
     catalog = H.open_shards(spark, str(unaligned[0]), "train")
     positions = spark.createDataFrame([(p,) for p in (0, 699, 700, 704, 705, 1604, 1605, -1)], "position bigint")
     found = {tuple(r) for r in H.locate(positions, catalog).collect()}
