@@ -57,10 +57,10 @@ class Group:
 
     window: int
     vocabulary: dict[bytes, int] = field(default_factory=dict)
-    words: list[int] = field(default_factory=list)
+    words: list[int] | np.ndarray = field(default_factory=list)
     items: list[str | None] = field(default_factory=list)
     # Of each suffix: item, start in the item, start in ``words``, words left.
-    suffixes: list[tuple[int, int, int, int]] = field(default_factory=list)
+    suffixes: list[tuple[int, int, int, int]] | np.ndarray = field(default_factory=list)
 
     def add(self, item: str | None, found: list[bytes]) -> None:
         base, n = len(self.words), len(found)
@@ -68,6 +68,11 @@ class Group:
         self.suffixes += [(len(self.items), at, base + at, n - at) for at in range(n - self.window + 1)]
         self.items.append(item)
 
+    def packed(self) -> Group:
+        """With arrays for lists, to be sent to the tasks."""
+        words, suffixes = np.array(self.words, np.int64), np.array(self.suffixes, np.int64).reshape(-1, 4)
+        return Group(self.window, self.vocabulary, words, self.items, suffixes)
+
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[Group]]:
     """The benchmark in blocks of at most ``block_words`` words (or one item), each as groups by window length."""
@@ -78,13 +83,13 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_
         if not found:
             continue
         if held and held + len(found) > block_words:
-            yield list(groups.values())
+            yield [group.packed() for group in groups.values()]
             groups, held = {}, 0
         length = min(window, len(found))
         groups.setdefault(length, Group(length)).add(row[0], found)
         held += len(found)
     if groups:
-        yield list(groups.values())
+        yield [group.packed() for group in groups.values()]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -166,9 +171,11 @@ class Index:
 
     def matches(self, group: Group) -> tuple[np.ndarray, ...]:
         """Maximal matches: place of the first word, item, start in the item, number of words."""
-        words = np.array(group.words, np.int64)
-        item, offset, start, left = np.array(group.suffixes, np.int64).reshape(-1, 4).T
-        m = group.window
+        words, m = group.words, group.window
+        # A suffix whose first word isn't in the shard has no match.
+        there = np.zeros(len(group.vocabulary) + 1, bool)
+        there[self.text] = True
+        item, offset, start, left = group.suffixes[there[words[group.suffixes[:, 2]]]].T
         found = np.flatnonzero(self.longest(words, start, left) >= m)
         item, offset, start = item[found], offset[found], start[found]
         limit = np.full(len(found), m, np.int64)
@@ -199,7 +206,7 @@ def _find(texts: list[str | None], groups: list[Group], shard_words: int) -> tup
             # A 0 after each document keeps runs within it.
             ids = np.concatenate([np.concatenate((found[k], [0])) for _, found in shard])
             bounds = np.cumsum([0, *(len(found[k]) + 1 for _, found in shard)])
-            index = Index(ids, group.window, max(left for *_, left in group.suffixes))
+            index = Index(ids, group.window, int(group.suffixes[:, 3].max()))
             place, item, offset, length = index.matches(group)
             at = np.searchsorted(bounds, place, side="right") - 1
             for d, p, i, o, n in zip(at.tolist(), (place - bounds[at]).tolist(), item.tolist(), offset.tolist(), length.tolist()):
