@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import delete_path, new_path
+
+
+def _written(edges: DataFrame) -> tuple[str, DataFrame]:
+    spark = edges.sparkSession
+    path = new_path(spark, "links")
+    edges.write.parquet(path)
+    return path, spark.read.schema(edges.schema).parquet(path)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     lost. A node's neighbours are never gathered, so a hub is no large group;
     sums are taken before rows move, and joins on a hub's key can be split.
     """
+    spark = links.sparkSession
     larger, smaller = F.greatest("a", "b"), F.least("a", "b")
-    edges = materialize(links.where("a <> b").select(larger.alias("u"), smaller.alias("v")).distinct(), "links")
+    path, edges = _written(links.where("a <> b").select(larger.alias("u"), smaller.alias("v")).distinct())
 
     def state(table: DataFrame) -> tuple:
         mark = F.xxhash64("u", "v").cast("decimal(38,0)")
@@ -38,7 +46,9 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        old = path
+        path, edges = _written(_small_star(_large_star(edges)))
+        delete_path(spark, old)
         after = state(edges)
         if after == before:
             break
