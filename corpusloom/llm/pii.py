@@ -59,8 +59,9 @@ _GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in name
 _NAME = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
 _ENTITY = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,})"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d))"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))"
+    r"|(?P<phone>(?<![\w+])\+(?:\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
+    r"|\d{1,3}(?P<gap>[ .-])\d{1,4}(?:(?P=gap)\d{2,4}){1,4}|\d{8,15})(?!\.?\d))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<card>(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d))"
     r"|\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<first>" + _NAME + r")(?: (?P<last>" + _NAME + r"))?"

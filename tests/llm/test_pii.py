@@ -87,6 +87,22 @@ def test_odd_rows(odd, odd_rows, empty, clashing):
     assert pii.replace_entities(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("+1 (826) 555-4081 190.137.223.204", ["phone", "ip"]),
+        ("+1 (826) 555-4081 4845168414407329!", ["phone", "card"]),
+        ("+33 1 23 45 67 89, +49-30-123456x", ["phone"]),
+        ("+4930123456 or 190.137.223.204.", ["phone", "ip"]),
+        ('"ABCDEF0123456789ABCDEF0123456789ABCD"!!', ["secret"]),
+        ("1.2.3.4.5 and 300.1.1.1 and 12345678901234567", []),
+        ("A@B.C @x.org a@b", []),
+    ],
+)
+def test_neighbours(text, kinds):
+    assert [e["kind"].split("-")[0] for e in pii.find_entities(text)] == kinds
+
+
 def test_long_words_are_linear():
     assert pii.find_entities("a" * 300_000 + " 1@") == []
     assert pii.find_entities("1 " * 300_000 + "@") == []
@@ -95,7 +111,7 @@ def test_long_words_are_linear():
 def test_query(spark, texts):
     found = {r["doc_id"]: r for r in queries.op5_pii(spark, SMALL).collect()}
     assert len(found) == len(texts)
-    personal = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|(?<!\d)\d{16}(?!\d)|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}")
+    personal = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|(?<!\d)\d{16}(?!\d)|\d+\.\d+\.\d+\.\d+|[0-9a-fA-F]{40}")
     for d, t, _ in texts:
         originals = set(personal.findall(t))
         assert not any(x in found[d]["text"] for x in originals)
