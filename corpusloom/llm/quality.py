@@ -84,6 +84,11 @@ def features(text: Column, split: Column | None = None) -> dict[str, Column]:
     }
 
 
+def _with_words(text: Column, body: Callable[[Features], Column]) -> Column:
+    """``body`` of the text's features, where the words are cut once and each feature is computed when it is asked for."""
+    return bind(words(text), lambda w: body(features(text, w).__getitem__))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -130,18 +135,17 @@ def estimate(
     texts = docs.select(F.col(text_col).alias("text"))
     total = texts.count()
     sample = materialize(texts.sample(min(1.0, sample_rows / max(total, 1)), seed), "quality-sample")
-    lazy = features(F.col("text"))
 
-    def run(test: Column) -> tuple[float, float]:
+    def run(test: Callable[[Features], Column]) -> tuple[float, float]:
         begin = time.perf_counter()
-        rejected = sample.agg(F.avg(test.cast("double"))).first()[0]
+        rejected = sample.agg(F.avg(_with_words(F.col("text"), test).cast("double"))).first()[0]
         return time.perf_counter() - begin, rejected or 0.0
 
-    run(F.length("text") < 0)
-    base = min(run(F.length("text") < 0)[0] for _ in range(2))
+    # What the words cost is no rule's own cost.
+    base = min(run(lambda f: f("n_words") < 0)[0] for _ in range(3))
     found = []
     for rule in rules:
-        seconds, rejected = run(rule.rejects(lazy.__getitem__))
+        seconds, rejected = run(rule.rejects)
         found.append(Estimate(rule.name, max(seconds - base, 1e-3), rejected))
     return found
 
@@ -164,7 +168,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str =
     """The cascade over ``text_col``, its rules ordered by estimates on ``docs``."""
     rules = default_rules() if rules is None else rules
     ordered = in_order(rules, estimate(docs, rules, text_col))
-    return rejected_by(ordered, features(F.col(text_col)).__getitem__)
+    return _with_words(F.col(text_col), lambda f: rejected_by(ordered, f))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text") -> DataFrame:
