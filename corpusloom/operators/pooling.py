@@ -45,9 +45,9 @@ def _looked_up(at: DataFrame, vectors: DataFrame, key: str, size: int, max_broad
         salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         at = at.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int"))
         joined = at.join(salted.hint("shuffle_merge"), ["token_id", "salt"], "left")
-    kind = vectors.schema["vec"].dataType
-    unknown = F.raise_error(F.format_string("No vector for token %s", F.col("token_id").cast("string"))).cast(kind)
-    return joined.select(key, "pos", "token_id", F.when(F.col("known"), F.col("vec")).otherwise(unknown).alias("vec"))
+    # A filter of its own, so that reading the vector stays a plain column.
+    unknown = F.raise_error(F.format_string("No vector for token %s", F.col("token_id").cast("string")))
+    return joined.where(F.coalesce("known", unknown.cast("boolean"))).select(key, "pos", "token_id", "vec")
 
 
 def lookup_vectors(

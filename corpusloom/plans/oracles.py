@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusloom.operators.tokenize import TOKEN_PATTERN
 from corpusloom.operators.vocab import DEFAULT_MAX_VOCAB
 from corpusloom.plans.queries import (
-    BATCH, CHUNK, EPOCH, LENGTH, LONG_SHARD, MAX_DOCS, PHASES, SEED, SHARD_SIZE, VAL_SHARDS,
+    BATCH, CHUNK, EPOCH, LENGTH, LONG_SHARD, MAX_DOCS, PHASES, SEED, SHARD_SIZE, VAL_SHARDS, VECTOR_DIMS,
 )
 
 OFFSET = EPOCH % PHASES * LENGTH // PHASES
@@ -201,9 +201,11 @@ def _tokens_of(table: str, keys: str) -> str:
 SELECT {keys}, count(*)::INTEGER AS n, {_join("id", "place")} AS tokens FROM ids GROUP BY ALL"""
 
 
+VECTOR_MIX = " + ".join(["0.0::DOUBLE", *(f"{i + 1} * vec[{i + 1}]::DOUBLE" for i in range(VECTOR_DIMS))])
+
 LOOKED_UP = f"""{STREAM}, {_windows()}, {VECTORS}
 SELECT seq_idx, spot::INTEGER AS pos, id AS token_id,
-       md5(array_to_string(list_transform(vec, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',')) AS vec_md5
+       round({VECTOR_MIX}, 6) AS vec_mix
 FROM win JOIN vectors ON token_id = id"""
 
 EMBEDDED = f"""{STREAM}, {VECTORS},

@@ -41,6 +41,8 @@ PHASES = 4
 BATCH = 32
 MAX_DOCS = 100
 STREAM_ROUNDS = 4
+# Dimensions of the table's vectors.
+VECTOR_DIMS = 64
 
 
 class Tables:
@@ -529,9 +531,9 @@ def token_vector_lookup_joined(t: Tables) -> DataFrame:
 
 
 def _vectors(found: DataFrame) -> DataFrame:
-    """Every dimension, as integers of a millionth, so that the whole vector is compared."""
-    whole = F.transform("vec", lambda x: F.round(x.cast("double") * 1e6).cast("bigint"))
-    return found.select("seq_idx", "pos", "token_id", F.md5(text(whole).cast("binary")).alias("vec_md5"))
+    """One number that every dimension has a part in, so that the whole vector is compared."""
+    mixed = sum(((i + 1) * F.get("vec", F.lit(i)).cast("double") for i in range(VECTOR_DIMS)), F.lit(0.0))
+    return found.select("seq_idx", "pos", "token_id", F.round(mixed, 6).alias("vec_mix"))
 
 
 def _pooled(pooled: DataFrame, key: str) -> DataFrame:
