@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup
+from corpusloom.llm import embedding_dedup, line_dedup
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 _ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,6 +85,81 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || t
 FROM turns JOIN loss USING (conv_id) GROUP BY conv_id
 """
 
+# CRC-32 of a short ASCII text, bit by bit.
+_CRC32 = (
+    "xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ord(x)::BIGINT), lambda c, b: "
+    "list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)), "
+    "4294967295::BIGINT), 4294967295)"
+)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# Nodes of all levels; a level of one node is the last.
+_TREE = """
+  SELECT {group}, 0 AS level, pos, digest, n FROM {leaves}
+  UNION ALL
+  SELECT {group}, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM {tree} WHERE n > 1 GROUP BY {group}, level, pos // 2"""
+
+OP11 = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS digest,
+    CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf("(n_chars + 1)")} END AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+  FROM rows),
+low AS ({_TREE.format(group="g", leaves="leaves", tree="low")}),
+subroots AS (SELECT 0 AS top, g AS pos, digest, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS ({_TREE.format(group="top", leaves="subroots", tree="high")}),
+steps AS (
+  SELECT l.g, l.pos, low.level, max(o.digest) FILTER (o.pos < l.pos >> low.level) AS a, max(o.digest) FILTER (o.pos > l.pos >> low.level) AS b
+  FROM leaves l JOIN low ON low.g = l.g AND low.pos = l.pos >> low.level AND low.n > 1
+  LEFT JOIN low o ON o.g = l.g AND o.level = low.level AND o.pos = xor(low.pos, 1)
+  GROUP BY ALL
+  UNION ALL
+  SELECT l.g, l.pos, 1000 + high.level, max(o.digest) FILTER (o.pos < l.g >> high.level), max(o.digest) FILTER (o.pos > l.g >> high.level)
+  FROM leaves l JOIN high ON high.pos = l.g >> high.level AND high.n > 1
+  LEFT JOIN high o ON o.level = high.level AND o.pos = xor(high.pos, 1)
+  GROUP BY ALL),
+proofs AS (
+  SELECT g, pos, string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY level) AS proof,
+    list({{'a': coalesce(a, ''), 'b': coalesce(b, '')}} ORDER BY level) AS way
+  FROM steps GROUP BY g, pos),
+folded AS (
+  SELECT doc_id, l.digest AS leaf, s.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_transform(coalesce(way, []), lambda s: s.a || '|' || s.b), lambda acc, s: sha256(split_part(s, '|', 1) || acc || split_part(s, '|', 2)),
+      coalesce(tampered, l.digest)) AS folded_root
+  FROM leaves l JOIN subroots s ON s.pos = l.g LEFT JOIN proofs p ON p.g = l.g AND p.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+OP13 = f"""
+WITH RECURSIVE given AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER () AS k FROM embeddings),
+valid AS (
+  SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM given
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.k AS a, b.k AS b, b.vec_id FROM valid a JOIN valid b
+  ON len(a.v) = len(b.v) AND a.k <> b.k AND list_dot_product(a.v, b.v) / (a.size * b.size) >= {embedding_dedup.THRESHOLD}),
+reached AS (SELECT k AS a, k AS b FROM given UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+classes AS (SELECT a, min(vec_id) AS component_id FROM reached JOIN given ON reached.b = given.k GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM given JOIN classes ON classes.a = given.k LEFT JOIN degrees ON degrees.a = given.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Not op2 (CRC-32), op3 and op7 (files and training), op4 (draws), op5 (keyed hashes), op10 (XXH64)."""
-    return {"op1_decontamination": OP1, "op6_quality": OP6, "op8_line_dedup": OP8, "op9_chat": OP9}
+    """Not op2 (CRC-32), op3 and op7 (files and training), op4 (draws), op5 (keyed hashes), op10 (XXH64), op12 (suffix trees)."""
+    return {"op1_decontamination": OP1, "op6_quality": OP6, "op8_line_dedup": OP8, "op9_chat": OP9, "op11_merkle": OP11, "op13_embeddings": OP13}

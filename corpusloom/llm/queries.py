@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
     chat,
     decontamination,
+    embedding_dedup,
     licenses,
     line_dedup,
+    merkle,
     mixing,
     oracles,
+    periodic,
     pii,
     quality,
     sharding,
@@ -143,6 +146,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits, "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what the proofs make of rows some of which were tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    # One more character claimed for every seventh row or so.
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(picked & F.col("n_chars").isNotNull(), leaf(F.col("n_chars") + 1))
+    info = F.struct("doc_id", tampered.alias("tampered"))
+    found = merkle.manifest(docs, leaf(F.col("n_chars")), F.col("lang"), F.col("doc_id"), info)
+    folded = found.select(
+        F.col("info.doc_id").alias("doc_id"),
+        F.col("digest").alias("leaf"),
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("info.tampered", "digest"), F.col("steps")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts, every tenth or so made periodic from some word on."""
+    return periodic.find_runs(_table(spark, sf_dir, "documents"), change=periodic.periodic_tail).select(
+        F.col("id").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept)
+
+
 ALL = (
     op1_decontamination,
     op2_sharding,
@@ -154,6 +193,9 @@ ALL = (
     op8_line_dedup,
     op9_chat,
     op10_simhash,
+    op11_merkle,
+    op12_runs,
+    op13_embeddings,
 )
 
 
