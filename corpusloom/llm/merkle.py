@@ -62,6 +62,8 @@ def proof_digest(steps: Column) -> Column:
 
 def _levels(n: str, fanout: int) -> Column:
     """Levels above the leaves of a tree of n of them."""
+    if fanout < 2:
+        raise ValueError(f"A node needs at least 2 slots, not {fanout}")
     powers = [1]
     while powers[-1] * fanout < 1 << 62:
         powers.append(powers[-1] * fanout)
@@ -145,8 +147,6 @@ class Trees:
     """Trees over nodes ``(tree, pos, levels, digest, info)``, ``pos`` from 0 without gaps in each tree."""
 
     def __init__(self, nodes: DataFrame, fanout: int = FANOUT):
-        if fanout < 2:
-            raise ValueError(f"A node needs at least 2 slots, not {fanout}")
         self.fanout = fanout
         self.depth = 1
         while fanout ** (self.depth + 1) <= SLOTS:
@@ -202,9 +202,10 @@ def manifest(
     ``digest`` is the row's leaf, ``info`` a struct to carry along, ``steps`` the
     proof: the siblings left and right of the way up, level by level.
     """
+    levels = _levels("leaves", fanout)
     rows = docs.select(group.alias("grp"), key.alias("key"), digest.alias("digest"), info.alias("info"))
     placed = materialize(_placed(rows), "merkle-leaves")
-    nodes = placed.select("tree", "pos", _levels("leaves", fanout).alias("levels"), "digest", "info")
+    nodes = placed.select("tree", "pos", levels.alias("levels"), "digest", "info")
     groups = Trees(nodes, fanout)
     # As many rows as groups.
     count = placed.agg(F.max("trees")).first()[0] or 0
