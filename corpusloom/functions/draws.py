@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 DRAW_RANGE = 2**32
 
 # First key of every draw, so that uses of the same seed stay independent.
-PERMUTE, MASK, SPAN_LENGTH, SPAN_GAP = 1, 2, 3, 4
+PERMUTE, MASK, SPAN_LENGTH, SPAN_GAP, FEISTEL = 1, 2, 3, 4, 5
 
 HASHES = ("xxhash64", "md5")
 

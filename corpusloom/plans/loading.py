@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SHARD_PREFIX, LoaderConfig, MaskConfig, SpanConfig, WindowConfig
 from corpusloom.functions.arrays import pad_to
+from corpusloom.operators.bijection import Bijection
 from corpusloom.operators.objectives import build
 from corpusloom.operators.order import batches, permutation, permute, rank_stripes, resume, sequential
 from corpusloom.operators.shards import open_shards
 from corpusloom.session import shuffle_width
-from corpusloom.sources.token_shards import list_shards, read_windows
+from corpusloom.sources.token_shards import list_shards, read_ordered, read_windows
 
 
 def num_windows(total_tokens: int, config: WindowConfig, epoch: int = 0) -> int:
@@ -45,7 +46,10 @@ def sample_order(
     index: int = 0, hash_fn: str = "xxhash64",
 ) -> DataFrame:
     """(epoch, seq_idx, pos, rank, local_pos, batch_id, pos_in_batch) from ``index`` on, without the samples."""
-    if config.shuffle:
+    if config.shuffle and config.order == "keyed":
+        ids = spark.range(num_samples).select(F.lit(epoch).alias("epoch"), F.col("id").alias("seq_idx"))
+        order = ids.withColumn("pos", Bijection(num_samples, seed, epoch, hash_fn).position(F.col("seq_idx")))
+    elif config.shuffle:
         order = permutation(spark, num_samples, seed, epoch, hash_fn)
     else:
         order = sequential(spark, num_samples, epoch)
@@ -61,17 +65,23 @@ def training_batches(
 
     Windows are read in place and take their tokens along into the shuffled
     order, which is the only time tokens move; span corruption pads per batch and
-    needs a second shuffle.
+    needs a second shuffle. A keyed order moves nothing: each window's place is
+    computed, so windows before ``index`` aren't read.
     """
     window_config, loader = window_config or WindowConfig(), loader or LoaderConfig()
     open_shards(spark, folder, split, objective_config.identity, **options)
     total = sum(s.token_count for s in list_shards(folder, split, options.get("prefix", SHARD_PREFIX)))
     count = num_windows(total, window_config, epoch)
-    samples = read_windows(spark, folder, split, window_config, epoch, **options).drop("epoch")
-    if loader.shuffle:
+    keyed = loader.shuffle and loader.order == "keyed"
+    if keyed:
+        samples = read_ordered(spark, folder, split, window_config, seed, epoch, objective_config.hash_fn, **options)
+    else:
+        samples = read_windows(spark, folder, split, window_config, epoch, **options)
+    samples = samples.drop("epoch")
+    if loader.shuffle and not keyed:
         width = shuffle_width(spark, total)
         samples = permute(samples, count, seed, epoch, objective_config.hash_fn, partitions=width)
-    else:
+    elif not keyed:
         samples = samples.withColumn("pos", F.col("seq_idx"))
     placed = arrange(samples, count, loader, index)
     placed = placed.select("rank", "batch_id", "pos_in_batch", "seq_idx", "input_ids")

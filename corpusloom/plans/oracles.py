@@ -80,6 +80,32 @@ ORDERED = f"""{PERMUTED}, {_windows()},
 firsts AS (SELECT seq_idx, pos, id AS first_id FROM win JOIN perm USING (seq_idx) WHERE spot = 0)
 """
 
+
+
+def _recursive(ctes: str) -> str:
+    return ctes.replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _keyed(seqs: str) -> str:
+    """CTE keyed(seq_idx, pos): the Feistel network's order of the ids 0..n-1 of ``seqs``, to be used with RECURSIVE."""
+    moved = {half: _key("5", str(SEED + EPOCH), "kk", half) for half in ("l", "r")}
+    return f"""
+ids_of AS (SELECT DISTINCT seq_idx FROM {seqs}),
+sides AS (
+  SELECT n, a, greatest((n + a - 1) // a, 1) AS b
+  FROM (SELECT n, unnest(range(root, 64 * root + 1)) AS a FROM (
+    SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS root FROM ids_of))
+  ORDER BY greatest((a - n % a) % a, 16), a LIMIT 1),
+feistel AS (
+  SELECT seq_idx, 0 AS k, seq_idx // b AS l, seq_idx % b AS r FROM ids_of, sides
+  UNION ALL
+  SELECT seq_idx, kk + 1, CASE WHEN kk % 2 = 0 THEN (l + {moved["r"]} % a) % a ELSE l END,
+         CASE WHEN kk % 2 = 1 THEN (r + {moved["l"]} % b) % b ELSE r END
+  FROM (SELECT seq_idx, k % 8 AS kk, l, r, a, b FROM feistel, sides WHERE k < 8 OR l * b + r >= n)),
+keyed AS (SELECT seq_idx, l * b + r AS pos FROM feistel, sides WHERE k = 8 AND l * b + r < n)
+"""
+
+
 SHARDED = f"""{STREAM},
 sharded AS (
   SELECT (pos // {SHARD_SIZE})::INTEGER AS shard_index, pos % {SHARD_SIZE} AS spot, id, doc_id,
@@ -284,6 +310,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT epoch::INTEGER AS epoch, epoch % {PHASES} * {LENGTH} // {PHASES} AS "offset",
                    greatest(n - epoch % {PHASES} * {LENGTH} // {PHASES}, 0) // {LENGTH} AS num_sequences
             FROM (SELECT count(*) AS n FROM stream), (SELECT unnest(range(8)) AS epoch)""",
+        "keyed_permutation": f"""{_recursive(STREAM)}, {_windows()}, {_keyed("win")}
+            SELECT seq_idx, pos, seq_idx AS back, id AS first_id FROM win JOIN keyed USING (seq_idx) WHERE spot = 0""",
+        "keyed_resume": f"""{_recursive(STREAM)}, {_windows(OFFSET, shift=val_tokens)}, {_masked(0.30)}, {_keyed("win")}
+            SELECT (pos - n * 9 // 10) // {BATCH} AS batch_id, ((pos - n * 9 // 10) % {BATCH})::INTEGER AS pos_in_batch, seq_idx,
+                   {_join(HIDDEN, "spot")} AS input_ids, {_join("label", "spot")} AS labels
+            FROM masked JOIN keyed USING (seq_idx), sides WHERE pos >= n * 9 // 10
+            GROUP BY seq_idx, pos, n""",
+        "manifest_generations": f"""{STREAM}
+            SELECT g::BIGINT AS generation, printf('fineweb_%s_%06d.bin', CASE WHEN i < {VAL_SHARDS} THEN 'val' ELSE 'train' END, i) AS name,
+                   count(*) AS tokens
+            FROM (SELECT g, pos // size AS i FROM stream, (VALUES (1, {SHARD_SIZE}), (2, {SHARD_SIZE // 2})) AS t(g, size))
+            GROUP BY g, i""",
+        "windows_stream": f"SELECT seq_idx, input_ids FROM ({_window_rows(0, 0, shift=val_tokens)})",
         "epoch_permutation": f"{ORDERED} SELECT {EPOCH}::INTEGER AS epoch, seq_idx, pos, first_id FROM firsts",
         "resume_tail": f"{ORDERED} SELECT pos, seq_idx, first_id FROM firsts, total WHERE pos >= n // 3",
         "rank_stripes_drop": _stripes(3, True),

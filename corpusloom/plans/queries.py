@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.config import IGNORE_LABEL, LoaderConfig, SpanConfig, WindowConfig, electra_config, mlm_config
+from corpusloom.config import HEADER_BYTES, IGNORE_LABEL, LoaderConfig, SpanConfig, WindowConfig, electra_config, mlm_config
 from corpusloom.functions import arrays, scalars
 from corpusloom.operators import batches as B
 from corpusloom.operators import metrics as M
@@ -24,9 +24,11 @@ from corpusloom.operators import shards as H
 from corpusloom.operators import stream as S
 from corpusloom.operators import tokenize as T
 from corpusloom.operators import vocab as V
+from corpusloom.operators.bijection import Bijection
 from corpusloom.plans import loading, pretokenize
 from corpusloom.session import materialize, new_path
 from corpusloom.sources import documents as D
+from corpusloom.sources import shard_stream as SS
 from corpusloom.sources import state as ST
 from corpusloom.sources import token_shards as TS
 from corpusloom.streaming.packing import IncrementalPacker
@@ -275,6 +277,32 @@ def _first_id() -> Column:
     return F.get("input_ids", F.lit(0)).alias("first_id")
 
 
+def manifest_generations(t: Tables) -> DataFrame:
+    """Shards of both generations of a folder that was written and then overwritten with shards of half the size."""
+    folder = new_path(t.spark, "generations")
+    for size in (SHARD_SIZE, SHARD_SIZE // 2):
+        pretokenize.write_corpus(t.corpus, folder, t.identity, size, VAL_SHARDS, mode="overwrite")
+    rows = TS.manifest_rows(t.spark, folder).where("generation > 0")
+    damaged = TS.damaged_shards(t.spark, folder)
+    intact = rows.join(damaged, "name", "left").where(F.col("problem").isNull())
+    return intact.select("generation", "name", ((F.col("size") - HEADER_BYTES) / 2).cast("bigint").alias("tokens"))
+
+
+def windows_stream(t: Tables) -> DataFrame:
+    """Windows of a shard folder that grows while a stream reads it, in rounds with a restart after each."""
+    folder, out, check = (new_path(t.spark, x) for x in ("growing", "streamed", "stream-check"))
+    pieces = t.shard_pieces()
+    shards = t.corpus.num_shards(SHARD_SIZE)
+    step = -(-shards // STREAM_ROUNDS)
+    for first in range(0, shards, step):
+        TS.write_shards(pieces.where(F.col("shard_index").between(first, first + step - 1)), folder, t.identity)
+        stream = SS.stream_windows(t.spark, folder, "train", WindowConfig(LENGTH), include_tail=first + step >= shards)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", check)
+        query.trigger(availableNow=True).start(out).awaitTermination()
+    rows = t.spark.read.schema(TS.SCHEMAS["windows"]).parquet(out)
+    return rows.select("seq_idx", text("input_ids").alias("input_ids"))
+
+
 def epoch_permutation(t: Tables) -> DataFrame:
     return _in_order(t).select("epoch", "seq_idx", "pos", _first_id())
 
@@ -303,6 +331,31 @@ def loader_order(t: Tables) -> DataFrame:
     return order.select("rank", "batch_id", "pos_in_batch", "seq_idx", _first_id())
 
 
+def _bijection(t: Tables) -> Bijection:
+    return Bijection(t.num_windows(), SEED, EPOCH, t.hash_fn)
+
+
+def keyed_permutation(t: Tables) -> DataFrame:
+    """Every window's place in the keyed order, and the window that the order has there, which is the same one."""
+    order = _bijection(t)
+    placed = t.windows().withColumn("pos", order.position(F.col("seq_idx")))
+    return placed.select("seq_idx", "pos", order.sample(F.col("pos")).alias("back"), _first_id())
+
+
+def keyed_resume(t: Tables) -> DataFrame:
+    """The last tenth of an epoch's masked batches, from shard files; the windows before it aren't read."""
+    config = WindowConfig(LENGTH, "epoch_offset", PHASES)
+    total = sum(s.token_count for s in TS.list_shards(TS.qualified(t.spark, t.shard_folder), "train"))
+    index = loading.num_windows(total, config, EPOCH) * 9 // 10
+    loader = LoaderConfig(BATCH, drop_last=False, order="keyed")
+    found = loading.training_batches(
+        t.spark, t.shard_folder, "train", "mlm", _mlm(t), config, loader, SEED, EPOCH, index
+    )
+    return found.select(
+        "batch_id", "pos_in_batch", "seq_idx", text("input_ids").alias("input_ids"), text("labels").alias("labels")
+    )
+
+
 def state_resume(t: Tables) -> DataFrame:
     """Where each run goes on after its newest saved state: what is left of the epoch and the window that comes next."""
     name = F.concat(F.lit("step_"), F.col("event_id").cast("string"), F.lit(".pt"))
@@ -591,7 +644,7 @@ ALL: tuple[Callable[[Tables], DataFrame], ...] = (
     shard_roundtrip, shard_roundtrip_long, header_consistency, vocab_check, windows_fixed, windows_epoch_offset,
     windows_from_shards, windows_across_chunks, window_lookup, window_lookup_in_shards, seq_count,
     epoch_permutation, resume_tail, rank_stripes_drop, rank_stripes_pad, batches_drop_last, loader_order,
-    state_resume, latest_state, pad_batches, padded_lengths, batch_assembly, attention_mask, special_mask, mlm_mask,
+    keyed_permutation, keyed_resume, manifest_generations, windows_stream, state_resume, latest_state, pad_batches, padded_lengths, batch_assembly, attention_mask, special_mask, mlm_mask,
     electra_inputs, mask_counts, mlm_batches, span_budget, span_emit, span_sampling, span_corruption,
     target_padding, valid_labels, eval_summary, train_summary, running_loss, log_cadence, eval_cadence, masked_xent,
     token_vector_lookup, token_vector_lookup_joined, masked_mean_pool, embed_joined, masked_mean_pool_states, mean_pool,

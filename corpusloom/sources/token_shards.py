@@ -6,7 +6,10 @@ then its tokens as uint16.
 Writing takes rows (shard_index, name, shard_tokens, start, tokens), all rows
 of a shard in one partition and in order; see ``write_shards``.
 
-Reading has three modes:
+Writing ends with a new manifest (``sources.manifest``), the one step that changes
+what readers see; nothing is replaced in place.
+
+Reading has these modes:
 
 * ``headers``: one row per file;
 * ``tokens``: chunks (split, shard_index, name, start, split_start, tokens) of
@@ -14,10 +17,13 @@ Reading has three modes:
   ``split_start`` from the split's;
 * ``windows``: fixed-length windows over all files of a split, (epoch,
   seq_idx, input_ids). File sizes tell where each window lies, so no shuffle
-  is needed.
+  is needed;
+* ``ordered``: windows with ``pos``, their place in the epoch's keyed order
+  (``operators.bijection``), which is known before a token is read.
 
 Comparisons of the split, the shard number and the window index are pushed into
-the reader, which then opens no other files.
+the reader, which then opens no other files; of the windows of an order, those
+whose ``pos`` is compared away are skipped.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,7 +68,9 @@ from corpusloom.config import (
     TokenIdentity,
     WindowConfig,
 )
+from corpusloom.operators.bijection import Bijection
 from corpusloom.session import ship_package
+from corpusloom.sources.manifest import Entry, GenerationTaken, Manifest, expire, generations, located, put_manifest, read_manifest
 
 FORMAT = "token_shards"
 HEADER_FIELDS = ("magic", "version", "token_count", "vocab_size", "pad_id", "cls_id", "sep_id", "mask_id")
@@ -70,6 +80,8 @@ MAX_PARTITION_TOKENS = 1 << 25
 MIN_PARTITION_TOKENS = 1 << 16
 
 COMMIT_THREADS = 32
+# How often a commit that another writer came before is tried again.
+COMMIT_TRIES = 20
 
 SCHEMAS = {
     "headers": "split string, shard_index int, name string, path string, file_bytes bigint, header struct<"
@@ -77,6 +89,7 @@ SCHEMAS = {
     + ">",
     "tokens": "split string, shard_index int, name string, start bigint, split_start bigint, tokens array<int>",
     "windows": "epoch int, seq_idx bigint, input_ids array<int>",
+    "ordered": "epoch int, seq_idx bigint, pos bigint, input_ids array<int>",
 }
 
 
@@ -106,6 +119,7 @@ class ShardFile:
     name: str
     path: str
     size: int
+    crc32: int | None = None
 
     @property
     def token_count(self) -> int:
@@ -113,17 +127,37 @@ class ShardFile:
         return max(self.size - HEADER_BYTES, 0) // 2
 
 
-def list_shards(folder: str, split: str | None = None, prefix: str = SHARD_PREFIX) -> list[ShardFile]:
-    """The folder's shard files in name order; only the listing is read."""
+def listed(fs: pafs.FileSystem, root: str, prefix: str) -> Manifest:
+    """What a folder without a manifest holds, as generation 0."""
+    pattern = re.compile(rf"^{re.escape(prefix)}_[^_]+_\d+\.bin$")
+    found = {}
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        for info in fs.get_file_info(pafs.FileSelector(root)):
+            if pattern.match(info.base_name) and info.type == pafs.FileType.File:
+                found[info.base_name] = Entry(info.base_name, info.base_name, info.size)
+    return Manifest(0, found)
+
+
+def current(folder: str, prefix: str = SHARD_PREFIX) -> Manifest:
+    """The folder's newest generation."""
+    fs, root = filesystem(folder)
+    return read_manifest(fs, root, prefix) or listed(fs, root, prefix)
+
+
+def list_shards(
+    folder: str, split: str | None = None, prefix: str = SHARD_PREFIX, manifest: Manifest | None = None
+) -> list[ShardFile]:
+    """The shards of the newest generation, or of the one given, in name order; no shard is opened."""
     fs, root = filesystem(folder)
     if fs.get_file_info(root).type != pafs.FileType.Directory:
         raise FileNotFoundError(f"The shard folder was not found: {folder}")
     pattern = re.compile(rf"^{re.escape(prefix)}_({re.escape(split) if split else '[^_]+'})_(\d+)\.bin$")
     shards = []
-    for info in fs.get_file_info(pafs.FileSelector(root)):
-        match = pattern.match(info.base_name)
-        if match and info.type == pafs.FileType.File:
-            shards.append(ShardFile(match[1], int(match[2]), info.base_name, info.path, info.size))
+    for entry in (manifest or current(folder, prefix)).shards.values():
+        match = pattern.match(entry.name)
+        if match:
+            path = located(root, prefix, entry.path)
+            shards.append(ShardFile(match[1], int(match[2]), entry.name, path, entry.size, entry.crc32))
     if not shards:
         raise FileNotFoundError(f"No shards of prefix {prefix!r} and split {split or 'any'!r} in {folder}")
     return sorted(shards, key=lambda s: (s.split, s.shard_index, s.name))
@@ -170,9 +204,12 @@ class RangePartition(InputPartition):
 
 @dataclass
 class WindowPartition(InputPartition):
+    """Windows from ``first`` on of the split's ``total``, and the parts of shards that they lie in."""
+
     first: int
     count: int
     segments: list[tuple[ShardFile, int, int]]
+    total: int
 
 
 # The range of whole numbers that a comparison leaves.
@@ -204,6 +241,8 @@ class ShardReader(DataSourceReader):
             int(options.get("phases", 4)),
         )
 
+        self.order_seed = int(options.get("orderSeed", 0))
+        self.order_hash = options.get("orderHash", "xxhash64")
         self.only: dict[str, tuple[float, float]] = {}
         self.only_split: str | None = None
 
@@ -214,7 +253,7 @@ class ShardReader(DataSourceReader):
             column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if column == "split" and isinstance(f, EqualTo):
                 self.only_split = f.value
-            elif column in ("shard_index", "seq_idx") and type(f) in _RANGES:
+            elif column in ("shard_index", "seq_idx", "pos") and type(f) in _RANGES:
                 low, high = _RANGES[type(f)](f.value)
                 before = self.only.get(column, (-math.inf, math.inf))
                 self.only[column] = (max(low, before[0]), min(high, before[1]))
@@ -226,7 +265,7 @@ class ShardReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         shards = list_shards(self.folder, self.split, self.prefix)
         check_contiguous(shards)
-        if self.mode != "windows":
+        if self.mode not in ("windows", "ordered"):
             bases: dict[str, int] = {}
             placed = []
             for shard in shards:
@@ -253,7 +292,7 @@ class ShardReader(DataSourceReader):
         first = int(max(self.first or 0, low, 0))
         last = int(min(count if self.last is None else self.last, count, high + 1))
         step = max(self.per_task // length, 1)
-        tasks = [WindowPartition(i, min(step, last - i), []) for i in range(first, last, step)]
+        tasks = [WindowPartition(i, min(step, last - i), [], count) for i in range(first, last, step)]
         task, base = 0, 0
         for shard in shards:
             end = base + shard.token_count
@@ -275,6 +314,8 @@ class ShardReader(DataSourceReader):
                 yield self._headers(fs, partition.files)
         elif isinstance(partition, RangePartition):
             yield from self._chunks(fs, partition)
+        elif self.mode == "ordered":
+            yield from self._ordered(fs, partition)
         else:
             yield from self._windows(fs, partition)
 
@@ -345,20 +386,88 @@ class ShardReader(DataSourceReader):
                     seq_idx += n
 
 
+    def _ordered(self, fs: pafs.FileSystem, part: WindowPartition) -> Iterator[pa.RecordBatch]:
+        """Windows with their place in the epoch; those whose place is compared away aren't read."""
+        length = self.window.max_seq_length
+        order = Bijection(part.total, self.order_seed, self.epoch, self.order_hash)
+        low, high = self.only.get("pos", (-math.inf, math.inf))
+        ends = np.cumsum([end - begin for _, begin, end in part.segments])
+        block = max(1, (1 << 20) // length)
+        with ExitStack() as files:
+            opened: dict[int, pa.NativeFile] = {}
+
+            def tokens(begin: int, end: int) -> np.ndarray:
+                """Tokens [begin, end), counted from the partition's first."""
+                found = []
+                for k in range(int(np.searchsorted(ends, begin, "right")), len(ends)):
+                    shard, first, last = part.segments[k]
+                    before = int(ends[k]) - (last - first)
+                    if before >= end:
+                        break
+                    if k not in opened:
+                        check_header(shard, read_header(fs, shard))
+                        opened[k] = files.enter_context(fs.open_input_file(shard.path))
+                    a, b = first + max(begin - before, 0), first + min(end - before, last - first)
+                    found.append(np.frombuffer(opened[k].read_at(2 * (b - a), HEADER_BYTES + 2 * a), "<u2"))
+                return np.concatenate(found).astype(np.int32)
+
+            for at in range(0, part.count, block):
+                places = np.arange(at, min(at + block, part.count))
+                pos = order.positions(part.first + places)
+                left = (pos >= low) & (pos <= high)
+                places, pos = places[left], pos[left]
+                if not len(places):
+                    continue
+                # Neighbours are read together.
+                runs = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+                ids = np.concatenate([tokens(int(r[0]) * length, (int(r[-1]) + 1) * length) for r in runs])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(places), self.epoch), pa.int32()),
+                        pa.array(part.first + places),
+                        pa.array(pos),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * length, pa.int32()), pa.array(ids)),
+                    ],
+                    names=["epoch", "seq_idx", "pos", "input_ids"],
+                )
+
+
 @dataclass
 class WrittenShards(WriterCommitMessage):
-    names: list[str]
+    """Shard name, its file in the staging folder, size and checksum of each shard."""
+
+    shards: list[tuple[str, str, int, int]]
+
+
+class _Summed:
+    """An output stream that keeps size and checksum of what went through."""
+
+    def __init__(self, out: pa.NativeFile) -> None:
+        self.out, self.size, self.crc32 = out, 0, 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+        self.crc32 = zlib.crc32(data, self.crc32)
+
+    def close(self) -> None:
+        self.out.close()
 
 
 class ShardWriter(DataSourceArrowWriter):
-    """Tasks write into a staging folder; the commit moves whole shards into place."""
+    """Tasks write whole shards into a folder of their own; the commit adds a manifest that names them.
+
+    With ``flat`` a shard whose name is free moves up into the shard folder, as
+    other tools expect it; a move is a copy in object stores, so it can be left out.
+    """
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.folder = options["path"]
         self.overwrite = overwrite
         self.prefix = options.get("prefix", SHARD_PREFIX)
+        self.flat = options.get("flat", "true").lower() == "true"
         self.header = [int(options[f]) for f in ("vocab_size", "pad_id", "cls_id", "sep_id", "mask_id")]
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.staging = f"@/{uuid.uuid4().hex}"
 
     def _open(self, fs: pafs.FileSystem, root: str, name: str, token_count: int):
         if not 0 < token_count <= MAX_SHARD_TOKENS:
@@ -366,21 +475,22 @@ class ShardWriter(DataSourceArrowWriter):
         header = np.zeros(HEADER_INTS, "<i4")
         header[: len(HEADER_FIELDS)] = [SHARD_MAGIC, SHARD_VERSION, token_count, *self.header]
         unique = f"{name}.{uuid.uuid4().hex}"
-        out = fs.open_output_stream(f"{root}/{self.staging}/{unique}")
+        out = _Summed(fs.open_output_stream(f"{located(root, self.prefix, self.staging)}/{unique}"))
         out.write(header.tobytes())
         return unique, out
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
         fs, root = filesystem(self.folder)
-        fs.create_dir(f"{root}/{self.staging}", recursive=True)
-        done: list[str] = []
-        name, out, at, expected = None, None, 0, 0
+        fs.create_dir(located(root, self.prefix, self.staging), recursive=True)
+        done: list[tuple[str, str, int, int]] = []
+        name, unique, out, at, expected = None, None, None, 0, 0
 
         def finish() -> None:
             if out is not None:
                 out.close()
                 if at != expected:
                     raise ValueError(f"Shard {name} has {at} of its {expected} tokens in this partition")
+                done.append((name, unique, out.size, out.crc32))
 
         for batch in iterator:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -402,7 +512,6 @@ class ShardWriter(DataSourceArrowWriter):
                     finish()
                     name, at, expected = row_name, 0, cols["shard_tokens"][first].as_py()
                     unique, out = self._open(fs, root, name, expected)
-                    done.append(unique)
                 begin = ends[first] - sizes[first]
                 wrong = np.flatnonzero(starts[first:stop] != at + ends[first:stop] - sizes[first:stop] - begin)
                 if len(wrong):
@@ -415,33 +524,47 @@ class ShardWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WrittenShards | None]) -> None:
         fs, root = filesystem(self.folder)
         fs.create_dir(root, recursive=True)
-        names = [n for m in messages if m is not None for n in m.names]
-        written = {n.rsplit(".", 1)[0] for n in names}
-        if len(written) != len(names):
+        written = [x for m in messages if m is not None for x in m.shards]
+        if len({name for name, *_ in written}) != len(written):
             self.abort(messages)
             raise ValueError("A shard was written by more than one task")
-        old = re.compile(rf"^{re.escape(self.prefix)}_[^_]+_\d+\.bin$")
-        before = [i.path for i in fs.get_file_info(pafs.FileSelector(root)) if old.match(i.base_name)]
-        # New shards are complete in the staging folder, so what they replace may go; the rest goes last.
-        replaced = [p for p in before if p.rsplit("/", 1)[-1] in written]
-        for path in replaced:
-            fs.delete_file(path)
+        if read_manifest(fs, root, self.prefix) is None:
+            # From here on the listing doesn't count, so files may arrive one by one.
+            try:
+                put_manifest(fs, root, self.prefix, listed(fs, root, self.prefix))
+            except GenerationTaken:
+                pass
+
+        def place(shard: tuple[str, str, int, int]) -> Entry:
+            name, unique, size, crc32 = shard
+            path = f"{self.staging}/{unique}"
+            if self.flat and fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+                fs.move(located(root, self.prefix, path), f"{root}/{name}")
+                path = name
+            return Entry(name, path, size, crc32)
+
         with ThreadPoolExecutor(COMMIT_THREADS) as pool:
-            moves = [
-                pool.submit(fs.move, f"{root}/{self.staging}/{n}", f"{root}/{n.rsplit('.', 1)[0]}") for n in names
-            ]
-            for move in moves:
-                move.result()
-        for path in before if self.overwrite else []:
-            if path not in replaced:
-                fs.delete_file(path)
-        self._clean(fs, root)
+            placed = list(pool.map(place, written))
+        for _ in range(COMMIT_TRIES):
+            before = read_manifest(fs, root, self.prefix)
+            shards = {} if self.overwrite else dict(before.shards)
+            shards |= {e.name: e for e in placed}
+            try:
+                put_manifest(fs, root, self.prefix, Manifest(before.generation + 1, shards))
+                break
+            except GenerationTaken:
+                continue
+        else:
+            raise RuntimeError(f"{self.folder} is being written by others: no generation was free in {COMMIT_TRIES} tries")
+        expire(fs, root, self.prefix)
+        if not any(e.path.startswith("@/") for e in placed):
+            self._clean(fs, root)
 
     def abort(self, messages: list[WrittenShards | None]) -> None:
         self._clean(*filesystem(self.folder))
 
     def _clean(self, fs: pafs.FileSystem, root: str) -> None:
-        staging = f"{root}/{self.staging}"
+        staging = located(root, self.prefix, self.staging)
         if fs.get_file_info(staging).type == pafs.FileType.Directory:
             fs.delete_dir(staging)
 
@@ -529,6 +652,58 @@ def read_windows(
     return _read(spark, folder, "windows", split, {**layout, **options})
 
 
+def read_ordered(
+    spark: SparkSession, folder: str, split: str, config: WindowConfig, seed: int, epoch: int = 0,
+    hash_fn: str = "xxhash64", **options,
+) -> DataFrame:
+    """Windows with ``pos``, their place in the keyed order of seed + epoch; filters on ``pos`` skip windows unread."""
+    layout = {"seqLength": config.max_seq_length, "strategy": config.sampling_strategy, "phases": config.num_offset_phases}
+    order = {"epoch": epoch, "orderSeed": seed, "orderHash": hash_fn}
+    return _read(spark, folder, "ordered", split, {**layout, **order, **options})
+
+
+def manifest_rows(spark: SparkSession, folder: str, prefix: str = SHARD_PREFIX) -> DataFrame:
+    """``(generation, name, path, size, crc32)`` of the shards of each generation that is kept; a row per shard."""
+    fs, root = filesystem(qualified(spark, folder))
+    rows = []
+    for generation in generations(fs, root, prefix):
+        made = read_manifest(fs, root, prefix, generation)
+        rows += [(generation, e.name, e.path, e.size, e.crc32) for e in made.shards.values()]
+    return spark.createDataFrame(rows, "generation bigint, name string, path string, size bigint, crc32 bigint")
+
+
+def damaged_shards(spark: SparkSession, folder: str, prefix: str = SHARD_PREFIX) -> DataFrame:
+    """``(name, problem)`` of the newest generation's shards that are missing or whose bytes don't match the manifest."""
+    register(spark)
+    folder = qualified(spark, folder)
+    files = [(s.name, s.path, s.size, s.crc32) for s in list_shards(folder, None, prefix)]
+    rows = spark.createDataFrame(files, "name string, path string, size bigint, crc32 bigint")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = filesystem(folder)
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                info = fs.get_file_info(row["path"])
+                if info.type != pafs.FileType.File:
+                    found.append((row["name"], "missing"))
+                elif info.size != row["size"]:
+                    found.append((row["name"], f"{info.size} bytes, not {row['size']}"))
+                elif row["crc32"] is not None:
+                    crc32 = 0
+                    with fs.open_input_stream(row["path"]) as f:
+                        while data := f.read(1 << 22):
+                            crc32 = zlib.crc32(data, crc32)
+                    if crc32 != row["crc32"]:
+                        found.append((row["name"], "checksum differs"))
+            yield pa.RecordBatch.from_pylist(
+                [{"name": n, "problem": p} for n, p in found], pa.schema([("name", pa.string()), ("problem", pa.string())])
+            )
+
+    tasks = min(max(len(files), 1), 1 << 14)
+    return rows.repartition(tasks).mapInArrow(check, "name string, problem string")
+
+
 def _read(spark: SparkSession, folder: str, mode: str, split: str | None, options: dict) -> DataFrame:
     register(spark)
     folder = qualified(spark, folder)
