@@ -97,3 +97,53 @@ def masked_cross_entropy(predictions: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"),
         F.nullif(F.count("loss"), F.lit(0)).cast("double").alias("num_masked"),
     )
+
+
+def block_states(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, pos, top, total, own)`` per block of scores: its largest, the sum of ``exp(x - top)``, and the label's score if it has it.
+
+    ``blocks`` holds rows ``(by, pos, first, logits, label)``: the scores of the
+    classes from ``first`` on, and the position's label on each of its blocks.
+    """
+    values = F.col("logits").cast("array<double>")
+    at = F.col("label") - F.col("first")
+    missing = F.raise_error(F.lit("Logits must not be null")).cast("double")
+    top = F.when(F.col("logits").isNull() | F.exists("logits", lambda x: x.isNull()), missing).otherwise(F.array_max(values))
+    states = blocks.where(F.col("label") != IGNORE_LABEL).select(
+        *by, "pos", "label", values.alias("values"), top.alias("top"), at.alias("at")
+    )
+    total = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
+    own = F.when((F.col("at") >= 0) & (F.col("at") < F.size("values")), F.get("values", F.col("at").cast("int")))
+    return states.where(F.col("values").isNull() | (F.size("values") > 0)).select(*by, "pos", "label", "top", total.alias("total"), own.alias("own"))
+
+
+def merged_states(states: Column) -> Column:
+    """One ``(top, total, own)`` from an array of them; merging is associative, so blocks may come in any order."""
+
+    def merge(a: Column, b: Column) -> Column:
+        top = F.greatest(a["top"], b["top"])
+        total = a["total"] * F.exp(a["top"] - top) + b["total"] * F.exp(b["top"] - top)
+        return F.struct(top.alias("top"), total.alias("total"), F.coalesce(a["own"], b["own"]).alias("own"))
+
+    return F.aggregate(F.slice(states, 2, F.size(states)), F.get(states, F.lit(0)), merge)
+
+
+def masked_cross_entropy_blocks(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """As ``masked_cross_entropy``, of scores that come in blocks of the vocabulary, each in its own row.
+
+    A block is reduced to three numbers where it lies; only these are shuffled,
+    and a position gathers as many as it has blocks. So no row ever holds the
+    scores of a whole vocabulary. A counted position whose label is in none of
+    its blocks is an error.
+    """
+    states = block_states(blocks, by)
+    gathered = states.groupBy(*by, "pos", "label").agg(
+        merged_states(F.sort_array(F.collect_list(F.struct("top", "total", "own")))).alias("s")
+    )
+    outside = F.raise_error(F.format_string("Label %s is outside the logits", F.col("label").cast("string"))).cast("double")
+    lost = gathered.select(*by, (F.col("s.top") + F.log("s.total") - F.coalesce("s.own", outside)).alias("loss"))
+    # Groups without a counted position have loss 0 and no number.
+    groups = blocks.select(*by).distinct().join(lost.groupBy(*by).agg(F.avg("loss").alias("loss"), F.count("*").alias("n")), by, "left")
+    return groups.select(
+        *by, F.coalesce("loss", F.lit(0.0)).alias("loss"), F.col("n").cast("double").alias("num_masked")
+    )

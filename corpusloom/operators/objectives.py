@@ -6,7 +6,6 @@ Random choices are keyed by (seed, epoch, seq_idx, position in the window).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from corpusloom.config import IGNORE_LABEL, MaskConfig, SpanConfig
 from corpusloom.functions.arrays import attention_mask, label_mask
 from corpusloom.functions.draws import DRAW_RANGE, MASK, SPAN_GAP, SPAN_LENGTH, chosen, draw
 from corpusloom.operators.batches import pad_batches
+from corpusloom.registry import Registry
 
 def masked_labels(ids: Column, seq_idx: Column, config: MaskConfig) -> Column:
     """The original id at chosen positions, the ignored label elsewhere."""
@@ -224,12 +224,13 @@ def span_corruption(samples: DataFrame, config: SpanConfig, by: list[str] | None
     return corrupted if by is None else pad_targets(corrupted, config, by)
 
 
-# What training plans can ask for: ``fn(samples, config, by) -> samples``.
-OBJECTIVES: dict[str, Callable[..., DataFrame]] = {"mlm": mlm, "electra": electra, "span_corruption": span_corruption}
+# What training plans can ask for: ``fn(samples, config, by) -> samples``; users may register more.
+OBJECTIVES = Registry("objective")
+OBJECTIVES.register("mlm")(mlm)
+OBJECTIVES.register("electra")(electra)
+OBJECTIVES.register("span_corruption")(span_corruption)
 
 
 def build(name: str, samples: DataFrame, config: MaskConfig | SpanConfig, by: list[str] | None = None) -> DataFrame:
     """Samples of the objective of that name."""
-    if name not in OBJECTIVES:
-        raise KeyError(f"{name!r} is no objective; there are {', '.join(sorted(OBJECTIVES))}")
-    return OBJECTIVES[name](samples, config, by)
+    return OBJECTIVES.build(name, samples, config, by)

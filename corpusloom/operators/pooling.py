@@ -14,6 +14,10 @@ MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 SALTS = 32
 
+# Ids that a sketch follows, and the share of all rows from which one is frequent.
+SKETCHED_IDS = 1024
+HOT_SHARE = 1 / 256
+
 # Bounds a task's memory: positions whose vectors are held at the same time.
 POSITIONS_AT_ONCE = 1 << 16
 
@@ -36,15 +40,31 @@ def _measured(vectors: DataFrame) -> tuple[int, int, int]:
     return (top + 1) * (dims * 8 + 16), dims, top
 
 
+def frequent_ids(at: DataFrame, share: float = HOT_SHARE) -> list[int]:
+    """Ids that may hold ``share`` of all rows or more, fewer than 2 / ``share`` of them.
+
+    Counted by mergeable sketches of bounded size. A sketch may name an id that is
+    less frequent, which costs a row of the broadcast, and misses none above the
+    share by more than its error.
+    """
+    sketch = F.expr(f"approx_top_k(token_id, {int(2 / share)}, {max(SKETCHED_IDS, int(8 / share))})")
+    rows, top = at.where("token_id IS NOT NULL").agg(F.count("*"), sketch).first()
+    return sorted(x["item"] for x in top or [] if x["count"] >= share * rows)
+
+
 def _looked_up(at: DataFrame, vectors: DataFrame, key: str, size: int, max_broadcast_bytes: int) -> DataFrame:
     """Adds ``vec`` to (key, pos, token_id); an id without a vector is an error."""
     known = vectors.select("token_id", "vec", F.lit(True).alias("known"))
     if size <= max_broadcast_bytes:
         joined = at.join(F.broadcast(known), "token_id", "left")
     else:
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        at = at.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int"))
-        joined = at.join(salted.hint("shuffle_merge"), ["token_id", "salt"], "left")
+        # Frequent ids get their vectors by broadcast and the rest are joined, so no vector is copied to salts.
+        hot = frequent_ids(at)
+        usual, often = (at.where(F.col("token_id").isin(hot) == x) if hot else at for x in (False, True))
+        joined = usual.join(known.hint("shuffle_merge"), "token_id", "left")
+        if hot:
+            few = known.where(F.col("token_id").isin(hot))
+            joined = joined.unionByName(often.join(F.broadcast(few), "token_id", "left"))
     # A filter of its own, so that reading the vector stays a plain column.
     unknown = F.raise_error(F.format_string("No vector for token %s", F.col("token_id").cast("string")))
     return joined.where(F.coalesce("known", unknown.cast("boolean"))).select(key, "pos", "token_id", "vec")
@@ -57,8 +77,8 @@ def lookup_vectors(
     """(key, pos, token_id, vec) for every position; vectors are (token_id, vec), one row per id.
 
     An id without a vector is an error. The vectors are measured before they
-    are broadcast. Larger ones are joined with salted ids, since one token can
-    be a third of all positions.
+    are broadcast. Larger ones are joined by id, but for the frequent ids, as
+    one token can be a third of all positions.
     """
     at = samples.select(key, F.posexplode(ids).alias("pos", "token_id"))
     return _looked_up(at, vectors, key, _measured(vectors)[0], max_broadcast_bytes)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from corpusloom.config import TokenIdentity
 from corpusloom.operators.prefix import running_sums
+from corpusloom.session import materialize
 from corpusloom.sources.token_shards import HEADER_FIELDS, read_headers
 
 # Shards of one split must agree in all of these.
@@ -110,17 +111,51 @@ def locate(positions: DataFrame, shards: DataFrame, position: str = "position")
 
     ``shards`` holds one split. Empty shards contain no position. The shards'
     starts are searched in memory, so nothing is shuffled and no position is more
-    frequent than another. A catalog too large to be sent at once goes out in
-    blocks of shards, each for the positions inside it.
+    frequent than another. A catalog of more than ``MAX_SHIPPED_SHARDS`` isn't
+    read by the driver but merged with the positions, see ``locate_merged``.
     """
     filled = shards.where("token_end > token_start").select("token_start", "token_end", "shard_index")
-    table = filled.orderBy("token_start").toArrow()
-    blocks = [table.slice(at, MAX_SHIPPED_SHARDS) for at in range(0, len(table), MAX_SHIPPED_SHARDS)] or [table]
-    found = None
-    for block in blocks:
-        part = _locate_in(positions, block, position)
-        found = part if found is None else found.unionByName(part)
-    return found
+    if filled.count() > MAX_SHIPPED_SHARDS:
+        return locate_merged(positions, shards, position)
+    return _locate_in(positions, filled.orderBy("token_start").toArrow(), position)
+
+
+def locate_merged(positions: DataFrame, shards: DataFrame, position: str = "position") -> DataFrame:
+    """As ``locate``, for catalogs of any size: shards and positions are merged in order.
+
+    Both are range-partitioned together by place, so that a place many rows share
+    is cut into ranges too. Within a range each position takes the last shard
+    before it; a range's first positions take the last shard of the ranges before,
+    which is one row per range.
+    """
+    spark = positions.sparkSession
+    starts = shards.where("token_end > token_start").select(
+        F.col("token_start").alias("at"),
+        F.struct("token_start", "token_end", F.col("shard_index").cast("int").alias("shard_index")).alias("shard"),
+        F.lit(None).cast(positions.schema).alias("row"),
+    )
+    rows = positions.select(
+        F.col(position).cast("bigint").alias("at"),
+        F.lit(None).cast("struct<token_start:bigint,token_end:bigint,shard_index:int>").alias("shard"),
+        F.struct(*[F.col(c) for c in positions.columns]).alias("row"),
+    )
+    # At the same place a shard's start comes first; ties are told apart by their place in the scan.
+    both = starts.unionByName(rows).where(F.col("at").isNotNull())
+    both = both.withColumn("late", F.col("row").isNotNull()).withColumn("tie", F.monotonically_increasing_id())
+    order = ["at", "late", "tie"]
+    ranged = both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = materialize(ranged.withColumn("range", F.spark_partition_id()), "places")
+    lasts = ranged.groupBy("range").agg(F.max_by("shard", F.when(F.col("shard").isNotNull(), F.col("at"))).alias("last"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("range", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    sofar = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("own", F.last("shard", ignorenulls=True).over(sofar)).where("late").join(carried, "range")
+    placed = found.select("row", "at", F.coalesce("own", "carried").alias("s")).where(F.col("at") < F.col("s.token_end"))
+    return placed.select(
+        *[F.col(f"row.{c}").alias(c) for c in positions.columns],
+        F.col("s.shard_index").alias("shard_index"),
+        (F.col("at") - F.col("s.token_start")).alias("local_offset"),
+    )
 
 
 def _locate_in(positions: DataFrame, table: pa.Table, position: str) -> DataFrame:

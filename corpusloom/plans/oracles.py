@@ -245,7 +245,7 @@ FROM flat JOIN sizes USING (doc_id) GROUP BY doc_id, d"""
 
 def oracle_sql() -> dict[str, str]:
     val_tokens = f"{VAL_SHARDS * SHARD_SIZE}"
-    return {
+    found = {
         "document_scan": "SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents",
         "doc_cap": f"SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents ORDER BY doc_id LIMIT {MAX_DOCS}",
         "build_vocab": f"WITH {WORDS} SELECT token, occurrences, token_id FROM vocab",
@@ -325,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "windows_stream": f"SELECT seq_idx, input_ids FROM ({_window_rows(0, 0, shift=val_tokens)})",
         "epoch_permutation": f"{ORDERED} SELECT {EPOCH}::INTEGER AS epoch, seq_idx, pos, first_id FROM firsts",
         "resume_tail": f"{ORDERED} SELECT pos, seq_idx, first_id FROM firsts, total WHERE pos >= n // 3",
+        "state_roundtrip": f"{ORDERED} SELECT pos, seq_idx, first_id FROM firsts, total WHERE pos >= n // 5 * 3",
         "rank_stripes_drop": _stripes(3, True),
         "rank_stripes_pad": _stripes(7, False),
         "batches_drop_last": f"""{ORDERED}
@@ -468,3 +469,6 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY label, d""",
         "incremental_packing": CHUNKS,
     }
+    # Other ways to the same result.
+    same = {"mlm_sql": "mlm_mask", "masked_xent_blocks": "masked_xent", "asof_position_merged": "asof_position"}
+    return found | {name: found[other] for name, other in same.items()}

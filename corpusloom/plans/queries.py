@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import HEADER_BYTES, IGNORE_LABEL, LoaderConfig, SpanConfig, WindowConfig, electra_config, mlm_config
 from corpusloom.functions import arrays, scalars
+from corpusloom.functions import sql as FS
 from corpusloom.operators import batches as B
 from corpusloom.operators import metrics as M
 from corpusloom.operators import objectives as O
@@ -22,6 +23,7 @@ from corpusloom.operators import order as R
 from corpusloom.operators import pooling as P
 from corpusloom.operators import shards as H
 from corpusloom.operators import stream as S
+from corpusloom.operators import subwords as SW
 from corpusloom.operators import tokenize as T
 from corpusloom.operators import vocab as V
 from corpusloom.operators.bijection import Bijection
@@ -39,12 +41,17 @@ LONG_SHARD = 2_000_000
 VAL_SHARDS = 2
 CHUNK = 8192
 SEED, EPOCH = 7, 3
+# A public byte-level vocabulary and its id for the end of a text.
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+SUBWORD_SEPARATOR = 50256
 PHASES = 4
 BATCH = 32
 MAX_DOCS = 100
 STREAM_ROUNDS = 4
 # Dimensions of the table's vectors.
 VECTOR_DIMS = 64
+# Scores per row where they come in blocks.
+XENT_BLOCK = 12
 
 
 class Tables:
@@ -195,6 +202,13 @@ def asof_position(t: Tables) -> DataFrame:
     return H.locate(starts, whole)
 
 
+def asof_position_merged(t: Tables) -> DataFrame:
+    """As above, with a catalog taken to be too large for one process."""
+    whole = H.shard_offsets(t.headers().withColumn("split", F.lit("all")))
+    starts = t.corpus.pieces().select("doc_id", F.col("start").alias("position"))
+    return H.locate_merged(starts, whole)
+
+
 def shard_roundtrip(t: Tables) -> DataFrame:
     chunks = TS.read_tokens(t.spark, t.shard_folder, chunkTokens=CHUNK)
     return chunks.select("split", "shard_index", "start", text("tokens").alias("tokens"))
@@ -426,6 +440,39 @@ def mlm_mask(t: Tables) -> DataFrame:
     )
 
 
+def mlm_sql(t: Tables) -> DataFrame:
+    """Masked windows by SQL functions."""
+    FS.drop_functions(t.spark, prefix="loom_")
+    FS.create_functions(t.spark, prefix="loom_")
+    t.windows().createOrReplaceTempView("loom_windows")
+    i = t.identity
+    return t.spark.sql(f"""
+        SELECT seq_idx, array_join(loom_hide(input_ids, chosen, {i.mask_id}), ',') AS input_ids,
+          array_join(loom_attention_mask(input_ids, {i.pad_id}), '') AS attention_mask,
+          array_join(loom_labels_of(input_ids, chosen), ',') AS labels
+        FROM (SELECT seq_idx, input_ids, loom_mask_choice_md5(input_ids, {i.pad_id}, {i.cls_id}, {i.sep_id}, 0.3D,
+              {SEED}L, {EPOCH}L, seq_idx) AS chosen FROM loom_windows)""")
+
+
+def state_roundtrip(t: Tables) -> DataFrame:
+    """Windows that are left after the newest of three saved states, in ranked order."""
+    store = ST.StateStore(t.spark, new_path(t.spark, "states"))
+    count = t.num_windows()
+    state = ST.SamplerState(SEED, count, EPOCH)
+    for step in (9, 10, 100):
+        state = state.advance(count // 5)
+        store.save(step, state)
+    _, found = store.load(SEED, count)
+    return R.resume(_in_order(t), found.index).select("pos", "seq_idx", _first_id())
+
+
+def subword_tokenize(t: Tables) -> DataFrame:
+    """Documents as byte-pair tokens of a public vocabulary."""
+    merges = SW.load_merges(TOKENIZER_FILE)
+    found = SW.tokenize_subwords(t.documents, merges, separator=SUBWORD_SEPARATOR)
+    return found.select("doc_id", "n", text("tokens").alias("tokens"))
+
+
 def electra_inputs(t: Tables) -> DataFrame:
     masked = O.electra(t.windows(), electra_config(t.identity, seed=SEED, epoch=EPOCH, hash_fn=t.hash_fn))
     return masked.select(
@@ -561,6 +608,18 @@ def masked_xent(t: Tables) -> DataFrame:
     return found.select("batch", F.round("loss", 6).alias("loss"), "num_masked")
 
 
+def masked_xent_blocks(t: Tables) -> DataFrame:
+    """As above, with each vector's scores in blocks of their own rows."""
+    batch = scalars.idiv(F.col("vec_id"), BATCH)
+    ignored = (F.col("vec_id") % 3 == 0) | (batch % 5 == 0)
+    label = F.when(ignored, F.lit(IGNORE_LABEL)).otherwise(F.col("label"))
+    first = F.explode(F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(XENT_BLOCK)))
+    blocks = t.read("embeddings").select(batch.alias("batch"), F.col("vec_id").alias("pos"), label.alias("label"), "embedding", first.alias("first"))
+    blocks = blocks.withColumn("logits", F.slice("embedding", F.col("first") + 1, F.lit(XENT_BLOCK))).drop("embedding")
+    found = M.masked_cross_entropy_blocks(blocks, ["batch"])
+    return found.select("batch", F.round("loss", 6).alias("loss"), "num_masked")
+
+
 # Vectors
 
 
@@ -585,7 +644,8 @@ def token_vector_lookup_joined(t: Tables) -> DataFrame:
 
 def _vectors(found: DataFrame) -> DataFrame:
     """One number that every dimension has a part in, so that the whole vector is compared."""
-    mixed = sum(((i + 1) * F.get("vec", F.lit(i)).cast("double") for i in range(VECTOR_DIMS)), F.lit(0.0))
+    terms = " + ".join(["0D", *(f"{i + 1} * CAST(get(vec, {i}) AS DOUBLE)" for i in range(VECTOR_DIMS))])
+    mixed = F.expr(terms)
     return found.select("seq_idx", "pos", "token_id", F.round(mixed, 6).alias("vec_mix"))
 
 
@@ -646,7 +706,8 @@ ALL: tuple[Callable[[Tables], DataFrame], ...] = (
     epoch_permutation, resume_tail, rank_stripes_drop, rank_stripes_pad, batches_drop_last, loader_order,
     keyed_permutation, keyed_resume, manifest_generations, windows_stream, state_resume, latest_state, pad_batches, padded_lengths, batch_assembly, attention_mask, special_mask, mlm_mask,
     electra_inputs, mask_counts, mlm_batches, span_budget, span_emit, span_sampling, span_corruption,
-    target_padding, valid_labels, eval_summary, train_summary, running_loss, log_cadence, eval_cadence, masked_xent,
+    target_padding, valid_labels, eval_summary, train_summary, running_loss, log_cadence, eval_cadence, masked_xent, masked_xent_blocks, mlm_sql, asof_position_merged, state_roundtrip,
+    subword_tokenize,
     token_vector_lookup, token_vector_lookup_joined, masked_mean_pool, embed_joined, masked_mean_pool_states, mean_pool,
     incremental_packing,
 )

@@ -88,33 +88,39 @@ def read_manifest(fs: pafs.FileSystem, root: str, prefix: str, generation: int |
 
 
 def put_manifest(fs: pafs.FileSystem, root: str, prefix: str, manifest: Manifest) -> None:
-    """Adds a generation, whole or not at all; GenerationTaken if it is there already.
+    """Adds a generation, whole or not at all; GenerationTaken if it is there already."""
+    fs.create_dir(manifest_dir(root, prefix), recursive=True)
+    try:
+        put_new(fs, _path(root, prefix, manifest.generation), manifest.to_json().encode())
+    except FileExistsError as error:
+        raise GenerationTaken(str(error)) from error
+
+
+def put_new(fs: pafs.FileSystem, path: str, body: bytes) -> None:
+    """Writes a file whole or not at all; FileExistsError if the name is taken.
 
     A local file gets its name by a link and one in HDFS by a rename, which both
     refuse a taken name. Object stores show an object once it is complete; where
-    they don't refuse a taken name, two commits at the same moment need a lock.
+    they don't refuse a taken name, two writers at the same moment need a lock.
     """
-    fs.create_dir(manifest_dir(root, prefix), recursive=True)
-    final = _path(root, prefix, manifest.generation)
-    body = manifest.to_json().encode()
-    if fs.get_file_info(final).type != pafs.FileType.NotFound:
-        raise GenerationTaken(final)
-    if fs.type_name in ("local", "hdfs"):
-        draft = f"{manifest_dir(root, prefix)}/_draft-{uuid.uuid4().hex}"
-        with fs.open_output_stream(draft) as out:
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        raise FileExistsError(path)
+    if fs.type_name not in ("local", "hdfs"):
+        with fs.open_output_stream(path) as out:
             out.write(body)
-        try:
-            if fs.type_name == "local":
-                os.link(draft, final)
-                fs.delete_file(draft)
-            else:
-                fs.move(draft, final)
-        except OSError as error:
+        return
+    draft = f"{path.rpartition('/')[0]}/_draft-{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft) as out:
+        out.write(body)
+    try:
+        if fs.type_name == "local":
+            os.link(draft, path)
             fs.delete_file(draft)
-            raise GenerationTaken(final) from error
-    else:
-        with fs.open_output_stream(final) as out:
-            out.write(body)
+        else:
+            fs.move(draft, path)
+    except OSError as error:
+        fs.delete_file(draft)
+        raise FileExistsError(path) from error
 
 
 def expire(fs: pafs.FileSystem, root: str, prefix: str, keep: int = KEPT) -> list[str]:

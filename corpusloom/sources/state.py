@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+import re
+from dataclasses import asdict, dataclass, replace
 
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.manifest import put_new
+from corpusloom.sources.token_shards import filesystem, qualified
+
 STATE_SCHEMA = "step bigint, epoch int, index bigint, seed bigint, num_samples bigint"
 
 # Fixed name pattern of a saved state.
@@ -68,3 +74,52 @@ def latest_states(states: DataFrame, by: list[str], name: str = "name") -> DataF
     return states.groupBy(*by).agg(
         F.max(step).alias("step"), F.max_by(F.when(step.isNotNull(), F.col(name)), step).alias(name)
     )
+
+
+class StepTaken(Exception):
+    """Another writer saved a state of this step first."""
+
+
+class StateStore:
+    """States in files of their own, one per step, each put whole or not at all.
+
+    The newest is found by the files' names alone. Two writers can't both save a
+    step: the second is refused, so a run that was started twice is noticed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.fs, self.root = filesystem(qualified(spark, path))
+
+    def steps(self) -> list[int]:
+        """Saved steps, ascending; compared as numbers."""
+        if self.fs.get_file_info(self.root).type != pafs.FileType.Directory:
+            return []
+        names = (i.base_name for i in self.fs.get_file_info(pafs.FileSelector(self.root)))
+        return sorted(int(m[1]) for m in map(re.compile(STATE_NAME).match, names) if m)
+
+    def save(self, step: int, state: SamplerState) -> None:
+        if step < 0:
+            raise ValueError(f"A step must not be negative: {step}")
+        self.fs.create_dir(self.root, recursive=True)
+        try:
+            put_new(self.fs, f"{self.root}/step_{step}.pt", json.dumps(asdict(state)).encode())
+        except FileExistsError as error:
+            raise StepTaken(f"Step {step} was saved already in {self.root}") from error
+
+    def load(self, seed: int, num_samples: int, step: int | None = None) -> tuple[int, SamplerState] | None:
+        """(step, state) of the newest step or the one asked for; it must belong to the same run."""
+        known = self.steps()
+        wanted = known[-1] if step is None and known else step
+        if wanted not in known:
+            return None
+        with self.fs.open_input_file(f"{self.root}/step_{wanted}.pt") as f:
+            state = SamplerState(**json.loads(f.read()))
+        for name, found, expected in (("seed", state.seed, seed), ("num_samples", state.num_samples, num_samples)):
+            if found != expected:
+                raise ValueError(f"Saved sampler state has another {name}: {found}, current {expected}")
+        return wanted, state
+
+    def resume(self, seed: int, num_samples: int) -> SamplerState:
+        """Where to go on: the newest state, or the run's beginning."""
+        found = self.load(seed, num_samples)
+        return found[1] if found else SamplerState(seed, num_samples)
