@@ -1,13 +1,14 @@
 """Removal of lines that many sites share.
 
-A line is known by its hash. Lines that occur less often than on ``min_sites``
-sites can't be on that many and leave first. For the others, sketches of the
-sites (HyperLogLog) are built per task and merged; an estimate clear of the
+A line is known by its hash. Every task sketches the sites of its lines
+(HyperLogLog), and the sketches of a line are merged. An estimate clear of the
 threshold decides, and lines near it get an exact count of their sites. Lines on
 ``min_sites`` sites or more are taken out of every document.
 
-Counts and sketches are summed up before rows move, so a line that a third of
-all documents hold is a few rows. Removing needs one shuffle of the texts.
+A line that a third of all documents hold is one sketch per task, or one row per
+site where it is counted, before anything is joined. Where at most
+``FILTERED_LINES`` lines are shared, they are filtered where the texts are
+scanned; otherwise removing needs one shuffle of the texts, with the same result.
 
 Defined results: lines are compared without the white space around them; lines
 without a word are never removed. A null text has no lines and stays null. A
@@ -27,6 +28,9 @@ MIN_SITES = 10
 # log2 of the sketches' registers: 1.6 % standard error. Estimates within BAND of the threshold are counted.
 SKETCH_BITS = 12
 BAND = 0.1
+# Shared lines up to which they are filtered in the scan, and near ones up to which they are sent to all tasks.
+FILTERED_LINES = 2000
+SENT_LINES = 1 << 20
 
 
 def line_hash(line: Column) -> Column:
@@ -47,17 +51,19 @@ def shared_lines(
     lines = docs.select(
         F.col(site_col).cast("string").alias("site"), F.explode(hashes(F.col(text_col))).alias("line")
     ).where("line is not null and site is not null")
-    often = materialize(
-        lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"), "frequent-lines"
-    )
-    # Summed per line and site first: one row each, however often the line stands there.
-    pairs = lines.join(often, "line").groupBy("line", "site").agg(F.count("*").alias("n"))
-    spread = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"))
-    spread = materialize(spread, "line-sites")
+    # Each task sketches the sites of its lines, and sketches of a line are merged: no pair of line and site is moved.
+    sketch = F.hll_sketch_agg("site", SKETCH_BITS)
+    seen = lines.groupBy("line").agg(F.count("*").alias("n"), F.hll_sketch_estimate(sketch).alias("sites"))
+    spread = materialize(seen.where(F.col("n") >= min_sites).select("line", "sites"), "line-sites")
     margin = max(1.0, band * min_sites)
     clear = spread.where(F.col("sites") > min_sites + margin).select("line")
     near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("line")
-    counted = lines.join(near, "line").groupBy("line").agg(F.countDistinct("site").alias("sites"))
+    if near.count() <= SENT_LINES:
+        pairs = lines.join(F.broadcast(near), "line").groupBy("line", "site").agg(F.lit(1).alias("one"))
+    else:
+        # A line on many rows is one row per site before it is joined.
+        pairs = lines.groupBy("line", "site").agg(F.lit(1).alias("one")).join(near, "line")
+    counted = pairs.groupBy("line").agg(F.count("*").alias("sites"))
     exact = counted.where(F.col("sites") >= min_sites).select("line")
     return materialize(clear.unionByName(exact), "shared-lines")
 
@@ -72,6 +78,12 @@ def remove_shared_lines(
 ) -> DataFrame:
     """``(row, kept_text, n_lines, n_removed)`` of every row: the row as it was, and its text without the shared lines."""
     shared = shared_lines(docs, min_sites, text_col, site_col, band)
+    listed = [r["line"] for r in shared.limit(FILTERED_LINES + 1).collect()]
+    if len(listed) <= FILTERED_LINES:
+        # Few enough to be part of the scan's own expressions: no text is moved.
+        found = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+        gone = (lambda line: F.coalesce(line_hash(line).isin(listed), F.lit(False))) if listed else (lambda line: F.lit(False))
+        return _without(found.withColumn("kept", F.filter(F.split("text", "\n", -1), lambda line: ~gone(line))))
     key = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")]
     lines = docs.select(*key, F.explode(F.array_distinct(hashes(F.col(text_col)))).alias("line")).where("line is not null")
     # No more per document than it has different lines.
@@ -82,7 +94,12 @@ def remove_shared_lines(
     lines_of = F.split("text", "\n", -1)
     stays = F.filter(lines_of, lambda line: ~F.coalesce(F.array_contains("shared", line_hash(line)), F.lit(False)))
     kept = F.when(F.col("shared").isNull(), lines_of).otherwise(stays)
-    return joined.withColumn("kept", kept).select(
+    return _without(joined.withColumn("kept", kept))
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    lines_of = F.split("text", "\n", -1)
+    return rows.select(
         "row",
         F.array_join("kept", "\n").alias("kept_text"),
         F.coalesce(F.size(lines_of), F.lit(0)).cast("long").alias("n_lines"),

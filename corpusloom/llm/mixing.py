@@ -14,8 +14,9 @@ All draws depend on the seed, the level and the documents only: reruns agree.
 
 Defined results: a null text has no words; a document without words takes none,
 whatever its copies. A null source is a source like any other and the last in
-order. Rows that agree in source, id, text are decided together. An empty table
-gives an empty result. Only the columns asked for are read.
+order. Rows that agree in source, id, text are decided together: they get the
+copies that their fractions add up to, and the fraction of one row that is left
+is rounded like any other. An empty table gives an empty result. Only the columns asked for are read.
 """
 
 from __future__ import annotations
@@ -152,20 +153,12 @@ def round_pivotal(fractions: DataFrame, largest: int, seed: int = SEED, block: i
     return last
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = SHARE,
-    max_copies: int = MAX_COPIES,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    seed: int = SEED,
+def _decided(
+    docs: DataFrame, weights: Sequence[float], share: float, max_copies: int, id_col: str, text_col: str, source_col: str, seed: int
 ) -> DataFrame:
-    """``(doc_id, source, th, size, rows, source_size, target, copies)`` per distinct (id, source, text).
+    """``(doc_id, source, th, size, rows, source_size, target, whole, extra)`` per distinct (id, source, text).
 
-    ``rows`` is how many rows agree in all three, ``th`` the text's hash, and
-    ``copies`` how often the mix takes each of these rows.
+    Each of the ``rows`` equal rows is taken ``whole`` times, and ``extra`` of them once more.
     """
     text = F.col(text_col)
     units = materialize(
@@ -185,41 +178,83 @@ def mix(
     targets = materialize(source_targets(sizes, weights, share, max_copies), "mix-targets")
     largest = targets.agg(F.max("n")).first()[0] or 0
     due = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
+    # Equal rows are dealt the copies that their fractions make together; what is left is a fraction of one row.
     shared = (
         units.withColumnRenamed("source", "unit_source")
         .join(targets, F.col("unit_source").eqNullSafe(F.col("source")))
         .drop("unit_source")
         .withColumn("due", due)
-        .withColumn("p", F.col("due") - F.floor("due"))
+        .withColumn("more", F.col("rows") * (F.col("due") - F.floor("due")))
+        .withColumn("p", F.col("more") - F.floor("more"))
     )
     open_ = (F.col("p") > 0) & (F.col("size") > 0)
     unit = F.struct("doc_id", "source", "th")
     rounded = round_pivotal(
-        shared.where(open_).select(unit.alias("unit"), (F.col("size") * F.col("rows")).alias("mass"), "p", "n"), largest, seed
+        shared.where(open_).select(unit.alias("unit"), F.col("size").alias("mass"), "p", "n"), largest, seed
     )
     # Rounding hands back each unit once; adding it up needs no join.
-    facts = {"size": "long", "rows": "long", "source_size": "long", "target": "double"}
+    facts = {"size": "long", "rows": "long", "source_size": "long", "target": "double", "whole": "long"}
     key = ["doc_id", "source", "th"]
-    parts = shared.select(*key, *facts, F.floor("due").cast("long").alias("copies")).unionByName(
-        rounded.select("unit.*", *[F.lit(None).cast(t).alias(c) for c, t in facts.items()], F.col("up").cast("long").alias("copies"))
+    parts = shared.withColumn("whole", F.floor("due").cast("long"))
+    parts = parts.select(*key, *facts, F.floor("more").cast("long").alias("extra")).unionByName(
+        rounded.select("unit.*", *[F.lit(None).cast(t).alias(c) for c, t in facts.items()], F.col("up").cast("long").alias("extra"))
     )
-    return parts.groupBy(*key).agg(*[F.max(c).alias(c) for c in facts], F.sum("copies").alias("copies"))
+    return parts.groupBy(*key).agg(*[F.max(c).alias(c) for c in facts], F.sum("extra").alias("extra"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    max_copies: int = MAX_COPIES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = SEED,
+) -> DataFrame:
+    """``(doc_id, source, th, size, rows, source_size, target, copies)``: ``rows`` equal rows are taken ``copies`` times each.
+
+    ``th`` is the text's hash. Rows that agree in id, source and text are one row
+    here, or two if some of them are taken once more than the others.
+    """
+    decided = _decided(docs, weights, share, max_copies, id_col, text_col, source_col, seed)
+    parts = F.array(
+        F.struct((F.col("rows") - F.col("extra")).alias("rows"), F.col("whole").alias("copies")),
+        F.struct(F.col("extra").alias("rows"), (F.col("whole") + 1).alias("copies")),
+    )
+    split = decided.withColumn("part", F.explode(F.filter(parts, lambda x: x["rows"] > 0)))
+    return split.select("doc_id", "source", "th", "size", "part.rows", "source_size", "target", "part.copies")
 
 
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
+) -> DataFrame:
     """The mix itself: every row as often as it is taken, with its columns as they are."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    taken = taken.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "th", "copies")])
+    decided = _decided(docs, weights, share, max_copies, id_col, text_col, source_col, seed)
+    names = ("doc_id", "source", "th", "rows", "whole", "extra")
+    taken = materialize(decided.select(*[F.col(c).alias(f"mix_{c}") for c in names]), "mix-taken")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     same = (
         F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("mix_doc_id"))
         & F.col(f"row.{source_col}").cast("string").eqNullSafe(F.col("mix_source"))
         & text_hash(F.col(f"row.{text_col}")).eqNullSafe(F.col("mix_th"))
     )
-    joined = rows.join(taken, same)
+    some = (F.col("mix_extra") > 0) & (F.col("mix_extra") < F.col("mix_rows"))
+    alike = taken.where(~some).withColumn("mix_copies", F.col("mix_whole") + (F.col("mix_extra") > 0).cast("long"))
+    joined = rows.join(alike.where("mix_copies > 0"), same).select("row", "mix_copies")
+    if taken.where(some).take(1):
+        # Rows that agree in id, source and text may differ elsewhere: those that agree in all are counted first.
+        unit = ["mix_doc_id", "mix_source", "mix_th", "mix_whole", "mix_extra"]
+        counted = rows.join(taken.where(some), same).groupBy(*unit, "row").agg(F.count("*").alias("mix_n"))
+        earlier = Window.partitionBy(*unit).orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("mix_n").over(earlier), F.lit(0))
+        more = F.greatest(F.least(F.col("mix_extra") - before, F.col("mix_n")), F.lit(0))
+        dealt = counted.withColumn("mix_copies", F.col("mix_n") * F.col("mix_whole") + more)
+        joined = joined.unionByName(dealt.where("mix_copies > 0").select("row", "mix_copies"))
     repeated = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
     return repeated.select("row.*")

@@ -46,6 +46,45 @@ def test_clear_and_near_lines_agree(spark):
     assert actual(found) == expected(rows, 20)
 
 
+def hot(n):
+    """A line on a third of all rows and few sites, one on many sites, and one near the threshold."""
+    rows = [(i, "hot\n" * (i % 3 == 0) + f"own {i}\n" + "wide\n" * (i % 7 == 0) + "near" * (i % 40 < 10), f"s{i % 40}") for i in range(n)]
+    return [(i, t if i % 3 else t + "\nhot", f"s{i % 3}" if i % 3 == 0 else s) for i, t, s in rows]
+
+
+@pytest.mark.parametrize("filtered", [0, 2000])
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_either_way_is_the_same(spark, monkeypatch, filtered, sent):
+    """Few lines filtered in the scan or many joined, near ones sent or merged, without any broadcast."""
+    monkeypatch.setattr(L, "FILTERED_LINES", filtered)
+    monkeypatch.setattr(L, "SENT_LINES", sent)
+    rows = hot(600)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert actual(L.remove_shared_lines(docs, 10)) == expected(rows, 10)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sketches_come_before_any_pair_moves(spark, monkeypatch):
+    """What is exchanged for the estimate is a sketch per line, and texts aren't exchanged to remove few lines."""
+    plans = []
+    real = L.materialize
+
+    def keep(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(L, "materialize", keep)
+    docs = spark.createDataFrame(hot(100), "doc_id bigint, text string, source string")
+    found = L.remove_shared_lines(docs, 10)
+    name, plan = plans[0]
+    assert name == "line-sites" and plan.count("Exchange hashpartitioning(line") == 1
+    assert not any("site" in line for line in plan.splitlines() if "Exchange" in line) and "Join" not in plan
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(empty):
     assert L.remove_shared_lines(empty).count() == 0
 
