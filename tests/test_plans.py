@@ -12,7 +12,7 @@ from corpusloom.operators.tokenize import tokenize
 from corpusloom.plans import loading, pretokenize
 from corpusloom.sources import documents as D
 from corpusloom.sources import token_shards as TS
-from corpusloom.streaming.packing import IncrementalPacker
+from corpusloom.streaming.packing import CommitLog, IncrementalPacker
 
 SHARD = 20_000
 
@@ -206,3 +206,31 @@ def test_shared_folder(spark, monkeypatch):
     if configured:
         assert session.new_path(spark, "x").startswith(f"{configured}/corpusloom/")
     assert session.new_path(spark, "x") != session.new_path(spark, "x")
+
+
+def test_commits_of_a_stream_are_few(spark, documents, vocab, corpus, tmp_path, monkeypatch):
+    """Many batches leave the newest commits only, and one that is repeated goes on from the commit before it."""
+    made, _, identity = corpus
+    packer = IncrementalPacker(str(tmp_path / "out"), lambda d: tokenize(d, vocab), identity, SHARD, 1)
+    low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = (high - low) // 6 + 1
+    parts = [documents.where(F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1)) for i in range(6)]
+
+    def lost(*_):
+        raise RuntimeError("the driver is gone")
+
+    for i, part in enumerate(parts):
+        if i == 3:
+            with monkeypatch.context() as patch:
+                patch.setattr(CommitLog, "put", lost)
+                with pytest.raises(RuntimeError, match="gone"):
+                    packer.process(part, i)
+        packer.process(part, i)
+    packer.flush(spark)
+    assert sorted(p.name for p in (tmp_path / "out" / "commits").iterdir()) == [f"batch_{i}.json" for i in (3, 4, 5)]
+    assert sum(s.token_count for s in TS.list_shards(packer.shard_dir)) == made.total_tokens
+    found, expected = (
+        {(r["name"], r["start"]): r["tokens"] for r in TS.read_tokens(spark, f).select("name", "start", "tokens").collect()}
+        for f in (packer.shard_dir, corpus[1])
+    )
+    assert found == expected
