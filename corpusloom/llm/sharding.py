@@ -102,13 +102,18 @@ def assign_shards(
     )
 
 
-def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(
+    docs: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text", folder_col: str = "shard"
+) -> None:
     """Writes whole rows below ``path/shard=n``, in id order within each file.
 
-    A shard of many rows is written by several tasks, one per run of slots.
+    A shard of many rows is written by several tasks, one per run of slots. The
+    folders' column must not be one of the rows'; ``folder_col`` names another.
     """
+    if folder_col.lower() in [c.lower() for c in docs.columns]:
+        raise ValueError(f"The rows have a column {folder_col!r} of their own; name the folders' column with folder_col")
     rows = assign_shards(docs, shards, id_col, text_col, keep=F.struct(*[F.col(c) for c in docs.columns]))
     n = wide(docs, rows.count(), ROWS_PER_TASK)
-    columns = [F.col(f"kept.{c}").alias(c) for c in docs.columns if c != "shard"]
+    columns = [F.col(f"kept.{c}").alias(c) for c in docs.columns]
     placed = rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
-    placed.select(*columns, "shard").write.partitionBy("shard").parquet(path)
+    placed.select(*columns, F.col("shard").alias(folder_col)).write.partitionBy(folder_col).parquet(path)

@@ -14,7 +14,8 @@ are verified on all bits. The design changes the work, never the result.
 Cells hold distinct fingerprints, so copies of a text don't meet there. A cell
 of more than ``CELL`` members isn't compared pair by pair: its members are filed
 under every value within distance / 2 bits, where any two that share a value are
-linked and any two linked share a value.
+linked and any two linked share a value (of an odd distance, half is rounded up
+and those that share a value are compared).
 
 Within a batch of cells links are reduced to a spanning forest, so what is
 shuffled grows with the fingerprints and not with their pairs. Components are
@@ -54,6 +55,9 @@ PARTITIONS = (2, 3, 4, 5)
 # Cost of a probe in comparisons: a row that is shuffled against a xor in a batch.
 PROBE_COST = 40.0
 ROWS_PER_TASK = 1 << 21
+# Components of more fingerprints than BIG, and than a MAX_BIG-th of all, are sent to all tasks: MAX_BIG at most.
+BIG = 1024
+MAX_BIG = 1 << 16
 _CHUNK = 1 << 16
 
 
@@ -238,11 +242,21 @@ def _verify(distance: int):
 
 
 def _crowded_links(prints: DataFrame, distance: int) -> DataFrame:
-    """Links among fingerprints by shared values within distance / 2 bits: each to the smallest at the value."""
-    flips = [sum(1 << b for b in chosen) for n in range(distance // 2 + 1) for chosen in combinations(range(BITS), n)]
-    near = F.array(*[F.lit(_signed(x)).cast("long") for x in flips])
-    filed = prints.select("fp", F.explode(F.transform(near, lambda x: F.col("fp").bitwiseXOR(x))).alias("value"))
+    """Links among fingerprints by the values that they share within half the distance.
+
+    Two within an even distance share a value, and two that share one are within
+    the distance: each is linked to the smallest at the value. With an odd one,
+    half is rounded up, so those at a value are compared.
+    """
+    near = (distance + 1) // 2
+    flips = [sum(1 << b for b in chosen) for n in range(near + 1) for chosen in combinations(range(BITS), n)]
+    masks = F.array(*[F.lit(_signed(x)).cast("long") for x in flips])
+    filed = prints.select("fp", F.explode(F.transform(masks, lambda x: F.col("fp").bitwiseXOR(x))).alias("value"))
     # No more members than there are flips, as they are distinct.
+    if distance % 2:
+        members = F.collect_list(F.struct("fp", F.lit(True).alias("own"))).alias("members")
+        shared = filed.groupBy("value").agg(members).where(F.size("members") > 1)
+        return shared.select("members").mapInArrow(_verify(distance), "a bigint, b bigint").distinct()
     shared = filed.groupBy("value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return shared.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").select("a", "b").distinct()
 
@@ -266,8 +280,6 @@ def links(prints: DataFrame, distance: int = DISTANCE, sample_rows: int = SAMPLE
     )
     found = members.select("members").mapInArrow(_verify(distance), "a bigint, b bigint")
     if any_crowded:
-        if distance % 2:
-            raise ValueError("Crowded cells need an even distance")
         crowd = cells.join(crowded, ["part", "cell"], "left_semi").select("fp").distinct()
         found = found.unionByName(_crowded_links(crowd, distance))
     return found
@@ -289,15 +301,28 @@ def near_duplicates(
     rows = materialize(fingerprints(docs, id_col, text_col), "document-fingerprints")
     found = materialize(classes(rows, distance, **options), "fingerprint-classes")
     smallest = rows.groupBy("fp").agg(F.min("id").alias("id")).join(found, "fp")
-    ids = smallest.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(found.join(ids, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    ids = smallest.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
+    ids = materialize(ids, "components")
+    # A component of very many fingerprints would be one hot key: there are few of these, so they are sent.
+    least = max(BIG, (ids.agg(F.sum("members")).first()[0] or 0) // MAX_BIG)
+    big = F.broadcast(ids.where(F.col("members") > least).select("root", F.lit(True).alias("big"), F.col("component_id").alias("big_id")))
+    marked = found.join(big, "root", "left")
+    usual = marked.where("big IS NULL").join(ids, "root").select("fp", "component_id")
+    known = usual.unionByName(marked.where("big").select("fp", F.col("big_id").alias("component_id")))
+    return rows.join(known, "fp").select("id", "fp", "component_id")
 
 
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, **options
 ) -> DataFrame:
-    """One row of each component, that of the smallest id (nulls last, then by text hash), with its columns as they are."""
-    hashed = F.xxhash64(F.col(text_col))
+    """One row of each component, with its columns as they are: that of the smallest id (nulls last).
+
+    Of several rows with that id, the smallest text hash decides, then the hash of
+    the whole row, so reruns keep the same row.
+    """
+    # Maps have no hash.
+    whole_row = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = F.struct(F.xxhash64(F.col(text_col)).alias("text"), F.xxhash64(*whole_row).alias("row"))
     rows = materialize(fingerprints(docs, id_col, text_col, hashed), "document-fingerprints")
     found = classes(rows, distance, **options)
     best = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best"))
@@ -305,5 +330,5 @@ def keep_first(
     kept = kept.select(F.col("best.id").alias("kept_id"), F.col("best.key").alias("kept_key"))
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), hashed.alias("own_key"))
     same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
-    # Rows alike in id and text are one document.
+    # What is left of one component are rows that agree in all.
     return whole.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_key"]).select("row.*")

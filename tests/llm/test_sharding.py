@@ -56,3 +56,13 @@ def test_query(spark, texts):
     rows = [r.asDict() | {"key": r["doc_id"], "crc": r["text_crc32"]} for r in found.collect()]
     check(rows, [(i, t) for i, t, _ in texts], queries.SHARDS)
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+
+
+def test_an_own_column_named_shard_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "t" * i, -i) for i in range(9)], "doc_id bigint, text string, Shard int")
+    with pytest.raises(ValueError, match="folder_col"):
+        sharding.write_shards(docs, 3, str(tmp_path / "a"))
+    sharding.write_shards(docs, 3, str(tmp_path / "b"), folder_col="part")
+    found = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted((r["doc_id"], r["Shard"]) for r in found.collect()) == [(i, -i) for i in range(9)]
+    assert {r["part"] for r in found.collect()} == {0, 1, 2}

@@ -120,3 +120,29 @@ def test_query(spark, texts):
     rows = sorted(((r[0], int(r[1], 16), r[2]) for r in found.collect()), key=str)
     assert rows == expected([(i, t) for i, t, _ in texts])
     assert all(len(r["fingerprint"]) == 16 for r in found.collect())
+
+
+@pytest.mark.parametrize("distance", [1, 3])
+def test_odd_distances_with_crowded_cells(spark, distance):
+    """Cells of any size link the same pairs, of odd distances too."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**62), 2**62, 6)
+    prints = {int(b) ^ sum(1 << int(x) for x in rng.choice(62, rng.integers(0, 4), replace=False)) for b in base for _ in range(40)}
+    rows = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    found = [{(r["fp"], r["root"]) for r in simhash.classes(rows, distance, cell=cell).collect()} for cell in (2048, 4)]
+    assert found[0] == found[1] and len({root for _, root in found[0]}) < len(prints)
+
+
+def test_big_components_are_sent(spark, odd, monkeypatch):
+    whole = sorted(map(str, simhash.near_duplicates(odd).collect()))
+    monkeypatch.setattr(simhash, "BIG", 0)
+    monkeypatch.setattr(simhash, "MAX_BIG", 10**6)
+    assert sorted(map(str, simhash.near_duplicates(odd).collect())) == whole
+
+
+def test_the_row_that_stays_is_always_the_same(spark):
+    """Rows that agree in id and text but not in the rest."""
+    rows = [(1, "one two three four five", f"l{i}", f"s{i % 3}", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {tuple(simhash.keep_first(docs.repartition(n)).collect()[0]) for n in (1, 3, 7)}
+    assert len(kept) == 1
