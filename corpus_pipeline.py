@@ -1,4 +1,4 @@
-"""Raw documents to training shards in five stages."""
+"""Raw documents to their places in training shards in five stages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, mixing, quality, sharding, simhash
-from corpusloom.session import materialize
+from corpusloom.session import delete_path, new_path
 
 SHARDS = 40
 
@@ -50,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each written as Parquet and read again by the next, then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made, path = stage(spark, docs, sf_dir), new_path(spark, f"pipeline-{name}")
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            delete_path(spark, before)
+        before = path
     return docs
