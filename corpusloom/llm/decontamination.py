@@ -5,8 +5,16 @@ them. A shard keeps the runs of words that the benchmark knows and that are long
 enough for a match, and sorts all their suffixes by prefix doubling. Every
 benchmark suffix is binary-searched in the shard's suffix array: its place there
 gives its longest verbatim match, and if that is long enough, the suffixes that
-share its first words give all places. Matches that go on along a document and
-an item are joined to maximal ones. Documents with matches are removed.
+share its first words give all places. Suffixes that begin with the same window
+have the same places, so these are looked up once per different window, however
+many items share it; a document's items are those of its windows, as a set.
+Documents with matches are removed.
+
+On request, matches that go on along a document and an item are joined to
+maximal ones. Their number is that of places times the items that share them.
+
+Suffixes are compared by ranks of their first 1, 2, 4, ... words, so a comparison
+takes as many steps as its length has binary digits.
 
 No text is shuffled. The benchmark is a query set: it is read in blocks of
 bounded size, each sent to all tasks, with a pass over the documents per block.
@@ -23,7 +31,7 @@ give no matches. Columns of any name pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -38,6 +46,7 @@ WINDOW = 10
 # Words of a benchmark block and of a shard of documents (a longer document is a shard of its own).
 BLOCK_WORDS = 1 << 20
 SHARD_WORDS = 1 << 20
+SPAN = "struct<doc_start:bigint,n:bigint>"
 MATCH = "struct<item:string,doc_start:bigint,item_start:bigint,n:bigint>"
 
 # Bytes of words stay, A-Z lower-cased; other ASCII ends a word.
@@ -61,6 +70,9 @@ class Group:
     items: list[str | None] = field(default_factory=list)
     # Of each suffix: item, start in the item, start in ``words``, words left.
     suffixes: list[tuple[int, int, int, int]] | np.ndarray = field(default_factory=list)
+    # Suffixes by their first window: those of window k stand from ``bounds[k]`` to ``bounds[k + 1]``.
+    by_window: np.ndarray | None = None
+    bounds: np.ndarray | None = None
 
     def add(self, item: str | None, found: list[bytes]) -> None:
         base, n = len(self.words), len(found)
@@ -71,7 +83,43 @@ class Group:
     def packed(self) -> Group:
         """With arrays for lists, to be sent to the tasks."""
         words, suffixes = np.array(self.words, np.int64), np.array(self.suffixes, np.int64).reshape(-1, 4)
-        return Group(self.window, self.vocabulary, words, self.items, suffixes)
+        levels = ranks(words, self.window)
+        first = suffixes[:, 2]
+        # Two stretches of the same length cover a window.
+        rest = self.window - (1 << (len(levels) - 1))
+        windows = _numbered(levels[-1][first], levels[-1][first + rest])
+        by_window = np.argsort(windows, kind="stable")
+        bounds = np.searchsorted(windows[by_window], np.arange(windows.max() + 2))
+        return Group(self.window, self.vocabulary, words, self.items, suffixes, by_window, bounds)
+
+    def of_windows(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that begin with each of these windows, and their number by window."""
+        count = self.bounds[windows + 1] - self.bounds[windows]
+        return self.by_window[_ranges(self.bounds[windows], count)], count
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``start`` on, one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal numbers from 0 for equal pairs of ``a`` and ``b``, in the pairs' order."""
+    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def ranks(text: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For each power of two up to ``depth``: ranks of the stretches of so many words that begin at each place.
+
+    Past its end the text goes on with zeros.
+    """
+    levels = [text]
+    while 2 << (len(levels) - 1) <= depth:
+        last, step = levels[-1], 1 << (len(levels) - 1)
+        following = np.full(len(last), last[-1] if len(last) and not text[-1] else 0, last.dtype)
+        following[: max(len(last) - step, 0)] = last[step:]
+        levels.append(_numbered(last, following).astype(np.int32))
+    return levels
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[Group]]:
@@ -130,7 +178,7 @@ class Index:
         self.place = np.repeat(starts, lengths) + place
         text = np.concatenate((ids, [0]))[self.place] if len(self.place) else np.zeros(0, ids.dtype)
         self.order = suffix_array(text, depth) if len(text) else np.zeros(0, np.int64)
-        self.text = np.concatenate((text, np.zeros(depth + 1, text.dtype)))
+        self.text = np.concatenate((text, [0]))
 
     def common(self, at: np.ndarray, words: np.ndarray, start: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Number of leading words, at most ``limit``, that suffix ``at`` shares with the query at ``start``."""
@@ -143,14 +191,15 @@ class Index:
             live = live[shared[live] < limit[live]]
         return shared
 
-    def search(self, words: np.ndarray, start: np.ndarray, limit: np.ndarray, after: bool) -> np.ndarray:
+    def search(self, words: np.ndarray, start: np.ndarray, limit: np.ndarray, after: bool, common=None) -> np.ndarray:
         """First place in the order whose suffix is not below the query's first ``limit`` words, or is above them."""
+        common = common or self.common
         low, high = np.zeros(len(start), np.int64), np.full(len(start), len(self.order), np.int64)
         live = np.flatnonzero(low < high)
         while len(live):
             middle = (low[live] + high[live]) // 2
             at = self.order[middle]
-            shared = self.common(at, words, start[live], limit[live])
+            shared = common(at, words, start[live], limit[live])
             whole = shared == limit[live]
             k = np.where(whole, 0, shared)
             below = np.where(whole, after, self.text[at + k] < words[start[live] + k])
@@ -159,45 +208,89 @@ class Index:
             live = live[low[live] < high[live]]
         return low
 
-    def longest(self, words: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Length of each query suffix's longest verbatim match: with its neighbour on either side."""
-        best = np.zeros(len(start), np.int64)
-        place = self.search(words, start, left, False)
-        for neighbour in (place - 1, place):
-            inside = np.flatnonzero((neighbour >= 0) & (neighbour < len(self.order)))
-            shared = self.common(self.order[neighbour[inside]], words, start[inside], left[inside])
-            best[inside] = np.maximum(best[inside], shared)
-        return best
-
-    def matches(self, group: Group) -> tuple[np.ndarray, ...]:
-        """Maximal matches: place of the first word, item, start in the item, number of words."""
-        words, m = group.words, group.window
-        # A suffix whose first word isn't in the shard has no match.
+    def occurrences(self, group: Group) -> tuple[np.ndarray, np.ndarray]:
+        """All places (in ``text``) where a window of the group begins, in order, and the number of that window."""
+        start = group.suffixes[group.by_window[group.bounds[:-1]], 2]
+        # A window whose first word isn't in the shard doesn't occur.
         there = np.zeros(len(group.vocabulary) + 1, bool)
         there[self.text] = True
-        item, offset, start, left = group.suffixes[there[words[group.suffixes[:, 2]]]].T
-        found = np.flatnonzero(self.longest(words, start, left) >= m)
-        item, offset, start = item[found], offset[found], start[found]
-        limit = np.full(len(found), m, np.int64)
-        low = self.search(words, start, limit, False)
-        count = self.search(words, start, limit, True) - low
-        each = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = self.place[self.order[np.repeat(low, count) + each]]
-        item, offset, start = (np.repeat(x, count) for x in (item, offset, start))
-        order = np.lexsort((place, place - start))
-        place, item, offset, start = place[order], item[order], offset[order], start[order]
+        window = np.flatnonzero(there[group.words[start]])
+        start, limit = start[window], np.full(len(window), group.window, np.int64)
+        low = self.search(group.words, start, limit, False)
+        count = self.search(group.words, start, limit, True) - low
+        at, window = self.order[_ranges(low, count)], np.repeat(window, count)
+        order = np.argsort(at)
+        return at[order], window[order]
+
+    def longest(self, group: Group, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The longest verbatim match of each item that has one of these windows: place in ``text``, item, start in the item, number of words."""
+        item, offset, start, left = group.suffixes[group.of_windows(windows)[0]].T
+        items, one = np.unique(item, return_index=True)
+        base, length = start[one] - offset[one], offset[one] + left[one]
+        words = group.words[_ranges(base, length)]
+        start = (np.cumsum(length) - length)[np.searchsorted(items, item)] + offset
+        common = _by_ranks(ranks(np.concatenate((words, self.text)), int(left.max(initial=1))), len(words))
+        best, place = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        found = self.search(words, start, left, False, common)
+        for neighbour in (found - 1, found):
+            inside = np.flatnonzero((neighbour >= 0) & (neighbour < len(self.order)))
+            at = self.order[neighbour[inside]]
+            shared = common(at, words, start[inside], left[inside])
+            better = shared > best[inside]
+            best[inside[better]], place[inside[better]] = shared[better], at[better]
+        # Of each item: the longest, of these the first in the item.
+        order = np.lexsort((offset, -best, item))
+        order = order[np.concatenate(([True], item[order][1:] != item[order][:-1]))[: len(order)]]
+        return place[order], item[order], offset[order], best[order]
+
+    def matches(self, group: Group, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Maximal matches: place of the first word, item, start in the item, number of words."""
+        suffix, count = group.of_windows(window)
+        item, offset, start, _ = group.suffixes[suffix].T
+        at = np.repeat(at, count)
+        order = np.lexsort((at, at - start))
+        at, item, offset, start = at[order], item[order], offset[order], start[order]
         goes_on = np.concatenate(
-            ([False], (place[1:] == place[:-1] + 1) & (start[1:] == start[:-1] + 1) & (item[1:] == item[:-1]))
-        )[: len(place)]
+            ([False], (at[1:] == at[:-1] + 1) & (start[1:] == start[:-1] + 1) & (item[1:] == item[:-1]))
+        )[: len(at)]
         first = np.flatnonzero(~goes_on)
-        length = np.diff(np.concatenate((first, [len(place)]))) + m - 1
-        return place[first], item[first], offset[first], length
+        length = np.diff(np.concatenate((first, [len(at)]))) + group.window - 1
+        return at[first], item[first], offset[first], length
 
 
-def _find(texts: list[str | None], groups: list[Group], shard_words: int) -> tuple[list[int], list[list[dict]]]:
-    """Number of words and matches of every text."""
+def _by_ranks(levels: list[np.ndarray], text_at: int) -> Callable[..., np.ndarray]:
+    """Like ``Index.common``, from the ranks of the queries' words and the text after them."""
+    top = len(levels) - 1
+
+    def common(at: np.ndarray, words: np.ndarray, start: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        shared = np.zeros(len(at), np.int64)
+        for k in range(top, -1, -1):
+            live = np.flatnonzero(shared + (1 << k) <= limit)
+            while len(live):
+                a, b = start[live] + shared[live], text_at + at[live] + shared[live]
+                live = live[levels[k][a] == levels[k][b]]
+                shared[live] += 1 << k
+                # Stretches of the greatest length may follow each other.
+                live = live[shared[live] + (1 << k) <= limit[live]] if k == top else live[:0]
+        return shared
+
+    return common
+
+
+@dataclass
+class Found:
+    """What a text has of the benchmark."""
+
+    items: set[str] = field(default_factory=set)
+    spans: list[dict] = field(default_factory=list)
+    longest: list[dict] = field(default_factory=list)
+    matches: list[dict] = field(default_factory=list)
+
+
+def _find(texts: list[str | None], groups: list[Group], shard_words: int, every: bool) -> tuple[list[int], list[Found]]:
+    """Number of words of every text, and what is found in it; all maximal matches if ``every``."""
     counts: list[int] = []
-    matches: list[list[dict]] = [[] for _ in texts]
+    results = [Found() for _ in texts]
     shard: list[tuple[int, list[np.ndarray]]] = []
     held = 0
 
@@ -207,12 +300,36 @@ def _find(texts: list[str | None], groups: list[Group], shard_words: int) -> tup
             ids = np.concatenate([np.concatenate((found[k], [0])) for _, found in shard])
             bounds = np.cumsum([0, *(len(found[k]) + 1 for _, found in shard)])
             index = Index(ids, group.window, int(group.suffixes[:, 3].max()))
-            place, item, offset, length = index.matches(group)
-            at = np.searchsorted(bounds, place, side="right") - 1
-            for d, p, i, o, n in zip(at.tolist(), (place - bounds[at]).tolist(), item.tolist(), offset.tolist(), length.tolist()):
-                matches[shard[d][0]].append({"item": group.items[i], "doc_start": p, "item_start": o, "n": n})
+            at, window = index.occurrences(group)
+            if len(at):
+                report(group, index, bounds, at, window)
         shard.clear()
 
+    def report(group: Group, index: Index, bounds: np.ndarray, at: np.ndarray, window: np.ndarray) -> None:
+        place = index.place[at]
+        document = np.searchsorted(bounds, place, side="right") - 1
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(place) > group.window) | (np.diff(document) > 0))))
+        last = np.concatenate((first[1:], [len(place)])) - 1
+        for d, a, b in zip(document[first].tolist(), place[first].tolist(), place[last].tolist()):
+            results[shard[d][0]].spans.append({"doc_start": a - int(bounds[d]), "n": b - a + group.window})
+        number = len(group.bounds)
+        d, w = np.divmod(np.unique(document * number + window), number)
+        suffix, count = group.of_windows(w)
+        d, i = np.divmod(np.unique(np.repeat(d, count) * len(group.items) + group.suffixes[suffix, 0]), len(group.items))
+        for d, i in zip(d.tolist(), i.tolist()):
+            if group.items[i] is not None:
+                results[shard[d][0]].items.add(group.items[i])
+        put(group, index, bounds, index.longest(group, np.unique(window)), "longest")
+        if every:
+            put(group, index, bounds, index.matches(group, at, window), "matches")
+
+    def put(group: Group, index: Index, bounds: np.ndarray, found: tuple[np.ndarray, ...], name: str) -> None:
+        at, item, offset, length = found
+        place = index.place[at]
+        document = np.searchsorted(bounds, place, side="right") - 1
+        for d, p, i, o, n in zip(document.tolist(), (place - bounds[document]).tolist(), item.tolist(), offset.tolist(), length.tolist()):
+            getattr(results[shard[d][0]], name).append({"item": group.items[i], "doc_start": p, "item_start": o, "n": n})
+
     for at, text in enumerate(texts):
         found = split_words(text)
         counts.append(len(found))
@@ -225,45 +342,49 @@ def _find(texts: list[str | None], groups: list[Group], shard_words: int) -> tup
             held = 0
     if shard:
         finish()
-    return counts, matches
+    return counts, results
 
 
-def _pass(groups, text_at: int, seen: bool, shard_words: int):
-    """Adds ``n_words`` and ``matches``, or adds to those of an earlier pass."""
-    kind = pa.list_(pa.struct([("item", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n", pa.int64())]))
+def _pass(groups, text_at: int, seen: bool, shard_words: int, every: bool):
+    """Adds ``n_words``, ``items``, ``spans``, ``longest`` and ``matches``, or adds to those of an earlier pass."""
+    span = [("doc_start", pa.int64()), ("n", pa.int64())]
+    match = pa.list_(pa.struct([("item", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n", pa.int64())]))
+    kinds = {"items": pa.list_(pa.string()), "spans": pa.list_(pa.struct(span)), "longest": match, "matches": match}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, matches = _find(batch.column(text_at).to_pylist(), groups.value, shard_words)
+            counts, results = _find(batch.column(text_at).to_pylist(), groups.value, shard_words, every)
             columns, names = batch.columns, batch.schema.names
             if seen:
-                matches = [a + b for a, b in zip(columns[-1].to_pylist(), matches)]
-                columns, names = columns[:-2], names[:-2]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(matches, kind)], [*names, "n_words", "matches"]
-            )
+                for result, *earlier in zip(results, *[c.to_pylist() for c in columns[-4:]]):
+                    result.items.update(earlier[0])
+                    result.spans[:0], result.longest[:0], result.matches[:0] = earlier[1:]
+                columns, names = columns[:-5], names[:-5]
+            made = [pa.array([list(getattr(r, name)) for r in results], kind) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), *made], [*names, "n_words", *kinds])
 
     return run
 
 
-def _searched(docs: DataFrame, text_at: int, found: Iterator[list[Group]], shard_words: int) -> DataFrame:
-    """``docs`` with ``n_words`` and ``matches``, after a pass for each block."""
+def _searched(docs: DataFrame, text_at: int, found: Iterator[list[Group]], shard_words: int, every: bool) -> DataFrame:
+    """``docs`` with what ``_pass`` adds, after a pass for each block."""
     spark = docs.sparkSession
     ship_package(spark)
-    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + f", n_words bigint, matches array<{MATCH}>"
+    added = f"n_words bigint, items array<string>, spans array<{SPAN}>, longest array<{MATCH}>, matches array<{MATCH}>"
+    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + f", {added}"
     seen = False
     for groups in found:
         sent = spark.sparkContext.broadcast(groups)
-        docs = docs.mapInArrow(_pass(sent, text_at, seen, shard_words), schema)
+        docs = docs.mapInArrow(_pass(sent, text_at, seen, shard_words, every), schema)
         seen = True
     if not seen:
-        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast([]), text_at, False, shard_words), schema)
+        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast([]), text_at, False, shard_words, every), schema)
     return docs
 
 
-def words_hit(matches: Column) -> Column:
-    """Number of words in the matches, each counted once."""
-    spans = F.sort_array(F.transform(matches, lambda x: F.struct(x["doc_start"].alias("a"), (x["doc_start"] + x["n"]).alias("b"))))
+def words_hit(spans: Column) -> Column:
+    """Number of words in the spans, each counted once."""
+    spans = F.sort_array(F.transform(spans, lambda x: F.struct(x["doc_start"].alias("a"), (x["doc_start"] + x["n"]).alias("b"))))
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(
         spans,
@@ -286,14 +407,20 @@ def find_matches(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    matches: bool = False,
 ) -> DataFrame:
-    """``(id, n_words, n_hit, items, matches)`` of every document; ``items`` are sorted id strings, starts count words from 0."""
+    """``(id, n_words, n_hit, items, spans, longest)`` of every document, and all maximal ``matches`` if asked for.
+
+    ``items`` are sorted id strings. ``spans`` are the places that windows cover.
+    ``longest`` holds the longest verbatim match of each item in a shard, at a
+    document that has it. Starts count words from 0.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    searched = _searched(rows, 1, blocks(benchmark, item_col, item_text_col, window, block_words), shard_words)
-    items = F.array_compact(F.array_distinct(F.transform("matches", lambda x: x["item"])))
-    return searched.select(
-        "id", "n_words", words_hit(F.col("matches")).alias("n_hit"), F.sort_array(items).alias("items"), "matches"
-    )
+    found = blocks(benchmark, item_col, item_text_col, window, block_words)
+    searched = _searched(rows, 1, found, shard_words, matches)
+    items = F.sort_array("items").alias("items")
+    columns = ["id", "n_words", words_hit(F.col("spans")).alias("n_hit"), items, "spans", "longest"]
+    return searched.select(*columns, *(["matches"] if matches else []))
 
 
 def remove_contaminated(
@@ -310,5 +437,5 @@ def remove_contaminated(
     names = docs.columns
     rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
     found = blocks(benchmark, item_col, item_text_col, window, block_words)
-    searched = _searched(rows, names.index(text_col), found, shard_words)
-    return searched.where(F.size("matches") == 0).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+    searched = _searched(rows, names.index(text_col), found, shard_words, False)
+    return searched.where(F.size("spans") == 0).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

@@ -45,8 +45,59 @@ def test_matches_are_maximal_and_in_place(spark):
     doc = "x " + item[:35] + " y y " + item + " z"
     docs = spark.createDataFrame([(1, doc)], "doc_id bigint, text string")
     bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
-    found = D.find_matches(docs, bench).first()
+    found = D.find_matches(docs, bench, matches=True).first()
     assert [tuple(m) for m in sorted(found["matches"], key=lambda m: m["doc_start"])] == [("7", 1, 0, 18), ("7", 21, 0, 20)]
+    assert [tuple(s) for s in found["spans"]] == [(1, 18), (21, 20)]
+    assert [tuple(m) for m in found["longest"]] == [("7", 21, 0, 20)]
+
+
+def packed(items, window):
+    group = D.Group(window)
+    for name, text in items:
+        group.add(name, D.split_words(text))
+    return group.packed()
+
+
+def test_shared_preamble_is_one_window():
+    """2,000 items that share a preamble: it is looked up once, and its places aren't paired with the items."""
+    preamble = "answer the following question with one of the four letters"
+    group = packed([(str(k), preamble) for k in range(2000)], 10)
+    assert len(group.bounds) == 2
+    _, (found,) = D._find([f"{preamble} " * 500], [group], 1 << 20, False)
+    assert len(found.items) == 2000 and len(found.longest) == 2000 and not found.matches
+    assert found.spans == [{"doc_start": 0, "n": 5000}]
+
+
+def test_long_item_is_found_in_few_steps(monkeypatch):
+    """No comparison goes on word by word past a window."""
+    text = " ".join(f"w{(k * k) % 7919}" for k in range(16000))
+    group, limits, common = packed([("long", text)], 10), [], D.Index.common
+    monkeypatch.setattr(D.Index, "common", lambda self, at, w, s, limit: (limits.append(limit.max()), common(self, at, w, s, limit))[1])
+    _, (found,) = D._find([text], [group], 1 << 20, False)
+    assert found.longest == [{"item": "long", "doc_start": 0, "item_start": 0, "n": 16000}] and max(limits) == 10
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4), st.lists(st.integers(0, 3), max_size=40), st.integers(1, 4))
+def test_longest_matches(items, words, window):
+    """Against a search of every stretch of every item."""
+    group = packed([(str(k), " ".join(map(str, x))) for k, x in enumerate(items)], window) if any(len(x) >= window for x in items) else None
+    if group is None:
+        return
+    _, (found,) = D._find([" ".join(map(str, words))], [group], 1 << 20, False)
+
+    def occurs(part):
+        return any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
+
+    wanted = {}
+    for k, x in enumerate(items):
+        lengths = [n for n in range(window, len(x) + 1) for a in range(len(x) - n + 1) if occurs(x[a : a + n])]
+        if lengths:
+            wanted[str(k)] = max(lengths)
+    assert {m["item"]: m["n"] for m in found.longest} == wanted and found.items == set(wanted)
+    for m in found.longest:
+        own = items[int(m["item"])][m["item_start"] : m["item_start"] + m["n"]]
+        assert words[m["doc_start"] : m["doc_start"] + m["n"]] == own
 
 
 def test_clean_rows_stay_as_they_are(spark, odd, items, clashing):
