@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import embedding_dedup, line_dedup
+from corpusloom.llm import embedding_dedup, line_dedup, quality
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 _ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,12 +42,18 @@ facts AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
-    coalesce(n, 0)::BIGINT AS n_repeat_words
+    coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{quality.BULLET}'))) AS n_bullets,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{quality.ELLIPSIS}'))) AS n_ellipses,
+    len(list_filter(w, lambda x: regexp_matches(x, '{quality.NO_LETTER}'))) AS n_no_letter,
+    coalesce(list_max(map_values(list_histogram(w))), 0) AS n_top_word
   FROM cut LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 25 * n_words
-    OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+    OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 100 * n_bullets > 90 * n_lines OR 100 * n_ellipses > 30 * n_lines OR 100 * n_no_letter > 50 * n_words
+    OR 100 * n_top_word > 30 * n_words) AS kept
 FROM facts
 """
 

@@ -65,6 +65,10 @@ def features(text):
         "n_lines": len(lines),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len(covered),
+        "n_bullets": sum(x.strip(" \t\n\x0b\x0c\r")[0] in "-*•·▪" for x in lines),
+        "n_ellipses": sum(x.rstrip(" \t\n\x0b\x0c\r").endswith(("...", "…")) for x in lines),
+        "n_no_letter": sum(all(" " < c <= "~" and not c.isalpha() for c in w) for w in words),
+        "n_top_word": max(Counter(words).values(), default=0),
     }
 
 
@@ -76,6 +80,10 @@ def kept(text) -> bool:
         or 100 * f["n_symbols"] > 25 * f["n_words"]
         or 100 * f["n_dup_lines"] > 50 * f["n_lines"]
         or not 2 * f["n_words"] <= f["word_chars"] <= 20 * f["n_words"]
+        or 100 * f["n_bullets"] > 90 * f["n_lines"]
+        or 100 * f["n_ellipses"] > 30 * f["n_lines"]
+        or 100 * f["n_no_letter"] > 50 * f["n_words"]
+        or 100 * f["n_top_word"] > 30 * f["n_words"]
     )
 
 

@@ -29,10 +29,51 @@ def test_order_changes_no_verdict(odd):
     assert verdicts[0] == verdicts[1] == verdicts[2]
 
 
-def test_rules_by_rejections_per_cost():
-    rules = quality.default_rules()
-    found = [quality.Estimate(r.name, cost, rejected) for r, (cost, rejected) in zip(rules, [(1, 0.1), (2, 0.8), (0.5, 0), (1, 0.3), (1, 0)])]
-    assert [r.name for r in quality.in_order(rules, found)] == ["repeated_words", "dup_lines", "min_words", "symbols", "word_length"]
+def test_rules_by_rejections_per_work():
+    """The second rule is left nothing by the third, so it goes last but for those that reject nothing at all."""
+    rules = quality.default_rules()[:4]
+    outcomes = [
+        quality.Outcome((False, True, True, False), 50, (50.0, 100.0, 50.0, 50.0)),
+        quality.Outcome((True, False, False, False), 10, (10.0, 20.0, 10.0, 10.0)),
+        quality.Outcome((False, False, False, False), 40, (40.0, 80.0, 40.0, 40.0)),
+    ]
+    assert [r.name for r in quality.in_order(rules, outcomes)] == ["symbols", "min_words", "repeated_words", "dup_lines"]
+
+
+def test_same_order_every_time(spark):
+    docs, rules = spark.read.parquet(f"{SMALL}/documents.parquet"), quality.default_rules()
+    orders = [[r.name for r in quality.in_order(rules, quality.estimate(docs, rules))] for _ in range(3)]
+    assert orders[0] == orders[1] == orders[2] and sorted(orders[0]) == sorted(r.name for r in rules)
+
+
+def test_a_rule_sees_what_earlier_rules_leave(spark, odd, odd_rows):
+    """A rule after two others is evaluated for the rows that both leave, and for no other."""
+    F = quality.F
+    seen = F.reflect(F.lit("java.lang.System"), F.lit("setProperty"), F.concat(F.lit("rule-saw-"), F.col("doc_id")), F.lit("x"))
+    noted = quality.Rule("noted", lambda f: seen == "never")
+    few, repeated = quality.default_rules()[:2]
+    lazy = quality.features(F.col("text")).__getitem__
+    odd.where("doc_id IS NOT NULL").select(quality.rejected_by([few, repeated, noted], lazy)).collect()
+    names = [str(x) for x in spark._jvm.java.lang.System.getProperties().stringPropertyNames()]
+    facts = [(r[0], brute.features(r[1])) for r in odd_rows if r[0] is not None]
+    left = {d for d, f in facts if f["n_words"] >= 50 and 2 * f["n_repeat_words"] <= f["n_words"]}
+    assert {int(x.removeprefix("rule-saw-")) for x in names if x.startswith("rule-saw-")} == left
+    assert 0 < len(left) < len({d for d, _ in facts})
+
+
+def test_rules_of_lines_and_words(spark):
+    """One text for each rule beyond the base features, and one that passes them all."""
+    good = " ".join(f"word{k}" for k in range(60))
+    texts = {
+        "bullets": "\n".join(f"- item number{k} of many words" for k in range(20)),
+        "ellipses": "\n".join(f"line number{k} breaks off here{'...' if k % 2 else ' \u2026 '}" for k in range(20)),
+        "no_letter": " ".join([f"{k}.5" for k in range(60)] + [f"w{k}" for k in range(40)]),
+        "top_word": " ".join(f"the w{k}" for k in range(60)),
+        None: good,
+    }
+    docs = spark.createDataFrame([(t, name) for name, t in texts.items()], "text string, name string")
+    rows = docs.select("name", quality.judge(docs).alias("found")).collect()
+    assert all(r["name"] == r["found"] for r in rows) and [brute.kept(t) for t in texts.values()] == [False] * 4 + [True]
 
 
 def test_later_rules_do_not_run(spark):
