@@ -33,19 +33,21 @@ ELLIPSIS = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
 # A word without a letter: ASCII digits and signs only.
 NO_LETTER = r"^[\x21-\x40\x5B-\x60\x7B-\x7E]+\z"
 WINDOW = 3
+# Up to so many different repeated windows of a text are looked for one by one.
+FEW_WINDOWS = 32
 # Rows that work and selectivity are estimated on; the verdict doesn't depend on them.
 SAMPLE_ROWS = 2048
 
 # Nanoseconds a character or word (see ``default_rules``), as timed on one core after the words were cut; only the order depends on them.
 WORK = {
-    "repeated_words": 2500.0,
+    "repeated_words": 1200.0,
     "symbols": 20.0,
     "dup_lines": 25.0,
     "word_length": 100.0,
     "bullets": 20.0,
     "ellipses": 80.0,
     "no_letter": 150.0,
-    "top_word": 1200.0,
+    "top_word": 400.0,
 }
 
 # What ``report`` gives of every row.
@@ -61,22 +63,37 @@ def _lines(text: Column) -> Column:
 
 def _repeated_windows(w: Column) -> Column:
     """Sorted starts of the windows of words that are found twice or more in ``w``."""
-    last = F.size(w) - WINDOW
-    hashed = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")),
-    )
+    empty = F.array().cast("array<int>")
+    # Only hashes are compared and sorted; the last windows of the transform are short.
+    hashed = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)])), F.lit(1), F.size(w) - WINDOW + 1)
+
+    def starts(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), empty).otherwise(bind(_repeated(h), lambda r: placed(h, r)))
+
+    def placed(h: Column, repeated: Column) -> Column:
+        few = F.array_compact(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i)))
+        return F.when(F.size(repeated) <= FEW_WINDOWS, few).otherwise(_starts_by_sort(h))
+
+    return F.when(F.size(w) > WINDOW, bind(hashed, starts)).otherwise(empty)
 
-    def starts(s: Column) -> Column:
-        repeated = F.filter(
+
+def _repeated(h: Column) -> Column:
+    """The different values that stand twice or more in an array."""
+    return bind(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, k - 1)))))
+
+
+def _starts_by_sort(h: Column) -> Column:
+    """The same starts where many different windows are repeated: hashes are sorted with their places."""
+
+    def repeated(s: Column) -> Column:
+        found = F.filter(
             s,
             lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False))
             | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)),
         )
-        return F.sort_array(F.transform(repeated, lambda x: x["i"]))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
 
-    empty = F.array().cast("array<int>")
-    return F.when(last >= 1, bind(F.sort_array(hashed), starts)).otherwise(empty)
+    return bind(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)
 
 
 def _covered(starts: Column) -> Column:
@@ -92,13 +109,12 @@ def _covered(starts: Column) -> Column:
 
 def _top_count(w: Column) -> Column:
     """How often the most frequent word occurs."""
-    start = F.struct(*[F.lit(0).cast("long").alias(name) for name in ("last", "run", "best")])
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    def longest_run(s: Column) -> Column:
+        ends = F.array_compact(F.transform(s, lambda x, k: F.when(~F.equal_null(x, F.get(s, k + 1)), k + 1)))
+        return bind(ends, lambda e: F.array_max(F.transform(e, lambda x, j: x - F.coalesce(F.get(e, j - 1), F.lit(0)))))
 
-    return F.aggregate(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), start, step, lambda acc: acc["best"])
+    return F.coalesce(bind(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), longest_run), F.lit(0)).cast("long")
 
 
 def _count(values: Column, pattern: str) -> Column:

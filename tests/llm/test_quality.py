@@ -19,6 +19,19 @@ def test_odd_rows(odd, odd_rows, clashing):
     assert rows == expected([(r[0], r[1]) for r in [*odd_rows, *extra]])
 
 
+def test_few_and_many_repeated_windows(spark):
+    """On both sides of the number of different windows that are looked for one by one."""
+    rows = []
+    for k, n in enumerate((1, 2, 3, 4, 33, 34, 35, 36, 37, 400)):
+        part = " ".join(f"w{i}" for i in range(n))
+        rows += [(10 * k, f"{part} x {part}"), (10 * k + 1, f"{part} {part} y {part}"), (10 * k + 2, part), (10 * k + 3, "b a a b " * n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert quality.FEW_WINDOWS in range(31, 36)
+    got = docs.select("doc_id", *[quality.features(quality.F.col("text"))[n].alias(n) for n in ("n_repeat_words", "n_top_word")])
+    found = {r[0]: (r[1], r[2]) for r in got.collect()}
+    assert found == {d: tuple(brute.features(t)[n] for n in ("n_repeat_words", "n_top_word")) for d, t in rows}
+
+
 def test_order_changes_no_verdict(odd):
     rules = quality.default_rules()
     lazy = quality.features(quality.F.col("text")).__getitem__
