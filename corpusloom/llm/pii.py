@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates.
 
 Entities found: e-mail addresses, IPv4 addresses, phone numbers, payment card
-numbers, access tokens, and given and family names after a form of address. Each
+numbers, access tokens (hexadecimal, key ids, prefixed tokens, web tokens, private
+key blocks), and given and family names after a form of address. Once a name is
+found in a text, its other capitalised mentions there are the same entity. Each
 distinct entity of the corpus gets one surrogate, drawn by a keyed hash: of the
 same type, script, gender, letter case and punctuation, with digits for digits.
 So an entity reads the same wherever it stands (coreference), and without the
@@ -10,14 +12,17 @@ key nothing leads back.
 Surrogates are checked against each other and against all entities found: where
 two entities drew the same one, or one that exists in the corpus, all but one
 draw again until all differ. Names are drawn from lists, so late draws hyphenate
-several; short e-mail names grow letters.
+several; short e-mail names grow letters. A name in a script without a list gets
+other letters of that script. IPv4 addresses can't grow: some 250 million
+different ones are the most, then the run ends with an error.
 
 Two passes read the texts: documents without an entity stay where they are, the
 others are written once and meet their surrogates in a join.
 
 Defined results: null and empty texts stay as they are. Rows that agree in id
 and text are treated alike; ids may be null. Empty tables give empty results.
-Columns of any name pass through.
+Columns of any name pass through; the added one is called ``pii_entities``, with
+underscores appended while the table has a column of that name.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize, ship_package
@@ -57,8 +64,18 @@ FAMILY = {
 _TITLES = {title: gender for gender, titles in ADDRESS.items() for title in titles}
 _GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 _NAME = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
+_WORD = re.compile(r"[^\W\d_]+")
+# Access tokens that keep their letters' case; what the group ``kept`` holds says what they are and stays.
+_TOKENS = {
+    "aws": r"(?<![0-9A-Za-z])(?P<kept>AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "github": r"(?<![0-9A-Za-z_])(?P<kept>gh[pousr]_)[0-9A-Za-z]{36,255}(?![0-9A-Za-z])",
+    "jwt": r"(?<![0-9A-Za-z_.-])(?P<kept>eyJ)[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{5,}",
+    "pem": r"(?P<kept>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)[0-9A-Za-z+/=\s]+(?=-----END (?:[A-Z]+ )*PRIVATE KEY-----)",
+}
+_KEPT = {name: re.compile(pattern) for name, pattern in _TOKENS.items()}
 _ENTITY = re.compile(
-    r"(?P<email>(?<![\w.+%-])[\w.+%-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,})"
+    "".join(f"(?P<secret_{name}>{pattern.replace('?P<kept>', '?:')})|" for name, pattern in _TOKENS.items())
+    + r"(?P<email>(?<![\w.+%-])[\w.+%-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![\w+])\+(?:\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
     r"|\d{1,3}(?P<gap>[ .-])\d{1,4}(?:(?P=gap)\d{2,4}){1,4}|\d{8,15})(?!\.?\d))"
@@ -66,14 +83,24 @@ _ENTITY = re.compile(
     r"|(?P<card>(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d))"
     r"|\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<first>" + _NAME + r")(?: (?P<last>" + _NAME + r"))?"
 )
-_HINT = re.compile(r"\d|@|\b(?:" + "|".join(_TITLES) + r")\b")
+_HINT = re.compile(r"\d|@|eyJ|gh[pousr]_|A[KS]IA|-----BEGIN|\b(?:" + "|".join(_TITLES) + r")\b")
 
 ENTITY = pa.struct([("kind", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
 _ENTITY_SQL = "struct<kind:string,value:string,start:int,stop:int>"
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
+    """The script of the first letter, as Unicode names it."""
+    return unicodedata.name(name[0], "other").split(" ")[0].split("-")[0].lower()
+
+
+@lru_cache(4096)
+def _letters_like(letter: str) -> str:
+    """Letters of the same script and category among the 128 code points around this one."""
+    first = ord(letter) & ~127
+    around = map(chr, range(first, first + 128))
+    alike = [c for c in around if unicodedata.category(c) == unicodedata.category(letter) and _script(c) == _script(letter)]
+    return "".join(c for c in alike if c.casefold() == c) or letter
 
 
 def find_entities(text: str | None) -> list[dict]:
@@ -102,9 +129,30 @@ def find_entities(text: str | None) -> list[dict]:
             digits = re.sub(r"\D", "", m[0])
             kind = f"{kind}-{'luhn' if luhn(digits) else 'plain'}" if kind == "card" else kind
             add(kind, digits, *m.span())
+        elif kind.startswith("secret_"):
+            add(kind.replace("_", "-"), m[0], *m.span())
         else:
             add(kind, m[0].lower(), *m.span())
-    return found
+    return _with_bare_mentions(text, found)
+
+
+def _with_bare_mentions(text: str, found: list[dict]) -> list[dict]:
+    """Adds the capitalised words of the text that are names found in it, outside other entities."""
+    names = {}
+    for e in found:
+        if e["kind"].startswith(("given-", "family-")):
+            names.setdefault(e["value"], e["kind"])
+    if not names:
+        return found
+    bare, at = [], 0
+    for m in _WORD.finditer(text):
+        while at < len(found) and found[at]["stop"] <= m.start():
+            at += 1
+        kind = names.get(m[0].casefold())
+        apart = at == len(found) or m.end() <= found[at]["start"]
+        if kind and apart and not m[0][0].islower():
+            bare.append({"kind": kind, "value": m[0].casefold(), "start": m.start(), "stop": m.end()})
+    return sorted(found + bare, key=lambda e: e["start"])
 
 
 def luhn(digits: str) -> bool:
@@ -128,12 +176,25 @@ class _Draws:
         number, self.rest = int.from_bytes(self.rest[:8], "big"), self.rest[8:]
         return number % n
 
-    def like(self, text: str) -> str:
-        """Letters for letters, digits for digits."""
+    def like(self, text: str, cased: bool = False) -> str:
+        """Letters for letters, digits for digits; lower-case letters only unless ``cased``."""
         letters = "abcdefghijklmnopqrstuvwxyz"
-        return "".join(
-            str(self.below(10)) if c.isdigit() else letters[self.below(26)] if c.isalpha() else c for c in text
-        )
+
+        def drawn(c: str) -> str:
+            if c.isdigit():
+                return str(self.below(10))
+            if not c.isalpha():
+                return c
+            letter = letters[self.below(26)]
+            return letter.upper() if cased and c.isupper() else letter
+
+        return "".join(map(drawn, text))
+
+    def of_script(self, name: str, longer: int) -> str:
+        """As many letters of the name's script, and more if asked for."""
+        letters = [_letters_like(c) for c in name + name[-1] * longer]
+        drawn = "".join(x[self.below(len(x))] for x in letters)
+        return drawn[0].upper() + drawn[1:]
 
 
 def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
@@ -159,7 +220,12 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
         return digits + (check if kind.endswith("luhn") else str((int(check) + 1 + draws.below(9)) % 10))
     if kind == "secret":
         return "".join("0123456789abcdef"[draws.below(16)] for _ in value)
+    if kind.startswith("secret-"):
+        kept = _KEPT[kind.removeprefix("secret-")].match(value + "-----END PRIVATE KEY-----")["kept"]
+        return kept + draws.like(value[len(kept) :], cased=True)
     part, *rest = kind.split("-")
+    if rest[-1] not in FAMILY:
+        return draws.of_script(value, draw // 4)
     names = GIVEN[rest[0], rest[1]] if part == "given" else FAMILY[rest[0]]
     return "-".join(names[draws.below(len(names))] for _ in range(1 + draw // 4))
 
@@ -211,7 +277,11 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     schema = "kind string, value string, draw int, surrogate string"
     taken = F.lower("surrogate")
     entities = materialize(entities.select("kind", "value").distinct(), "entities")
-    known = entities.select(F.col("kind").alias("known_kind"), F.col("value").alias("known_value"))
+    def of_names(kind: Column) -> Column:
+        """Names of all kinds count as one kind here, as one person's given name may be another's family name."""
+        return F.when(kind.rlike("^(given|family)-"), F.lit("name")).otherwise(kind)
+
+    known = entities.select(of_names(F.col("kind")).alias("known_kind"), F.lower("value").alias("known_value")).distinct()
     waiting, settled, draw = entities, None, 0
     while waiting.take(1):
         if draw > MAX_DRAWS:
@@ -219,12 +289,10 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         drawn = waiting.withColumn("draw", F.lit(draw)).mapInArrow(_draw(key), schema)
         first = Window.partitionBy("kind", taken).orderBy(F.col("draw"), F.col("value"))
         pool = drawn if settled is None else drawn.unionByName(settled)
-        # A surrogate may not be any entity's own value either, but names come from the same lists as people's.
-        clash = (F.col("kind") == F.col("known_kind")) & (taken == F.col("known_value"))
-        free = ~F.col("kind").rlike("^(given|family)-") & F.col("known_value").isNotNull()
-        own = F.col("value") == taken
+        # A surrogate may not be any entity's own value either.
+        clash = (of_names(F.col("kind")) == F.col("known_kind")) & (taken == F.col("known_value"))
         ranked = pool.withColumn("rank", F.row_number().over(first)).join(known, clash, "left")
-        settled_now = ranked.withColumn("ok", (F.col("rank") == 1) & ~free & ~own)
+        settled_now = ranked.withColumn("ok", (F.col("rank") == 1) & F.col("known_value").isNull())
         state = materialize(settled_now.select("kind", "value", "draw", "surrogate", "ok"), "surrogates")
         settled = state.where("ok").select("kind", "value", "draw", "surrogate")
         waiting = state.where("not ok").select("kind", "value")
@@ -254,9 +322,9 @@ def _replace(text_at: int):
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """All rows with their columns, the text with surrogates, and ``entities``: kind, value, start, stop in the old text.
+    """All rows with their columns, the text with surrogates, and ``pii_entities``: kind, value, start, stop in the old text.
 
-    ``entities`` is null for rows without any.
+    ``pii_entities`` is null for rows without any.
     """
     ship_package(docs.sparkSession)
     names = docs.columns
@@ -279,7 +347,10 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     replaced = joined.mapInArrow(_replace(text_at), with_list)
     none = F.lit(None).cast(f"array<{_ENTITY_SQL}>").alias("entities")
     whole = replaced.unionByName(clean.select("*", none))
-    return whole.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("entities").alias("pii_entities"))
+    added = "pii_entities"
+    while added.lower() in map(str.lower, names):
+        added += "_"
+    return whole.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("entities").alias(added))
 
 
 def identity_equal(id_col: str, text_col: str):

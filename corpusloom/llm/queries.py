@@ -69,7 +69,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with surrogates, and how many entities of each type were replaced."""
-    replaced = pii.replace_entities(_table(spark, sf_dir, "documents"))
+    replaced = pii.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("pii_entities", lambda e: F.split(e["kind"], "-")[0])
 
     def number(kind: str):
