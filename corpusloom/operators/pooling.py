@@ -21,6 +21,9 @@ HOT_SHARE = 1 / 256
 # Bounds a task's memory: positions whose vectors are held at the same time.
 POSITIONS_AT_ONCE = 1 << 16
 
+# Sequences that share one copy of each vector where vectors are joined.
+SEQUENCES_PER_BLOCK = 1 << 11
+
 
 def _measured(vectors: DataFrame) -> tuple[int, int, int]:
     """(bytes as doubles, dimensions, largest id) of a vector table; refuses repeated ids and uneven lengths."""
@@ -54,7 +57,7 @@ def frequent_ids(at: DataFrame, share: float = HOT_SHARE) -> list[int]:
 
 def _looked_up(at: DataFrame, vectors: DataFrame, key: str, size: int, max_broadcast_bytes: int) -> DataFrame:
     """Adds ``vec`` to (key, pos, token_id); an id without a vector is an error."""
-    known = vectors.select("token_id", "vec", F.lit(True).alias("known"))
+    known = _marked(vectors)
     if size <= max_broadcast_bytes:
         joined = at.join(F.broadcast(known), "token_id", "left")
     else:
@@ -65,9 +68,17 @@ def _looked_up(at: DataFrame, vectors: DataFrame, key: str, size: int, max_broad
         if hot:
             few = known.where(F.col("token_id").isin(hot))
             joined = joined.unionByName(often.join(F.broadcast(few), "token_id", "left"))
+    return _all_known(joined).select(key, "pos", "token_id", "vec")
+
+
+def _marked(vectors: DataFrame) -> DataFrame:
+    return vectors.select("token_id", "vec", F.lit(True).alias("known"))
+
+
+def _all_known(joined: DataFrame) -> DataFrame:
     # A filter of its own, so that reading the vector stays a plain column.
     unknown = F.raise_error(F.format_string("No vector for token %s", F.col("token_id").cast("string")))
-    return joined.where(F.coalesce("known", unknown.cast("boolean"))).select(key, "pos", "token_id", "vec")
+    return joined.where(F.coalesce("known", unknown.cast("boolean")))
 
 
 def lookup_vectors(
@@ -180,6 +191,82 @@ def mean_pool(states: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     return masked_mean_pool(states, key, vec, mask=None)
 
 
+def _tokens_of_blocks(key: str):
+    """(block, token_id, keys, counts): which sequences have a token how often, a row per token and block.
+
+    Rows are (key, ids, block), sorted by block.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            borders = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for first, stop in zip(borders, borders[1:]):
+                for at in range(first, stop, SEQUENCES_PER_BLOCK):
+                    yield counted(batch.slice(at, min(SEQUENCES_PER_BLOCK, stop - at)), blocks[at])
+
+    def counted(rows: pa.RecordBatch, block: int) -> pa.RecordBatch:
+        lists, n = rows.column("ids"), rows.num_rows
+        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        codes, counts = np.unique(lists.flatten().to_numpy().astype(np.int64) * n + row, return_counts=True)
+        tokens = codes // n
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, int)
+        ends = pa.array(np.r_[starts, len(tokens)], pa.int32())
+        keys = rows.column(key).take(pa.array(codes % n))
+        columns = [
+            pa.array(np.full(len(starts), block)), pa.array(tokens[starts], pa.int32()),
+            pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "token_id", "keys", "counts"])
+
+    return count
+
+
+def _sums_of_blocks(key: str):
+    """Partial sums per key from (keys, counts, vec), a block of entries at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            values = _vectors_of(batch.column("vec"), batch.num_rows)
+            lists = batch.column("keys")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            weights = batch.column("counts").flatten().to_numpy().astype(np.float64)
+            encoded = lists.flatten().dictionary_encode(null_encoding="encode")
+            group = encoded.indices.to_numpy()
+            order = np.argsort(group, kind="stable")
+            sums = np.zeros((len(encoded.dictionary), values.shape[1]))
+            for at in range(0, len(order), POSITIONS_AT_ONCE):
+                some = order[at : at + POSITIONS_AT_ONCE]
+                ranked = group[some]
+                starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+                sums[ranked[starts]] += np.add.reduceat(values[row[some]] * weights[some, None], starts)
+            yield _batch([key, "sums", "total"], encoded.dictionary, sums, np.bincount(group, weights, len(sums)))
+
+    return add
+
+
+def _mean_by_blocks(samples: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, pooled): means of the vectors of (key, ids), looked up once per token and block of sequences.
+
+    What is shuffled is a vector per token of a block, and the sums of a block's
+    sequences: a vector per position would be as many as the corpus has tokens.
+    A token has few rows per block, so none is frequent.
+    """
+    key_type = samples.schema[key].dataType.simpleString()
+    blocks = max(-(-samples.count() // SEQUENCES_PER_BLOCK), 1)
+    placed = samples.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks).cast("bigint")))
+    placed = placed.repartition("block").sortWithinPartitions("block")
+    kind = f"block bigint, token_id int, keys array<{key_type}>, counts array<bigint>"
+    counted = placed.mapInArrow(_tokens_of_blocks(key), kind)
+    joined = _all_known(counted.join(_marked(vectors).hint("shuffle_merge"), "token_id", "left"))
+    gathered = joined.select("block", "keys", "counts", "vec").repartition("block").sortWithinPartitions("block")
+    partial = gathered.mapInArrow(_sums_of_blocks(key), f"{key} {key_type}, sums array<double>, total double")
+    together = partial.repartition(key).sortWithinPartitions(key)
+    return together.mapInArrow(_merged_means(key), f"{key} {key_type}, pooled array<double>")
+
+
 def _gather_and_average(shipped, key: str, pad_id: int):
     """Averages the vectors of each sequence's ids, a block of positions at a time."""
 
@@ -217,14 +304,13 @@ def embed_sequences(
 
     An id without a vector is an error; a sequence of nothing, or of nothing but
     padding, gives zeros. Vectors that fit, as measured, are sent to the workers,
-    and every sequence is averaged where it lies. Larger ones are joined by
-    position, with the same results.
+    and every sequence is averaged where it lies. Larger ones are joined with the
+    tokens of blocks of sequences, with the same results.
     """
     size, dims, top = _measured(vectors)
     if size > max_broadcast_bytes:
         kept = F.filter(ids, lambda x: x != pad_id)
-        at = samples.select(key, F.posexplode(kept).alias("pos", "token_id"))
-        pooled = mean_pool(_looked_up(at, vectors, key, size, max_broadcast_bytes), key)
+        pooled = _mean_by_blocks(samples.select(key, kept.alias("ids")), vectors, key)
         zeros = F.array_repeat(F.lit(0.0), dims)
         found = samples.select(key).join(pooled, key, "left")
         return found.select(key, F.coalesce("pooled", zeros).alias("pooled"))
