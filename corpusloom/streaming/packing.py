@@ -108,8 +108,10 @@ class IncrementalPacker:
         placed = stream_offsets(tokens, self.key)
         moved = placed.withColumns({"start": F.col("start") + start, "end": F.col("end") + start})
         cut = shard_pieces(moved, self.shard_size, end, self.val_shards, self.prefix)
+        # In shard order, not in a folder per shard: the number of files follows the tasks, and a file's
+        # statistics tell which shards it has.
         pieces = cut.select("shard_index", "split", "name", "start", "tokens").repartition("shard_index")
-        pieces.write.mode("overwrite").partitionBy("shard_index").parquet(self._pieces(batch_id))
+        pieces.sortWithinPartitions("shard_index", "start").write.mode("overwrite").parquet(self._pieces(batch_id))
 
         first, last = start // self.shard_size, end // self.shard_size
         if last > first:
