@@ -3,22 +3,29 @@
 Lines are paragraphs. Words and word pairs are hashed to sparse features, and a
 multinomial logistic regression with an L1 penalty tells licence families apart
 from text that is none. It is trained on notices of each family, whole and in
-part, and on a bounded sample of the corpus's own paragraphs. A part of these is
-held out: the least probability of being a licence at all, 1 - P(none), is set so
-that about ``FALSE_ALARMS`` of the held-out plain paragraphs reach it;
-``CALIBRATION_ROWS`` is so large that a few dozen of these set it, not one or two.
-The same number decides; the family is the likeliest one. What passes is
+part, and on the corpus's own paragraphs: three quarters of all different ones
+that hold no notice. They weigh ``PLAIN_WEIGHT`` together, so that notices don't
+vanish in a large corpus. All others are held out: the least probability of being
+a licence at all, 1 - P(none), is set so that about ``FALSE_ALARMS`` of these reach
+it. The same number decides; the family is the likeliest one. What passes is
 confirmed by comparison with the family's templates: a notice must hold most of
 a template's word pairs. What passes and isn't confirmed counts as unknown.
 
+The L1 penalty leaves most features without a weight. From ``SCREEN_FROM``
+paragraphs the fit therefore begins with the features of notices, and paragraphs
+that agree in these are one weighted row. A pass over all features of all
+paragraphs then shows which others the penalty wouldn't hold at zero; they are
+added, and the fit is repeated until there is none.
+
 Notices are often wrapped. Lines without a blank one between them are also read
 as one run of words: a passage over line ends that holds ``LIKE_A_TEMPLATE`` of
 a template's word pairs is a paragraph besides its lines, scored and confirmed
 like these. Passages that share lines are one notice; what a line alone shows
 isn't counted again for a passage around it.
 
-Documents are sampled by a hash of id and text, so the classifier doesn't depend
-on files and partitions.
+Paragraphs are held out by a hash of their text, so the classifier doesn't depend
+on files and partitions. A caller may train on a sample of the documents, drawn
+by a hash of id and text; ``scan`` doesn't.
 
 Defined results: a null or empty text has no paragraphs and no licence. Every row
 has a result row, repeated rows the same one each. Null ids are ids like any
@@ -28,22 +35,31 @@ other. Empty tables give empty results. Only the columns asked for are read.
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.common import SPACES, bind, unit_draw
-from corpusloom.session import materialize
+from corpusloom.session import delete_path, materialize, new_path
 
 FEATURES = 1 << 13
-# Paragraphs of the corpus of which three quarters are labelled as none for training.
-SAMPLE_ROWS = 4000
-# The threshold is set on about so many held-out paragraphs or more, or on the corpus's if it has fewer.
+# The corpus's paragraphs weigh as much as so many notices, or one each if they are fewer.
+PLAIN_WEIGHT = 3000
+PENALTY = 2e-4
+L1_SHARE = 0.5
+# With fewer paragraphs all features are fitted at once.
+SCREEN_FROM = 50_000
+ROWS_PER_TASK = 100_000
+# Held-out paragraphs aimed at if a caller asks for a sample.
 CALIBRATION_ROWS = 32_000
 FALSE_ALARMS = 0.001
 LEAST_PROBABILITY = 0.5
@@ -52,6 +68,7 @@ CONFIRMED = 0.75
 LIKE_A_TEMPLATE = 0.3
 MIN_WORDS = 3
 NONE = "none"
+SEED = 5
 
 # Usual notices of each family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -137,14 +154,42 @@ def pairs(words: Column) -> Column:
 
 def _featured(rows: DataFrame) -> DataFrame:
     """Adds ``grams`` (words and pairs), ``pairs`` and the vector ``features`` for the column ``paragraph``."""
-    return _with_features(rows.withColumn("words", tokens(F.col("paragraph"))))
+    return _with_features(_with_pairs(rows.withColumn("words", tokens(F.col("paragraph")))))
+
+
+def _with_pairs(rows: DataFrame) -> DataFrame:
+    """Adds ``pairs`` and ``hits`` for the column ``words``."""
+    return rows.withColumn("pairs", pairs(F.col("words"))).withColumn("hits", _of_templates(F.col("pairs")))
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
-    """The same for rows with ``words``."""
-    cut = rows.withColumn("pairs", pairs(F.col("words")))
     hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    return hashing.transform(cut.withColumn("grams", F.concat("words", "pairs")))
+    return hashing.transform(rows.withColumn("grams", F.concat("words", "pairs")))
+
+
+def _of_templates(pairs: Column) -> Column:
+    """The pairs that any template has."""
+    every = sorted({p for _, _, distinct in _template_pairs() for p in distinct})
+    return F.filter(pairs, lambda x: x.isin(every))
+
+
+def _like(hits: Column) -> Column:
+    """Family and share of the templates of whose pairs at least ``LIKE_A_TEMPLATE`` are among the hits."""
+
+    def compared(seen: Column) -> Column:
+        share = lambda t: F.size(F.array_intersect(t["pairs"], seen)) / F.size(t["pairs"])
+        known = F.transform(_known(), lambda t: F.struct(t["family"].alias("family"), share(t).alias("share")))
+        return F.when(F.size(seen) > 0, F.filter(known, lambda x: x["share"] >= LIKE_A_TEMPLATE))
+
+    none = F.array().cast("array<struct<family:string,share:double>>")
+    return F.coalesce(bind(hits, compared), none)
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Replaces ``words``, ``pairs`` and ``hits`` by ``features``, ``long`` and ``shares``, the templates that the words are like."""
+    kept = [c for c in rows.columns if c not in ("words", "pairs", "hits")]
+    long = (F.size("words") >= MIN_WORDS).alias("long")
+    return _with_features(rows).select(*kept, "features", long, _like(F.col("hits")).alias("shares"))
 
 
 def _template_pairs() -> list[tuple[str, int, list[str]]]:
@@ -173,9 +218,11 @@ def _known() -> Column:
 
 
 def _by_line(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
-    """``kept``, the arrays ``lines`` and ``line_words``, and the passages over line ends."""
+    """``kept``, the arrays ``lines``, ``line_words``, ``line_pairs`` and ``line_hits``, and the passages over line ends."""
     lines = docs.select(*kept, F.split(text, "\n", -1).alias("lines"))
-    return _with_passages(lines.withColumn("line_words", F.transform("lines", tokens)))
+    words = lines.withColumn("line_words", F.transform("lines", tokens))
+    cut = words.withColumn("line_pairs", F.transform("line_words", pairs))
+    return _with_passages(cut.withColumn("line_hits", F.transform("line_pairs", _of_templates)))
 
 
 def _with_passages(rows: DataFrame) -> DataFrame:
@@ -184,7 +231,8 @@ def _with_passages(rows: DataFrame) -> DataFrame:
     From each word pair that a template has, the words up to twice the template's
     length are compared; the best template counts. A blank line ends a run of
     words. A word that is split at a hyphen is one. Templates are left out whose
-    words can't reach over the line end, or that have too few pairs ahead.
+    words can't reach over the line end, or that have too few pairs ahead. Texts
+    that as a whole hold too few pairs of each template have no such place.
     """
     every = sorted({p for _, _, distinct in _template_pairs() for p in distinct})
     firsts = sorted({p.split(" ")[0] for p in every})
@@ -246,7 +294,14 @@ def _with_passages(rows: DataFrame) -> DataFrame:
         none = F.array().cast("array<struct<share:double,to:int,first:int,last:int,k:int>>")
         return F.when(several, F.array_compact(F.transform(all_hits, best))).otherwise(none)
 
-    located = rows.withColumn("placed", F.flatten(F.transform("line_words", placed)))
+    def over_end(w: Column, i: Column) -> Column:
+        return F.concat(F.element_at(F.when(F.size(w) > 0, w), -1), F.lit(" "), F.get(F.get("line_words", i + 1), F.lit(0)))
+
+    ends = _of_templates(F.array_compact(F.transform("line_words", over_end)))
+    hyphens = F.exists(F.transform("lines", lambda x, i: F.coalesce(split_after(i), F.lit(False))), lambda x: x)
+    possible = hyphens | (F.size(_like(F.concat(F.flatten("line_hits"), ends))) > 0)
+    nothing = F.array().cast("array<struct<w:string,line:int,left:int>>")
+    located = rows.withColumn("placed", F.when(possible, F.flatten(F.transform("line_words", placed))).otherwise(nothing))
     passages = bind(hits(F.col("placed")), found)
 
     def cut(x: Column) -> Column:
@@ -256,27 +311,72 @@ def _with_passages(rows: DataFrame) -> DataFrame:
     return located.withColumn("found", passages).withColumn("passages", F.transform("found", cut)).drop("placed", "found")
 
 
+def _beside() -> Column:
+    """For each line, whether no blank line separates it from a wrapped notice."""
+    blank = F.filter(F.transform("line_words", lambda w, j: F.when(F.size(w) == 0, j)), lambda j: j.isNotNull())
+    wrapped = F.filter("passages", lambda p: p["share"] >= CONFIRMED)
+
+    def near(notices: Column, blanks: Column) -> Column:
+        def one(i: Column) -> Column:
+            return F.exists(
+                notices,
+                lambda p: ~F.exists(blanks, lambda b: ((b > i) & (b < p["first"])) | ((b < i) & (b > p["last"]))),
+            )
+
+        return F.transform("lines", lambda x, i: one(i))
+
+    return bind(wrapped, lambda notices: bind(blank, lambda blanks: near(notices, blanks)))
+
+
 def _plain_lines(docs: DataFrame, text_col: str) -> DataFrame:
     """The lines as ``paragraph``, without those of a run of lines in which a wrapped notice stands."""
-    rows = _by_line(docs, F.col(text_col))
-
-    def beside(i: Column) -> Column:
-        """Whether no blank line separates the line from a wrapped notice."""
-        blank = F.filter(F.transform("line_words", lambda w, j: F.when(F.size(w) == 0, j)), lambda j: j.isNotNull())
-        return F.exists(
-            F.filter("passages", lambda p: p["share"] >= CONFIRMED),
-            lambda p: ~F.exists(blank, lambda b: ((b > i) & (b < p["first"])) | ((b < i) & (b > p["last"]))),
+    rows = _by_line(docs, F.col(text_col)).withColumn("beside", _beside())
+    lines = rows.select(F.explode(F.arrays_zip("lines", "beside")).alias("line"))
+    return lines.where(~F.col("line.beside")).select(F.col("line.lines").alias("paragraph"))
+
+
+def _place(paragraph: Column) -> Column:
+    return F.xxhash64(paragraph)
+
+
+def _held_out(paragraph: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), paragraph), F.lit(4)) == 0
+
+
+def _parts(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
+    """Lines, and passages over line ends, with ``kept`` and what is needed to train and to judge.
+
+    ``plain`` are lines that are examples of none.
+    """
+    rows = _by_line(docs, text, *kept).withColumn("beside", _beside())
+    own = [c for c in rows.columns if c not in ("lines", "line_words", "line_pairs", "line_hits", "passages", "beside")]
+
+    def part(first: Column, last: Column, words: Column, pairs: Column, hits: Column, blank: Column, far: Column, line: Column) -> Column:
+        return F.struct(
+            first.alias("first"),
+            last.alias("last"),
+            words.alias("words"),
+            pairs.alias("pairs"),
+            hits.alias("hits"),
+            blank.alias("blank"),
+            far.alias("far"),
+            _place(line).alias("place"),
+            _held_out(line, SEED).alias("held_out"),
         )
 
-    kept = F.filter(F.transform("lines", lambda x, i: F.when(~beside(i), x)), lambda x: x.isNotNull())
-    return rows.select(F.explode(kept).alias("paragraph"))
+    def line_part(x: Column, i: Column) -> Column:
+        return part(i, i, x["line_words"], x["line_pairs"], x["line_hits"], F.trim(x["lines"]) == "", ~x["beside"], x["lines"])
 
+    def over_part(p: Column) -> Column:
+        over = bind(pairs(p["words"]), lambda x: F.struct(x.alias("pairs"), _of_templates(x).alias("hits")))
+        return part(p["first"], p["last"], p["words"], over["pairs"], over["hits"], F.lit(True), F.lit(False), F.lit(""))
 
-def _template_share(grams: Column, family: Column | None = None) -> Column:
-    """The largest share of a template, or of one of the family, that the word pairs hold; 0 if there is none."""
-    known = _known() if family is None else F.filter(_known(), lambda t: t["family"] == family)
-    shares = F.transform(known, lambda t: F.size(F.array_intersect(t["pairs"], grams)) / F.size(t["pairs"]))
-    return F.coalesce(F.array_max(shares), F.lit(0.0))
+    lines = F.transform(F.arrays_zip("lines", "line_words", "line_pairs", "line_hits", "beside"), line_part)
+    parts = rows.select(*own, F.explode_outer(F.concat(lines, F.transform("passages", over_part))).alias("part"))
+    empty = F.array().cast("array<string>")
+    cut = parts.select(*own, "part.*").withColumns({c: F.coalesce(c, empty) for c in ("words", "pairs", "hits")})
+    plain = F.coalesce(F.col("far") & F.col("long") & (F.size("shares") == 0), F.lit(False))
+    return _described(cut).withColumn("plain", plain).drop("far")
 
 
 def _licence(chance: Column) -> Column:
@@ -292,20 +392,18 @@ class Classifier:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``family`` (or none), ``probability`` of any and ``confirmed`` for the column ``paragraph``."""
-        words = rows.withColumn("words", tokens(F.col("paragraph")))
-        return self.predict_words(words).drop("words")
+        judged = self.judge(_described(_with_pairs(rows.withColumn("words", tokens(F.col("paragraph"))))))
+        return judged.select(*rows.columns, "family", "probability", "confirmed")
 
-    def predict_words(self, rows: DataFrame) -> DataFrame:
-        """The same for the column ``words``."""
-        scored = self.model.transform(_with_features(rows))
-        chance = scored.withColumn("chance", vector_to_array("probability"))
+    def judge(self, rows: DataFrame) -> DataFrame:
+        """The same for the columns ``features``, ``long`` and ``shares``."""
+        chance = self.model.transform(rows).withColumn("chance", vector_to_array("probability"))
         names = F.array(*[F.lit(x) for x in self.families[1:]])
         licences = F.slice("chance", 2, len(self.families) - 1)
         best = F.get(names, (F.array_position(licences, F.array_max(licences)) - 1).cast("int"))
-        passed = (F.size("words") >= MIN_WORDS) & (_licence(F.col("chance")) >= self.threshold)
+        passed = F.col("long") & (_licence(F.col("chance")) >= self.threshold)
         found = chance.withColumn("family", F.when(passed, best).otherwise(NONE)).withColumn("probability", _licence(F.col("chance")))
-        # Compared for what passed only.
-        confirmed = F.when(F.col("family") == NONE, F.lit(False)).otherwise(_template_share(F.col("pairs"), F.col("family")) >= CONFIRMED)
+        confirmed = F.exists("shares", lambda x: (x["family"] == F.col("family")) & (x["share"] >= CONFIRMED))
         return found.select(*rows.columns, "family", "probability", confirmed.alias("confirmed"))
 
 
@@ -321,34 +419,129 @@ def notices() -> list[tuple[str, str]]:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 5, id_col: str = "doc_id"
+    docs: DataFrame, text_col: str = "text", sample_rows: int | None = None, seed: int = SEED, id_col: str = "doc_id"
 ) -> Classifier:
-    """Fits on notices and on three quarters of ``sample_rows`` paragraphs without one; calibrates on all others of the sampled documents."""
-    spark = docs.sparkSession
+    """Fits on notices and on three quarters of the paragraphs without one; calibrates on the others.
+
+    With ``sample_rows`` only a part of the documents is read, which gives about
+    so many paragraphs and a quarter of ``CALIBRATION_ROWS``.
+    """
+    if sample_rows is not None:
+        part = (sample_rows + CALIBRATION_ROWS) / 4 / max(docs.count(), 1)
+        docs = docs.where(unit_draw(F.lit(seed), F.col(id_col), F.col(text_col)) < part)
+    lines = _plain_lines(_spread(docs.select(text_col)), text_col)
+    line = F.col("paragraph")
+    cut = lines.select(_place(line).alias("place"), _held_out(line, seed).alias("held_out"), tokens(line).alias("words"))
+    rows = _described(_with_pairs(cut))
+    plain = rows.where(F.col("long") & (F.size("shares") == 0)).drop("long", "shares")
+    return _fit(materialize(plain, "plain-paragraphs"))
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """Repartitions a table that is read by fewer tasks than there are cores."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def _fit(plain: DataFrame) -> Classifier:
+    """Classifier from all rows ``(place, held_out, features)``, of which those with the same text count once."""
+    spark = plain.sparkSession
     families = [NONE, *TEMPLATES]
-    total = docs.count()
-    chosen = unit_draw(F.lit(seed), F.col(id_col), F.col(text_col)) < (sample_rows + CALIBRATION_ROWS) / 4 / max(total, 1)
-    # A bounded number of rows, so that a small corpus in one file still keeps all cores busy.
-    spread = docs.where(chosen).select(text_col).repartition(spark.sparkContext.defaultParallelism)
-    sampled = _plain_lines(spread, text_col)
-    plain = sampled.where(F.size(tokens(F.col("paragraph"))) >= MIN_WORDS).distinct()
-    # Paragraphs that hold much of any template aren't examples of none.
-    grams = pairs(tokens(F.col("paragraph")))
-    plain = plain.withColumn("pairs", grams).where(_template_share(F.col("pairs")) < LIKE_A_TEMPLATE).select("paragraph")
-    plain = materialize(plain, "plain-paragraphs")
-    place = F.xxhash64("paragraph")
-    last = plain.select(place.alias("place")).orderBy("place").limit(sample_rows).agg(F.max("place")).first()[0]
-    held_out = (place > F.lit(last or 0)) | (F.pmod(F.xxhash64(F.lit(seed), "paragraph"), F.lit(4)) == 0)
     labels = {name: float(k) for k, name in enumerate(families)}
-    positive = _frame(spark, [(labels[f], p) for f, p in notices()])
-    rows = positive.unionByName(plain.where(~held_out).select(F.lit(0.0).alias("label"), "paragraph"))
-    fitted = LogisticRegression(
-        family="multinomial", maxIter=40, regParam=2e-4, elasticNetParam=0.5, standardization=False
-    ).fit(materialize(_featured(rows).select("label", "features"), "licence-training").coalesce(2))
-    scored = fitted.transform(_featured(plain.where(held_out)))
-    licence = scored.select(_licence(vector_to_array("probability")).alias("p"))
-    quantile = licence.approxQuantile("p", [1 - FALSE_ALARMS], 0.0)
-    return Classifier(families, fitted, max([LEAST_PROBABILITY, *quantile]))
+    positive = _featured(_frame(spark, [(labels[f], p) for f, p in notices()])).select("label", "features")
+    positive = materialize(positive, "licence-notices")
+    examples = plain.where(~F.col("held_out"))
+    used = None if examples.count() < SCREEN_FROM else _numbers(positive)
+    while True:
+        model, weight, total = _regression(positive, examples, used)
+        missed = set() if used is None else _missed(model, examples, used, weight, total)
+        if not missed:
+            break
+        used |= missed
+    return Classifier(families, model, _threshold(model, plain.where("held_out")))
+
+
+def _numbers(rows: DataFrame) -> set[int]:
+    """The features that any of the rows has."""
+    found = rows.select(F.explode(F.unwrap_udt("features")["indices"]).alias("number")).distinct()
+    return {r["number"] for r in found.collect()}
+
+
+def _regression(positive: DataFrame, examples: DataFrame, used: set[int] | None) -> tuple[LogisticRegressionModel, float, float]:
+    """The fit on the features in use (all, if None), the weight of an example, and that of all rows together.
+
+    Different texts that agree in the features in use are one row.
+    """
+    spark = examples.sparkSession
+    numbers = F.unwrap_udt("features")["indices"]
+    numbers = numbers if used is None else F.filter(numbers, lambda x: x.isin(sorted(used)))
+    rows = examples.select("place", numbers.alias("numbers")).distinct().groupBy("numbers").agg(F.count("*").alias("copies"))
+    ones = F.transform("numbers", lambda x: F.lit(1.0))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(FEATURES).alias("size"), F.col("numbers").alias("indices"), ones.alias("values"))
+    path = new_path(spark, "licence-training")
+    rows.select(vector.alias("features"), "copies").write.parquet(path)
+    # The struct has the form in which vectors are stored, and is read as one.
+    schema = StructType([StructField("features", VectorUDT()), StructField("copies", LongType())])
+    stored = spark.read.schema(schema).parquet(path)
+    n_rows, n = stored.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    weight = min(1.0, PLAIN_WEIGHT / max(n, 1))
+    plain = stored.select(F.lit(0.0).alias("label"), "features", (F.col("copies") * weight).alias("weight"))
+    notes = positive.withColumn("weight", F.lit(1.0))
+    table = notes.unionByName(plain).coalesce(max(2, -(-n_rows // ROWS_PER_TASK)))
+    fit = LogisticRegression(
+        family="multinomial", maxIter=40, regParam=PENALTY, elasticNetParam=L1_SHARE, standardization=False, weightCol="weight"
+    )
+    model = fit.fit(table)
+    total = n * weight + notes.count()
+    delete_path(spark, path)
+    return model, weight, total
+
+
+def _missed(model: LogisticRegressionModel, examples: DataFrame, used: set[int], weight: float, total: float) -> set[int]:
+    """Features not in use that the L1 penalty may not hold at zero, or none if it holds all.
+
+    The loss changes with a weight of such a feature by no more than the mean
+    over all rows of the probability of a licence where the feature is; only
+    examples have it. If that is below the penalty for every feature, zero is
+    right for all. Otherwise those above half of it are named. Copies of a
+    text are summed here too, which can only name more.
+    """
+    scored = model.transform(examples).select("features", _licence(vector_to_array("probability")).alias("p"))
+    sums = scored.select(Summarizer.metrics("sum").summary(F.col("features"), F.col("p")).alias("found")).first()["found"]["sum"]
+    pull = sums.toArray() * weight / total
+    pull[sorted(used)] = 0.0
+    limit = PENALTY * L1_SHARE
+    return set() if pull.max() <= limit else {int(k) for k in (pull > limit / 2).nonzero()[0]}
+
+
+def _threshold(model: LogisticRegressionModel, held_out: DataFrame) -> float:
+    """The ``1 - FALSE_ALARMS`` quantile over all different held-out texts, ``LEAST_PROBABILITY`` at least."""
+    scored = model.transform(held_out).select("place", _licence(vector_to_array("probability")).alias("p"))
+    chances = materialize(scored.groupBy("place").agg(F.max("p").alias("p")), "licence-chances")
+    n = chances.count()
+    return _from_top(chances, n - math.ceil((1 - FALSE_ALARMS) * n) + 1, LEAST_PROBABILITY)
+
+
+def _from_top(chances: DataFrame, rank: int, least: float) -> float:
+    """The ``p`` of that rank from the top, or ``least`` if it isn't above that.
+
+    Some thousand bins are counted; the one that holds the rank is divided again.
+    """
+    low, high = least, 1.0
+    above = chances.where(F.col("p") > least)
+    while True:
+        bin_of = F.floor((F.col("p") - low) / (high - low) * 1024)
+        inside = above.where(F.col("p").between(low, high)).groupBy(bin_of.alias("bin"))
+        bins = inside.agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).collect()
+        for b in sorted(bins, key=lambda r: -r["bin"]):
+            if rank <= b["n"]:
+                break
+            rank -= b["n"]
+        else:
+            return least
+        if b["low"] == b["high"]:
+            return b["low"]
+        low, high = b["low"], b["high"]
 
 
 def _frame(spark: SparkSession, rows: list[tuple[float, str]]) -> DataFrame:
@@ -360,17 +553,15 @@ def _frame(spark: SparkSession, rows: list[tuple[float, str]]) -> DataFrame:
 
 def scan(docs: DataFrame, classifier: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, th, n_paragraphs, n_notices, n_unknown, families)`` of every row (``th``: its text's hash)."""
-    classifier = classifier or train(docs, text_col, id_col=id_col)
     text = F.col(text_col)
-    rows = _by_line(docs, text, F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
-
-    def part(first: Column, last: Column, words: Column, blank: Column) -> Column:
-        return F.struct(first.alias("first"), last.alias("last"), words.alias("words"), blank.alias("blank"))
-
-    lines = F.transform("lines", lambda x, i: part(i, i, F.get("line_words", i), F.trim(x) == ""))
-    over = F.transform("passages", lambda p: part(p["first"], p["last"], p["words"], F.lit(True)))
-    parts = rows.select("id", "th", F.explode_outer(F.concat(lines, over)).alias("part")).select("id", "th", "part.*")
-    found = classifier.predict_words(parts.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
+    own = (F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
+    if classifier is None:
+        # Training and scan read the same paragraphs, so they are made once.
+        parts = materialize(_parts(_spread(docs.select(id_col, text_col)), text, *own), "licence-paragraphs")
+        classifier = _fit(parts.where("plain").select("place", "held_out", "features"))
+    else:
+        parts = _parts(docs, text, *own)
+    found = classifier.judge(parts)
     mark = F.struct("first", "last", "family", "confirmed")
     marked = found.groupBy("id", "th").agg(
         F.count(F.when(~F.col("blank"), 1)).alias("n_paragraphs"),

@@ -171,3 +171,42 @@ def test_a_few_licence_like_lines_do_not_set_the_threshold(spark):
     rows += [(5000 + k, likely.format(k)) for k in range(8)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert L.train(docs).threshold == L.LEAST_PROBABILITY
+
+
+def test_all_paragraphs_are_trained_or_calibrated_on(spark, monkeypatch):
+    """Of 8,000 different lines, three quarters reach the fit, not three quarters of a bounded sample."""
+    fitted = []
+
+    class Recorded(L.LogisticRegression):
+        def fit(self, dataset, params=None):
+            fitted.append(dataset.where("label = 0").count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(L, "LogisticRegression", Recorded)
+    docs = spark.range(8000).selectExpr("id AS doc_id", "concat('plain words of line ', id, ' and ', id * 7 + 1) AS text")
+    L.train(docs.unionByName(docs.where("doc_id < 2000")))
+    assert all(5800 < n < 6200 for n in fitted) and fitted
+
+
+def test_features_left_out_at_first_change_nothing(spark, monkeypatch):
+    """Paragraphs with frequent words that no notice has need more than the notices' features."""
+    rows = [(k, f"weather and food {'of the license' if k % 3 else 'by any person'} in line {k} {k * 7}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    named, missed = [], L._missed
+    full = L.train(docs).model.coefficientMatrix.toArray()
+    monkeypatch.setattr(L, "_missed", lambda *a: named.append(missed(*a)) or named[-1])
+    monkeypatch.setattr(L, "SCREEN_FROM", 0)
+    screened = L.train(docs).model.coefficientMatrix.toArray()
+    assert len(named) > 1 and named[0] and not named[-1]
+    strong = np.abs(full).max(axis=0) > 0.3
+    assert strong[list(named[0])].any()
+    assert np.abs(full - screened)[:, strong].max() < 0.3 and np.abs(screened)[:, ~strong].max() < 0.6
+
+
+def test_rank_from_top(spark):
+    values = [0.1, 0.5, 0.5001, 0.50010001, 0.7, 0.7, 0.7, 0.9, 0.9000000001, 1.0]
+    rows = spark.createDataFrame([(x,) for x in values * 2], "p double")
+    above = sorted((x for x in values * 2 if x > 0.5), reverse=True)
+    for rank in range(1, len(values) * 2 + 1):
+        assert L._from_top(rows, rank, 0.5) == (above[rank - 1] if rank <= len(above) else 0.5)
+    assert L._from_top(rows.limit(0), 1, 0.5) == 0.5
