@@ -15,7 +15,8 @@ The L1 penalty leaves most features without a weight. From ``SCREEN_FROM``
 paragraphs the fit therefore begins with the features of notices, and paragraphs
 that agree in these are one weighted row. A pass over all features of all
 paragraphs then shows which others the penalty wouldn't hold at zero; they are
-added, and the fit is repeated until there is none.
+added, and the fit is repeated until there is none. From twice ``TRIAL_ROWS``, a
+fit of all features on some of the paragraphs says beforehand which to add.
 
 Notices are often wrapped. Lines without a blank one between them are also read
 as one run of words: a passage over line ends that holds ``LIKE_A_TEMPLATE`` of
@@ -39,14 +40,15 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from corpusloom.llm.common import SPACES, bind, unit_draw
 from corpusloom.session import delete_path, materialize, new_path
@@ -58,6 +60,10 @@ PENALTY = 2e-4
 L1_SHARE = 0.5
 # With fewer paragraphs all features are fitted at once.
 SCREEN_FROM = 50_000
+# From twice as many paragraphs, about so many show which features to begin with: those that are pulled by this share
+# of what the penalty holds.
+TRIAL_ROWS = 50_000
+TRIAL_SHARE = 0.75
 ROWS_PER_TASK = 100_000
 # Held-out paragraphs aimed at if a caller asks for a sample.
 CALIBRATION_ROWS = 32_000
@@ -136,35 +142,60 @@ AFTER = ("", "See LICENSE for details.", "No warranty is given.", "http://exampl
 
 
 def tokens(paragraph: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(F.coalesce(paragraph, F.lit(""))), F.lit(r"([\p{L}\p{N}]+(?:-[\p{L}]+)*)"))
-    return found
+    lowered = F.lower(F.coalesce(paragraph, F.lit("")))
+    return F.regexp_extract_all(lowered, F.lit(r"[a-z\p{L}\p{N}]++(?:-[\p{L}]++)*+"), F.lit(0))
 
 
-def pairs(words: Column) -> Column:
-    """Neighbouring words, joined by a space."""
+def _numbers_of(words: Column) -> Column:
+    """The features of the words and of the pairs of neighbouring ones, with repeats."""
 
-    def joined(w: Column) -> Column:
-        return F.transform(
-            F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
-            lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)),
-        )
+    def made(w: Column) -> Column:
+        # The hash of the last word and of nothing after it is that of the word.
+        pairs = F.transform(w, lambda x, i: F.hash(x, F.get(w, i + 1)).bitwiseAND(FEATURES - 1))
+        return F.concat(F.transform(w, lambda x: F.hash(x).bitwiseAND(FEATURES - 1)), pairs)
+
+    return bind(words, made)
+
+
+def _hits(words: Column) -> Column:
+    """The pairs of neighbouring words, joined by a space, that any template has."""
+    every = sorted({p for _, _, distinct in _template_pairs() for p in distinct})
+    firsts, seconds = (sorted({p.split(" ")[k] for p in every}) for k in range(2))
+
+    def made(w: Column) -> Column:
+        def hit(x: Column, i: Column) -> Column:
+            following = F.get(w, i + 1)
+            pair = F.concat(x, F.lit(" "), following)
+            return F.when(x.isin(firsts) & following.isin(seconds), F.when(pair.isin(every), pair))
 
-    return bind(words, joined)
+        return F.array_compact(F.transform(w, hit))
+
+    return bind(words, made)
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """Adds ``grams`` (words and pairs), ``pairs`` and the vector ``features`` for the column ``paragraph``."""
-    return _with_features(_with_pairs(rows.withColumn("words", tokens(F.col("paragraph")))))
+    """Adds ``numbers`` and the vector ``features`` for the column ``paragraph``."""
+    words = tokens(F.col("paragraph"))
+    return _vectors(rows.withColumn("numbers", F.sort_array(F.array_distinct(_numbers_of(words)))))
 
 
-def _with_pairs(rows: DataFrame) -> DataFrame:
-    """Adds ``pairs`` and ``hits`` for the column ``words``."""
-    return rows.withColumn("pairs", pairs(F.col("words"))).withColumn("hits", _of_templates(F.col("pairs")))
+def _vectors(rows: DataFrame) -> DataFrame:
+    """Adds the vector ``features`` for ``numbers``."""
+    grams = "numbers as strings"
+    named = CountVectorizerModel.from_vocabulary([str(k) for k in range(FEATURES)], inputCol=grams, outputCol="features", binary=True)
+    return named.transform(rows.withColumn(grams, F.col("numbers").cast("array<string>"))).drop(grams)
 
 
-def _with_features(rows: DataFrame) -> DataFrame:
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    return hashing.transform(rows.withColumn("grams", F.concat("words", "pairs")))
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """Writes ``rows`` and reads them back, with the vector ``features`` for ``numbers``.
+
+    The struct that is written has the form in which vectors are stored.
+    """
+    ones = F.array_repeat(F.lit(1.0), F.size("numbers"))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(FEATURES).alias("size"), F.col("numbers").alias("indices"), ones.alias("values"))
+    kept = rows.drop("numbers")
+    rows.select(*kept.columns, vector.alias("features")).write.parquet(path)
+    return rows.sparkSession.read.schema(StructType([*kept.schema, StructField("features", VectorUDT())])).parquet(path)
 
 
 def _of_templates(pairs: Column) -> Column:
@@ -176,20 +207,35 @@ def _of_templates(pairs: Column) -> Column:
 def _like(hits: Column) -> Column:
     """Family and share of the templates of whose pairs at least ``LIKE_A_TEMPLATE`` are among the hits."""
 
+    # For most templates one pair isn't enough.
+    alone = sorted({p for _, _, distinct in _template_pairs() for p in distinct if 1 / len(distinct) >= LIKE_A_TEMPLATE})
+
     def compared(seen: Column) -> Column:
         share = lambda t: F.size(F.array_intersect(t["pairs"], seen)) / F.size(t["pairs"])
         known = F.transform(_known(), lambda t: F.struct(t["family"].alias("family"), share(t).alias("share")))
-        return F.when(F.size(seen) > 0, F.filter(known, lambda x: x["share"] >= LIKE_A_TEMPLATE))
+        enough = (F.size(F.array_distinct(seen)) > 1) | F.exists(seen, lambda x: x.isin(alone))
+        return F.when((F.size(seen) > 0) & enough, F.filter(known, lambda x: x["share"] >= LIKE_A_TEMPLATE))
 
     none = F.array().cast("array<struct<family:string,share:double>>")
     return F.coalesce(bind(hits, compared), none)
 
 
+def _cut(words: Column) -> Column:
+    """What is kept of a paragraph's words."""
+    made = lambda w: F.struct(
+        _numbers_of(w).alias("numbers"), _hits(w).alias("hits"), (F.size(w) >= MIN_WORDS).alias("long")
+    )
+    return bind(words, made)
+
+
 def _described(rows: DataFrame) -> DataFrame:
-    """Replaces ``words``, ``pairs`` and ``hits`` by ``features``, ``long`` and ``shares``, the templates that the words are like."""
-    kept = [c for c in rows.columns if c not in ("words", "pairs", "hits")]
-    long = (F.size("words") >= MIN_WORDS).alias("long")
-    return _with_features(rows).select(*kept, "features", long, _like(F.col("hits")).alias("shares"))
+    """Replaces ``cut`` by ``numbers`` of features, ``long`` and ``shares``, the templates that the words are like."""
+    kept = [c for c in rows.columns if c != "cut"]
+    none = F.array().cast("array<int>")
+    # Compiled here, outside of any lambda.
+    numbers = F.sort_array(F.array_distinct(F.coalesce("cut.numbers", none)))
+    long = F.coalesce("cut.long", F.lit(False))
+    return rows.select(*kept, numbers.alias("numbers"), long.alias("long"), _like(F.col("cut.hits")).alias("shares"))
 
 
 def _template_pairs() -> list[tuple[str, int, list[str]]]:
@@ -218,11 +264,10 @@ def _known() -> Column:
 
 
 def _by_line(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
-    """``kept``, the arrays ``lines``, ``line_words``, ``line_pairs`` and ``line_hits``, and the passages over line ends."""
+    """``kept``, the arrays ``lines``, ``line_words`` and ``line_hits``, and the passages over line ends."""
     lines = docs.select(*kept, F.split(text, "\n", -1).alias("lines"))
     words = lines.withColumn("line_words", F.transform("lines", tokens))
-    cut = words.withColumn("line_pairs", F.transform("line_words", pairs))
-    return _with_passages(cut.withColumn("line_hits", F.transform("line_pairs", _of_templates)))
+    return _with_passages(words.withColumn("line_hits", F.transform("line_words", _hits)))
 
 
 def _with_passages(rows: DataFrame) -> DataFrame:
@@ -295,7 +340,8 @@ def _with_passages(rows: DataFrame) -> DataFrame:
         return F.when(several, F.array_compact(F.transform(all_hits, best))).otherwise(none)
 
     def over_end(w: Column, i: Column) -> Column:
-        return F.concat(F.element_at(F.when(F.size(w) > 0, w), -1), F.lit(" "), F.get(F.get("line_words", i + 1), F.lit(0)))
+        last = F.get(w, F.size(w) - 1)
+        return F.when(last.isin(firsts), F.concat(last, F.lit(" "), F.get(F.get("line_words", i + 1), F.lit(0))))
 
     ends = _of_templates(F.array_compact(F.transform("line_words", over_end)))
     hyphens = F.exists(F.transform("lines", lambda x, i: F.coalesce(split_after(i), F.lit(False))), lambda x: x)
@@ -349,15 +395,13 @@ def _parts(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
     ``plain`` are lines that are examples of none.
     """
     rows = _by_line(docs, text, *kept).withColumn("beside", _beside())
-    own = [c for c in rows.columns if c not in ("lines", "line_words", "line_pairs", "line_hits", "passages", "beside")]
+    own = [c for c in rows.columns if c not in ("lines", "line_words", "line_hits", "passages", "beside")]
 
-    def part(first: Column, last: Column, words: Column, pairs: Column, hits: Column, blank: Column, far: Column, line: Column) -> Column:
+    def part(first: Column, last: Column, cut: Column, blank: Column, far: Column, line: Column) -> Column:
         return F.struct(
             first.alias("first"),
             last.alias("last"),
-            words.alias("words"),
-            pairs.alias("pairs"),
-            hits.alias("hits"),
+            cut.alias("cut"),
             blank.alias("blank"),
             far.alias("far"),
             _place(line).alias("place"),
@@ -365,18 +409,17 @@ def _parts(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
         )
 
     def line_part(x: Column, i: Column) -> Column:
-        return part(i, i, x["line_words"], x["line_pairs"], x["line_hits"], F.trim(x["lines"]) == "", ~x["beside"], x["lines"])
+        words, hits = x["line_words"], x["line_hits"]
+        cut = F.struct(_numbers_of(words).alias("numbers"), hits.alias("hits"), (F.size(words) >= MIN_WORDS).alias("long"))
+        return part(i, i, cut, F.trim(x["lines"]) == "", ~x["beside"], x["lines"])
 
     def over_part(p: Column) -> Column:
-        over = bind(pairs(p["words"]), lambda x: F.struct(x.alias("pairs"), _of_templates(x).alias("hits")))
-        return part(p["first"], p["last"], p["words"], over["pairs"], over["hits"], F.lit(True), F.lit(False), F.lit(""))
+        return part(p["first"], p["last"], _cut(p["words"]), F.lit(True), F.lit(False), F.lit(""))
 
-    lines = F.transform(F.arrays_zip("lines", "line_words", "line_pairs", "line_hits", "beside"), line_part)
+    lines = F.transform(F.arrays_zip("lines", "line_words", "line_hits", "beside"), line_part)
     parts = rows.select(*own, F.explode_outer(F.concat(lines, F.transform("passages", over_part))).alias("part"))
-    empty = F.array().cast("array<string>")
-    cut = parts.select(*own, "part.*").withColumns({c: F.coalesce(c, empty) for c in ("words", "pairs", "hits")})
     plain = F.coalesce(F.col("far") & F.col("long") & (F.size("shares") == 0), F.lit(False))
-    return _described(cut).withColumn("plain", plain).drop("far")
+    return _described(parts.select(*own, "part.*")).withColumn("plain", plain).drop("far")
 
 
 def _licence(chance: Column) -> Column:
@@ -392,7 +435,7 @@ class Classifier:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``family`` (or none), ``probability`` of any and ``confirmed`` for the column ``paragraph``."""
-        judged = self.judge(_described(_with_pairs(rows.withColumn("words", tokens(F.col("paragraph"))))))
+        judged = self.judge(_vectors(_described(rows.withColumn("cut", _cut(tokens(F.col("paragraph")))))))
         return judged.select(*rows.columns, "family", "probability", "confirmed")
 
     def judge(self, rows: DataFrame) -> DataFrame:
@@ -431,10 +474,9 @@ def train(
         docs = docs.where(unit_draw(F.lit(seed), F.col(id_col), F.col(text_col)) < part)
     lines = _plain_lines(_spread(docs.select(text_col)), text_col)
     line = F.col("paragraph")
-    cut = lines.select(_place(line).alias("place"), _held_out(line, seed).alias("held_out"), tokens(line).alias("words"))
-    rows = _described(_with_pairs(cut))
+    rows = _described(lines.select(_place(line).alias("place"), _held_out(line, seed).alias("held_out"), _cut(tokens(line)).alias("cut")))
     plain = rows.where(F.col("long") & (F.size("shares") == 0)).drop("long", "shares")
-    return _fit(materialize(plain, "plain-paragraphs"))
+    return _fit(_stored(plain, new_path(docs.sparkSession, "plain-paragraphs")))
 
 
 def _spread(docs: DataFrame) -> DataFrame:
@@ -451,7 +493,13 @@ def _fit(plain: DataFrame) -> Classifier:
     positive = _featured(_frame(spark, [(labels[f], p) for f, p in notices()])).select("label", "features")
     positive = materialize(positive, "licence-notices")
     examples = plain.where(~F.col("held_out"))
-    used = None if examples.count() < SCREEN_FROM else _numbers(positive)
+    n = examples.count()
+    used = None if n < SCREEN_FROM else _numbers(positive)
+    if used is not None and n >= 2 * TRIAL_ROWS:
+        # Only where to begin; the fit and the pass after it are over all.
+        trial = examples.where(unit_draw(F.lit(SEED), F.col("place")) < TRIAL_ROWS / n)
+        pull = _pull(*_regression(positive, trial, None), trial)
+        used |= {int(k) for k in (pull > TRIAL_SHARE * PENALTY * L1_SHARE).nonzero()[0]}
     while True:
         model, weight, total = _regression(positive, examples, used)
         missed = set() if used is None else _missed(model, examples, used, weight, total)
@@ -476,13 +524,8 @@ def _regression(positive: DataFrame, examples: DataFrame, used: set[int] | None)
     numbers = F.unwrap_udt("features")["indices"]
     numbers = numbers if used is None else F.filter(numbers, lambda x: x.isin(sorted(used)))
     rows = examples.select("place", numbers.alias("numbers")).distinct().groupBy("numbers").agg(F.count("*").alias("copies"))
-    ones = F.transform("numbers", lambda x: F.lit(1.0))
-    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(FEATURES).alias("size"), F.col("numbers").alias("indices"), ones.alias("values"))
     path = new_path(spark, "licence-training")
-    rows.select(vector.alias("features"), "copies").write.parquet(path)
-    # The struct has the form in which vectors are stored, and is read as one.
-    schema = StructType([StructField("features", VectorUDT()), StructField("copies", LongType())])
-    stored = spark.read.schema(schema).parquet(path)
+    stored = _stored(rows, path)
     n_rows, n = stored.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     weight = min(1.0, PLAIN_WEIGHT / max(n, 1))
     plain = stored.select(F.lit(0.0).alias("label"), "features", (F.col("copies") * weight).alias("weight"))
@@ -497,18 +540,22 @@ def _regression(positive: DataFrame, examples: DataFrame, used: set[int] | None)
     return model, weight, total
 
 
+def _pull(model: LogisticRegressionModel, weight: float, total: float, examples: DataFrame) -> np.ndarray:
+    """For each feature, the mean over all rows of the probability of a licence where an example has the feature."""
+    scored = model.transform(examples).select("features", _licence(vector_to_array("probability")).alias("p"))
+    sums = scored.select(Summarizer.metrics("sum").summary(F.col("features"), F.col("p")).alias("found")).first()["found"]["sum"]
+    return sums.toArray() * weight / total
+
+
 def _missed(model: LogisticRegressionModel, examples: DataFrame, used: set[int], weight: float, total: float) -> set[int]:
     """Features not in use that the L1 penalty may not hold at zero, or none if it holds all.
 
-    The loss changes with a weight of such a feature by no more than the mean
-    over all rows of the probability of a licence where the feature is; only
-    examples have it. If that is below the penalty for every feature, zero is
+    The loss changes with a weight of such a feature by no more than ``_pull``;
+    only examples have it. If that is below the penalty for every feature, zero is
     right for all. Otherwise those above half of it are named. Copies of a
     text are summed here too, which can only name more.
     """
-    scored = model.transform(examples).select("features", _licence(vector_to_array("probability")).alias("p"))
-    sums = scored.select(Summarizer.metrics("sum").summary(F.col("features"), F.col("p")).alias("found")).first()["found"]["sum"]
-    pull = sums.toArray() * weight / total
+    pull = _pull(model, weight, total, examples)
     pull[sorted(used)] = 0.0
     limit = PENALTY * L1_SHARE
     return set() if pull.max() <= limit else {int(k) for k in (pull > limit / 2).nonzero()[0]}
@@ -557,10 +604,10 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, id_col: str = "d
     own = (F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
     if classifier is None:
         # Training and scan read the same paragraphs, so they are made once.
-        parts = materialize(_parts(_spread(docs.select(id_col, text_col)), text, *own), "licence-paragraphs")
+        parts = _stored(_parts(_spread(docs.select(id_col, text_col)), text, *own), new_path(docs.sparkSession, "licence-paragraphs"))
         classifier = _fit(parts.where("plain").select("place", "held_out", "features"))
     else:
-        parts = _parts(docs, text, *own)
+        parts = _vectors(_parts(docs, text, *own))
     found = classifier.judge(parts)
     mark = F.struct("first", "last", "family", "confirmed")
     marked = found.groupBy("id", "th").agg(

@@ -210,3 +210,48 @@ def test_rank_from_top(spark):
     for rank in range(1, len(values) * 2 + 1):
         assert L._from_top(rows, rank, 0.5) == (above[rank - 1] if rank <= len(above) else 0.5)
     assert L._from_top(rows.limit(0), 1, 0.5) == 0.5
+
+
+def test_features_to_begin_with_come_from_a_trial(spark, monkeypatch):
+    """Of 2,250 paragraphs some 1,000 are tried; all are then fitted once, and the pass over all names no more."""
+    rows = [(k, f"weather and food {'of the license' if k % 3 else 'by any person'} in line {k} {k * 7}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fits, named, fitted, missed = [], [], L._regression, L._missed
+    monkeypatch.setattr(L, "_regression", lambda p, e, used: fits.append((e.count(), used)) or fitted(p, e, used))
+    monkeypatch.setattr(L, "_missed", lambda *a: named.append(missed(*a)) or named[-1])
+    monkeypatch.setattr(L, "SCREEN_FROM", 0)
+    monkeypatch.setattr(L, "TRIAL_ROWS", 1000, raising=False)
+    L.train(docs)
+    assert named == [set()] and len(fits) == 2
+    (tried, first), (n, used) = fits
+    assert 800 < tried < 1200 and first is None and 2100 < n < 2400 and used
+
+
+def test_features_need_no_function_outside_of_spark_sql(spark, texts):
+    docs = spark.createDataFrame([(d, t) for d, t, _ in texts[:20]], "doc_id bigint, text string")
+    parts = L._parts(docs, F.col("text"), F.col("doc_id").alias("id"))
+    assert "UDF" not in parts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_are_the_words_and_pairs(spark, tmp_path):
+    """The same on both ways to a vector, with words repeated, alone, and none."""
+    lines = ["the Same the same THE", "one", "", "Ärger-los ñandú 7a-b2 ΟΔΟΣ ΟΔΟΣ.Α İx x_y", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, paragraph string")
+    found = {r["k"]: r["features"] for r in L._featured(rows).collect()}
+    numbered = L._featured(rows).select("k", "numbers")
+    assert {r["k"]: r["features"] for r in L._stored(numbered, str(tmp_path / "rows")).collect()} == found
+    words = {r["k"]: r["w"] for r in rows.select("k", L.tokens(F.col("paragraph")).alias("w")).collect()}
+    lowered = {r["k"]: r["x"] for r in rows.select("k", F.lower(F.coalesce("paragraph", F.lit(""))).alias("x")).collect()}
+    for k, x in lowered.items():
+        assert words[k] == re.findall(r"[^\W_]+(?:-[^\W\d_]+)*", x)
+        grams = {(w,) for w in words[k]} | set(zip(words[k], words[k][1:]))
+        assert len(found[k].indices) == len(grams) and set(found[k].values) <= {1.0}
+
+
+def test_one_pair_is_like_a_template_of_two(spark):
+    """Against all templates one by one, with hits that suffice alone, twice the same, and too few."""
+    cases = [["all rights"], ["of the"], ["of the", "of the"], ["under the", "the mit"], [], ["licensed under", "cc by", "by 4"]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, hits array<string>")
+    for r in rows.select("*", L._like(F.col("hits")).alias("found")).collect():
+        shares = [(name, len(set(r["hits"]) & set(p)) / len(p)) for name, _, p in L._template_pairs()]
+        assert sorted(map(tuple, r["found"])) == sorted(x for x in shares if x[1] >= L.LIKE_A_TEMPLATE)
