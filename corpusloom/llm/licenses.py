@@ -15,8 +15,10 @@ The L1 penalty leaves most features without a weight. From ``SCREEN_FROM``
 paragraphs the fit therefore begins with the features of notices, and paragraphs
 that agree in these are one weighted row. A pass over all features of all
 paragraphs then shows which others the penalty wouldn't hold at zero; they are
-added, and the fit is repeated until there is none. From twice ``TRIAL_ROWS``, a
-fit of all features on some of the paragraphs says beforehand which to add.
+added, and the fit is repeated until there is none. From twice ``TRIAL_ROWS``, the
+same on some of the paragraphs says beforehand which to add. Vectors are cut to
+the features in use before a fit: the driver holds dozens of arrays with a number
+for each feature and class.
 
 Notices are often wrapped. Lines without a blank one between them are also read
 as one run of words: a passage over line ends that holds ``LIKE_A_TEMPLATE`` of
@@ -42,9 +44,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VarianceThresholdSelector, VarianceThresholdSelectorModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import DenseMatrix, DenseVector, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -427,10 +429,31 @@ def _licence(chance: Column) -> Column:
     return 1.0 - F.get(chance, F.lit(0))
 
 
+@dataclass
+class Screened:
+    """A fit on the features in use, for vectors of all features."""
+
+    cut: VarianceThresholdSelectorModel
+    fitted: LogisticRegressionModel
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.fitted.transform(self.cut.transform(rows)).drop(self.cut.getOutputCol())
+
+    @property
+    def coefficientMatrix(self) -> DenseMatrix:
+        weights = np.zeros((self.fitted.numClasses, FEATURES))
+        weights[:, self.cut.selectedFeatures] = self.fitted.coefficientMatrix.toArray()
+        return DenseMatrix(*weights.shape, weights.ravel(order="F"))
+
+    @property
+    def interceptVector(self) -> DenseVector:
+        return self.fitted.interceptVector
+
+
 @dataclass
 class Classifier:
     families: list[str]
-    model: LogisticRegressionModel
+    model: LogisticRegressionModel | Screened
     threshold: float
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -490,19 +513,22 @@ def _fit(plain: DataFrame) -> Classifier:
     spark = plain.sparkSession
     families = [NONE, *TEMPLATES]
     labels = {name: float(k) for k, name in enumerate(families)}
-    positive = _featured(_frame(spark, [(labels[f], p) for f, p in notices()])).select("label", "features")
-    positive = materialize(positive, "licence-notices")
+    positive = _featured(_frame(spark, [(labels[f], p) for f, p in notices()])).select("label", "numbers")
+    positive = _stored(positive, new_path(spark, "licence-notices"))
     examples = plain.where(~F.col("held_out"))
     n = examples.count()
-    used = None if n < SCREEN_FROM else _numbers(positive)
-    if used is not None and n >= 2 * TRIAL_ROWS:
+    if n < SCREEN_FROM:
+        model, _, _ = _fitted(positive, examples, None)
+        return Classifier(families, model, _threshold(model, plain.where("held_out")))
+    used = _numbers(positive)
+    if n >= 2 * TRIAL_ROWS:
         # Only where to begin; the fit and the pass after it are over all.
         trial = examples.where(unit_draw(F.lit(SEED), F.col("place")) < TRIAL_ROWS / n)
         pull = _pull(*_regression(positive, trial, None), trial)
         used |= {int(k) for k in (pull > TRIAL_SHARE * PENALTY * L1_SHARE).nonzero()[0]}
     while True:
         model, weight, total = _regression(positive, examples, used)
-        missed = set() if used is None else _missed(model, examples, used, weight, total)
+        missed = _missed(model, examples, used, weight, total)
         if not missed:
             break
         used |= missed
@@ -515,8 +541,36 @@ def _numbers(rows: DataFrame) -> set[int]:
     return {r["number"] for r in found.collect()}
 
 
-def _regression(positive: DataFrame, examples: DataFrame, used: set[int] | None) -> tuple[LogisticRegressionModel, float, float]:
-    """The fit on the features in use (all, if None), the weight of an example, and that of all rows together.
+def _regression(positive: DataFrame, examples: DataFrame, used: set[int] | None) -> tuple[Screened, float, float]:
+    """The fit on the features in use, the weight of an example, and that of all rows together.
+
+    If None, all are fitted: first the notices' features, then also those that the penalty doesn't hold at zero.
+    """
+    if used is not None:
+        return _fitted(positive, examples, used)
+    used = _numbers(positive)
+    while True:
+        model, weight, total = _fitted(positive, examples, used)
+        others = _not_held(model, examples, used, weight, total)
+        if not others:
+            return model, weight, total
+        used |= others
+
+
+def _cut_to(spark: SparkSession, used: set[int]) -> VarianceThresholdSelectorModel:
+    """Cuts ``features`` to those in use: what differs between a row that has them and one that has none."""
+    path = new_path(spark, "licence-features")
+    both = F.array(F.from_json(F.lit(json.dumps(sorted(used))), "array<int>"), F.array().cast("array<int>"))
+    rows = _stored(spark.range(1).select(F.explode(both).alias("numbers")), path)
+    cut = VarianceThresholdSelector(featuresCol="features", outputCol="features in use", varianceThreshold=0.0).fit(rows)
+    delete_path(spark, path)
+    return cut
+
+
+def _fitted(
+    positive: DataFrame, examples: DataFrame, used: set[int] | None
+) -> tuple[LogisticRegressionModel | Screened, float, float]:
+    """The fit on the features in use (all at once, if None), the weight of an example, and that of all rows together.
 
     Different texts that agree in the features in use are one row.
     """
@@ -534,20 +588,29 @@ def _regression(positive: DataFrame, examples: DataFrame, used: set[int] | None)
     fit = LogisticRegression(
         family="multinomial", maxIter=40, regParam=PENALTY, elasticNetParam=L1_SHARE, standardization=False, weightCol="weight"
     )
-    model = fit.fit(table)
+    if used is None:
+        model = fit.fit(table)
+    else:
+        cut = _cut_to(spark, used)
+        model = Screened(cut, fit.setFeaturesCol(cut.getOutputCol()).fit(cut.transform(table).drop("features")))
     total = n * weight + notes.count()
     delete_path(spark, path)
     return model, weight, total
 
 
-def _pull(model: LogisticRegressionModel, weight: float, total: float, examples: DataFrame) -> np.ndarray:
+def _pull(model: Screened, weight: float, total: float, examples: DataFrame) -> np.ndarray:
     """For each feature, the mean over all rows of the probability of a licence where an example has the feature."""
     scored = model.transform(examples).select("features", _licence(vector_to_array("probability")).alias("p"))
     sums = scored.select(Summarizer.metrics("sum").summary(F.col("features"), F.col("p")).alias("found")).first()["found"]["sum"]
     return sums.toArray() * weight / total
 
 
-def _missed(model: LogisticRegressionModel, examples: DataFrame, used: set[int], weight: float, total: float) -> set[int]:
+def _missed(model: Screened, examples: DataFrame, used: set[int], weight: float, total: float) -> set[int]:
+    """``_not_held`` over all examples."""
+    return _not_held(model, examples, used, weight, total)
+
+
+def _not_held(model: Screened, examples: DataFrame, used: set[int], weight: float, total: float) -> set[int]:
     """Features not in use that the L1 penalty may not hold at zero, or none if it holds all.
 
     The loss changes with a weight of such a feature by no more than ``_pull``;
@@ -561,7 +624,7 @@ def _missed(model: LogisticRegressionModel, examples: DataFrame, used: set[int],
     return set() if pull.max() <= limit else {int(k) for k in (pull > limit / 2).nonzero()[0]}
 
 
-def _threshold(model: LogisticRegressionModel, held_out: DataFrame) -> float:
+def _threshold(model: LogisticRegressionModel | Screened, held_out: DataFrame) -> float:
     """The ``1 - FALSE_ALARMS`` quantile over all different held-out texts, ``LEAST_PROBABILITY`` at least."""
     scored = model.transform(held_out).select("place", _licence(vector_to_array("probability")).alias("p"))
     chances = materialize(scored.groupBy("place").agg(F.max("p").alias("p")), "licence-chances")

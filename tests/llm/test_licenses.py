@@ -255,3 +255,26 @@ def test_one_pair_is_like_a_template_of_two(spark):
     for r in rows.select("*", L._like(F.col("hits")).alias("found")).collect():
         shares = [(name, len(set(r["hits"]) & set(p)) / len(p)) for name, _, p in L._template_pairs()]
         assert sorted(map(tuple, r["found"])) == sorted(x for x in shares if x[1] >= L.LIKE_A_TEMPLATE)
+
+
+def test_fits_after_a_screen_get_the_features_in_use_only(spark, monkeypatch):
+    """Also the trial, so that the driver's arrays don't have a number for each of all features and classes."""
+    sizes = []
+
+    class Recorded(L.LogisticRegression):
+        def fit(self, dataset, params=None):
+            sizes.append(dataset.first()[self.getFeaturesCol()].size)
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(L, "LogisticRegression", Recorded)
+    monkeypatch.setattr(L, "SCREEN_FROM", 0)
+    monkeypatch.setattr(L, "TRIAL_ROWS", 1000)
+    rows = [(k, f"weather and food {'of the license' if k % 3 else 'by any person'} in line {k} {k * 7}") for k in range(3000)]
+    trained = L.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(sizes) >= 2 and max(sizes) < L.FEATURES / 4
+    # The whole vectors' verdicts are those of the weights spread over all features.
+    lines = sorted({p for _, p in L.notices()} | set(HELD_OUT.values()) | {x for _, x in rows[:50]} | {"", "words that no notice has"})
+    asked = spark.createDataFrame([(x,) for x in lines], "paragraph string")
+    features = {r["paragraph"]: r["features"] for r in L._featured(asked).collect()}
+    found = {r["paragraph"]: (r["family"], r["confirmed"]) for r in trained.predict(asked).collect()}
+    assert found == {x: plain_verdict(trained, features[x], x) for x in lines}
