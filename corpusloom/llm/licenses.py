@@ -523,7 +523,7 @@ def _fit(plain: DataFrame) -> Classifier:
     used = _numbers(positive)
     if n >= 2 * TRIAL_ROWS:
         # Only where to begin; the fit and the pass after it are over all.
-        trial = examples.where(unit_draw(F.lit(SEED), F.col("place")) < TRIAL_ROWS / n)
+        trial = materialize(examples.where(unit_draw(F.lit(SEED), F.col("place")) < TRIAL_ROWS / n), "licence-trial")
         pull = _pull(*_regression(positive, trial, None), trial)
         used |= {int(k) for k in (pull > TRIAL_SHARE * PENALTY * L1_SHARE).nonzero()[0]}
     while True:
